@@ -33,6 +33,8 @@ from lodestone.llm.words import slices, texts_of
 
 #: Characters in a chunk of the splitter.
 CHUNK = 1024
+#: Text bytes whose pieces run side by side.
+STEP_BYTES = 2 << 20
 #: States of the merger's table at most; beyond it the table is built anew.
 MAX_STATES = 300_000
 
@@ -357,7 +359,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, *, text: str = "text", ke
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = counter(tokenizer_path)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, "text", STEP_BYTES):
                 sizes, tokens = machine.count(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(sizes), pa.array(tokens), pa.array(tokens > limit)], ["key", "n_bytes", "n_tokens", "over_limit"])
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Text bytes that one numpy step works on.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 19
 
 _SPACES = np.zeros(256, bool)
 _SPACES[[0x20, *range(0x09, 0x0E)]] = True
@@ -47,7 +47,6 @@ def seeds(n: int, seed: int) -> np.ndarray:
         return mix(np.arange(1, n + 1, dtype=_U) * _U(0x9E3779B97F4A7C15) + _U(seed))
 
 
-_BYTES = [seeds(256, 11), seeds(256, 12)]
 _BASES = [_U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)]
 _INVERSES = [_U(pow(int(b), -1, 1 << 64)) for b in _BASES]
 _POWERS: list[list[np.ndarray]] = [[np.ones(1, _U)] * 2, [np.ones(1, _U)] * 2]
@@ -80,6 +79,10 @@ def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]], ends - ends[0]
 
 
+def _translated(data: np.ndarray, table: np.ndarray) -> np.ndarray:
+    return np.frombuffer(data.tobytes().translate(table.tobytes()), np.uint8)
+
+
 @dataclass
 class Words:
     """Words of a batch of texts: byte ranges in ``data``; text i has ``first[i]:first[i+1]``."""
@@ -103,18 +106,19 @@ class Words:
         up, down = _powers(len(self.data), lane)
         with np.errstate(over="ignore"):
             sums = np.zeros(len(self.data) + 1, _U)
-            np.cumsum(_BYTES[lane][self.data] * up[: len(self.data)], out=sums[1:])
+            np.multiply(self.data, up[: len(self.data)], out=sums[1:], dtype=_U)
+            np.cumsum(sums, out=sums)
             return mix((sums[self.end] - sums[self.start]) * down[self.start] + (self.end - self.start).astype(_U))
 
 
 def split_words(column: pa.Array, accepts: np.ndarray = NON_SPACE, lower: bool = False) -> Words:
     data, offsets = texts_of(column)
     if lower:
-        data = LOWER[data]
+        data = _translated(data, LOWER)
     if not len(data):
         none = np.zeros(0, np.int64)
         return Words(data, none, none, np.zeros(len(offsets), np.int64))
-    inside = accepts[data]
+    inside = _translated(data, accepts).view(bool)
     before = np.empty_like(inside)
     before[0], before[1:] = False, inside[:-1]
     before[offsets[:-1][offsets[:-1] < len(data)]] = False
@@ -164,8 +168,12 @@ def shingles(words: Words, n: int, lane: int = 0) -> tuple[np.ndarray, np.ndarra
                     h = h * _BASES[lane] + x
                 whole[k] = h + _U(words.counts[i])
         owner, value = np.r_[owner, short], np.r_[value, mix(whole)]
-    order = np.lexsort((value, owner))
-    owner, value = owner[order], value[order]
+    if len(short):
+        order = np.argsort(owner, kind="stable")
+        owner, value = owner[order], value[order]
+    cut = np.searchsorted(owner, np.arange(len(words.first)))
+    for a, b in zip(cut[:-1], cut[1:], strict=True):
+        value[a:b].sort()
     if len(value):
         new = np.r_[True, (owner[1:] != owner[:-1]) | (value[1:] != value[:-1])]
         owner, value = owner[new], value[new]
