@@ -86,6 +86,7 @@ class Queries:
         none = np.zeros(0, np.int64)
         if not len(terms) or not len(self.terms):
             return none, none
+        at, positions = at.astype(np.int64), positions.astype(np.int64)
         slot = np.minimum(np.searchsorted(terms, self.terms), len(terms) - 1)
         used = np.arange(self.terms.shape[1]) < self.length[:, None]
         often = np.where(terms[slot] == self.terms, np.diff(at)[slot], 0)
@@ -98,7 +99,7 @@ class Queries:
         count = often[alive, rank[:, 0]]
         window = np.repeat(np.arange(len(alive)), count)
         within = np.arange(len(window)) - np.repeat(np.cumsum(count) - count, count)
-        start = positions[at[slot[window, rank[window, 0]]] + within].astype(np.int64)
+        start = positions[at[slot[window, rank[window, 0]]] + within]
         big = np.int64(first[-1] + 1)
         held = np.repeat(np.arange(len(terms), dtype=np.int64), np.diff(at)) * big + positions
         if slop is None:
