@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as T
 from lodestone.functions import vectors as V
 from lodestone.operators import chunks as C
-from lodestone.operators import fusion, hierarchy, inspect, lexical, maintenance, sessions, similarity
+from lodestone.operators import fusion, hierarchy, inspect, lexical, maintenance, markdown, sessions, similarity
+from lodestone.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -449,3 +450,29 @@ def _i1(spark: SparkSession, d: str) -> DataFrame:
 def _i7(spark: SparkSession, d: str) -> DataFrame:
     rows = spark.read.parquet(f"{d}/documents.parquet").select(F.to_json(F.struct("doc_id", "lang", "n_chars")).alias("j"))
     return rows.select(F.from_json("j", "doc_id long, lang string, n_chars long").alias("r")).select("r.*")
+
+
+# -- operators that SQL can't express ---------------------------------------------------------------
+
+
+@_register("a10_html_to_markdown")
+def _a10(spark: SparkSession, d: str) -> DataFrame:
+    return files.pages_to_markdown(spark.read.parquet(f"{d}/pages.parquet"))
+
+
+@_register("c6_markdown_chunks")
+def _c6(spark: SparkSession, d: str) -> DataFrame:
+    return markdown.markdown_chunks(documents(spark, d))
+
+
+@_register("c3_headings")
+def _c3(spark: SparkSession, d: str) -> DataFrame:
+    pages = files.pages_to_markdown(spark.read.parquet(f"{d}/pages.parquet"))
+    return inspect.headings(pages.withColumnRenamed("page_id", "doc_id"))
+
+
+@_register("h4_outline")
+def _h4(spark: SparkSession, d: str) -> DataFrame:
+    pages = files.pages_to_markdown(spark.read.parquet(f"{d}/pages.parquet")).withColumnRenamed("page_id", "doc_id")
+    rows = C.window_chunks(pages, size=200, overlap=0).select("doc_id", "seq_id", (F.col("seq_id") * 200).alias("start"), F.length("body").alias("chars"))
+    return inspect.outline(inspect.headings(pages), rows)
