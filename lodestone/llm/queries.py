@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm.decontam import benchmark_hits
 from lodestone.llm.forest import near_vectors
+from lodestone.llm.licenses import oracle_sql as _license_sql
+from lodestone.llm.licenses import scan_licenses
 from lodestone.llm.minhash import near_texts
 from lodestone.llm.mixing import mix_sources
 from lodestone.llm.pii import find_personal_data
@@ -46,6 +48,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages")).drop("score")
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("items")
 
@@ -61,7 +67,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    return {f.__name__: f for f in (op1_token_counts, op2_source_mix, op3_vector_forest, op4_minhash, op5_substrings, op6_url_filter, op8_decontamination, op9_personal_data, op10_toxicity)} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in (op1_token_counts, op2_source_mix, op3_vector_forest, op4_minhash, op5_substrings, op6_url_filter, op7_license_scan, op8_decontamination, op9_personal_data, op10_toxicity)} | {"pipeline": corpus_pipeline.run}
 
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -120,4 +126,4 @@ def oracle_sql() -> dict[str, str]:
     Not so: token counts (merges), the mix and the URL models (Spark's hashes), and the
     trained models of personal data and toxicity.
     """
-    return dict(_ORACLE)
+    return _ORACLE | {"op7_license_scan": _license_sql()}
