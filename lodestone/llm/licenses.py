@@ -8,6 +8,8 @@ prunes most lines before their bigrams are formed, and most templates of the res
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,20 +50,27 @@ def scan_licenses(docs: DataFrame, *, templates: tuple[tuple[str, str], ...] = T
     low = min(len(b) for _, b in known) * least / (2 - least)
     high = max(len(b) for _, b in known) * (2 - least) / least
     lines = docs.select(F.col(key).alias("key"), F.posexplode(F.split(F.col(text), "\n")).alias("at", "line"))
-    words = F.split("plain", " ")
-    # Distinct bigrams are at most the words less one. A long line may repeat few, so only they tell it apart.
-    near = lines.withColumn("plain", normalised(F.col("line"))).filter(F.size(words) - 1 >= low)
-    pairs = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("words") - 2), lambda i: F.concat_ws(" ", F.get("words", i), F.get("words", i + 1))))
-    near = near.withColumn("words", words).withColumn("pairs", pairs).filter(F.size("pairs").between(low, high))
-
-    def dice(bigrams: list[str]) -> Column:
-        fits = F.size("pairs").between(len(bigrams) * least / (2 - least), len(bigrams) * (2 - least) / least)
-        shared = F.size(F.array_intersect("pairs", F.array(*map(F.lit, bigrams))))
-        return F.when(fits, 2.0 * shared / (F.size("pairs") + len(bigrams))).otherwise(0.0)
-
-    scored = near.withColumn("all", F.array(*(F.struct(dice(b).alias("dice"), F.lit(-i).alias("turn"), F.lit(name).alias("license")) for i, (name, b) in enumerate(known))))
-    best = scored.withColumn("best", F.array_max("all")).filter(F.col("best.dice") >= least)
-    return best.select(F.col("key").alias(key), (F.col("at") + 1).alias("line"), "best.license", F.round("best.dice", 6).alias("dice"))
+
+    def pairs(words: Column) -> Column:
+        return F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(words) - 2), lambda i: F.concat_ws(" ", F.get(words, i), F.get(words, i + 1))))
+
+    def dice(found: Column, bigrams: list[str]) -> Column:
+        fits = F.size(found).between(len(bigrams) * least / (2 - least), len(bigrams) * (2 - least) / least)
+        shared = F.size(F.array_intersect(found, F.array(*map(F.lit, bigrams))))
+        return F.when(fits, 2.0 * shared / (F.size(found) + len(bigrams))).otherwise(0.0)
+
+    def best(found: Column) -> Column:
+        every = F.array(*(F.struct(dice(found, b).alias("dice"), F.lit(-i).alias("turn"), F.lit(name).alias("license")) for i, (name, b) in enumerate(known)))
+        return F.when(F.size(found).between(low, high), F.array_max(every))
+
+    def once(value: Column, f: Callable[[Column], Column]) -> Column:
+        """``f(value)`` with the value computed once, as a lambda's argument."""
+        return F.get(F.transform(F.array(value), f), F.lit(0))
+
+    # Distinct bigrams are at most the words less one, so short lines go first.
+    of_line = once(F.split(normalised(F.col("line")), " "), lambda w: F.when(F.size(w) - 1 >= low, once(pairs(w), best)))
+    found = lines.select("key", "at", of_line.alias("best")).filter(F.col("best.dice") >= least)
+    return found.select(F.col("key").alias(key), (F.col("at") + 1).alias("line"), "best.license", F.round("best.dice", 6).alias("dice"))
 
 
 def oracle_sql(templates: tuple[tuple[str, str], ...] = TEMPLATES, least: float = 0.8) -> str:
