@@ -196,21 +196,25 @@ def merge_snippets(snippets: list[tuple[int, str]]) -> str:
     rows = [(s, t.strip()) for s, t in snippets if t and t.strip()]
     main = sorted({s: t for s, t in reversed(rows) if s >= 0}.items())
     other = [t for s, t in rows if s < 0]
-    out: list[str] = []
+    out: list[str] = []  # blocks and gap marks
+    marks: set[int] = set()  # which of them are marks
     before = -1
     for seq, text in main:
         if seq > before + 1:
+            marks.add(len(out))
             out.append(f"(... {seq - before - 1} chunk(s) skipped ...)")
         before = seq
-        if any(text in x for x in out):
+        if any(text in x for i, x in enumerate(out) if i not in marks):
             continue
-        out = [x for x in out if x not in text or x.startswith("(...")]
-        k = next((k for k in range(min(len(text), len(out[-1]) if out else 0, 250), 19, -1) if out[-1].endswith(text[:k])), 0)
+        keep = [i for i, x in enumerate(out) if i in marks or x not in text]
+        out, marks = [out[i] for i in keep], {n for n, i in enumerate(keep) if i in marks}
+        last = out[-1] if out and len(out) - 1 not in marks else ""
+        k = next((k for k in range(min(len(text), len(last), 250), 19, -1) if last.endswith(text[:k])), 0)
         if k:
             out[-1] += text[k:]
         else:
             out.append(text)
-    extra = [t for t in other if not any(t in x for x in out)]
+    extra = [t for t in other if not any(t in x for i, x in enumerate(out) if i not in marks)]
     if extra and out:
         out.append("(... chunks skipped ...)")
     return "\n\n".join(out + extra)
