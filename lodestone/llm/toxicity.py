@@ -108,14 +108,17 @@ def fit(batch: pa.Table, rounds: int = 6, size: int = 64, rate: float = 0.01, pe
     if not len(label) or label.min() == label.max():
         net.shift[:] = 0 if not len(label) else (4 if label[0] else -4)
         return net
-    words = split_words(batch["text"], ALNUM, lower=True)
-    a, b = _buckets(words)
-    first = words.first
+    parts = []
+    for part in slices(batch):  # hashing takes many times the room of the text, so by slices
+        words = split_words(part["text"], ALNUM, lower=True)
+        parts.append((*(x.astype(np.uint16) for x in _buckets(words)), words.counts))
+    a, b, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+    first, text = np.r_[0, np.cumsum(counts)], np.repeat(np.arange(len(label), dtype=np.int32), counts)
     held = np.arange(len(label)) % 5 == 0
     train = np.flatnonzero(~held)
-    inside = ~held[words.text]
+    inside = ~held[text]
     for table, column, which in ((net.word, 0, a), (net.begin, 1, b)):
-        _start(net, table, column, which[inside], words.text[inside], label)
+        _start(net, table, column, which[inside], text[inside], label)
     params = [net.word, net.begin, *net.filters, *net.bias, net.out, net.shift]
     state = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     rng = np.random.default_rng(seed)
@@ -160,7 +163,8 @@ def fit(batch: pa.Table, rounds: int = 6, size: int = 64, rate: float = 0.01, pe
                 one[which] = 0.9 * one[which] + 0.1 * g
                 two[which] = 0.99 * two[which] + 0.01 * g * g
                 p[which] -= rate * (one[which] / (1 - 0.9**step)) / (np.sqrt(two[which] / (1 - 0.99**step)) + 1e-6)
-    net.thresholds = _calibrate(net.score(a, b, first)[held], label[held], np.array(batch["lang"].to_pylist(), object)[held])
+    left = ~inside
+    net.thresholds = _calibrate(net.score(a[left], b[left], np.r_[0, np.cumsum(counts[held])]), label[held], np.array(batch["lang"].to_pylist(), object)[held])
     return net
 
 
