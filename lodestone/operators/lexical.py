@@ -23,9 +23,15 @@ def index_chunks(chunks: DataFrame, columns: tuple[str, ...] = ("collection", "p
 
 
 def postings(index: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, chunk_id, length, tf) of the asked terms (a column ``term``)."""
+    """(term, chunk_id, length, tf) of the asked terms (a column ``term``).
+
+    Only occurrences of asked terms are dealt out, by chunk: a chunk has few of them,
+    whatever the terms, and sums by chunk need no second shuffle. The outer explode keeps
+    the optimizer from testing the array, and so forming it, a second time.
+    """
     asked = terms.select("term").distinct()
-    return index.select("chunk_id", "length", F.explode("terms").alias("term")).join(asked, "term", "left_semi").groupBy("term", "chunk_id").agg(F.first("length").alias("length"), F.count("*").alias("tf"))
+    found = index.select("chunk_id", "length", F.explode_outer("terms").alias("term")).join(asked, "term", "left_semi")
+    return found.repartition("chunk_id").groupBy("term", "chunk_id").agg(F.first("length").alias("length"), F.count("*").alias("tf"))
 
 
 def term_scores(index: DataFrame, terms: DataFrame) -> DataFrame:
@@ -34,8 +40,9 @@ def term_scores(index: DataFrame, terms: DataFrame) -> DataFrame:
     mean = index.agg(F.avg("length").alias("mean")).scalar()
     found = postings(index, terms)
     # The frequency of a term meets its postings by join, not in a window, so that a term
-    # that is everywhere can be split.
-    seen = found.groupBy("term").agg(F.count("*").alias("seen"))
+    # that is everywhere can be split. It reads the same columns, which lets Spark reuse the
+    # postings' shuffle; no length is below 0.
+    seen = found.groupBy("term").agg(F.count("*").alias("seen"), F.max("length").alias("longest")).filter("longest >= 0")
     idf = F.ln((n - F.col("seen") + 0.5) / (F.col("seen") + 0.5))
     idf = F.when(idf > 0, idf).otherwise(IDF_FLOOR)
     weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
@@ -58,11 +65,21 @@ def without(hits: DataFrame, excluded: DataFrame) -> DataFrame:
 
 
 def phrase(index: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, hits) for phrases (query_id, terms array): consecutive tokens in order."""
-    asked = queries.select("query_id", F.size("terms").alias("n"), F.posexplode("terms").alias("offset", "term"))
-    places = index.select("chunk_id", F.posexplode("terms").alias("pos", "term"))
-    met = places.join(asked, "term").groupBy("query_id", "chunk_id", "n", (F.col("pos") - F.col("offset")).alias("start")).agg(F.count_distinct("offset").alias("met"))
-    return met.filter(F.col("met") == F.col("n")).groupBy("query_id", "chunk_id").agg(F.count("*").alias("hits"))
+    """(query_id, chunk_id, hits) for phrases (query_id, terms array): consecutive tokens in order.
+
+    Runs of tokens as long as some phrase meet the phrases in one join, so that only real
+    matches are shuffled. Phrases without terms have no hits. The driver reads the
+    distinct lengths of the phrases, no more.
+    """
+    asked = queries.select("query_id", F.size("terms").alias("n"), F.concat_ws(" ", "terms").alias("run")).filter("n > 0")
+    sizes = sorted(r.n for r in asked.select("n").distinct().collect())
+
+    def runs(n: int) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.col("length") - n + 1), lambda i: F.concat_ws(" ", F.slice("terms", i, n)))
+        return F.when(F.col("length") >= n, every).otherwise(F.array().cast("array<string>"))
+
+    found = index.select("chunk_id", F.explode_outer(F.flatten(F.array(*map(runs, sizes or [1])))).alias("run"))
+    return found.join(asked, "run").groupBy("query_id", "chunk_id").agg(F.count("*").alias("hits"))
 
 
 def prefix(index: DataFrame, queries: DataFrame) -> DataFrame:
