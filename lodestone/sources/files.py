@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 # File types.
 TEXT_TYPES = ("md", "markdown", "txt")
-OTHER_TYPES = ("csv", "html", "htm", "epub", "docx")
+OTHER_TYPES = ("csv", "html", "htm", "epub", "docx", "xlsx", "pptx")
 
 
 def is_supported(path: Column, others: bool = True) -> Column:
@@ -184,9 +184,77 @@ def docx_to_markdown(data: bytes) -> str:
     return "\n\n".join(out)
 
 
+def _parts(z: zipfile.ZipFile, index: str, tag: str) -> list[tuple[ElementTree.Element, str]]:
+    """Elements ``tag`` of an Office index part in order, with the names of the parts they point to."""
+    base = PurePosixPath(index).parent
+    links = ElementTree.fromstring(z.read(f"{base}/_rels/{PurePosixPath(index).name}.rels"))
+    where = {e.get("Id"): e.get("Target") for e in links}
+    out = []
+    for e in ElementTree.fromstring(z.read(index)).iter():
+        if e.tag.rsplit("}", 1)[-1] == tag:
+            target = where[next(v for k, v in e.attrib.items() if k.startswith("{") and k.endswith("}id"))]
+            out.append((e, target.lstrip("/") if target.startswith("/") else f"{base}/{target}"))
+    return out
+
+
+def xlsx_to_markdown(data: bytes) -> str:
+    """Each sheet as a heading and a table of its stored values; rows without a value are skipped."""
+    m = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+    text = lambda e: "".join(t.text or "" for t in e.iter(f"{m}t"))
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        shared = [text(e) for e in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{m}si")] if "xl/sharedStrings.xml" in z.namelist() else []
+
+        def value(cell: ElementTree.Element) -> str | None:
+            kind, v = cell.get("t", "n"), cell.findtext(f"{m}v")
+            if kind == "inlineStr":
+                return text(cell)
+            if v is None:
+                return None
+            return {"s": lambda: shared[int(v)], "b": lambda: str(v == "1")}.get(kind, lambda: v)()
+
+        out = []
+        for sheet, part in _parts(z, "xl/workbook.xml", "sheet"):
+            rows = []
+            for row in ElementTree.fromstring(z.read(part)).iter(f"{m}row"):
+                cells: dict[int, str | None] = {}
+                for c in row.iter(f"{m}c"):
+                    at = 0
+                    for letter in re.match("[A-Z]*", c.get("r", ""))[0]:
+                        at = at * 26 + ord(letter) - 64
+                    cells[at - 1 if at else len(cells)] = value(c)
+                if any(v is not None for v in cells.values()):
+                    rows.append([cells.get(i) for i in range(max(cells) + 1)])
+            out += [f"## Sheet: {sheet.get('name')}", matrix_to_markdown(rows)]
+    return "\n\n".join(x for x in out if x)
+
+
+def pptx_to_markdown(data: bytes) -> str:
+    """Each slide as a heading with its title, its paragraphs as nested bullets, and its tables."""
+    a, p = ("{http://schemas.openxmlformats.org/%s/2006/main}" % n for n in ("drawingml", "presentationml"))
+    text = lambda e: "".join(t.text or "" for t in e.iter(f"{a}t")).strip()
+    slides = []
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        for i, (_, part) in enumerate(_parts(z, "ppt/presentation.xml", "sldId"), 1):
+            title, lines = "", []
+            for shape in ElementTree.fromstring(z.read(part)).iter():
+                if shape.tag == f"{a}tbl":
+                    lines.append(matrix_to_markdown([[text(c) for c in r.iter(f"{a}tc")] for r in shape.iter(f"{a}tr")]))
+                elif shape.tag == f"{p}sp":
+                    kind = next((e.get("type", "") for e in shape.iter(f"{p}ph")), "")
+                    if kind in ("title", "ctrTitle") and not title:
+                        title = " ".join(filter(None, map(text, shape.iter(f"{a}p"))))
+                        continue
+                    for q in shape.iter(f"{a}p"):
+                        if text(q):
+                            style = q.find(f"{a}pPr")
+                            lines.append("  " * int(style.get("lvl", 0) if style is not None else 0) + "- " + text(q))
+            slides.append("\n".join([f"## Slide {i}" + (f": {title}" if title else ""), *([""] if lines else []), *lines]))
+    return "\n\n".join(slides)
+
+
 def convert(path: str, data: bytes) -> str:
     kind = path.rsplit(".", 1)[-1].lower()
-    made = {"csv": csv_to_markdown, "html": lambda b: html_to_markdown(read_text(b)), "htm": lambda b: html_to_markdown(read_text(b)), "epub": epub_to_markdown, "docx": docx_to_markdown}.get(kind, read_text)(data)
+    made = {"csv": csv_to_markdown, "html": lambda b: html_to_markdown(read_text(b)), "htm": lambda b: html_to_markdown(read_text(b)), "epub": epub_to_markdown, "docx": docx_to_markdown, "xlsx": xlsx_to_markdown, "pptx": pptx_to_markdown}.get(kind, read_text)(data)
     made = made.encode("utf-8", "replace").decode("utf-8")
     return re.sub(r"(?m)^\|.*\|$", lambda m: re.sub(r" {2,}", " ", m[0]), made)
 
