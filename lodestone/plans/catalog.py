@@ -15,7 +15,7 @@ from lodestone.functions import text as T
 from lodestone.functions import vectors as V
 from lodestone.operators import chunks as C
 from lodestone.operators import fusion, hierarchy, inspect, lexical, maintenance, markdown, sessions, similarity
-from lodestone.sources import files
+from lodestone.sources import files, render
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -452,6 +452,73 @@ def _i7(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.from_json("j", "doc_id long, lang string, n_chars long").alias("r")).select("r.*")
 
 
+# -- scalars and formats over results ---------------------------------------------------
+
+
+@_register("a3_supported_types", "SELECT page_id, url, lower(regexp_extract(url, '\\.([^./]+)$', 1)) IN ('md', 'markdown', 'txt', 'csv', 'html', 'htm', 'epub', 'docx', 'xlsx', 'pptx') AS supported FROM pages")
+def _a3(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", "url", files.is_supported(F.col("url")).alias("supported"))
+
+
+@_register("c2_strip_links", r"SELECT doc_id, regexp_replace(regexp_replace('see ![' || lang || '](i.png) and [' || source || '](u) ' || text, '!\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '\[([^\]]+)\]\([^)]*\)', '\1', 'g') AS text FROM documents")
+def _c2(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.read.parquet(f"{d}/documents.parquet")
+    linked = F.concat(F.lit("see !["), "lang", F.lit("](i.png) and ["), "source", F.lit("](u) "), "text")
+    return rows.select("doc_id", T.strip_links(linked).alias("text"))
+
+
+_PAIR = "FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND b.vec_id = a.vec_id + 1"
+
+
+def _next_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Each queried vector beside the one that follows it by number."""
+    rows = vectors(spark, d)
+    asked = rows.filter("vec_id % 50 = 0").select("vec_id", F.col("embedding").alias("a"), (F.col("vec_id") + 1).alias("next"))
+    return asked.join(rows.select(F.col("vec_id").alias("next"), F.col("embedding").alias("b")), "next")
+
+
+@_register("e2_hamming", f"SELECT a.vec_id, round(1 / (1 + len(list_filter(list_zip(a.embedding, b.embedding), lambda p: (p[1] > 0) <> (p[2] > 0)))), 6) AS score {_PAIR}")
+def _e2(spark: SparkSession, d: str) -> DataFrame:
+    score = V.hamming_score(V.to_bits(F.col("a")), V.to_bits(F.col("b")))
+    return _rounded(_next_vectors(spark, d).select("vec_id", score.alias("score")), "score")
+
+
+_INT8 = "list_transform(b.embedding, lambda x: greatest(-128, least(127, round_even(x::DOUBLE * 127, 0)::INT)) / 127.0::DOUBLE)"
+
+
+@_register("e7_asymmetric", f"SELECT vec_id, round(list_dot_product(x, y) / (sqrt(list_dot_product(x, x)) * sqrt(list_dot_product(y, y))), 6) AS score FROM (SELECT a.vec_id, a.embedding::DOUBLE[] AS x, {_INT8}::DOUBLE[] AS y {_PAIR})")
+def _e7(spark: SparkSession, d: str) -> DataFrame:
+    score = V.cosine(F.col("a"), V.from_int8(V.to_int8(F.col("b"))))
+    return _rounded(_next_vectors(spark, d).select("vec_id", score.alias("score")), "score")
+
+
+@_register("h5_read_by_id", f"WITH {_CORPUS} SELECT chunk_id, collection, path, seq_id FROM k WHERE doc_id IN (3, 7) AND seq_id <= 2")
+def _h5(spark: SparkSession, d: str) -> DataFrame:
+    rows = chunks(spark, d)
+    targets = rows.filter(F.col("chunk_id").isin(300_001, 700_001)).select("collection", "path", "seq_id")
+    both = targets.unionByName(documents(spark, d).filter("doc_id IN (3, 7)").select("collection", "path", F.lit(1).alias("seq_id")))
+    return inspect.read_window(rows, both, window=1).select("chunk_id", "collection", "path", "seq_id")
+
+
+@_register("j11_sanitized_term", "SELECT n_nationkey, translate('\"' || n_name || '*^?', '\"'':?*^~', '') AS term FROM nation")
+def _j11(spark: SparkSession, d: str) -> DataFrame:
+    term = F.concat(F.lit('"'), "n_name", F.lit("*^?"))
+    return spark.read.parquet(f"{d}/nation.parquet").select("n_nationkey", T.sanitize_term(term).alias("term"))
+
+
+@_register("j13_clean_header", r"SELECT page_id, 'T ' || page_id AS clean, 't' || page_id AS plain FROM pages")
+def _j13(spark: SparkSession, d: str) -> DataFrame:
+    head = F.concat(F.lit(" ## T "), F.col("page_id").cast("string"), F.lit(" "))
+    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", T.clean_header(head).alias("clean"), T.normalized(T.clean_header(head)).alias("plain"))
+
+
+@_register("k7_grep_xml", f"""WITH {_CORPUS}, l AS (SELECT collection, path, title, unnest(string_split(body, chr(10))) AS t, unnest(range(1, len(string_split(body, chr(10))) + 1)) AS n FROM c)
+SELECT collection, path, '  <document uri="lode://' || collection || '/' || path || '" title="' || title || '">' || chr(10) || string_agg('    <match line="' || n || '">' || replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') || '</match>', chr(10) ORDER BY n) || chr(10) || '  </document>' AS xml
+FROM l WHERE regexp_matches(t, '(?i)token = .[0-9a-f]+') GROUP BY collection, path, title""")
+def _k7(spark: SparkSession, d: str) -> DataFrame:
+    return render.grep_xml(inspect.grep(documents(spark, d), "token = .[0-9a-f]+", is_regex=True, limit=None))
+
+
 # -- operators that SQL can't express ---------------------------------------------------------------
 
 
