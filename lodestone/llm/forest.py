@@ -7,12 +7,14 @@ cosine in double precision. A pair may meet in several leaves; it is counted in
 first it shares, so no pair is written out, only sums and a spanning set of links.
 
 The splits are fitted on a bounded sample (``FIT_ROWS`` classes, smallest hashes);
-every vector is indexed and compared. A leaf above ``BLOCK`` vectors is compared in
+every vector is indexed and compared. How many trees there are follows from the share of
+the sample's pairs that meet; groups of near copies aren't split. A leaf above ``BLOCK`` vectors is compared in
 pairs of blocks, whole.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,33 +32,121 @@ FIT_ROWS = 20_000
 LEAF_ROWS = 64
 #: Vectors in a block.
 BLOCK = 800
+#: Projections that a node tries, and the shares of its vectors that may go left.
+TRIES, PLACES = 6, (0.2, 0.35, 0.5, 0.65, 0.8)
+#: A node isn't split if every split parts a larger share of pairs, set against its balance.
+MOST_PARTED = 0.1
+#: The measured share of pairs that must meet, and the trees that may be grown for it.
+MEET, MOST_TREES = 0.999, 32
+#: Rows of the sample whose pairs are measured, and their pairs at most.
+PROBES, MOST_PAIRS = 1000, 100_000
+
+
+def _tail(x: np.ndarray) -> np.ndarray:
+    """The chance that a standard normal exceeds ``x`` >= 0, within 2e-5 (Abramowitz and Stegun 26.2.16)."""
+    t = 1 / (1 + 0.33267 * x)
+    return np.exp(-x * x / 2) / math.sqrt(2 * math.pi) * t * (0.4361836 + t * (-0.1201676 + t * 0.9372980))
+
+
+def _by_row(met: np.ndarray, row: np.ndarray) -> float:
+    """Mean over rows of the share of their pairs that met."""
+    if not len(met):
+        return 1.0
+    n = np.bincount(row)
+    return float((np.bincount(row, weights=met)[n > 0] / n[n > 0]).mean())
+
+
+def _known_pairs(sample: np.ndarray, threshold: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs to measure recall on: of ``PROBES`` rows with rows of the sample (numbered by row),
+    and with a made-up partner at the threshold itself (numbered -1)."""
+    probe = rng.permutation(len(sample))[:PROBES]
+    x = sample[probe]
+    near = x @ sample.T >= threshold
+    near[np.arange(len(probe)), probe] = False
+    i, j = np.nonzero(near)
+    if len(i) > MOST_PAIRS:
+        some = rng.permutation(len(i))[:MOST_PAIRS]
+        i, j = i[some], j[some]
+    away = rng.standard_normal(x.shape).astype(np.float32)
+    away -= (away * x).sum(axis=1, keepdims=True) * x
+    away /= np.maximum(np.linalg.norm(away, axis=1, keepdims=True), 1e-30)
+    made = threshold * x + math.sqrt(max(1 - threshold**2, 0)) * away
+    return np.concatenate([x[i], x]), np.concatenate([sample[j], made]), np.r_[i, np.full(len(x), -1)]
 
 
 class Forest:
-    """Trees as arrays: nodes in heap order, one projection and one threshold each."""
+    """Trees as arrays: nodes in heap order, one projection and one threshold each.
 
-    def __init__(self, sample: np.ndarray, trees: int, spill: float, seed: int):
+    A node tries a few projections and places of the split, and takes the one that parts
+    fewest vectors from a partner at cosine ``threshold`` for the balance it gives. A node
+    where every split parts many (a group of near copies) stays whole: its vectors all go
+    left. Trees are added to the first ``trees`` until pairs of the sample, and made-up
+    partners at cosine ``threshold``, meet as often as ``MEET`` asks.
+    """
+
+    def __init__(self, sample: np.ndarray, trees: int, spill: float, seed: int, threshold: float):
         rng = np.random.default_rng(seed)
         self.spill = spill
         n, dim = sample.shape
         self.depth = max(0, int(np.log2(max(n, 1) / LEAF_ROWS)) if n > LEAF_ROWS else 0)
-        nodes = (1 << self.depth) - 1
-        self.planes = rng.standard_normal((trees, nodes, dim)).astype(np.float32)
-        self.planes /= np.maximum(np.linalg.norm(self.planes, axis=2, keepdims=True), 1e-30)
-        self.at = np.zeros((trees, nodes), np.float32)
-        for t in range(trees):
-            where = np.zeros(n, np.int64)
-            for node in range(nodes):
-                inside = np.flatnonzero(where == node)
-                p = sample[inside] @ self.planes[t, node]
-                self.at[t, node] = np.median(p) if len(p) else 0
-                where[inside] = 2 * node + 1 + (p >= self.at[t, node])
-
-    def leaves(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(vector, leaf): each leaf in each tree that a vector is in."""
+        self.planes = np.zeros((0, (1 << self.depth) - 1, dim), np.float32)
+        self.at = np.zeros((0, (1 << self.depth) - 1), np.float32)
+        # The difference of two projections at that cosine, as a normal deviation.
+        gap = math.sqrt(max(2 * (1 - threshold), 1e-12) / max(dim, 1))
+        left, right, row = _known_pairs(sample, threshold, rng)
+        met = np.zeros(len(left), bool)
+        self.recall = 1.0
+        for t in range(MOST_TREES if self.depth else 1):
+            self._grow(sample, gap, rng)
+            if self.depth:
+                met |= self._meet(t, left, right)
+                real = row >= 0
+                self.recall = min(met[~real].mean(), _by_row(met[real], row[real]), met[real].mean() if real.any() else 1.0)
+            if t + 1 >= trees and self.recall >= MEET:
+                break
+
+    def _grow(self, sample: np.ndarray, gap: float, rng: np.random.Generator) -> None:
+        """Adds a tree that is fitted on the sample."""
+        n, dim = sample.shape
+        nodes = self.at.shape[1]
+        planes, at = np.zeros((nodes, dim), np.float32), np.full(nodes, np.inf, np.float32)
+        where = np.zeros(n, np.int64)
+        for node in range(nodes):
+            inside = np.flatnonzero(where == node)
+            where[inside] = 2 * node + 1
+            if len(inside) < LEAF_ROWS:
+                continue
+            tried = rng.standard_normal((dim, TRIES)).astype(np.float32)
+            tried /= np.maximum(np.linalg.norm(tried, axis=0), 1e-30)
+            p = sample[inside] @ tried
+            some = p[:: max(1, len(p) // PROBES)]
+            x = np.quantile(some, PLACES, axis=0).astype(np.float32)  # place, projection
+            off = np.abs(some - x[:, None])
+            parted = np.where(off > self.spill, _tail((off + self.spill) / gap), 0).mean(axis=1)
+            parted /= 2 * np.minimum(PLACES, 1 - np.array(PLACES))[:, None]
+            place, k = np.unravel_index(parted.argmin(), parted.shape)
+            if parted[place, k] <= MOST_PARTED:
+                planes[node], at[node] = tried[:, k], x[place, k]
+                where[inside] += p[:, k] >= at[node]
+        self.planes = np.concatenate([self.planes, planes[None]])
+        self.at = np.concatenate([self.at, at[None]])
+
+    def _meet(self, t: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether each pair shares a leaf of a tree."""
+        size = (self.at.shape[1] + (1 << self.depth)) * len(self.at)
+        both = []
+        for side in (left, right):
+            row, cell = self.leaves(side, t)
+            both.append(row * size + cell)
+        out = np.zeros(len(left), bool)
+        out[np.intersect1d(*both) // size] = True
+        return out
+
+    def leaves(self, vectors: np.ndarray, only: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(vector, leaf): each leaf in each tree, or in one, that a vector is in."""
         rows, cells = [], []
         trees, nodes = self.at.shape
-        for t in range(trees):
+        for t in range(trees) if only is None else (only,):
             row, node = np.arange(len(vectors)), np.zeros(len(vectors), np.int64)
             for _ in range(self.depth):
                 gap = np.empty(len(row), np.float32)
@@ -64,7 +154,8 @@ class Forest:
                 cut = np.flatnonzero(np.r_[True, np.diff(node[order]) > 0, True])
                 for a, b in zip(cut[:-1], cut[1:], strict=True):
                     i = order[a:b]
-                    gap[i] = vectors[row[i]] @ self.planes[t, node[i[0]]] - self.at[t, node[i[0]]]
+                    whole = np.isinf(self.at[t, node[i[0]]])
+                    gap[i] = -np.inf if whole else vectors[row[i]] @ self.planes[t, node[i[0]]] - self.at[t, node[i[0]]]
                 left, right = gap < self.spill, gap >= -self.spill
                 row, node = np.r_[row[left], row[right]], np.r_[2 * node[left] + 1, 2 * node[right] + 2]
             rows.append(row)
@@ -109,7 +200,12 @@ def _compare(table: pa.Table, threshold: float) -> pa.RecordBatch | None:
     met = _met_before(table["leaves"].combine_chunks(), leaf)
     within = (side == 0).all()
     x, y = (np.arange(len(rep)), np.arange(len(rep))) if within else (np.flatnonzero(side == 1), np.flatnonzero(side == 2))
-    near = vectors[x] @ vectors[y].T >= threshold
+    # Pairs within the earlier leaf that most rows share were compared there.
+    done = met[:, met.sum(axis=0).argmax()] > 0 if met.shape[1] else np.zeros(len(rep), bool)
+    near = np.zeros((len(x), len(y)), bool)
+    new, old = ~done[x], done[x]
+    near[new] = vectors[x[new]] @ vectors[y].T >= threshold
+    near[np.ix_(old, ~done[y])] = vectors[x[old]] @ vectors[y[~done[y]]].T >= threshold
     if within:
         np.fill_diagonal(near, False)
     if not near.any():
@@ -145,7 +241,7 @@ def near_vectors(vectors: DataFrame, *, threshold: float = 0.93, trees: int = 8,
 
     sample = classes.select("h1", "embedding").orderBy("h1").limit(FIT_ROWS).select("embedding").toArrow().column(0)
     fitted = _matrix(sample).astype(np.float32) if len(sample) else np.zeros((0, 1), np.float32)
-    forest = vectors.sparkSession.sparkContext.broadcast(Forest(fitted, trees, spill, seed))
+    forest = vectors.sparkSession.sparkContext.broadcast(Forest(fitted, trees, spill, seed, threshold))
     width = fitted.shape[1]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
