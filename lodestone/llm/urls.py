@@ -3,9 +3,9 @@
 Main path: DataFrame functions only. The URLs that the rules judge train two smoothed
 variable-order Markov models over characters, one of rejected and one of accepted URLs.
 A character's probability mixes its count after the longest context with the
-probability after the next shorter one, down to the uniform one. Grams are hashed to a
-fixed number of buckets by length, so a model is an array of bounded size, made once by
-one aggregation over all URLs and read as a scalar subquery. A URL is blocked when its
+probability after the next shorter one, down to the uniform one. Counts are kept for each
+gram itself, in a table that grows with the URLs; the distinct grams of the URLs are
+joined to it once, and the URLs to those. A URL is blocked when its
 log-likelihood difference, divided by its length, exceeds a threshold calibrated on
 accepted URLs that the models leave out.
 """
@@ -15,10 +15,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.minhash import BROADCAST_ROWS
+from lodestone.llm.storage import persist_table
+
 #: Characters in the longest gram (a context and the next character).
 ORDER = 5
-#: Buckets for each gram length.
-BUCKETS = 1 << 14
+#: Parts that each gram is dealt to where the grams are too many to be sent to all tasks.
+SALTS = 16
 #: Weight of the shorter context's estimate, in counts.
 PRIOR = 2.0
 #: Share of left-out accepted URLs that the threshold lets pass.
@@ -54,48 +57,45 @@ def _padded(url: Column) -> Column:
     return F.concat(F.lit("\x02" * (ORDER - 1)), body, F.lit("\x03"))
 
 
-def _cell(gram: Column, k: int | Column) -> Column:
-    return F.pmod(F.xxhash64(gram), F.lit(BUCKETS)).cast("int") + (k - 1) * BUCKETS
+def _held() -> Column:
+    """Whether the models leave a URL out."""
+    return F.pmod(F.xxhash64("padded"), F.lit(5)) == 0
+
+
+def _grams(padded: Column) -> Column:
+    """The longest gram that ends at each character."""
+    return F.transform(F.sequence(F.lit(ORDER), F.length(padded)), lambda i: F.substring(padded, i - ORDER + 1, F.lit(ORDER)))
 
 
-def _model(train: DataFrame) -> DataFrame:
-    """One row: for each cell the counts in blocked and in allowed URLs; cell n of each array is at n + 1.
+def _differences(wanted: DataFrame, counts: DataFrame) -> DataFrame:
+    """For each distinct gram of ``wanted``, how much likelier its last character is under the
+    blocked model: log-likelihood under it less that under the allowed one.
 
-    Its size is ``ORDER * BUCKETS`` whatever the input's.
+    A shorter gram's count, and a context's, is the sum over the counted grams that hold it,
+    so that the counts after a context add up to the context's.
     """
-    # Each distinct gram of a URL first, so that the shuffle carries cells, not characters.
-    at = F.sequence(F.lit(ORDER), F.length("padded"))
-    grams = F.flatten(F.transform(at, lambda i: F.array(*(_cell(F.substring("padded", i - k + 1, F.lit(k)), k) for k in range(1, ORDER + 1)))))
-    cells = train.select("verdict", F.explode(grams).alias("cell"))
-    counts = cells.groupBy("cell").agg(F.count_if(F.col("verdict") == "block").alias("blocked"), F.count_if(F.col("verdict") == "allow").alias("allowed"))
-    every = train.sparkSession.range(ORDER * BUCKETS, numPartitions=1).select(F.col("id").cast("int").alias("cell"))
-    full = every.join(counts, "cell", "left").select(F.struct("cell", F.coalesce("blocked", F.lit(0)).cast("double").alias("b"), F.coalesce("allowed", F.lit(0)).cast("double").alias("a")).alias("x"))
-    rows = full.agg(F.sort_array(F.collect_list("x")).alias("x"))
-    totals = lambda side: F.aggregate(F.slice("x", 1, BUCKETS), F.lit(0.0), lambda s, y: s + y[side])
-    return rows.select(F.struct(F.transform("x", lambda y: y["b"]).alias("b"), F.transform("x", lambda y: y["a"]).alias("a"), totals("b").alias("nb"), totals("a").alias("na")).alias("model"))
-
-
-def _difference(padded: Column, model: Column) -> Column:
-    """Log-likelihood under the blocked model less that under the allowed one, by character."""
-
-    def estimate(side: str, cells: Column) -> Column:
-        counts, p = model[side], F.lit(1 / 256)
-        for k in range(1, ORDER + 1):
-            of = model["n" + side] if k == 1 else F.get(counts, cells[2 * k - 1])
-            p = (F.get(counts, cells[2 * k - 2]) + PRIOR * p) / (of + PRIOR)
-        return p
-
-    # For each position: the cells of the grams that end there, and of their contexts.
-    def cells(i: Column) -> Column:
-        out = []
-        for k in range(1, ORDER + 1):
-            out += [_cell(F.substring(padded, i - k + 1, F.lit(k)), k), _cell(F.substring(padded, i - k + 1, F.lit(k - 1)), k - 1) if k > 1 else F.lit(0)]
-        return F.array(*out)
-
-    at = F.sequence(F.lit(ORDER), F.length(padded))
-    grams = F.transform(at, cells)
-    each = F.transform(grams, lambda c: F.ln(estimate("b", c)) - F.ln(estimate("a", c)))
-    return F.aggregate(each, F.lit(0.0), lambda s, x: s + x) / F.size(at)
+    out = wanted
+    p = {"b": F.lit(1 / 256), "a": F.lit(1 / 256)}
+    for k in range(1, ORDER + 1):
+        for name, size in ((f"g{k}", k), (f"c{k}", k - 1)):
+            part = F.substring("gram", ORDER - k + 1, size) if size else F.lit("")
+            sums = counts.groupBy(part.alias(name)).agg(F.sum("b").alias(f"{name}b"), F.sum("a").alias(f"{name}a"))
+            out = out.withColumn(name, part).join(F.broadcast(sums) if size < 3 else sums, name, "left")
+        for side in "ba":
+            p[side] = (F.coalesce(f"g{k}{side}", F.lit(0)) + PRIOR * p[side]) / (F.coalesce(f"c{k}{side}", F.lit(0)) + PRIOR)
+    return out.select("gram", (F.ln(p["b"]) - F.ln(p["a"])).alias("delta"))
+
+
+def _scores(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """(id, score): the mean difference by character, for each row that has any."""
+    grams = rows.select("id", F.explode(_grams(F.col("padded"))).alias("gram"))
+    deltas = persist_table(_differences(grams.select("gram").distinct(), counts), "url-deltas")
+    if deltas.count() <= BROADCAST_ROWS:
+        found = grams.join(F.broadcast(deltas), "gram")
+    else:  # common grams are dealt to many tasks
+        salted = deltas.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        found = grams.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, ["gram", "salt"])
+    return found.groupBy("id").agg(F.round(F.avg("delta"), 9).alias("score"))
 
 
 def judge_urls(pages: DataFrame, *, rules: tuple[tuple[str, str, str], ...] = RULES, key: str = "page_id", url: str = "url") -> DataFrame:
@@ -110,12 +110,17 @@ def judge_urls(pages: DataFrame, *, rules: tuple[tuple[str, str, str], ...] = RU
     rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"))
     rows = rows.select("key", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), _padded(F.col("url")).alias("padded"))
     rows = rows.withColumn("by", rule_of(F.col("host"), F.col("path"), rules))
-    judged = rows.filter("by is not null").select(F.col("by.verdict").alias("verdict"), "padded", (F.pmod(F.xxhash64("padded"), F.lit(5)) == 0).alias("held"))
-    model = _model(judged.filter("not held")).scalar()
-    held = judged.filter("held and verdict = 'allow'").withColumn("model", model).select(_difference(F.col("padded"), F.col("model")).alias("score"))
-    limit = held.agg(F.coalesce(F.greatest(F.percentile_approx("score", PASS, 10_000), F.lit(0.0)), F.lit(0.0))).scalar()
-    ruled = F.col("by").isNotNull()
-    able = ~ruled & (F.length("padded") > ORDER) & (F.col("model.nb") > 0) & (F.col("model.na") > 0)
-    out = rows.withColumn("model", model).withColumn("score", F.when(able, _difference(F.col("padded"), F.col("model")))).withColumn("limit", limit)
+    rows = persist_table(rows.withColumn("id", F.monotonically_increasing_id()), "url-rows")
+    judged = rows.filter("by is not null").select(F.col("by.verdict").alias("verdict"), "padded", _held().alias("held"))
+    train = judged.filter("not held").select("verdict", F.explode(_grams(F.col("padded"))).alias("gram"))
+    counts = train.groupBy("gram").agg(F.count_if(F.col("verdict") == "block").alias("b"), F.count_if(F.col("verdict") == "allow").alias("a"))
+    counts = persist_table(counts, "url-grams")
+    both = counts.agg(F.sum("b").alias("b"), F.sum("a").alias("a")).select(F.coalesce((F.col("b") > 0) & (F.col("a") > 0), F.lit(False))).first()[0]
+    held = F.coalesce((F.col("by.verdict") == "allow") & _held(), F.lit(False))
+    able = (F.col("by").isNull() | held) & (F.length("padded") > ORDER) & F.lit(both)
+    scored = persist_table(_scores(rows.filter(able), counts), "url-scores")
+    rows = rows.join(scored, "id", "left")
+    limit = rows.filter(held).agg(F.coalesce(F.greatest(F.percentile_approx("score", PASS, 10_000), F.lit(0.0)), F.lit(0.0))).scalar()
+    out = rows.withColumn("score", F.when(F.col("by").isNull(), F.col("score"))).withColumn("limit", limit)
     other = F.when(F.col("score") > F.col("limit"), "block").otherwise("allow")
     return out.select(F.col("key").alias(key), "host", "path", F.col("by.rule").alias("rule"), F.coalesce("by.verdict", other).alias("verdict"), "score")

@@ -1,5 +1,11 @@
+import math
+import random
+from collections import Counter, defaultdict
+
 import numpy as np
+from pyspark.sql import functions as F
 
+from lodestone.llm import urls
 from lodestone.llm.forest import near_vectors
 
 
@@ -18,3 +24,33 @@ def test_vectors_with_a_third_in_one_group(spark):
     got = {r.vec_id: r.n_links for r in near_vectors(df).collect()}
     assert want.sum() > 1_000_000
     assert sum(abs(want[i] - got[i]) for i in range(n)) <= 0.001 * want.sum()
+
+
+def test_url_scores_by_the_counts_of_each_gram(spark):
+    r = random.Random(6)
+    word = lambda k: "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(k))
+    rows = [(i, f"https://{word(8)}.example.{('com/en', 'net/de', 'info/fr')[i % 3]}/{word(9)}") for i in range(3000)]
+    padded = spark.createDataFrame(rows, "page_id long, url string").withColumn("padded", urls._padded(F.col("url"))).withColumn("held", urls._held())
+    known = {x.page_id: x for x in padded.collect()}
+    got = {x.page_id: x for x in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    count, context = {v: Counter() for v in ("block", "allow")}, {v: Counter() for v in ("block", "allow")}
+    n = urls.ORDER
+    for i, x in known.items():
+        if got[i].rule and not x.held:
+            for e in range(n, len(x.padded) + 1):
+                for k in range(1, n + 1):
+                    count[got[i].verdict][x.padded[e - k : e]] += 1
+                    context[got[i].verdict][k, x.padded[e - k : e - 1]] += 1
+    assert sum(len(g) == n for g in count["block"] | count["allow"]) > 16384
+
+    def score(t):
+        total = 0.0
+        for e in range(n, len(t) + 1):
+            p = defaultdict(lambda: 1 / 256)
+            for v in count:
+                for k in range(1, n + 1):
+                    p[v] = (count[v][t[e - k : e]] + urls.PRIOR * p[v]) / (context[v][k, t[e - k : e - 1]] + urls.PRIOR)
+            total += math.log(p["block"] / p["allow"])
+        return total / (len(t) - n + 1)
+
+    assert all(abs(got[i].score - score(known[i].padded)) < 1e-6 for i in range(2, 3000, 3))
