@@ -1,7 +1,7 @@
 """Personal data by patterns and a linear-chain conditional random field.
 
 Patterns find the base spans (e-mail and IP addresses, card and phone numbers). The
-random field then reads the words around any digit or at sign, labels them by the
+random field then reads the words around any digit, at sign, 'at' or 'dot', labels them by the
 shapes of a word and its neighbours, and adds spans in forms that the patterns miss.
 It is trained from a small labelled table, made by rule below; training (maximum
 likelihood by forward-backward) and Viterbi decoding run in numpy over padded batches.
@@ -25,7 +25,7 @@ from lodestone.llm.words import NON_SPACE, slices, split_words, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
-#: Words read on each side of a word with a digit or an at sign.
+#: Words read on each side of a word with a digit, an at sign, or 'at' or 'dot' spelled out.
 REACH = 2
 #: Longer words are never part of a span that the random field adds.
 LONG_WORD = 100
@@ -255,11 +255,25 @@ def _plausible(kind: str, text: str) -> bool:
     return bool(re.search(r"[A-Za-z0-9]\s*([\[(]\s*at\s*[\])]|\sat\s|@)\s*[A-Za-z0-9-]+(\s*(\.|\sdot\s)\s*[A-Za-z0-9-]+)+", f"{text}"))
 
 
+def _spelled(data: np.ndarray) -> np.ndarray:
+    """Where 'at' or 'dot' starts, in any case, with no letter, digit or byte of a longer character beside it."""
+    low = data | np.uint8(0x20)
+    part = (low - np.uint8(0x61) < 26) | (data - np.uint8(0x30) < 10) | (data >= 0x80)
+    out = np.zeros(len(data), bool)
+    for name in (b"at", b"dot"):
+        n = len(data) - len(name) + 1
+        if n < 1:
+            continue
+        hit = np.logical_and.reduce([low[k : n + k] == c for k, c in enumerate(name)])
+        out[:n] |= hit & ~np.r_[False, part[: n - 1]] & ~np.r_[part[len(name) :], False]
+    return out
+
+
 def _kernel(part: pa.RecordBatch, crf: Crf) -> list[list[tuple[str, int, int, bool]]]:
     """For each text its spans (kind, start, end, base), in order of kind and start."""
     data, offsets = texts_of(part.column("text"))
     out: list[list[tuple[str, int, int, bool]]] = [[] for _ in range(part.num_rows)]
-    mark = (data - np.uint8(0x30) < 10) | (data == 0x40)
+    mark = (data - np.uint8(0x30) < 10) | (data == 0x40) | _spelled(data)
     some = np.diff(np.r_[0, np.cumsum(mark)][offsets]) > 0
     if not some.any():
         return out

@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 from pyspark.sql import functions as F
 
-from lodestone.llm import urls
+from lodestone.llm import pii, urls
 from lodestone.llm.forest import near_vectors
 
 
@@ -54,3 +54,11 @@ def test_url_scores_by_the_counts_of_each_gram(spark):
         return total / (len(t) - n + 1)
 
     assert all(abs(got[i].score - score(known[i].padded)) < 1e-6 for i in range(2, 3000, 3))
+
+
+def test_mail_spelled_out_without_digits(spark):
+    forms = ["anna at host dot com", "anna[at]host.com", "anna(at)host.net"]
+    rows = [(i, f"please write to {x} soon") for i, x in enumerate(forms)] + [(9, "he looked at us. then we met at noon"), (10, "that dotted hat")]
+    got = {r.doc_id: r.redacted for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == "please write to <email> soon" for i in range(3)), got
+    assert got[9] == rows[3][1] and got[10] == rows[4][1]
