@@ -4,8 +4,8 @@ Words are hashed to embeddings, one table for whole words and one for word begin
 Filters of several widths run over the word sequence of a whole text, each is pooled by
 its maximum, and a logistic layer gives the score. The first embedding dimensions start
 from how much more often a bucket occurs in texts of label 1 than expected; then all
-weights are trained by Adam on logistic loss. Thresholds are calibrated by language on
-labelled rows that training leaves out; language is no input of the score.
+weights are trained by Adam on logistic loss. Thresholds are calibrated by language on all
+labelled rows that training and the held-out fold leave; language is no input of the score.
 
 The classifier is fitted on a bounded sample, ``fit_rows`` labelled rows of smallest
 hash; every text is scored whole.
@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.storage import persist_table
 from lodestone.llm.words import ALNUM, Words, slices, split_words
 
 #: Buckets of each embedding table, dimensions, and filters of each width.
@@ -46,7 +47,8 @@ class Network:
     bias: list[np.ndarray]
     out: np.ndarray
     shift: np.ndarray
-    thresholds: dict[str | None, float]
+    #: Keys of the rows that the weights are trained on.
+    trained: list
 
     @classmethod
     def fresh(cls, seed: int = 3) -> Network:
@@ -56,7 +58,7 @@ class Network:
             f[:, 0, 0] += 1
             f[:, 1, 1] += 1
         n = FILTERS * len(WIDTHS)
-        return cls(np.zeros((BUCKETS, DIM), np.float32), np.zeros((BUCKETS, DIM), np.float32), filters, [np.zeros(FILTERS, np.float32) for _ in WIDTHS], np.full(n, 0.1, np.float32), np.full(1, -2, np.float32), {})
+        return cls(np.zeros((BUCKETS, DIM), np.float32), np.zeros((BUCKETS, DIM), np.float32), filters, [np.zeros(FILTERS, np.float32) for _ in WIDTHS], np.full(n, 0.1, np.float32), np.full(1, -2, np.float32), [])
 
     def pooled(self, a: np.ndarray, b: np.ndarray, first: np.ndarray, where: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
         """Maxima of each filter over each text, and the words they start at. Past a text's end lie zeros."""
@@ -100,7 +102,7 @@ def _start(net: Network, table: np.ndarray, column: int, which: np.ndarray, text
 
 
 def fit(batch: pa.Table, rounds: int = 6, size: int = 64, rate: float = 0.01, penalty: float = 1e-4, seed: int = 3) -> Network:
-    """Trains on ``batch`` (key, text, label, lang); a fifth of its rows calibrates the thresholds."""
+    """Trains on ``batch`` (key, text, label, lang), but for a fifth of its rows, which is left to calibration."""
     net = Network.fresh(seed)
     order = np.argsort([zlib.crc32(f"{k}:{t}".encode()) for k, t in zip(batch["key"].to_pylist(), batch["text"].to_pylist(), strict=True)], kind="stable") if batch.num_rows else np.zeros(0, np.int64)
     batch = batch.take(pa.array(order))
@@ -163,27 +165,39 @@ def fit(batch: pa.Table, rounds: int = 6, size: int = 64, rate: float = 0.01, pe
                 one[which] = 0.9 * one[which] + 0.1 * g
                 two[which] = 0.99 * two[which] + 0.01 * g * g
                 p[which] -= rate * (one[which] / (1 - 0.9**step)) / (np.sqrt(two[which] / (1 - 0.99**step)) + 1e-6)
-    left = ~inside
-    net.thresholds = _calibrate(net.score(a[left], b[left], np.r_[0, np.cumsum(counts[held])]), label[held], np.array(batch["lang"].to_pylist(), object)[held])
+    net.trained = batch["key"].take(pa.array(np.sort(train))).to_pylist()
     return net
 
 
-def _calibrate(score: np.ndarray, label: np.ndarray, lang: np.ndarray) -> dict[str | None, float]:
-    """By language, the threshold between 0.3 and 0.7 with fewest errors; 0.5 is kept if no worse, or if too few rows tell."""
-    out: dict[str | None, float] = {}
-    grid = np.array([0.5, 0.45, 0.55, 0.4, 0.6, 0.35, 0.65, 0.3, 0.7])
-    for name in {None, *lang}:
-        s, y = (score, label) if name is None else (score[lang == name], label[lang == name])
-        if min((y == 1).sum(), (y == 0).sum()) >= CALIBRATE:
-            out[name] = float(grid[np.argmin([((s >= t) != (y == 1)).mean() for t in grid])])
-    out.setdefault(None, 0.5)
-    return out
+#: Thresholds that are tried; the first with fewest errors is taken.
+GRID = (0.5, 0.45, 0.55, 0.4, 0.6, 0.35, 0.65, 0.3, 0.7)
+
+
+def calibrate(scored: DataFrame, labels: DataFrame, trained: list, *, key: str, label: str) -> dict[str | None, float]:
+    """By language, the threshold of ``GRID`` with fewest errors over all labelled rows outside
+    the held-out fold that the weights weren't trained on; None stands for all languages.
+
+    A language with fewer than ``CALIBRATE`` rows of either label has no threshold of its own.
+    """
+    known = _known(labels, key, label)
+    kind = known.schema["key"].dataType.simpleString()
+    seen = known.sparkSession.createDataFrame([(k,) for k in trained], f"key {kind}")
+    rows = scored.join(known.join(F.broadcast(seen), "key", "left_anti"), "key")
+    wrong = [F.count_if((F.col("score") >= t) != (F.col("label") == 1)).alias(f"e{i}") for i, t in enumerate(GRID)]
+    counts = rows.rollup("lang").agg(F.grouping("lang").alias("every"), F.count_if(F.col("label") == 1).alias("n1"), F.count_if(F.col("label") == 0).alias("n0"), *wrong)
+    found = counts.filter((F.least("n1", "n0") >= CALIBRATE) & ((F.col("every") == 1) | F.col("lang").isNotNull())).collect()
+    return {None: 0.5} | {r.lang: GRID[int(np.argmin([r[f"e{i}"] for i in range(len(GRID))]))] for r in found}
+
+
+def _known(labels: DataFrame, key: str, label: str) -> DataFrame:
+    """(key, label) of the labelled keys whose crc32 as text mod 5 isn't 0."""
+    fold = F.crc32(F.col(key).cast("string").cast("binary")) % 5
+    return labels.filter((fold != 0) & F.col(label).isin(0, 1)).groupBy(F.col(key).alias("key")).agg(F.max(F.col(label).cast("int")).alias("label"))
 
 
 def fit_sample(docs: DataFrame, labels: DataFrame, *, fit_rows: int = 4000, key: str = "doc_id", text: str = "text", lang: str | None = "lang", label: str = "toxic") -> pa.Table:
     """At most ``fit_rows`` labelled texts whose crc32(key as text) mod 5 isn't 0."""
-    fold = F.crc32(F.col(key).cast("string").cast("binary")) % 5
-    known = labels.filter((fold != 0) & F.col(label).isin(0, 1)).groupBy(F.col(key).alias("key")).agg(F.max(F.col(label).cast("int")).alias("label"))
+    known = _known(labels, key, label)
     known = known.orderBy(F.xxhash64("key"), "key").limit(fit_rows)
     texts = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), (F.col(lang) if lang else F.lit(None).cast("string")).alias("lang"))
     texts = texts.join(F.broadcast(known), "key").groupBy("key").agg(F.min_by(F.struct("text", "label", "lang"), F.xxhash64("text")).alias("row"))
@@ -207,11 +221,14 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, fit_rows: int = 4000,
             for part in slices(batch):
                 words = split_words(part.column("text"), ALNUM, lower=True)
                 score = net.value.score(*_buckets(words), words.first)
-                limit = np.array([net.value.thresholds.get(x, net.value.thresholds.get(None, 0.5)) for x in part.column("lang").to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(limit), pa.array(score >= limit)], ["key", "score", "predicted", "threshold", "rejected"])
+                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("lang"), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["key", "lang", "score", "predicted"])
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), (F.col(lang) if lang else F.lit(None).cast("string")).alias("lang"))
-    out = rows.mapInArrow(run, f"key {kind}, score double, predicted int, threshold double, rejected boolean")
+    out = persist_table(rows.mapInArrow(run, f"key {kind}, lang string, score double, predicted int"), "toxic-scores")
+    limits = calibrate(out, labels, net.value.trained, key=key, label=label) if net.value.trained else {None: 0.5}
+    own = F.create_map(*(F.lit(x) for k, v in limits.items() if k is not None for x in (k, v)))
+    limit = F.coalesce(own[F.col("lang")], F.lit(limits[None])) if len(limits) > 1 else F.lit(limits[None])
+    out = out.withColumn("threshold", limit).withColumn("rejected", F.col("score") >= F.col("threshold"))
     held = F.coalesce(F.crc32(F.col("key").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     return out.select(F.col("key").alias(key), held.alias("held_out"), "score", "predicted", "threshold", "rejected")

@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 from pyspark.sql import functions as F
 
-from lodestone.llm import pii, urls
+from lodestone.llm import pii, toxicity, urls
 from lodestone.llm.forest import near_vectors
 
 
@@ -62,3 +62,23 @@ def test_mail_spelled_out_without_digits(spark):
     got = {r.doc_id: r.redacted for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(got[i] == "please write to <email> soon" for i in range(3)), got
     assert got[9] == rows[3][1] and got[10] == rows[4][1]
+
+
+def test_thresholds_by_all_labelled_rows(spark):
+    r = random.Random(8)
+    plain = ["".join(r.choice("aeiounrst") for _ in range(5)) for _ in range(200)]
+    rows = []
+    for i in range(3000):
+        lang, toxic = ("es", int(r.random() < 0.1)) if i % 6 == 0 else ("en", int(r.random() < 0.1))
+        said = toxic if r.random() < 0.85 else 1 - toxic
+        rows.append((i, " ".join(r.choice(plain) for _ in range(20)) + " grumble" * said, lang, toxic))
+    docs = spark.createDataFrame([x[:3] for x in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(x[0], x[3]) for x in rows], "doc_id long, toxic int")
+    got = {x.doc_id: x for x in toxicity.score_toxicity(docs, labels, fit_rows=300).collect()}
+    trained = set(toxicity.fit(toxicity.fit_sample(docs, labels, fit_rows=300)).trained)
+    assert len(trained) == 240
+    for lang in ("es", "en"):
+        use = [x for x in rows if x[2] == lang and x[0] not in trained and not got[x[0]].held_out]
+        assert sum(x[3] for x in use) >= toxicity.CALIBRATE
+        wrong = [sum((got[x[0]].score >= t) != (x[3] == 1) for x in use) for t in toxicity.GRID]
+        assert {got[x[0]].threshold for x in rows if x[2] == lang} == {toxicity.GRID[int(np.argmin(wrong))]}
