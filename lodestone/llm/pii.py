@@ -252,6 +252,8 @@ def _plausible(kind: str, text: str) -> bool:
     if kind == "ip":
         parts = re.findall("[0-9]+", text)
         return len(parts) == 4 and all(len(p) < 4 and int(p) <= 255 for p in parts) and not re.search("[A-Za-z]", text)
+    if not re.search(r"@|[\[(]\s*at", text) and re.search(r"\.\s", text):  # 'at' as a plain word, and a sentence's end
+        return False
     return bool(re.search(r"[A-Za-z0-9]\s*([\[(]\s*at\s*[\])]|\sat\s|@)\s*[A-Za-z0-9-]+(\s*(\.|\sdot\s)\s*[A-Za-z0-9-]+)+", f"{text}"))
 
 

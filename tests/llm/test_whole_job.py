@@ -58,10 +58,10 @@ def test_url_scores_by_the_counts_of_each_gram(spark):
 
 def test_mail_spelled_out_without_digits(spark):
     forms = ["anna at host dot com", "anna[at]host.com", "anna(at)host.net"]
-    rows = [(i, f"please write to {x} soon") for i, x in enumerate(forms)] + [(9, "he looked at us. then we met at noon"), (10, "that dotted hat")]
+    rows = [(i, f"please write to {x} soon") for i, x in enumerate(forms)] + [(9, "he looked at us. then we met at noon"), (10, "that dotted hat"), (11, "inhe at and. At")]
     got = {r.doc_id: r.redacted for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(got[i] == "please write to <email> soon" for i in range(3)), got
-    assert got[9] == rows[3][1] and got[10] == rows[4][1]
+    assert got[9] == rows[3][1] and got[10] == rows[4][1] and got[11] == rows[5][1]
 
 
 def test_thresholds_by_all_labelled_rows(spark):
