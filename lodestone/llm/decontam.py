@@ -2,18 +2,21 @@
 
 The index is sharded by documents: a segment holds the postings of about half a
 megabyte of texts (positions by term, terms being 64-bit hashes of words), and is
-written to the shared folder. Searches run segment by segment: for every benchmark
-window, the list of its term that is rarest in the segment is taken, shifted by the
-term's offset, and intersected with the lists of the other terms, rarest first. What
-remains are exact phrase matches. Proximity matches need all terms within a span.
-
-Benchmark windows go to the tasks in blocks of items of at most ``BLOCK_BYTES`` text
-bytes, one block after the other, each folding its hits into the segments.
+written to the shared folder, once and for every term. Searches run segment by segment:
+for every benchmark window, the list of its term that is rarest in the segment is taken,
+shifted by the term's offset, and intersected with the lists of the other terms, rarest
+first. What remains are exact phrase matches. Proximity matches need all terms within a
+span.
+
+Benchmark windows go to the tasks in blocks of about ``BLOCK_WINDOWS``, whatever items
+they are of. One block is looked up and judged in one pass over the index; of several,
+each pass keeps its hits by segment, and a last one adds them up.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,62 +26,71 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.storage import persist_table
-from lodestone.llm.words import ALNUM, as_long, lists, map_texts, slices, split_words
-
-#: Benchmark text bytes in one broadcast, about.
-BLOCK_BYTES = 8 << 20
+from lodestone.llm.words import ALNUM, as_long, lists, map_texts, split_words
 
-_SEGMENT = "keys array<long>, first array<int>, terms array<long>, at array<int>, positions array<int>, hit binary, items array<array<string>>"
+#: Benchmark windows in one broadcast, about.
+BLOCK_WINDOWS = 200_000
 
 
-def index_segments(docs: DataFrame, vocabulary: np.ndarray | None) -> DataFrame:
-    """Segments of the index of ``docs`` (key, text); with ``vocabulary`` (sorted hashes), of its terms only."""
-    words_of = docs.sparkSession.sparkContext.broadcast(vocabulary)
+def index_segments(docs: DataFrame) -> DataFrame:
+    """Segments of the index of ``docs`` (key, text): their number and keys, where each text's words
+    begin, distinct terms in order, where each term's positions begin, and positions."""
 
     def kernel(part: pa.RecordBatch) -> pa.RecordBatch:
         words = split_words(part.column("text"), ALNUM, lower=True)
         h = words.hashes()
-        position = np.arange(len(h))
-        if (v := words_of.value) is not None:
-            known = v[np.minimum(np.searchsorted(v, h), len(v) - 1)] == h if len(v) else np.zeros(len(h), bool)
-            h, position = h[known], position[known]
-        order = np.argsort(h, kind="stable")
-        h, position = h[order], position[order]
+        position = np.argsort(h, kind="stable")
+        h = h[position]
         new = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
         one = lambda x: lists(x, np.array([0, len(x)]))
         keys = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column("key"))
-        hit = pa.array([np.packbits(np.zeros(len(words.start), bool)).tobytes()], pa.binary())
-        items = pa.array([[[]] * part.num_rows], pa.list_(pa.list_(pa.string())))
-        columns = [keys, one(words.first.astype(np.int32)), one(as_long(h[new])), one(np.r_[new, len(h)].astype(np.int32)), one(position.astype(np.int32)), hit, items]
-        return pa.RecordBatch.from_arrays(columns, ["keys", "first", "terms", "at", "positions", "hit", "items"])
+        columns = [pa.array([uuid.uuid4().int >> 65]), keys, one(words.first.astype(np.int32)), one(as_long(h[new])), one(np.r_[new, len(h)].astype(np.int32)), one(position.astype(np.int32))]
+        return pa.RecordBatch.from_arrays(columns, ["segment", "keys", "first", "terms", "at", "positions"])
+
+    kind = docs.schema["key"].dataType.simpleString()
+    return map_texts(docs, kernel, f"segment long, keys array<{kind}>, first array<int>, terms array<long>, at array<int>, positions array<int>")
+
+
+def window_table(items: DataFrame, n: int) -> DataFrame:
+    """(item, terms): the distinct windows of ``n`` words of ``items`` (item, text), shorter items whole."""
 
-    return map_texts(docs, kernel, _SEGMENT)
+    def kernel(part: pa.RecordBatch) -> pa.RecordBatch:
+        words = split_words(part.column("text"), ALNUM, lower=True)
+        counts = words.counts
+        each = np.where(counts > 0, np.maximum(counts - n, 0) + 1, 0)
+        owner = np.repeat(np.arange(len(counts)), each)
+        start = words.first[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(each) - each, each)
+        length = np.minimum(n, counts[owner])
+        offsets = np.r_[0, np.cumsum(length)]
+        at = np.repeat(start - offsets[:-1], length) + np.arange(offsets[-1])
+        return pa.RecordBatch.from_arrays([part.column("item").take(pa.array(owner)), lists(as_long(words.hashes()[at]), offsets)], ["item", "terms"])
+
+    return map_texts(items, kernel, "item string, terms array<long>").distinct()
 
 
 @dataclass
 class Queries:
-    """Windows of benchmark items: their terms, ``width`` each (shorter ones padded), and items."""
+    """Windows of benchmark items: their terms, ``width`` each (shorter ones padded), how often a
+    window has each (0 for all but the first of equal ones), and items."""
 
     terms: np.ndarray
+    times: np.ndarray
     length: np.ndarray
     item: np.ndarray
     names: list[str]
 
     @classmethod
-    def of(cls, items: pa.Table, n: int) -> Queries:
-        words = split_words(items["text"], ALNUM, lower=True)
-        h, rows, owner, length = words.hashes(), [], [], []
-        for i in range(items.num_rows):
-            a, b = words.first[i], words.first[i + 1]
-            for s in range(a, max(b - n, a) + 1) if b > a else ():
-                row = np.zeros(n, np.uint64)
-                m = min(n, b - s)
-                row[:m] = h[s : s + m]
-                rows.append(row)
-                owner.append(i)
-                length.append(m)
-        names = ["" if x is None else str(x) for x in items["item"].to_pylist()]
-        return cls(np.array(rows, np.uint64).reshape(-1, n), np.array(length, np.int64), np.array(owner, np.int64), names)
+    def of(cls, windows: pa.Table, n: int) -> Queries:
+        column = windows["terms"].combine_chunks()
+        offsets, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False).view(np.uint64)
+        length = np.diff(offsets).astype(np.int64)
+        used = np.arange(n) < length[:, None]
+        terms = np.zeros((len(length), n), np.uint64)
+        terms[used] = flat
+        same = (terms[:, :, None] == terms[:, None, :]) & used[:, None, :] & used[:, :, None]
+        first = ~np.tril(same, -1).any(axis=2)
+        names, item = np.unique(np.array(windows["item"].fill_null("").to_pylist(), dtype=object), return_inverse=True) if len(length) else ([], np.zeros(0, np.int64))
+        return cls(terms, np.where(first & used, same.sum(axis=2), 0), length, item.astype(np.int64), list(names))
 
     def matches(self, terms: np.ndarray, at: np.ndarray, positions: np.ndarray, first: np.ndarray, slop: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(window, start position) of the matches in a segment: exact phrases, or with
@@ -118,6 +130,10 @@ class Queries:
             which = rank[window, k]
             want = slot[window, which] * big + start + (which if slop is None else 0)
             place = np.searchsorted(held, want)
+            if slop is not None:  # the last of as many as the window has
+                times = self.times[alive[window], which]
+                live &= times > 0
+                place += np.maximum(times - 1, 0)
             got = held[np.minimum(place, len(held) - 1)]
             end = np.minimum(start + span, first[text + 1]) - start
             good = ~live | (got == want if slop is None else (got >= want) & (got < want + end) & (place < len(held)))
@@ -126,78 +142,100 @@ class Queries:
         return pairs[:, 0], pairs[:, 1]
 
 
-def _search(segments: DataFrame, queries: Queries, slop: int | None) -> DataFrame:
-    """Folds the hits of one block of items into the segments."""
+def _found(row: pa.RecordBatch, q: Queries, slop: int | None) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Of one segment: which words are hit, and the texts and item names of matches."""
+    flat = {c: row.column(c).flatten().to_numpy() for c in ("first", "terms", "at", "positions")}
+    first = flat["first"].astype(np.int64)
+    window, start = q.matches(flat["terms"].view(np.uint64), flat["at"], flat["positions"], first, slop)
+    text = np.searchsorted(first, start, "right") - 1
+    edge = np.zeros(int(first[-1]) + 1, np.int64)
+    np.add.at(edge, start, 1)
+    np.add.at(edge, np.minimum(start + q.length[window] + (slop or 0), first[text + 1]), -1)
+    pairs = np.unique(np.c_[text, q.item[window]], axis=0)
+    return np.cumsum(edge[:-1]) > 0, pairs[:, 0], [q.names[i] for i in pairs[:, 1]]
+
+
+def _judged(keys: pa.Array, first: np.ndarray, hit: np.ndarray, text: np.ndarray, names: list[str]) -> pa.RecordBatch:
+    """The result's rows of a segment."""
+    items: list[set[str]] = [set() for _ in range(len(first) - 1)]
+    for t, name in zip(text.tolist(), names, strict=True):
+        items[t].add(name)
+    listed = [sorted(x) for x in items]
+    n_hit = np.diff(np.r_[0, np.cumsum(hit, dtype=np.int64)][first])
+    digest = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in listed]
+    columns = [keys, pa.array(np.diff(first).astype(np.int64)), pa.array(n_hit), pa.array([len(x) for x in listed], pa.int64()), pa.array(listed, pa.list_(pa.string())), pa.array(digest), pa.array(n_hit > 0)]
+    return pa.RecordBatch.from_arrays(columns, ["key", "n_words", "n_hit", "n_items", "items", "items_sha256", "contaminated"])
+
+
+def _one_pass(segments: DataFrame, queries: Queries, slop: int | None, schema: str) -> DataFrame:
+    """Looks up all windows and judges the documents, segment by segment."""
     asked = segments.sparkSession.sparkContext.broadcast(queries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q = asked.value
         for batch in batches:
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1)
-                flat = {c: row.column(c).flatten().to_numpy() for c in ("first", "terms", "at", "positions")}
-                first = flat["first"].astype(np.int64)
-                window, start = q.matches(flat["terms"].view(np.uint64), flat["at"], flat["positions"], first, slop)
-                if not len(window):
-                    yield row
-                    continue
-                n = int(first[-1])
-                hit = np.unpackbits(np.frombuffer(row.column("hit")[0].as_buffer(), np.uint8))[:n].astype(bool)
-                text = np.searchsorted(first, start, "right") - 1
-                edge = np.zeros(n + 1, np.int64)
-                np.add.at(edge, start, 1)
-                np.add.at(edge, np.minimum(start + q.length[window] + (slop or 0), first[text + 1]), -1)
-                hit |= np.cumsum(edge[:-1]) > 0
-                items = row.column("items")[0].as_py()
-                for t, i in np.unique(np.c_[text, q.item[window]], axis=0):
-                    items[t].append(q.names[i])
-                columns = [row.column(c) for c in row.schema.names[:5]]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([np.packbits(hit).tobytes()], pa.binary()), pa.array([items], pa.list_(pa.list_(pa.string())))], row.schema.names)
-
-    return segments.mapInArrow(run, _SEGMENT)
-
-
-def _results(segments: DataFrame) -> DataFrame:
+            for row in (batch.slice(k, 1) for k in range(batch.num_rows)):
+                yield _judged(row.column("keys").flatten(), row.column("first").flatten().to_numpy(), *_found(row, asked.value, slop))
+
+    return segments.mapInArrow(run, schema)
+
+
+def _hits(segments: DataFrame, queries: Queries, slop: int | None) -> DataFrame:
+    """(segment, hit bits, texts, names) of the segments where a block of windows matches."""
+    asked = segments.sparkSession.sparkContext.broadcast(queries)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in (batch.slice(k, 1) for k in range(batch.num_rows)):
+                hit, text, names = _found(row, asked.value, slop)
+                if len(text):
+                    yield pa.RecordBatch.from_arrays([row.column("segment"), pa.array([np.packbits(hit).tobytes()], pa.binary()), pa.array([text.tolist()], pa.list_(pa.int64())), pa.array([names], pa.list_(pa.string()))], ["segment", "hit", "texts", "names"])
+
+    return segments.mapInArrow(run, "segment long, hit binary, texts array<long>, names array<string>")
+
+
+def _added_up(segments: DataFrame, hits: DataFrame, schema: str) -> DataFrame:
+    """Judges the documents by the hits of all blocks; of the index only the texts' places are read."""
+    by = hits.groupBy("segment").agg(F.collect_list("hit").alias("hits"), F.flatten(F.collect_list("texts")).alias("texts"), F.flatten(F.collect_list("names")).alias("names"))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1)
+            for row in (batch.slice(k, 1) for k in range(batch.num_rows)):
                 first = row.column("first").flatten().to_numpy()
-                hit = np.unpackbits(np.frombuffer(row.column("hit")[0].as_buffer(), np.uint8))[: first[-1]]
-                n_hit = np.diff(np.r_[0, np.cumsum(hit, dtype=np.int64)][first])
-                items = [sorted(set(x)) for x in row.column("items")[0].as_py()]
-                digest = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
-                columns = [row.column("keys").flatten(), pa.array(np.diff(first).astype(np.int64)), pa.array(n_hit), pa.array([len(x) for x in items], pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(digest), pa.array(n_hit > 0)]
-                yield pa.RecordBatch.from_arrays(columns, ["key", "n_words", "n_hit", "n_items", "items", "items_sha256", "contaminated"])
+                bits = np.zeros(-(-int(first[-1]) // 8), np.uint8)
+                for x in row.column("hits")[0].as_py() or ():
+                    bits |= np.frombuffer(x, np.uint8)
+                text = np.array(row.column("texts")[0].as_py() or (), np.int64)
+                yield _judged(row.column("keys").flatten(), first, np.unpackbits(bits)[: first[-1]], text, row.column("names")[0].as_py() or [])
 
-    return segments.mapInArrow(run, "key long, n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, contaminated boolean")
+    return segments.select("segment", "keys", "first").join(by, "segment", "left").mapInArrow(run, schema)
 
 
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, *, n: int = 10, slop: int | None = None, key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
     """Words of each document that windows of ``n`` benchmark words cover.
 
     Words are runs of ASCII letters (in lower case), digits and non-ASCII characters. An
-    item of fewer words is one window; null and empty ones have none. Null and empty
-    documents have no words; null keys, repeated rows and long texts each give their row,
-    judged whole; a null item id counts as the empty string; items that repeat an id count
-    once. Empty tables give no rows, or no hits. Other columns are not read. Returns key,
-    n_words, n_hit, n_items, items, items_sha256 (ids sorted as strings, comma-joined),
-    contaminated.
+    item of fewer words is one window; null and empty ones have none. With ``slop``, a
+    window also matches wherever its length plus ``slop`` consecutive words of a document
+    (fewer at its end) hold all its words, each as often, in any order; all words of such
+    a span are hit. Null and empty documents have no words; null keys, keys of any type,
+    repeated rows and long texts each give their row, judged whole; a null item id counts
+    as the empty string; items that repeat an id count once. Empty tables give no rows, or
+    no hits. Other columns are not read. Returns key, n_words, n_hit, n_items, items,
+    items_sha256 (ids sorted as strings, comma-joined), contaminated.
     """
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     asked = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")).filter(F.length("text") > 0)
-    total = asked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // BLOCK_BYTES))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks)))
-    vocabulary = None
+    windows = persist_table(window_table(asked, n), "windows")
+    blocks = max(1, -(-windows.count() // BLOCK_WINDOWS))
+    schema = f"key {docs.schema[key].dataType.simpleString()}, n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, contaminated boolean"
+    segments = persist_table(index_segments(rows), "index")
     if blocks == 1:
-        part = asked.toArrow()
-        vocabulary = np.unique(split_words(part["text"], ALNUM, lower=True).hashes())
-    segments = persist_table(index_segments(rows, vocabulary), "index")
-    for b in range(blocks):
-        part = asked.filter(F.col("block") == b).toArrow() if blocks > 1 else part
-        segments = _search(segments, Queries.of(part, n), slop)
-        if b < blocks - 1:
-            segments = persist_table(segments, "index")
-    out = _results(segments)
-    return out.withColumn("key", F.col("key").cast(docs.schema[key].dataType)).withColumnRenamed("key", key)
+        out = _one_pass(segments, Queries.of(windows.toArrow(), n), slop, schema)
+    else:
+        hits = None
+        for b in range(blocks):
+            block = windows.filter(F.pmod(F.xxhash64("item", "terms"), F.lit(blocks)) == b).toArrow()
+            found = persist_table(_hits(segments, Queries.of(block, n), slop), "index-hits")
+            hits = found if hits is None else hits.unionByName(found)
+        out = _added_up(segments, hits, schema)
+    return out.withColumnRenamed("key", key)
