@@ -6,11 +6,16 @@ full. In rounds ``BINS`` to ``2 * BINS - 1`` all elements go to one bin each, so
 every bin fills for any set that isn't empty. Two sets agree in a bin with probability
 equal to their similarity.
 
-Sets that share all bins of a band are candidates. Candidates are gathered to
-connected groups, each document's full set is sent to its group once, and every pair
-within is verified on full sets. A group above ``BLOCK`` documents or
-``BLOCK_SHINGLES`` shingles is verified in pairs of blocks, whole. Texts with equal
-sets count as one first.
+Sets that share all bins of a band are in a bucket. Texts with equal sets count as one
+first. Every set is verified on full sets in two rounds, and only confirmed links are
+closed to components:
+
+1. With one hub, the first set of the bucket that it shares most bands with. A hub's
+   many sets are dealt to cells of ``STAR``.
+2. In buckets that the links so far don't hold together, every pair but those of the
+   bucket's largest part, which is linked already. A bucket above ``BLOCK`` sets or
+   ``BLOCK_SHINGLES`` shingles is verified in pairs of blocks, whole; buckets of the same
+   sets are verified once.
 """
 
 from __future__ import annotations
@@ -29,8 +34,8 @@ BINS = 128
 #: Bands and bins in a band: a pair of similarity 0.8 is found with probability 0.998,
 #: one of 0.85 with 0.99995.
 BANDS, ROWS = 21, 6
-#: Documents and shingles in a block.
-BLOCK, BLOCK_SHINGLES = 600, 1_000_000
+#: Sets in a cell of a hub, and sets and shingles in a block.
+STAR, BLOCK, BLOCK_SHINGLES = 100, 250, 1_000_000
 #: Candidates up to this number are sent to every task; more are joined by shuffle.
 BROADCAST_ROWS = 250_000
 
@@ -86,7 +91,27 @@ def sketch_table(docs: DataFrame, n: int) -> DataFrame:
         bands = lists(keys, np.arange(part.num_rows + 1) * BANDS)
         return pa.RecordBatch.from_arrays([part.column("key"), pa.array(size), pa.array(as_long(h1)), pa.array(as_long(h2)), bands], ["key", "n_shingles", "h1", "h2", "bands"])
 
-    return map_texts(docs, kernel, "key long, n_shingles long, h1 long, h2 long, bands array<long>")
+    return map_texts(docs, kernel, f"key {docs.schema['key'].dataType.simpleString()}, n_shingles long, h1 long, h2 long, bands array<long>")
+
+
+def _set_table(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+    """(node, shingles) of ``nodes`` (node, rep, h1, h2), from a text of the key ``rep`` with that set."""
+
+    def kernel(part: pa.RecordBatch) -> pa.RecordBatch:
+        owner, value = shingles(split_words(part.column("text"), NON_SPACE, lower=True), n)
+        h1, h2 = _set_sums(owner, value, part.num_rows)
+        right = (as_long(h1) == part.column("h1").to_numpy()) & (as_long(h2) == part.column("h2").to_numpy())
+        sets = lists(as_long(value), np.searchsorted(owner, np.arange(part.num_rows + 1)))
+        return pa.RecordBatch.from_arrays([part.column("node"), sets], ["node", "shingles"]).filter(pa.array(right))
+
+    wanted = docs.join(_sent(nodes), docs["key"] == nodes["rep"]).select("node", "h1", "h2", "text")
+    # Rows that repeat a text meet here, most of them before the shuffle.
+    return map_texts(wanted, kernel, "node long, shingles array<long>").groupBy("node").agg(F.first("shingles").alias("shingles"))
+
+
+def _sent(table: DataFrame) -> DataFrame:
+    """A written table, sent to every task if it is small."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
 def _shared(values: list[np.ndarray]) -> np.ndarray:
@@ -113,7 +138,7 @@ def _verify(table: pa.Table, hundredths: int) -> pa.RecordBatch | None:
     """Links within one cell, or between its two blocks, as (key, linked key)."""
     if table.num_rows < 2:
         return None
-    key, side = table["key"].to_numpy(), table["side"].to_numpy()
+    key, side = table["node"].to_numpy(), table["side"].to_numpy()
     column = table["shingles"].combine_chunks()
     offsets, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
     sets = [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
@@ -129,14 +154,44 @@ def _verify(table: pa.Table, hundredths: int) -> pa.RecordBatch | None:
     return pa.RecordBatch.from_arrays([pa.array(key[moved]), pa.array(key[top[moved]])], ["a", "b"])
 
 
-def _candidates(classes: DataFrame) -> DataFrame:
-    """(key, cell count) of documents that share a band with another: node, component."""
-    members = classes.select("rep", F.explode("bands").alias("band"))
-    hubs = members.groupBy("band").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).filter("n > 1")
-    hubs = persist_table(hubs.select("band", "hub"), "near-hubs")
-    edges = members.join(hubs, "band").filter(F.col("rep") != F.col("hub"))
-    linked = connected_components(edges.select(F.col("rep").alias("a"), F.col("hub").alias("b")))
-    return linked.unionByName(linked.select(F.col("component").alias("node"), "component").distinct())
+def _best_hubs(buckets: DataFrame) -> DataFrame:
+    """(node, hub): of the hubs of a node's buckets, the one that it shares most bands with."""
+    shared = buckets.filter("node <> hub").groupBy("node", "hub").count()
+    return persist_table(shared.groupBy("node").agg(F.max_by("hub", F.struct("count", F.bitwise_not("hub"))).alias("hub")), "near-stars")
+
+
+def _stars(best: DataFrame) -> DataFrame:
+    """(cell, side, node): each node with its hub, in cells of ``STAR``."""
+    salts = best.groupBy("hub").agg(F.ceil(F.count("*") / STAR).cast("int").alias("salts"))
+    salts = persist_table(salts, "near-salts")
+    cell = lambda salt: F.xxhash64("hub", salt).alias("cell")
+    members = best.join(_sent(salts), "hub").select(cell(F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")), F.lit(2).alias("side"), "node")
+    hubs = salts.select("hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).select(cell(F.col("salt")), F.lit(1).alias("side"), F.col("hub").alias("node"))
+    return members.unionByName(hubs)
+
+
+def _rest(buckets: DataFrame, best: DataFrame, linked: DataFrame) -> DataFrame:
+    """(cell, side, node): the buckets with more than one component of ``linked`` (node, component),
+    but for pairs that are verified already."""
+    parts = buckets.join(_sent(linked), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    first = parts.join(_sent(best.withColumnRenamed("hub", "best")), "node", "left").withColumn("fresh", (F.col("node") != F.col("hub")) & (F.col("best") != F.col("hub")))
+    sizes = first.groupBy("band", "component").agg(F.count("*").alias("count"), F.sum("n_shingles").alias("sum"), F.bit_xor("node").alias("nodes"), F.sum(F.xxhash64("node") % (1 << 30)).alias("hashes"), F.max("fresh").alias("fresh"))
+    total = F.struct("count", F.bitwise_not("component"))
+    sizes = sizes.groupBy("band").agg(F.max_by("component", total).alias("most"), F.max("count").alias("first"), F.max_by("sum", total).alias("first_sum"), F.sum("count").alias("count"), F.sum("sum").alias("sum"), F.bit_xor("nodes").alias("nodes"), F.sum("hashes").alias("hashes"), F.max("fresh").alias("fresh"), F.count("*").alias("components"))
+    open_ = sizes.filter("components > 1 AND (count > 2 OR fresh)")
+    one = open_.groupBy("count", "sum", "nodes", "hashes").agg(F.min_by(F.struct("band", "most", "first", "first_sum"), "band").alias("of")).select("of.*", "count", "sum")
+    blocks = lambda count, total: F.ceil(F.greatest(count / BLOCK, total / BLOCK_SHINGLES)).cast("int")
+    one = one.withColumn("whole", (F.col("count") <= BLOCK) & (F.col("sum") <= BLOCK_SHINGLES))
+    one = one.select("band", "most", "whole", blocks(F.col("first"), F.col("first_sum")).alias("large"), blocks(F.col("count") - F.col("first"), F.col("sum") - F.col("first_sum")).alias("small"))
+    placed = parts.select("band", "component", "node").join(_sent(persist_table(one, "near-rest")), "band")
+    at = lambda k: F.pmod(F.xxhash64("node"), F.col(k)).cast("int")
+    # Blocks of the rest are numbered from 0, those of the largest part from -1 down.
+    place = F.struct(F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0).alias("side"))
+    within = F.transform(F.sequence(F.lit(0), F.col("small") - 1), lambda k: F.struct(F.least(at("small"), k).alias("x"), F.greatest(at("small"), k).alias("y"), F.when(k == at("small"), 0).when(at("small") < k, 1).otherwise(2).alias("side")))
+    across = F.transform(F.sequence(F.lit(1), F.col("large")), lambda k: F.struct((-k).alias("x"), at("small").alias("y"), F.lit(2).alias("side")))
+    most = F.transform(F.sequence(F.lit(0), F.col("small") - 1), lambda k: F.struct((-at("large") - 1).alias("x"), k.alias("y"), F.lit(1).alias("side")))
+    pairs = F.when(F.col("whole"), F.array(place)).when(F.col("component") == F.col("most"), most).otherwise(F.concat(within, across))
+    return placed.withColumn("pair", F.explode(pairs)).select(F.xxhash64("band", "pair.x", "pair.y").alias("cell"), "pair.side", "node")
 
 
 def near_texts(docs: DataFrame, *, n: int = 5, hundredths: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -144,37 +199,38 @@ def near_texts(docs: DataFrame, *, n: int = 5, hundredths: int = 80, key: str =
 
     Words are runs of anything but ASCII white space, ASCII letters in lower case. A text
     with fewer than ``n`` words is one shingle; a null, empty or blank one has no shingle
-    and links with nothing. Rows of the same key are one document in the links. A null
-    key links only through an equal set, and is then not kept. An empty table gives none;
-    other columns are not read. One row for each row: key, n_shingles, component_id
-    (smallest key reachable, itself included), kept.
+    and links with nothing. Keys may be of any type that can be ordered. Rows that repeat a
+    key are each judged by their own text. A null key links only through an equal set, and
+    is kept only if nothing else has that set. An empty table gives none; other columns are
+    not read. One row for each row: key, n_shingles, component_id (smallest key reachable,
+    itself included), kept.
     """
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     table = persist_table(sketch_table(rows, n), "near-sketches")
     full = table.filter("n_shingles > 0")
-    classes = persist_table(full.groupBy("h1", "h2", "n_shingles").agg(F.min("key").alias("rep"), F.first("bands").alias("bands")), "near-classes")
-    known = classes.filter("rep is not null")
-    members = persist_table(_candidates(known).join(known.select(F.col("rep").alias("node"), "n_shingles"), "node"), "near-members")
-    n_members = members.count()
-    small = n_members <= BROADCAST_ROWS
-    cells = members.groupBy("component").agg(F.count("*").alias("count"), F.sum("n_shingles").alias("sum"))
-    blocks = F.ceil(F.greatest(F.col("count") / BLOCK, F.col("sum") / BLOCK_SHINGLES)).cast("int")
-    cells = persist_table(cells.select("component", blocks.alias("blocks")), "near-cells")
-    members = members.join(cells, "component").select("node", "component", "blocks")
-    members = persist_table(members.distinct(), "near-placed")
-    wanted = rows.join(F.broadcast(members) if small else members, F.col("key") == F.col("node"))
-
-    def sets(part: pa.RecordBatch) -> pa.RecordBatch:
-        owner, value = shingles(split_words(part.column("text"), NON_SPACE, lower=True), n)
-        return pa.RecordBatch.from_arrays([part.column("key"), part.column("component"), part.column("blocks"), lists(as_long(value), np.searchsorted(owner, np.arange(part.num_rows + 1)))], ["key", "component", "blocks", "shingles"])
-
-    held = map_texts(wanted.select("key", "component", "blocks", "text"), sets, "key long, component long, blocks int, shingles array<long>").filter(F.size("shingles") > 0)
-    block = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
-    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(block, k).alias("x"), F.greatest(block, k).alias("y"), F.when(k == block, 0).when(block < k, 1).otherwise(2).alias("side"))))
-    held = held.withColumn("pair", pair).select(F.xxhash64("component", "pair.x", "pair.y").alias("cell"), "pair.side", "key", "shingles")
-    links = map_groups(held, "cell", lambda t: _verify(t, hundredths), "a long, b long")
-    top = connected_components(links)
-    placed = persist_table(classes.join(top, F.col("rep") == F.col("node"), "left").select("h1", "h2", "n_shingles", F.coalesce("component", "rep").alias("component")), "near-result")
+    classes = full.groupBy("h1", "h2", "n_shingles").agg(F.min("key").alias("rep"), F.first("bands").alias("bands"))
+    classes = persist_table(classes.withColumn("node", F.xxhash64("h1", "h2", "n_shingles")), "near-classes")
+    members = classes.filter("rep is not null").select("node", "n_shingles", F.explode("bands").alias("band"))
+    shared = members.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1")
+    buckets = members.join(_sent(persist_table(shared, "near-hubs")), "band")
+    buckets = persist_table(buckets, "near-buckets")
+    nodes = persist_table(classes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "rep", "h1", "h2"), "near-nodes")
+    sets = persist_table(_set_table(rows, nodes, n), "near-sets")
+
+    def confirmed(cells: DataFrame) -> DataFrame:
+        held = sets.join(_sent(persist_table(cells, "near-cells")), "node").select("cell", "side", "node", "shingles")
+        return persist_table(map_groups(held, "cell", lambda t: _verify(t, hundredths), "a long, b long"), "near-links")
+
+    best = _best_hubs(buckets)
+    links = confirmed(_stars(best))
+    top = persist_table(connected_components(links), "near-top")
+    more = confirmed(_rest(buckets, best, top))
+    if not more.isEmpty():
+        top = persist_table(connected_components(links.unionByName(more)), "near-top")
+    whole = top.unionByName(top.select(F.col("component").alias("node"), "component").distinct())
+    names = whole.join(classes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("name"))
+    named = persist_table(whole.join(names, "component").select("node", "name"), "near-names")
+    placed = classes.join(_sent(named), "node", "left").select("h1", "h2", "n_shingles", F.coalesce("name", "rep").alias("component"))
     out = table.select("key", "n_shingles", "h1", "h2").join(placed, ["h1", "h2", "n_shingles"], "left")
     component = F.coalesce("component", "key")
-    return out.select(F.col("key").cast(docs.schema[key].dataType).alias(key), "n_shingles", component.alias("component_id"), F.col("key").eqNullSafe(component).alias("kept"))
+    return out.select(F.col("key").alias(key), "n_shingles", component.alias("component_id"), F.col("key").eqNullSafe(component).alias("kept"))
