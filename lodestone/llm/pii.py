@@ -27,8 +27,8 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
 #: Words read on each side of a word with a digit, an at sign, or 'at' or 'dot' spelled out.
 REACH = 2
-#: Longer words are never part of a span that the random field adds.
-LONG_WORD = 100
+#: Words up to this length have their scores kept for the next time.
+CACHED = 64
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -83,8 +83,6 @@ def _shape(word: str) -> str:
 
 def features(word: str) -> list[str]:
     """Shape features of one word."""
-    if len(word) > LONG_WORD:
-        return ["long"]
     core = word.strip(".,;:!?\"'<>[]{}|*#$%&_=")
     digits = sum(c in "0123456789" for c in core)
     shape = _shape(core)
@@ -119,7 +117,7 @@ class Crf:
                     for x in f:
                         if (j := self.index.get(side + x)) is not None:
                             three[k] += self.emit[j]
-                if len(self.cache) < 100_000:
+                if len(w) <= CACHED and len(self.cache) < 100_000:
                     self.cache[w] = three
             out[i] += three[0]
             if i + 1 < len(words):
@@ -271,20 +269,23 @@ def _spelled(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def _kernel(part: pa.RecordBatch, crf: Crf) -> list[list[tuple[str, int, int, bool]]]:
-    """For each text its spans (kind, start, end, base), in order of kind and start."""
+def _kernel(part: pa.RecordBatch, crf: Crf, reach: int | None = REACH) -> list[list[tuple[str, int, int, bool]]]:
+    """For each text its spans (kind, start, end, base), in order of kind and start.
+
+    Words beyond ``reach`` of a mark aren't decoded, since no form has such words; None decodes all.
+    """
     data, offsets = texts_of(part.column("text"))
     out: list[list[tuple[str, int, int, bool]]] = [[] for _ in range(part.num_rows)]
     mark = (data - np.uint8(0x30) < 10) | (data == 0x40) | _spelled(data)
-    some = np.diff(np.r_[0, np.cumsum(mark)][offsets]) > 0
+    some = (np.diff(np.r_[0, np.cumsum(mark)][offsets]) > 0) | (reach is None)
     if not some.any():
         return out
     words = split_words(part.column("text"), NON_SPACE)
     sums = np.r_[0, np.cumsum(mark)]
     hot = np.flatnonzero(sums[words.end] > sums[words.start])
     text = words.text
-    near = np.zeros(len(words.start) + 1, bool)
-    for k in range(-REACH, REACH + 1):
+    near = np.full(len(words.start) + 1, reach is None)
+    for k in range(-(reach or 0), (reach or 0) + 1):
         at = hot + k
         ok = (at >= 0) & (at < len(text))
         ok[ok] = text[at[ok]] == text[hot[ok]]
@@ -295,7 +296,7 @@ def _kernel(part: pa.RecordBatch, crf: Crf) -> list[list[tuple[str, int, int, bo
     raw = data.tobytes()
     chains, owner = [], []
     for a, b in zip(cut[:-1], cut[1:], strict=True):
-        chains.append([raw[words.start[i] : words.end[i]].decode() if words.end[i] - words.start[i] <= 4 * LONG_WORD else "x" * 4 * LONG_WORD for i in chosen[a:b]])
+        chains.append([raw[words.start[i] : words.end[i]].decode() for i in chosen[a:b]])
         owner.append(chosen[a:b])
     found: dict[int, list[tuple[str, int, int]]] = {}
     for chain, at, path in zip(chains, owner, crf.decode(chains), strict=True):
