@@ -8,12 +8,11 @@ weights are trained by Adam on logistic loss. Thresholds are calibrated by langu
 labelled rows that training and the held-out fold leave; language is no input of the score.
 
 The classifier is fitted on a bounded sample, ``fit_rows`` labelled rows of smallest
-hash; every text is scored whole.
+hash with at most ``fit_words`` words; every text is scored whole.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.storage import persist_table
-from lodestone.llm.words import ALNUM, Words, slices, split_words
+from lodestone.llm.words import ALNUM, Words, map_texts, slices, split_words
 
 #: Buckets of each embedding table, dimensions, and filters of each width.
 BUCKETS, DIM, FILTERS = 1 << 16, 4, 6
@@ -102,19 +101,20 @@ def _start(net: Network, table: np.ndarray, column: int, which: np.ndarray, text
 
 
 def fit(batch: pa.Table, rounds: int = 6, size: int = 64, rate: float = 0.01, penalty: float = 1e-4, seed: int = 3) -> Network:
-    """Trains on ``batch`` (key, text, label, lang), but for a fifth of its rows, which is left to calibration."""
+    """Trains on ``batch`` (key, label, turn, words, begins), but for a fifth of its rows, which is left to calibration.
+
+    Rows are taken in order of ``turn``; ``words`` and ``begins`` are bucket numbers as bytes.
+    """
     net = Network.fresh(seed)
-    order = np.argsort([zlib.crc32(f"{k}:{t}".encode()) for k, t in zip(batch["key"].to_pylist(), batch["text"].to_pylist(), strict=True)], kind="stable") if batch.num_rows else np.zeros(0, np.int64)
-    batch = batch.take(pa.array(order))
-    label = np.array(batch["label"].to_pylist(), np.float32)
+    turn, keys = batch["turn"].to_pylist(), list(map(str, batch["key"].to_pylist()))
+    batch = batch.take(pa.array(sorted(range(batch.num_rows), key=lambda i: (turn[i], keys[i])), pa.int64()))
+    label = batch["label"].to_numpy().astype(np.float32)
     if not len(label) or label.min() == label.max():
         net.shift[:] = 0 if not len(label) else (4 if label[0] else -4)
         return net
-    parts = []
-    for part in slices(batch):  # hashing takes many times the room of the text, so by slices
-        words = split_words(part["text"], ALNUM, lower=True)
-        parts.append((*(x.astype(np.uint16) for x in _buckets(words)), words.counts))
-    a, b, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+    rows = [[np.frombuffer(x, np.uint16) for x in batch[c].to_pylist()] for c in ("words", "begins")]
+    a, b = (np.concatenate(x) for x in rows)
+    counts = np.array([len(x) for x in rows[0]])
     first, text = np.r_[0, np.cumsum(counts)], np.repeat(np.arange(len(label), dtype=np.int32), counts)
     held = np.arange(len(label)) % 5 == 0
     train = np.flatnonzero(~held)
@@ -195,40 +195,64 @@ def _known(labels: DataFrame, key: str, label: str) -> DataFrame:
     return labels.filter((fold != 0) & F.col(label).isin(0, 1)).groupBy(F.col(key).alias("key")).agg(F.max(F.col(label).cast("int")).alias("label"))
 
 
-def fit_sample(docs: DataFrame, labels: DataFrame, *, fit_rows: int = 4000, key: str = "doc_id", text: str = "text", lang: str | None = "lang", label: str = "toxic") -> pa.Table:
-    """At most ``fit_rows`` labelled texts whose crc32(key as text) mod 5 isn't 0."""
+def fit_sample(docs: DataFrame, labels: DataFrame, *, fit_rows: int = 4000, fit_words: int = 8_000_000, key: str = "doc_id", text: str = "text", label: str = "toxic") -> pa.Table:
+    """At most ``fit_rows`` labelled texts whose crc32(key as text) mod 5 isn't 0, as bucket numbers.
+
+    Tasks hash the texts; the driver gets two bytes for each word and table. Rows are
+    taken whole, in order of hash, while they have ``fit_words`` words in all at most.
+    """
     known = _known(labels, key, label)
     known = known.orderBy(F.xxhash64("key"), "key").limit(fit_rows)
-    texts = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), (F.col(lang) if lang else F.lit(None).cast("string")).alias("lang"))
-    texts = texts.join(F.broadcast(known), "key").groupBy("key").agg(F.min_by(F.struct("text", "label", "lang"), F.xxhash64("text")).alias("row"))
-    return texts.select("key", "row.text", "row.label", "row.lang").toArrow()
+    texts = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    texts = texts.join(F.broadcast(known), "key").groupBy("key").agg(F.min_by(F.struct("text", "label"), F.xxhash64("text")).alias("row"))
+    turn = F.crc32(F.concat(F.col("key").cast("string"), F.lit(":"), F.col("row.text")).cast("binary"))
+
+    def kernel(part: pa.RecordBatch) -> pa.RecordBatch:
+        words = split_words(part.column("text"), ALNUM, lower=True)
+        both = [x.astype(np.uint16) for x in _buckets(words)]
+        blobs = [pa.array([x[i:j].tobytes() for i, j in zip(words.first[:-1], words.first[1:], strict=True)], pa.binary()) for x in both]
+        return pa.RecordBatch.from_arrays([*(part.column(c) for c in ("key", "label", "turn")), pa.array(words.counts), *blobs], ["key", "label", "turn", "n_words", "words", "begins"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    hashed = map_texts(texts.select("key", "row.label", turn.alias("turn"), "row.text"), kernel, f"key {kind}, label int, turn long, n_words long, words binary, begins binary")
+    hashed = persist_table(hashed, "toxic-sample")
+    sizes = hashed.select("key", "n_words").orderBy(F.xxhash64("key"), "key").toArrow()
+    inside = np.flatnonzero(np.cumsum(sizes["n_words"].to_numpy()) <= fit_words)
+    if len(inside) < sizes.num_rows:
+        chosen = docs.sparkSession.createDataFrame([(k,) for k in sizes["key"].take(pa.array(inside)).to_pylist()], f"key {kind}")
+        hashed = hashed.join(F.broadcast(chosen), "key")
+    return hashed.select("key", "label", "turn", "words", "begins").toArrow()
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, *, fit_rows: int = 4000, key: str = "doc_id", text: str = "text", lang: str | None = "lang", label: str = "toxic") -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, *, fit_rows: int = 4000, fit_words: int = 8_000_000, key: str = "doc_id", text: str = "text", lang: str | None = "lang", label: str = "toxic", keep: tuple[str, ...] = ()) -> DataFrame:
     """Scores every whole text; one row for each row, no shuffle of the texts.
 
     Null and empty texts are scored as texts without words; null keys and repeated rows
     each give their row; an empty table gives none. Labels that are null or neither 0 nor
     1 don't count; without labels of both kinds scores are constant. A null or unknown
-    language has the threshold of all. Other columns are not read. Returns key, held_out
-    (crc32 of the key as text mod 5 is 0; false for a null key), score, predicted (1 from
-    0.5 on), threshold (by language), rejected (score at or above it).
+    language has the threshold of all. Columns named in ``keep`` are passed on, others not
+    read. Returns key, held_out (crc32 of the key as text mod 5 is 0; false for a null
+    key), score, predicted (1 from 0.5 on), threshold (by language), rejected (score at or
+    above it), and what is kept.
     """
-    net = docs.sparkSession.sparkContext.broadcast(fit(fit_sample(docs, labels, fit_rows=fit_rows, key=key, text=text, lang=lang, label=label)))
+    net = docs.sparkSession.sparkContext.broadcast(fit(fit_sample(docs, labels, fit_rows=fit_rows, fit_words=fit_words, key=key, text=text, label=label)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 words = split_words(part.column("text"), ALNUM, lower=True)
                 score = net.value.score(*_buckets(words), words.first)
-                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("lang"), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["key", "lang", "score", "predicted"])
+                names = ["key", "lang", *own_names]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], [*names, "score", "predicted"])
 
     kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), (F.col(lang) if lang else F.lit(None).cast("string")).alias("lang"))
-    out = persist_table(rows.mapInArrow(run, f"key {kind}, lang string, score double, predicted int"), "toxic-scores")
+    own_names = [f"own{i}" for i in range(len(keep))]
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), (F.col(lang) if lang else F.lit(None).cast("string")).alias("lang"), *(F.col(c).alias(n) for c, n in zip(keep, own_names, strict=True)))
+    own_kinds = "".join(f"{n} {docs.schema[c].dataType.simpleString()}, " for c, n in zip(keep, own_names, strict=True))
+    out = persist_table(rows.mapInArrow(run, f"key {kind}, lang string, {own_kinds}score double, predicted int"), "toxic-scores")
     limits = calibrate(out, labels, net.value.trained, key=key, label=label) if net.value.trained else {None: 0.5}
     own = F.create_map(*(F.lit(x) for k, v in limits.items() if k is not None for x in (k, v)))
     limit = F.coalesce(own[F.col("lang")], F.lit(limits[None])) if len(limits) > 1 else F.lit(limits[None])
     out = out.withColumn("threshold", limit).withColumn("rejected", F.col("score") >= F.col("threshold"))
     held = F.coalesce(F.crc32(F.col("key").cast("string").cast("binary")) % 5 == 0, F.lit(False))
-    return out.select(F.col("key").alias(key), held.alias("held_out"), "score", "predicted", "threshold", "rejected")
+    return out.select(F.col("key").alias(key), held.alias("held_out"), "score", "predicted", "threshold", "rejected", *(F.col(n).alias(c) for c, n in zip(keep, own_names, strict=True)))
