@@ -2,67 +2,91 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 return the columns of ``documents``. Between stages the rows are written as Parquet.
+
+In every stage a row stands for itself: it is known by its doc_id and a hash of its text.
+Rows with a null doc_id are judged like others and stay if they are clean; of rows that
+repeat a doc_id each is judged by its own text; rows that repeat both share one fate, and
+near-copy removal keeps one of them. Null texts count as empty and are clean. An empty
+table passes through. Other columns than those of ``documents`` are dropped by the first
+stage.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.decontam import benchmark_hits
 from lodestone.llm.minhash import BROADCAST_ROWS, near_texts
 from lodestone.llm.mixing import mix_sources
 from lodestone.llm.pii import find_personal_data
-from lodestone.llm.storage import persist_table
+from lodestone.llm.storage import persist_table, scratch
 from lodestone.llm.toxicity import score_toxicity
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def _row() -> Column:
+    """What a row is known by; null doc_ids come last in order."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("hash"))
+
+
+def _known(docs: DataFrame) -> DataFrame:
+    return docs.select(*COLUMNS).withColumn("row", _row())
+
+
+def _met(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """Joins ``docs`` to a table by ``row``, sent to all tasks only if it is small."""
+    return docs.join(F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows, "row", how)
+
+
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id isn't in ``gone``, which is sent to all tasks only if it is small."""
-    gone = persist_table(gone.select("doc_id").filter("doc_id is not null").distinct(), "dropped")
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "doc_id", "left_anti")
+    return _met(docs, persist_table(gone.select("row").distinct(), "dropped"), "left_anti").select(*COLUMNS)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the classifier rejects at their language's threshold."""
-    judged = score_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _without(docs, judged.filter("rejected")).select(*COLUMNS)
+    docs = _known(docs)
+    judged = score_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), keep=("row",))
+    return _without(docs, judged.filter("rejected"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near copies: five-word shingles, similarity 0.8 or more.
 
-    Rows that repeat a doc_id and text are one document.
+    It is the one of smallest doc_id, a null one only if the group has no other.
     """
-    found = persist_table(near_texts(docs, n=5, hundredths=80), "near-found")
-    left = _without(docs, found.filter("not kept"))
-    known = found.filter("doc_id is not null")
-    if known.count() > known.select("doc_id").distinct().count():
-        left = left.filter("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(left.filter("doc_id is null"))
+    docs = _known(docs)
+    found = persist_table(near_texts(docs, n=5, hundredths=80, key="row"), "near-found")
+    left = _met(docs, persist_table(found.filter("not kept").select("row").distinct(), "dropped"), "left_anti")
+    repeated = persist_table(found.filter("kept").groupBy("row").count().filter("count > 1").select("row"), "repeated")
+    if not repeated.isEmpty():
+        one = _met(left, repeated, "left_semi").dropDuplicates(["row"])
+        left = _met(left, repeated, "left_anti").unionByName(one)
     return left.select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark window of ten words."""
-    hits = benchmark_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, hits.filter("contaminated")).select(*COLUMNS)
+    docs = _known(docs)
+    hits = benchmark_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="row")
+    return _without(docs, hits.filter("contaminated"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data in the texts; keeps every document."""
-    model_key = F.struct("doc_id", "lang", "source", "n_chars")
-    rows = docs.select(model_key.alias("row"), "text")
+    rows = docs.select(F.struct("doc_id", "lang", "source", "n_chars").alias("row"), "text")
     found = find_personal_data(rows, key="row")
     size = F.when(F.length("spans") > 0, F.length("redacted").cast("long")).otherwise(F.col("row.n_chars"))
     return found.select("row.doc_id", F.col("redacted").alias("text"), "row.lang", "row.source", size.alias("n_chars"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes, with the columns of ``documents`` and how often each is taken."""
-    taken = persist_table(mix_sources(docs).filter("copies > 0 and doc_id is not null").dropDuplicates(["doc_id"]), "mixed")
-    return docs.join(taken, "doc_id").select(*COLUMNS, "size", "source_size", "target", "copies", "taken")
+    """Documents that the mix takes, with the columns of ``documents``, how many whole copies of
+    each are taken (``copies``) and how many words of one more (``part``)."""
+    docs = _known(docs)
+    taken = persist_table(mix_sources(docs, key="row").filter("taken > 0").dropDuplicates(["row"]), "mixed")
+    return _met(docs, taken, "inner").select(*COLUMNS, "size", "source_size", "target", "copies", "part", "taken")
 
 
 STAGES = [
@@ -80,5 +104,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = persist_table(stage(spark, docs, sf_dir), "stage")
+        with scratch(spark) as keep:
+            docs = keep(stage(spark, docs, sf_dir))
     return docs
