@@ -232,7 +232,8 @@ def near_vectors(vectors: DataFrame, *, threshold: float = 0.93, trees: int = 8,
     directly), component_id (smallest key reachable by links, itself included), kept.
     """
     v = F.col("v")
-    rows = vectors.select(F.col(key).cast("long").alias("key"), F.col(label).cast("string").alias("label"), F.col(embedding).cast("array<float>").alias("v"))
+    number = "float" if vectors.schema[embedding].dataType.elementType.simpleString() == "float" else "double"
+    rows = vectors.select(F.col(key).cast("long").alias("key"), F.col(label).cast("string").alias("label"), F.col(embedding).cast(f"array<{number}>").alias("v"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     fine = F.col("key").isNotNull() & F.col("label").isNotNull() & v.isNotNull() & (F.size("v") > 0) & fine
     rows = rows.withColumn("fine", F.coalesce(fine, F.lit(False)))
@@ -255,7 +256,7 @@ def near_vectors(vectors: DataFrame, *, threshold: float = 0.93, trees: int = 8,
             offsets = np.searchsorted(row[order], np.arange(batch.num_rows + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(cell[order]))], [*batch.schema.names, "leaves"])
 
-    placed = persist_table(classes.select("rep", "h1", "n", "kind", "embedding").mapInArrow(place, "rep long, h1 long, n long, kind string, embedding array<float>, leaves array<long>"), "vec-leaves")
+    placed = persist_table(classes.select("rep", "h1", "n", "kind", "embedding").mapInArrow(place, f"rep long, h1 long, n long, kind string, embedding array<{number}>, leaves array<long>"), "vec-leaves")
     cells = placed.select("rep", "h1", "kind", F.explode("leaves").alias("leaf"))
     large = cells.groupBy("kind", "leaf").count().filter(F.col("count") > BLOCK).select("kind", "leaf", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
     large = persist_table(large, "vec-large")
