@@ -261,8 +261,9 @@ def remove_repeats(docs: DataFrame, *, n: int = 20, key: str = "doc_id", text: s
     gone = sequences.join(copies, "key", "left_semi")
     whole = gone.filter(F.col("n_words") >= n).select("key", "n_words", F.col("n_words").alias("n_removed"), F.lit("").alias("kept"), F.sha2(F.lit("").cast("binary"), 256).alias("kept_sha256"))
     out = kept.unionByName(whole)
-    short = rows.join(copies, "key", "left_semi").join(F.broadcast(gone.filter(F.col("n_words") < n).select("key").distinct()), "key", "left_semi") if not gone.filter(F.col("n_words") < n).isEmpty() else None
-    if short is not None:  # rows of such a key that are too short to have a window
+    shorter = persist_table(gone.filter(F.col("n_words") < n).select("key").distinct(), "sub-shorter")
+    if (n_shorter := shorter.count()) > 0:  # rows of such a key that are too short to have a window
+        short = rows.join(F.broadcast(shorter) if n_shorter <= BROADCAST_ROWS else shorter, "key", "left_semi")
         out = out.unionByName(_keep(short.withColumn("runs", F.lit(None).cast("array<struct<from:long,to:long>>")), n).filter(F.col("n_words") < n))
     back = F.when(F.col("key") != LAST, F.col("key")).cast(docs.schema[key].dataType)
     return out.select(back.alias(key), "n_words", "n_removed", "kept", "kept_sha256")
