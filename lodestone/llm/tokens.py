@@ -14,6 +14,10 @@ Two deterministic machines run in cascade:
   count; the greedy merges are reproduced because a sequence of tokens is the
   encoding of a text exactly when each neighbouring pair is the encoding of its
   own concatenation. States are made when first reached, and kept in one table.
+  A long piece is cut into chunks as well: the map of a chunk sends each state that
+  it is likely entered in to its exit state and its count. The likely states are
+  those that the bytes before the chunk lead to from a few places; these maps
+  compose by the same scan. An entry that a chunk has no map for is added.
 """
 
 from __future__ import annotations
@@ -35,8 +39,12 @@ from lodestone.llm.words import slices, texts_of
 CHUNK = 1024
 #: Text bytes whose pieces run side by side.
 STEP_BYTES = 2 << 20
-#: States of the merger's table at most; beyond it the table is built anew.
-MAX_STATES = 300_000
+#: States of the merger's table at most; beyond it only those in use are kept.
+MAX_STATES = 120_000
+#: Bytes in a chunk of the merger, and places before it that likely entry states are found from.
+PIECE_CHUNK, STARTS = 1024, 8
+#: Rounds in which missing entries of all chunks are added; after them only those in the way are.
+ROUNDS = 6
 
 # Character classes of the splitter.
 _LETTER, _STMD, _R, _V, _L, _E, _NUMBER, _BLANK, _SPACE, _QUOTE, _OTHER, _SPECIAL = range(12)
@@ -129,6 +137,8 @@ class TokenCounter:
             self.halves.append((self.tokens[left], self.tokens[right]))
             self.joins[self.halves[-1]] = i
         self.prefixes = {t[:i] for t in self.tokens for i in range(1, len(t))}
+        self.longest = max(map(len, self.tokens))
+        self.fits: dict[tuple[int, int], bool] = {}
         self.specials = sorted((t["content"].encode() for t in spec.get("added_tokens", [])), key=len, reverse=True)
         self.classes = _class_table()
         self._reset()
@@ -144,6 +154,22 @@ class TokenCounter:
         self.info: list[tuple[bytes, bytes]] = [(b"", array("i", [_EMPTY, 0]).tobytes())]
         self.number = {self.info[0]: 0}
 
+    def _compact(self, *states: np.ndarray) -> None:
+        """Keeps the states of these arrays only, and renumbers them in place."""
+        live = np.unique(np.concatenate([np.zeros(1, np.int64), *states]))
+        self.info = [self.info[i] for i in live]
+        self.number = {x: i for i, x in enumerate(self.info)}
+        self.table = np.full(max(1024, 2 * len(live)) * self.width, -1, np.int32)
+        self.fits.clear()
+        for x in states:
+            x[:] = np.searchsorted(live, x)
+
+    def _may_follow(self, a: int, b: int) -> bool:
+        found = self.fits.get((a, b))
+        if found is None:
+            found = self.fits[a, b] = self._fit(a, b)
+        return found
+
     def _fit(self, a: int, b: int) -> bool:
         """Whether token b may follow token a in an encoding.
 
@@ -183,7 +209,7 @@ class TokenCounter:
             before = places[2 * i]
             if before == _CLOSED or (token := self.tokens.get(grown[i:])) is None:
                 continue
-            if before == _EMPTY or self._fit(before, token):
+            if before == _EMPTY or self._may_follow(before, token):
                 last, count = token, places[2 * i + 1] + 1
                 break
         keep, after = n, array("i")
@@ -218,24 +244,90 @@ class TokenCounter:
 
     def count_pieces(self, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Tokens of each byte range, all ranges side by side."""
-        if len(self.info) > MAX_STATES:
-            self._reset()
+        out = np.zeros(len(start), np.int64)
+        chunk = max(PIECE_CHUNK, 4 * self.longest)
+        long = length > 2 * chunk
+        out[~long] = self._run(data, start[~long], length[~long], np.zeros((~long).sum(), np.int64))[0]
+        if long.any():
+            out[long] = self._count_long(data, start[long], length[long], chunk)
+        return out
+
+    def _run(self, data: np.ndarray, start: np.ndarray, length: np.ndarray, state: np.ndarray, *held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of each byte range, read from the given states, and the states after it.
+
+        ``held`` are further states that the caller needs afterwards.
+        """
         order = np.argsort(-length, kind="stable")
-        start, lens = start[order], length[order]
-        state, total = np.zeros(len(start), np.int32), np.zeros(len(start), np.int32)
+        start, lens, state = start[order], length[order], state[order]
+        total = np.zeros(len(start), np.int64)
         active = np.searchsorted(-lens, -np.arange(1, (lens[0] if len(lens) else 0) + 1), "right")
         for t, n in enumerate(active):
             value = data[start[:n] + t]
             slot = self.slot[value]
             got = np.where(slot < 0, -1, self.table[state[:n] * self.width + slot])
             if (miss := got < 0).any():
+                if len(self.info) > MAX_STATES:
+                    self._compact(state, *held)
+                    miss = np.ones(n, bool)
                 self._learn(state[:n][miss], value[miss])
                 got = self.table[state[:n] * self.width + self.slot[value]]
             total[:n] += (got & 255) - 128
             state[:n] = got >> 8
-        out = np.empty_like(total)
-        out[order] = total
-        return out
+        out, after = np.empty_like(total), np.empty_like(state)
+        out[order], after[order] = total, state
+        return out, after
+
+    def _count_long(self, data: np.ndarray, start: np.ndarray, length: np.ndarray, chunk: int) -> np.ndarray:
+        """Tokens of ranges of several chunks: chunk maps of (state, count), composed by a prefix scan."""
+        chunks = -(-length // chunk)
+        piece = np.repeat(np.arange(len(start)), chunks)
+        within = np.arange(len(piece)) - np.repeat(np.cumsum(chunks) - chunks, chunks)
+        begin = start[piece] + within * chunk
+        size = np.minimum(chunk, start[piece] + length[piece] - begin)
+        later, before = np.flatnonzero(within > 0), self.longest + np.arange(STARTS)
+        _, found = self._run(data, (begin[later, None] - before).ravel(), np.tile(before, len(later)), np.zeros(len(later) * STARTS, np.int64))
+        entry = np.full((len(piece), STARTS), -1, np.int64)  # by chunk, the states that it has a map for; -1 for none
+        entry[within == 0, 0] = 0
+        found = np.sort(found.reshape(-1, STARTS), axis=1)
+        found[:, 1:][found[:, 1:] == found[:, :-1]] = -1
+        entry[later] = found
+        leave, count = np.full_like(entry, -1), np.zeros_like(entry)
+        fresh = entry >= 0
+        for turn in range(ROUNDS + len(piece)):
+            row, column = np.nonzero(fresh)
+            flat = entry[row, column]
+            kept = [x[x >= 0] for x in (entry, leave)]
+            count[row, column], after = self._run(data, begin[row], size[row], flat, *kept)
+            entry[entry >= 0], leave[leave >= 0] = kept
+            leave[row, column] = after
+            # where each map leads: to which map of the next chunk, or to none (the last number)
+            none = entry.shape[1]
+            go = np.full((len(piece), none + 1), none)
+            same = (leave[:-1, :, None] == entry[1:, None, :]) & (leave[:-1, :, None] >= 0)
+            go[:-1, :none] = np.where(same.any(axis=2), same.argmax(axis=2), none)
+            scan, step = go.copy(), 1
+            while step < chunks.max():  # after each step, twice as many chunks up to here
+                ready = np.flatnonzero(within >= step)
+                scan[ready] = np.take_along_axis(scan[ready], scan[ready - step], axis=1)
+                step *= 2
+            at = np.r_[0, scan[:-1, 0]]
+            at[within == 0] = 0
+            lost = at == none
+            if not lost.any():
+                return np.bincount(piece, weights=count[np.arange(len(piece)), at], minlength=len(start)).astype(np.int64)
+            if turn < ROUNDS:  # every exit that has no map yet
+                row, column = np.nonzero((leave[:-1] >= 0) & (go[:-1, :none] == none) & (within[1:] > 0)[:, None])
+            else:
+                row = np.flatnonzero(lost[1:] & ~lost[:-1])
+                column = at[row]
+            wanted = np.unique(np.c_[row + 1, leave[row, column]], axis=0)
+            place = np.arange(len(wanted)) - np.searchsorted(wanted[:, 0], wanted[:, 0])
+            wide = none + int(place.max()) + 1
+            entry, leave, count = (np.pad(x, ((0, 0), (0, wide - none)), constant_values=v) for x, v in ((entry, -1), (leave, -1), (count, 0)))
+            fresh = np.zeros(entry.shape, bool)
+            fresh[wanted[:, 0], none + place] = True
+            entry[wanted[:, 0], none + place] = wanted[:, 1]
+        raise AssertionError("a chunk is mended in each turn")
 
     # -- the splitter ----------------------------------------------------------------
 
