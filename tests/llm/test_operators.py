@@ -13,7 +13,6 @@ from tokenizers import Tokenizer
 from lodestone.llm import decontam, pii
 from lodestone.llm.forest import near_vectors
 from lodestone.llm.graph import connected_components
-from lodestone.llm.licenses import scan_licenses
 from lodestone.llm.minhash import near_texts
 from lodestone.llm.mixing import mix_sources
 from lodestone.llm.substrings import remove_repeats
@@ -188,12 +187,6 @@ def test_urls(spark):
     assert judge_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
-def test_licenses(spark):
-    rows = [(1, "x\nReleased under the MIT License.\ny z"), (2, "released  UNDER the mit license"), (3, "Released under the old MIT License, they say, and more words follow here"), (4, None), (5, ""), (None, "Licensed under CC BY-NC 4.0."), (6, "word"), (6, "a b " * 5000)]
-    got = sorted((r.doc_id or -1, r.line, r.license, r.dice) for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect())
-    assert got == [(-1, 1, "CC-BY-NC-4.0", 1.0), (1, 2, "MIT", 1.0), (2, 1, "MIT", 1.0)]
-
-
 def test_decontamination(spark, docs):
     texts = [t for _, t in known(docs) if t]
     items = [(1, " ".join(words(texts[30])[:25])), (2, "nowhere to be found in any of these many documents at all"), (3, words(texts[5])[0]), (4, None), (5, ""), (6, " ".join(words(texts[30])[3:14])), (7, "A B c")]
