@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Above the number of chunks that the longest possible text has.
+MOST_CHUNKS = 1 << 24
+
 
 def window_chunks(docs: DataFrame, *, size: int = 1000, overlap: int = 200) -> DataFrame:
     """Windows of ``body`` as rows (other columns kept): seq_id, body. Null and empty texts have none."""
@@ -16,5 +19,8 @@ def window_chunks(docs: DataFrame, *, size: int = 1000, overlap: int = 200) -> D
 
 
 def with_chunk_ids(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
-    """A chunk_id that follows from the document and place, the same in every run."""
-    return chunks.withColumn("chunk_id", F.col(key) * 100_000 + F.col("seq_id"))
+    """A chunk_id that follows from the document's number and place, the same in every run.
+
+    No text has as many windows as there is room for; numbers of documents may have 39 bits.
+    """
+    return chunks.withColumn("chunk_id", F.col(key) * MOST_CHUNKS + F.col("seq_id"))

@@ -1,4 +1,4 @@
-"""Lexical retrieval: an inverted index as DataFrames, BM25, boolean and phrase search.
+"""Lexical retrieval: an inverted index as DataFrames, BM25, boolean, phrase, prefix and proximity search.
 
 All functions take many queries at once. Only postings of the asked terms are formed,
 texts stay out of the ranking stages, and corpus statistics are computed before any
@@ -7,46 +7,95 @@ metadata filter, since filters don't change them.
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions import parse
+from lodestone.functions.stem import stemmed
 from lodestone.functions.text import contains_literal, tokens
 
 # Fixed values of the ranking function.
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
+#: No term of a chunk weighs more than this times its inverse frequency.
+TF_LIMIT = K1 + 1
+#: The indexed columns.
+COLUMNS = ("collection", "path", "title", "body", "headers")
+
 
+def index_chunks(chunks: DataFrame, columns: tuple[str, ...] = COLUMNS, *, stem: bool = False) -> DataFrame:
+    """(chunk_id, terms, length, bounds): the tokens of all indexed columns that ``chunks`` has, and their number.
 
-def index_chunks(chunks: DataFrame, columns: tuple[str, ...] = ("collection", "path", "title", "body")) -> DataFrame:
-    """(chunk_id, terms, length): the tokens of all indexed columns, and their number."""
-    terms = tokens(F.concat_ws(" ", *columns))
-    return chunks.select("chunk_id", terms.alias("terms")).withColumn("length", F.size("terms"))
+    An empty token parts the columns, so that no phrase spans two; ``bounds`` are the places
+    where the columns of ``columns`` begin (null for one that is missing). With ``stem``,
+    tokens lose their diacritics and endings.
+    """
+    own = [c for c in columns if c in chunks.columns]
+    parts = F.array(*(tokens(F.coalesce(c, F.lit(""))) for c in own))
+    rows = chunks.select("chunk_id", parts.alias("parts"))
+    if stem:
+        rows = stemmed(rows, "parts")
+    starts = F.aggregate("parts", F.array(F.lit(0)), lambda s, p: F.array_append(s, F.element_at(s, -1) + F.size(p) + 1))
+    bounds = F.array(*(F.get(starts, F.lit(own.index(c))) if c in own else F.lit(None).cast("int") for c in columns))
+    terms = F.flatten(F.transform("parts", lambda p, i: F.when(i == 0, p).otherwise(F.array_prepend(p, F.lit("")))))
+    length = F.aggregate("parts", F.lit(0), lambda n, p: n + F.size(p))
+    return rows.select("chunk_id", terms.alias("terms"), length.alias("length"), bounds.alias("bounds"))
 
 
-def postings(index: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, chunk_id, length, tf) of the asked terms (a column ``term``).
+def postings(index: DataFrame, terms: DataFrame, *, positions: bool = False) -> DataFrame:
+    """(term, chunk_id, length, tf[, positions]) of the asked terms (a column ``term``; ``x*`` asks for all that begin with x).
 
     Only occurrences of asked terms are dealt out, by chunk: a chunk has few of them,
     whatever the terms, and sums by chunk need no second shuffle. The outer explode keeps
-    the optimizer from testing the array, and so forming it, a second time.
+    the optimizer from testing the array, and so forming it, a second time. The driver
+    reads the distinct lengths of asked beginnings, no more.
     """
     asked = terms.select("term").distinct()
-    found = index.select("chunk_id", "length", F.explode_outer("terms").alias("term")).join(asked, "term", "left_semi")
-    return found.repartition("chunk_id").groupBy("term", "chunk_id").agg(F.first("length").alias("length"), F.count("*").alias("tf"))
+    sizes = sorted(r.n for r in asked.filter("term LIKE '%*'").select((F.length("term") - 1).alias("n")).distinct().collect())
+    if positions:
+        found = index.select("chunk_id", "length", F.posexplode_outer("terms").alias("pos", "term"))
+    else:
+        found = index.select("chunk_id", "length", F.explode_outer("terms").alias("term"))
+    if sizes:
+        starts = [F.when(F.length("term") >= n, F.concat(F.substring("term", 1, n), F.lit("*"))) for n in sizes]
+        found = found.withColumn("term", F.explode(F.array("term", *starts)))
+    found = found.join(asked, "term", "left_semi").repartition("chunk_id").groupBy("term", "chunk_id")
+    places = [F.array_sort(F.collect_list("pos")).alias("positions")] if positions else []
+    return found.agg(F.first("length").alias("length"), F.count("*").alias("tf"), *places)
+
+
+def _idf(n: Column, seen: Column) -> Column:
+    idf = F.ln((n - seen + 0.5) / (seen + 0.5))
+    return F.when(idf > 0, idf).otherwise(IDF_FLOOR)
+
+
+def _weight(tf: Column, length: Column, mean: Column) -> Column:
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
+
+
+def _totals(index: DataFrame) -> tuple[Column, Column]:
+    return index.agg(F.count("*").cast("double").alias("n")).scalar(), index.agg(F.avg("length").alias("mean")).scalar()
+
+
+def _rated(found: DataFrame, n: Column, by: str = "term") -> DataFrame:
+    """Adds ``idf`` to postings.
+
+    The frequency of a term meets its postings by join, not in a window, so that a term
+    that is everywhere can be split. It reads the same columns, which lets Spark reuse the
+    postings' shuffle; no length is below 0.
+    """
+    seen = found.groupBy(by).agg(F.count("*").alias("seen"), F.max("length").alias("longest")).filter("longest >= 0")
+    return found.join(seen.select(by, _idf(n, F.col("seen")).alias("idf")), by)
 
 
 def term_scores(index: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, chunk_id, weight): BM25 of each posting, with statistics over the whole index."""
-    n = index.agg(F.count("*").cast("double").alias("n")).scalar()
-    mean = index.agg(F.avg("length").alias("mean")).scalar()
-    found = postings(index, terms)
-    # The frequency of a term meets its postings by join, not in a window, so that a term
-    # that is everywhere can be split. It reads the same columns, which lets Spark reuse the
-    # postings' shuffle; no length is below 0.
-    seen = found.groupBy("term").agg(F.count("*").alias("seen"), F.max("length").alias("longest")).filter("longest >= 0")
-    idf = F.ln((n - F.col("seen") + 0.5) / (F.col("seen") + 0.5))
-    idf = F.when(idf > 0, idf).otherwise(IDF_FLOOR)
-    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    return found.join(seen.select("term", idf.alias("idf")), "term").withColumn("mean", mean).select("term", "chunk_id", weight.alias("weight"))
+    """(term, chunk_id, weight, idf): BM25 of each posting, with statistics over the whole index."""
+    n, mean = _totals(index)
+    found = _rated(postings(index, terms), n).withColumn("mean", mean)
+    return found.select("term", "chunk_id", (F.col("idf") * _weight(F.col("tf"), F.col("length"), F.col("mean"))).alias("weight"), "idf")
 
 
 def match(index: DataFrame, queries: DataFrame, *, every: bool = True) -> DataFrame:
@@ -59,42 +108,176 @@ def match(index: DataFrame, queries: DataFrame, *, every: bool = True) -> DataFr
     return hits.select("query_id", "chunk_id", F.greatest(F.lit(1e-4), "score").alias("score"))
 
 
+def match_any_top(index: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
+    """``ranked(match(index, queries, every=False), limit)``, without pairing queries with chunks that only
+    terms at the weight's floor connect.
+
+    Terms in half of the chunks weigh next to nothing. They are left out at first; chunks that
+    they could still lift among the first ``limit`` get them added. Queries that find fewer
+    chunks than that without them are asked with all their terms.
+    """
+    asked = queries.select("query_id", "term").distinct()
+    scores = term_scores(index, asked)
+    strong, weak = scores.filter(F.col("idf") > IDF_FLOOR), scores.filter(F.col("idf") <= IDF_FLOOR)
+    hits = asked.join(strong, "term").groupBy("query_id", "chunk_id").agg(F.sum("weight").alias("part"))
+    order = Window.partitionBy("query_id").orderBy(F.col("part").desc())
+    last = hits.withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= limit).groupBy("query_id").agg(F.min("part").alias("last"), F.count("*").alias("found"))
+    slack = asked.groupBy("query_id").agg((F.count("*") * (IDF_FLOOR * TF_LIMIT) + 1e-8).alias("slack"))
+    bound = slack.join(last, "query_id", "left")
+    kept = hits.join(bound.filter(F.col("found") >= limit), "query_id").filter(F.col("part") >= F.col("last") - F.col("slack"))
+    few = bound.filter(F.coalesce("found", F.lit(0)) < limit).select("query_id")
+    pairs = kept.select("query_id", "chunk_id", "part").unionByName(hits.join(few, "query_id", "left_semi").select("query_id", "chunk_id", "part"))
+    # What the weak terms add: to kept pairs, and to every chunk for queries that find few.
+    more = asked.join(pairs.join(few, "query_id", "left_anti"), "query_id").join(weak, ["term", "chunk_id"]).select("query_id", "chunk_id", "weight")
+    rest = asked.join(few, "query_id", "left_semi").join(weak, "term").select("query_id", "chunk_id", "weight")
+    every = pairs.select("query_id", "chunk_id", F.col("part").alias("weight")).unionByName(more).unionByName(rest)
+    total = every.groupBy("query_id", "chunk_id").agg(F.greatest(F.lit(1e-4), F.sum("weight")).alias("score"))
+    return ranked(total, limit)
+
+
 def without(hits: DataFrame, excluded: DataFrame) -> DataFrame:
     """Boolean NOT: drops hits that also match ``excluded`` (query_id, chunk_id)."""
     return hits.join(excluded.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
 
 
-def phrase(index: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, hits) for phrases (query_id, terms array): consecutive tokens in order.
+# -- expressions -----------------------------------------------------------------------------
 
-    Runs of tokens as long as some phrase meet the phrases in one join, so that only real
-    matches are shuffled. Phrases without terms have no hits. The driver reads the
-    distinct lengths of the phrases, no more.
-    """
-    asked = queries.select("query_id", F.size("terms").alias("n"), F.concat_ws(" ", "terms").alias("run")).filter("n > 0")
-    sizes = sorted(r.n for r in asked.select("n").distinct().collect())
-
-    def runs(n: int) -> Column:
-        every = F.transform(F.sequence(F.lit(1), F.col("length") - n + 1), lambda i: F.concat_ws(" ", F.slice("terms", i, n)))
-        return F.when(F.col("length") >= n, every).otherwise(F.array().cast("array<string>"))
+_FORM = "key:string,terms:array<string>,columns:array<int>,first:boolean,gap:int,distance:int"
+_ASKED = f"tier int, last boolean, leaves array<struct<{_FORM}>>, program array<int>, kind string"
 
-    found = index.select("chunk_id", F.explode_outer(F.flatten(F.array(*map(runs, sizes or [1])))).alias("run"))
-    return found.join(asked, "run").groupBy("query_id", "chunk_id").agg(F.count("*").alias("hits"))
 
+def _leaf(leaf: parse.Leaf, columns: tuple[str, ...], fold: Callable[[list[str]], list[str]]) -> dict:
+    terms = fold(list(leaf.tokens))
+    if leaf.prefix:
+        terms[-1] += "*"
+    only = None if leaf.columns is None else sorted({columns.index(c) for c in leaf.columns if c in columns})
+    plain = len(terms) == 1 and only is None and not leaf.first and leaf.near is None
+    key = terms[0] if plain else json.dumps([terms, only, leaf.first, leaf.near is not None])
+    gap, distance = leaf.near or (None, None)
+    return {"key": key, "terms": terms, "columns": only, "first": leaf.first, "gap": gap, "distance": distance}
 
-def prefix(index: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, hits) for word beginnings (query_id, prefix)."""
-    words = index.select("chunk_id", F.explode("terms").alias("term")).groupBy("chunk_id", "term").count()
-    keys = words.withColumn("prefix", F.explode(F.transform(F.sequence(F.lit(1), F.length("term")), lambda n: F.substring("term", F.lit(1), n))))
-    return keys.join(queries.select("query_id", "prefix"), "prefix").groupBy("query_id", "chunk_id").agg(F.sum("count").alias("hits"))
 
+def compile_queries(queries: DataFrame, *, columns: tuple[str, ...] = COLUMNS, tiers: Callable[[str], list[str]] | None = None, stem: bool = False) -> DataFrame:
+    """Expressions from strict to loose for queries (query_id, query[, lexical]).
 
-def near(index: DataFrame, queries: DataFrame, distance: int = 10) -> DataFrame:
-    """(query_id, chunk_id) where terms a and b of (query_id, a, b) have at most ``distance`` tokens between them."""
-    places = index.select("chunk_id", F.posexplode("terms").alias("pos", "term"))
-    left = queries.join(places.withColumnRenamed("term", "a"), "a").select("query_id", "b", "chunk_id", F.col("pos").alias("p"))
-    both = left.join(places.withColumnRenamed("term", "b"), ["b", "chunk_id"]).filter((F.abs(F.col("pos") - F.col("p")) - 1 <= distance) & (F.col("pos") != F.col("p")))
-    return both.select("query_id", "chunk_id").distinct()
+    ``tiers`` makes the match expressions of a query (by default the query itself); a text in
+    ``lexical`` takes their place. Any of the words of the query comes last. Returns query_id,
+    tier, last, leaves, program (postfix), kind (whether all leaves must match, any, or as the
+    program says). A query without tokens has no rows.
+    """
+    kinds = pa.schema([("tier", pa.int32()), ("last", pa.bool_()), ("leaves", pa.list_(pa.struct([("key", pa.string()), ("terms", pa.list_(pa.string())), ("columns", pa.list_(pa.int32())), ("first", pa.bool_()), ("gap", pa.int32()), ("distance", pa.int32())]))), ("program", pa.list_(pa.int32())), ("kind", pa.string())])
+
+    def of(query: str | None, lexical: str | None) -> list[dict]:
+        from lodestone.functions.stem import fold_words
+
+        fold = fold_words if stem else list
+        out = []
+        strict = [lexical] if lexical else (tiers(query) if tiers else [query])
+        every = [parse.compiled(t) for t in strict if t] + [parse.relaxed(query)] if query or lexical else []
+        for k, e in enumerate(every):
+            if e.program:
+                ops = {x for x in e.program if x < 0}
+                kind = "all" if ops <= {parse.AND} else "any" if ops == {parse.OR} else "tree"
+                kind = "tree" if any(x.near for x in e.leaves) else kind
+                used = [i for i in e.program if i >= 0]
+                out.append({"tier": k, "last": k == len(every) - 1, "leaves": [_leaf(e.leaves[i], columns, fold) for i in used], "program": [x if x < 0 else used.index(x) for x in e.program], "kind": kind})
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [of(q, x) for q, x in zip(batch.column("query").to_pylist(), batch.column("lexical").to_pylist(), strict=True)]
+            ids = batch.column("query_id").take(pa.array([i for i, x in enumerate(found) for _ in x], pa.int64()))
+            rows = pa.RecordBatch.from_pylist([r for x in found for r in x], kinds)
+            yield pa.RecordBatch.from_arrays([ids, *rows.columns], ["query_id", *kinds.names])
+
+    lexical = F.col("lexical") if "lexical" in queries.columns else F.lit(None).cast("string")
+    rows = queries.select("query_id", "query", lexical.alias("lexical"))
+    return rows.mapInArrow(run, f"query_id {queries.schema['query_id'].dataType.simpleString()}, {_ASKED}")
+
+
+def phrase_hits(index: DataFrame, forms: DataFrame) -> DataFrame:
+    """(key, chunk_id, length, tf, starts, size) for phrases (key, terms, columns, first): where their tokens follow each other.
+
+    The postings of a phrase's rarest token are taken first; only chunks of theirs are
+    looked up for the other tokens.
+    """
+    parts = forms.select("key", F.size("terms").alias("size"), F.posexplode("terms").alias("offset", "term"))
+    found = postings(index, parts, positions=True)
+    seen = found.groupBy("term").agg(F.count("*").alias("seen"))
+    rare = parts.join(seen, "term").groupBy("key").agg(F.min_by("term", F.struct("seen", "offset")).alias("term"))
+    near = rare.join(found.select("term", "chunk_id"), "term").select("key", "chunk_id")
+    every = parts.join(found, "term").join(near, ["key", "chunk_id"], "left_semi")
+    shifted = F.transform("positions", lambda p: p - F.col("offset"))
+    every = every.groupBy("key", "chunk_id", "size").agg(F.first("length").alias("length"), F.count("*").alias("met"), F.collect_list(shifted).alias("places")).filter("met = size")
+    starts = F.aggregate(F.slice("places", 2, F.size("places")), F.get("places", F.lit(0)), lambda a, b: F.array_intersect(a, b))
+    every = every.select("key", "chunk_id", "size", "length", starts.alias("starts"))
+    tied = forms.filter("columns IS NOT NULL OR first").select("key", "columns", "first")
+    if not tied.isEmpty():
+        every = every.join(F.broadcast(tied), "key", "left").join(index.select("chunk_id", "bounds"), "chunk_id")
+        own = F.coalesce("columns", F.sequence(F.lit(0), F.size("bounds") - 1))
+
+        def inside(at: Column) -> Column:
+            # the column that a place is in is the last one that begins at or before it
+            column = F.aggregate(F.sequence(F.lit(0), F.size("bounds") - 1), F.lit(-1), lambda k, i: F.when(F.get("bounds", i) <= at, i).otherwise(k))
+            return F.array_contains(own, column) & (~F.coalesce("first", F.lit(False)) | (F.get("bounds", column) == at))
+
+        every = every.withColumn("starts", F.filter("starts", inside))
+    return every.filter(F.size("starts") > 0).select("key", "chunk_id", "length", F.size("starts").cast("long").alias("tf"), "starts", "size")
+
+
+def _near(leaves: DataFrame) -> DataFrame:
+    """Of leaves in NEAR groups, the occurrences that have one of every other leaf of the group within its distance."""
+    one = F.struct("leaf", "starts", "size", "key", "length", "idf")
+    sets = leaves.groupBy("query_id", "tier", "chunk_id", "gap", "distance", "wanted").agg(F.collect_list(one).alias("own")).filter(F.size("own") == F.col("wanted"))
+    rows = sets.select("*", F.explode("own").alias("l"))
+
+    def close(at: Column, size: Column) -> Column:
+        apart = lambda o, p: F.greatest(p - (at + size), at - (p + o["size"]))
+        return F.forall("own", lambda o: (o["leaf"] == F.col("l.leaf")) | F.exists(o["starts"], lambda p: apart(o, p) <= F.col("distance")))
+
+    left = F.filter("l.starts", lambda at: close(at, F.col("l.size")))
+    return rows.select("query_id", "tier", "chunk_id", "l.leaf", "l.key", "l.length", "l.idf", F.size(left).cast("long").alias("tf")).filter("tf > 0")
+
+
+def search(index: DataFrame, asked: DataFrame) -> DataFrame:
+    """(query_id, tier, last, chunk_id, score) of the chunks that match compiled queries.
+
+    The score adds BM25 over all leaves of an expression, those in no column or group left
+    out. The driver reads a few counts about the expressions, no more.
+    """
+    leaves = asked.select("query_id", "tier", F.posexplode("leaves").alias("leaf", "l")).select("query_id", "tier", "leaf", "l.*")
+    simple = (F.size("terms") == 1) & F.col("columns").isNull() & ~F.col("first") & F.col("gap").isNull()
+    about = leaves.agg(F.count_if(~simple).alias("complex"), F.count("gap").alias("near"), F.max("leaf").alias("most")).first()
+    found = postings(index, leaves.filter(simple).select(F.col("key").alias("term"))).withColumnRenamed("term", "key")
+    n, mean = _totals(index)
+    if about.complex:
+        forms = leaves.filter(~simple).select("key", "terms", "columns", "first").dropDuplicates(["key"])
+        found = found.withColumns({"starts": F.lit(None).cast("array<int>"), "size": F.lit(1)}).unionByName(phrase_hits(index, forms))
+    found = _rated(found, n, "key")
+    if about.near:
+        wanted = leaves.filter("gap IS NOT NULL").groupBy("query_id", "tier", "gap").agg(F.count("*").alias("wanted"))
+        together = _near(leaves.filter("gap IS NOT NULL").join(wanted, ["query_id", "tier", "gap"]).join(found, "key"))
+        leaves = leaves.filter("gap IS NULL")
+    each = leaves.select("query_id", "tier", "leaf", "key").join(found, "key").select("query_id", "tier", "leaf", "chunk_id", "length", "idf", "tf")
+    if about.near:
+        each = each.unionByName(together.select(each.columns))
+    masks = [F.sum(F.when((F.col("leaf") / 62).cast("int") == k, F.call_function("shiftleft", F.lit(1).cast("long"), F.col("leaf") % 62)).otherwise(0)).alias(f"mask{k}") for k in range((about.most or 0) // 62 + 1)]
+    weight = F.col("idf") * _weight(F.col("tf"), F.col("length"), F.col("mean"))
+    hits = each.withColumn("mean", mean).groupBy("query_id", "tier", "chunk_id").agg(F.sum(weight).alias("score"), F.count("*").alias("met"), *masks)
+    hits = hits.join(F.broadcast(asked.select("query_id", "tier", "last", "program", "kind", F.size("leaves").alias("wanted"))), ["query_id", "tier"])
+    has = lambda x: F.call_function("shiftright", F.get(F.array(*(f"mask{k}" for k in range(len(masks)))), (x / 62).cast("int")), x % 62) % 2 == 1
+
+    def step(stack: Column, x: Column) -> Column:
+        a, b = F.element_at(stack, -2), F.element_at(stack, -1)
+        value = F.when(x == parse.AND, a & b).when(x == parse.OR, a | b).otherwise(a & ~b)
+        return F.when(x >= 0, F.array_append(stack, has(x))).otherwise(F.array_append(F.slice(stack, 1, F.size(stack) - 2), value))
+
+    tree = F.get(F.aggregate("program", F.array().cast("array<boolean>"), step), F.lit(0))
+    fits = F.when(F.col("kind") == "all", F.col("met") == F.col("wanted")).when(F.col("kind") == "any", F.lit(True)).otherwise(tree)
+    return hits.filter(fits).select("query_id", "tier", "last", "chunk_id", F.greatest(F.lit(1e-4), "score").alias("score"))
+
+
+# -- filters and ranks -----------------------------------------------------------------------
 
 
 def metadata_filter(collection: str | None = None, title: str | None = None, path: str | list[str] | None = None) -> Column:

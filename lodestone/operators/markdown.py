@@ -11,9 +11,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from itertools import accumulate
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+# What counts as a heading, link, table row and fence.
 _HEADER = re.compile(r"^(#+)\s+(.*)")
 _IMAGE, _LINK = re.compile(r"!\[([^\]]*)\]\([^)]*\)"), re.compile(r"(?<!!)\[([^\]]+)\]\([^)]*\)")
 _TABLE_ROW, _FENCE = re.compile(r"^\s*\|.*\|"), re.compile(r"^\s*```")
@@ -59,50 +61,53 @@ def _cut(text: str, at: int, room: int) -> tuple[int, str]:
 
 
 def split_block(block: Block, most: int) -> list[Block]:
-    """Cuts a block above ``most`` characters at paragraphs, lines, sentences, words, or anywhere."""
+    """Cuts a block above ``most`` characters at paragraphs, lines, sentences, words, or anywhere.
+
+    Pieces are stripped, blank ones dropped; the last one goes on as the block does. A
+    heading that leaves no room is a piece of its own.
+    """
     if len(block.content) <= most:
         return [block]
     m = re.match(r"#+\s+.*\n*", block.content)
-    header = m[0] if m else ""
-    body = block.content[len(header) :].lstrip()
-    out, at, first = [], 0, True
+    lead = m[0] if m else ""
+    body = block.content[len(lead) :].lstrip()
+    out, at, name = [], 0, block.header
+    if lead and len(lead) >= most:
+        out.append(replace(block, content=lead.strip(), joiner="\n\n"))
+        lead, name = "", f"{block.header} (cont.)"
     while at < len(body):
-        room = max(1, most - len(header)) if first else most
-        if len(body) - at <= room:
-            end, joiner, next_ = len(body), block.joiner, len(body)
-        else:
-            end, joiner = _cut(body, at, room)
-            next_ = end + len(joiner)
-        piece = body[at:end]
-        if piece.strip():
-            out.append(replace(block, content=(header if first else "") + piece, header=block.header + ("" if first else " (cont.)"), joiner=joiner))
-        first, at = False, next_
-    return out
+        room = most - len(lead)
+        end, joiner = (len(body), block.joiner) if len(body) - at <= room else _cut(body, at, room)
+        if piece := (lead + body[at:end]).strip():
+            out.append(replace(block, content=piece, header=name, joiner=joiner))
+        lead, name, at = "", f"{block.header} (cont.)", end + len(joiner)
+    return [*out[:-1], replace(out[-1], joiner=block.joiner)] if out else []
 
 
-def _parents(blocks: list[Block], block: Block) -> dict[str, str]:
-    """Headings above a piece, by level: its own, then strictly decreasing ones before it."""
-    at = next((i for i, b in enumerate(blocks) if b.line == block.line and b.header in block.header), None)
-    if at is None:
-        return {}
-    own = blocks[at]
-    level, out = own.level, {}
-    if level > 0:
-        out[str(level)] = f"{'#' * level} {own.header}"
-    for b in reversed(blocks[:at]):
-        if level <= 1:
-            break
-        if b.level < level:
-            out[str(b.level)] = f"{'#' * b.level} {b.header}"
-            level = b.level
-    return dict(sorted(out.items()))
+def breadcrumbs(blocks: list[Block]) -> dict[int, list[str]]:
+    """For the line that each block begins at, the headings it stands under and its own, in order of level.
+
+    One pass keeps the open headings, levels rising. What stands above a heading of level 1
+    is left out, but not above a block that itself has level 1: there the text before all
+    headings shows as " Preface".
+    """
+    open_: list[Block] = []
+    out: dict[int, list[str]] = {}
+    for b in blocks:
+        while open_ and open_[-1].level >= b.level:
+            open_.pop()
+        first = max((i for i, x in enumerate(open_) if x.level == 1), default=0)
+        chain = [*open_[first:], b] if b.level else []
+        out[b.line] = [f"{'#' * x.level} {x.header}" for x in sorted(chain, key=lambda x: str(x.level))]
+        open_.append(b)
+    return out
 
 
 def partition(sizes: list[int], joiners: list[int], target: int, most: int) -> list[int]:
     """Cut points of the runs that minimise the squared distance from ``target``, none above ``most``.
 
-    If no such runs reach the end, a last run measured without separators may; otherwise
-    runs are filled greedily, without counting separators.
+    If no such runs reach the end, the cheapest last run measured without separators may;
+    otherwise runs are filled greedily up to the target, without counting separators.
     """
     n = len(sizes)
     size, sep = [0, *accumulate(sizes)], [0, *accumulate(joiners)]
@@ -122,15 +127,10 @@ def partition(sizes: list[int], joiners: list[int], target: int, most: int) -> l
                 best[i], back[i] = cost, j
     end, cuts = n, [n]
     if best[n] == float("inf"):
-        rest = next((j for j in range(n - 1, -1, -1) if best[j] < float("inf") and size[n] - size[j] <= most), None)
-        if rest is None:
-            cuts, total = [], 0
-            for i, s in enumerate(sizes):
-                if i and total + s > most:
-                    cuts.append(i)
-                    total = 0
-                total += s
-            return [*cuts, n]
+        cost, rest = min(((best[j] + (size[n] - size[j] - target) ** 2, -j) for j in range(n) if size[n] - size[j] <= most), default=(float("inf"), 0))
+        if cost == float("inf"):
+            return _greedy(sizes, target, most)
+        rest = -rest
         end, cuts = rest, ([n, rest] if rest else [n])
     while back[end] > 0:
         end = back[end]
@@ -138,18 +138,32 @@ def partition(sizes: list[int], joiners: list[int], target: int, most: int) -> l
     return sorted(set(cuts))
 
 
+def _greedy(sizes: list[int], target: int, most: int) -> list[int]:
+    cuts, total = [], 0
+    for i, s in enumerate(sizes):
+        if total and total + s > most:
+            cuts.append(i)
+            total = 0
+        total += s
+        if total >= target:
+            cuts.append(i + 1)
+            total = 0
+    return sorted({*cuts, len(sizes)} - {0})
+
+
 def chunk_markdown(text: str, target: int = 1024, most: int = 2048, strip_links: bool = True) -> list[dict]:
     """Chunks of a document: seq_id, text, line, headers (breadcrumb), table and fence heads carried over."""
     blocks = parse_blocks(text, strip_links)
     pieces = [p for b in blocks for p in split_block(b, most)]
     if not pieces:
         return []
+    above = breadcrumbs(blocks)
     out, a = [], 0
     for b in partition([len(p.content) for p in pieces], [len(p.joiner) for p in pieces], target, most):
         run = pieces[a:b]
         content = "".join(p.content + (p.joiner if k < len(run) - 1 else "") for k, p in enumerate(run))
-        heads = {k: v for k, v in _parents(blocks, run[0]).items() if not content.startswith(v)}
-        out.append({"seq_id": len(out), "text": content, "line": run[0].line, "headers": " > ".join(v.replace("#", "").strip() if v.strip() != "Preface" else v for v in heads.values()), "table_head": None, "fence_head": None})
+        heads = [v for v in above[run[0].line] if not content.strip().startswith(v.strip())]
+        out.append({"seq_id": len(out), "text": content, "line": run[0].line, "headers": " > ".join(filter(None, (re.sub(r"^\s*#+\s*", "", v).strip() for v in heads))), "table_head": None, "fence_head": None})
         a = b
     _carry(out)
     return out
@@ -179,42 +193,96 @@ SCHEMA = "seq_id int, text string, line int, headers string, table_head string,
 def markdown_chunks(docs: DataFrame, key: str = "doc_id", *, target: int = 1024, most: int = 2048) -> DataFrame:
     """Chunks of ``body``, one task per batch of documents, no shuffle. Null and empty bodies have none."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [{"key": k, **c} for k, t in zip(batch["key"], batch["body"], strict=True) if t for c in chunk_markdown(t, target, most)]
-            yield pd.DataFrame(rows, columns=["key", "seq_id", "text", "line", "headers", "table_head", "fence_head"])
+            found = [chunk_markdown(t, target, most) if t else [] for t in batch.column("body").to_pylist()]
+            keys = batch.column("key").take(pa.array([i for i, x in enumerate(found) for _ in x], pa.int64()))
+            rows = pa.RecordBatch.from_pylist([c for x in found for c in x], kinds)
+            yield pa.RecordBatch.from_arrays([keys, *rows.columns], ["key", *kinds.names])
 
+    kinds = pa.schema([("seq_id", pa.int32()), ("text", pa.string()), ("line", pa.int32()), *((c, pa.string()) for c in ("headers", "table_head", "fence_head"))])
     kind = docs.schema[key].dataType.simpleString()
-    return docs.selectExpr(f"`{key}` AS key", "body").mapInPandas(run, f"key {kind}, {SCHEMA}").withColumnRenamed("key", key)
+    return docs.selectExpr(f"`{key}` AS key", "body").mapInArrow(run, f"key {kind}, {SCHEMA}").withColumnRenamed("key", key)
 
 
-def merge_snippets(snippets: list[tuple[int, str]]) -> str:
-    """Joins the snippets of a document in order: overlaps of 20 to 250 characters merge, gaps are marked.
+@dataclass
+class _Run:
+    """Snippets that became one text: the places it spans, its headings."""
 
-    Negative places are fallbacks: used if nothing else is there, or appended if not contained.
-    """
-    rows = [(s, t.strip()) for s, t in snippets if t and t.strip()]
-    main = sorted({s: t for s, t in reversed(rows) if s >= 0}.items())
-    other = [t for s, t in rows if s < 0]
-    out: list[str] = []  # blocks and gap marks
-    marks: set[int] = set()  # which of them are marks
-    before = -1
-    for seq, text in main:
-        if seq > before + 1:
-            marks.add(len(out))
-            out.append(f"(... {seq - before - 1} chunk(s) skipped ...)")
-        before = seq
-        if any(text in x for i, x in enumerate(out) if i not in marks):
+    first: int
+    last: int
+    heads: str
+    text: str
+
+
+def _joined(snippets: list[tuple[int, str, str]]) -> list[_Run]:
+    """Drops what is contained, takes in what contains, joins at overlaps of 20 to 250 characters."""
+    out: list[_Run] = []
+    for seq, text, heads in snippets:
+        if any(text in x.text for x in out):
+            continue
+        inside = [x for x in out if x.text in text]
+        if inside:
+            whole = _Run(min(seq, *(x.first for x in inside)), max(seq, *(x.last for x in inside)), inside[0].heads or heads, text)
+            out = [whole if x is inside[0] else x for x in out if x is inside[0] or x not in inside]
             continue
-        keep = [i for i, x in enumerate(out) if i in marks or x not in text]
-        out, marks = [out[i] for i in keep], {n for n, i in enumerate(keep) if i in marks}
-        last = out[-1] if out and len(out) - 1 not in marks else ""
-        k = next((k for k in range(min(len(text), len(last), 250), 19, -1) if last.endswith(text[:k])), 0)
-        if k:
-            out[-1] += text[k:]
+        end = out[-1] if out else None
+        k = next((k for k in range(min(len(text), len(end.text), 250), 19, -1) if end.text.endswith(text[:k])), 0) if end else 0
+        if end and k:
+            end.text, end.last = end.text + text[k:], max(end.last, seq)
         else:
-            out.append(text)
-    extra = [t for t in other if not any(t in x for i, x in enumerate(out) if i not in marks)]
-    if extra and out:
-        out.append("(... chunks skipped ...)")
-    return "\n\n".join(out + extra)
+            out.append(_Run(seq, seq, heads, text))
+    return out
+
+
+def _skipped(n: int) -> str:
+    return f"(... {n} chunk{'s' if n > 1 else ''} skipped ...)"
+
+
+def merge_snippets(snippets: list[tuple], title: str = "") -> list[str]:
+    """The snippets (seq_id, text[, headings]) of a document in reading order, with marks for gaps.
+
+    Snippets of one place count once. Negative places are fallbacks: used if nothing else is
+    there, or appended if neither contained nor containing. A text gets a line of the headings
+    that aren't shown yet, aren't the title and don't begin the text.
+    """
+    rows = [(s[0], s[1].strip(), (s[2] if len(s) > 2 else "") or "") for s in snippets if s[1] and s[1].strip()]
+    placed = sorted({r[0]: r for r in reversed(rows) if r[0] >= 0}.values())
+    loose = [r for r in rows if r[0] < 0]
+    runs = _joined(placed or loose)
+    for seq, text, heads in loose if placed else ():
+        if not any(text in x.text or x.text in text for x in runs):
+            runs.append(_Run(seq, seq, heads, text))
+    plain = lambda x: re.sub(r"[^\w]", "", x.lower())
+    bare = lambda x: re.sub(r"^\s*#+\s*", "", x).strip()
+    shown, out = {plain(title)}, []
+    before = -1 if placed else None
+    for run in runs:
+        if before is not None and run.first >= 0 and (before >= 0 or not out):
+            if run.first > before + 1:
+                out.append(_skipped(run.first - before - 1))
+        elif before is not None:
+            out.append("(... chunks skipped ...)")
+        before = run.last
+        new = [p for p in map(bare, run.heads.split(">")) if plain(p) and plain(p) not in shown]
+        shown |= set(map(plain, new))
+        if new and plain(new[-1]) == plain(bare(run.text.split("\n", 1)[0])):
+            new.pop()
+        out.append(f"## {' > '.join(new)}\n\n{run.text}" if new else run.text)
+    return out
+
+
+def merged_snippets(hits: DataFrame, keys: tuple[str, ...] = ("query_id", "collection", "path")) -> DataFrame:
+    """(keys, title, snippets) of hits with seq_id, text, headers and title: each document's snippets merged.
+
+    A document's hits are gathered in one row: cut the hits first, as ``group_by_document`` does.
+    """
+    rows = hits.groupBy(*keys).agg(F.first("title").alias("title"), F.array_sort(F.collect_list(F.struct("seq_id", "text", "headers"))).alias("found"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            merged = [merge_snippets([(x["seq_id"], x["text"], x["headers"]) for x in found], title or "") for found, title in zip(batch.column("found").to_pylist(), batch.column("title").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*keys, "title")), pa.array(merged, pa.list_(pa.string()))], [*keys, "title", "snippets"])
+
+    kinds = ", ".join(f"`{k}` {hits.schema[k].dataType.simpleString()}" for k in (*keys, "title"))
+    return rows.mapInArrow(run, f"{kinds}, snippets array<string>")

@@ -24,14 +24,21 @@ def seen(results: DataFrame, session_id: str | None = None) -> DataFrame:
     return rows.select(*([] if session_id is not None else ["session_id"]), *CHUNK).distinct()
 
 
+def _shared(a: DataFrame, b: DataFrame) -> list[str]:
+    """What chunks are known by: their place, and the session where both tables have one."""
+    return (["session_id"] if "session_id" in a.columns and "session_id" in b.columns else []) + CHUNK
+
+
 def exclude_seen(hits: DataFrame, seen_chunks: DataFrame) -> DataFrame:
-    """Drops seen chunks before ranks are cut."""
-    return hits.join(seen_chunks.select(*CHUNK).distinct(), CHUNK, "left_anti")
+    """Drops seen chunks before ranks are cut; of hits with a session_id those that the session itself has seen."""
+    keys = _shared(hits, seen_chunks)
+    return hits.join(seen_chunks.select(*keys).distinct(), keys, "left_anti")
 
 
 def exclusion_stats(scope: DataFrame, seen_chunks: DataFrame) -> DataFrame:
     """How many chunks and documents of the scope are seen."""
-    return scope.join(seen_chunks.select(*CHUNK).distinct(), CHUNK, "left_semi").agg(F.count("*").alias("chunks"), F.count_distinct("collection", "path").alias("documents"))
+    keys = _shared(scope, seen_chunks)
+    return scope.join(seen_chunks.select(*keys).distinct(), keys, "left_semi").agg(F.count("*").alias("chunks"), F.count_distinct("collection", "path").alias("documents"))
 
 
 def session_info(events: DataFrame, results: DataFrame) -> DataFrame:

@@ -2,27 +2,90 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.vectors import cosine
 from lodestone.operators.lexical import ranked
 
 #: Query vectors compared in one pass over the stored ones.
 QUERY_BLOCK = 1000
 
 
-def cosine_scan(vectors: DataFrame, queries: DataFrame, *, limit: int = 50) -> DataFrame:
-    """Best chunks by cosine for queries (query_id, query) over vectors (chunk_id, embedding).
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    """Rows of ``dim`` doubles; null and vectors of another length become zeros."""
+    rows = [np.asarray(x, float) if x is not None and len(x) == dim and None not in x else np.zeros(dim) for x in column.to_pylist()] if column.null_count or (np.diff(column.offsets.to_numpy()) != dim).any() or column.flatten().null_count else None
+    return np.array(rows).reshape(-1, dim) if rows is not None else column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dim)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    norm = np.sqrt((x * x).sum(axis=1))
+    return x / np.where(norm > 0, norm, 1)[:, None]
+
+
+def quantised(x: np.ndarray) -> np.ndarray:
+    """What remains of vectors stored as eight-bit numbers."""
+    return np.clip(np.rint(x * 127), -128, 127) / 127
+
+
+def _scores(stored: np.ndarray, asked: np.ndarray, kind: str) -> np.ndarray:
+    """Scores of (stored, asked) pairs; ``asked`` is of unit length, or bits."""
+    if kind == "hamming":
+        bits = (stored > 0).astype(float)
+        return 1 / (1 + bits.sum(axis=1)[:, None] + asked.sum(axis=1) - 2 * bits @ asked.T)
+    return _unit(quantised(stored) if kind == "int8" else stored) @ asked.T
 
-    The query set is counted and cut into blocks of ``QUERY_BLOCK``; each block rides along
-    with a scan of all vectors, as one array. Filter the vectors first: nothing is cut
-    before the ranking.
+
+def vector_scan(vectors: DataFrame, queries: DataFrame, *, limit: int = 50, kind: str = "cosine", excluded: DataFrame | None = None) -> DataFrame:
+    """Best chunks for queries (query_id, query) over vectors (chunk_id, embedding), with vec_rank.
+
+    ``kind`` is cosine, int8 (cosine with stored vectors rounded to eight bits) or hamming (1 /
+    (1 + differing bits)). The query set goes out in blocks of ``QUERY_BLOCK``; each rides along
+    with a scan of all vectors, and of every batch only what can be among the first leaves it. A
+    zero or null vector, or one of another length than the query, scores 0. ``excluded``
+    (query_id, chunk_id) are left out before the ranking. Filter the vectors first: nothing is
+    cut before the ranking.
     """
+    room = limit
+    if excluded is not None:
+        room += excluded.groupBy("query_id").count().agg(F.max("count")).first()[0] or 0
     blocks = -(-queries.count() // QUERY_BLOCK) or 1
-    asked = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    packed = asked.groupBy("block").agg(F.collect_list(F.struct("query_id", "query")).alias("queries"))
-    pairs = vectors.select("chunk_id", "embedding", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-    pairs = pairs.join(F.broadcast(packed) if blocks == 1 else packed, "block").select("chunk_id", "embedding", F.explode("queries").alias("q"))
-    scored = pairs.select("q.query_id", "chunk_id", cosine(F.col("embedding"), F.col("q.query")).alias("score"))
-    return ranked(scored, limit, "vec_rank")
+    asked = queries.select("query_id", "query").withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    kinds = [queries.schema["query_id"].dataType.simpleString(), vectors.schema["chunk_id"].dataType.simpleString()]
+    out = None
+    for b in range(blocks):
+        one = asked.filter(F.col("block") == b).toArrow()
+        block = queries.sparkSession.sparkContext.broadcast(one.combine_chunks())
+
+        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            table = block.value
+            if not table.num_rows:
+                return
+            ids, column = table["query_id"].combine_chunks(), table["query"].combine_chunks()
+            dim = max(map(len, filter(None, column.to_pylist())), default=0)
+            want = _matrix(column, dim)
+            want = (want > 0).astype(float) if kind == "hamming" else _unit(want)
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                score = _scores(_matrix(batch.column("embedding"), dim), want, kind)
+                if len(score) > room:  # ties with the last place stay, ranks settle them
+                    cut = np.partition(score, len(score) - room, axis=0)[len(score) - room]
+                    row, query = np.nonzero(score >= cut - 1e-8)
+                else:
+                    row, query = (x.ravel() for x in np.indices(score.shape))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(query)), batch.column("chunk_id").take(pa.array(row)), pa.array(score[row, query])], ["query_id", "chunk_id", "score"])
+
+        found = vectors.select("chunk_id", "embedding").mapInArrow(run, f"query_id {kinds[0]}, chunk_id {kinds[1]}, score double")
+        out = found if out is None else out.unionByName(found)
+    if excluded is not None:
+        out = out.join(excluded.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
+    return ranked(out, limit, "vec_rank")
+
+
+def cosine_scan(vectors: DataFrame, queries: DataFrame, *, limit: int = 50) -> DataFrame:
+    """``vector_scan`` by cosine."""
+    return vector_scan(vectors, queries, limit=limit)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as T
 from lodestone.functions import vectors as V
 from lodestone.operators import chunks as C
-from lodestone.operators import fusion, hierarchy, inspect, lexical, maintenance, markdown, sessions, similarity
+from lodestone.operators import fusion, hierarchy, inspect, lexical, maintenance, markdown, search, sessions, similarity
 from lodestone.sources import files, render
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,35 +56,72 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/embeddings.parquet")
 
 
-def benchmark_terms(spark: SparkSession, d: str, n: int | None = None) -> DataFrame:
-    """The tokens of each benchmark item as a query; with ``n`` the first ones."""
-    rows, found = spark.read.parquet(f"{d}/benchmark.parquet"), T.tokens(F.col("text"))
-    return rows.select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(found if n is None else F.slice(found, 1, n))).alias("term"))
+def benchmark_terms(spark: SparkSession, d: str) -> DataFrame:
+    """The tokens of each benchmark item as a query."""
+    rows = spark.read.parquet(f"{d}/benchmark.parquet")
+    return rows.select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
+
+
+def sentences(spark: SparkSession, d: str) -> DataFrame:
+    """(query_id, text): the sentences of the benchmark items."""
+    rows = spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", F.posexplode(F.split("text", "[.\\n]+")).alias("at", "text"))
+    return rows.select((F.col("item_id") * 1000 + F.col("at")).alias("query_id"), "text")
+
+
+def queries_with_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """The benchmark items as queries; the vector of an item's number stands for its embedding."""
+    rows = spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return rows.join(vectors(spark, d).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), "query_id", "left")
+
+
+def corpus(spark: SparkSession, d: str) -> search.Corpus:
+    """The chunks with their index; the vectors of documents stand for those of their first chunks."""
+    rows = chunks(spark, d)
+    of_first = vectors(spark, d).join(rows.filter("seq_id = 0").select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
+    of_first = of_first.select((F.col("vec_id") * C.MOST_CHUNKS).alias("chunk_id"), "embedding")
+    return search.Corpus(rows.withColumnRenamed("body", "text"), lexical.index_chunks(rows), of_first)
 
 
 _CORPUS = """c AS (SELECT doc_id, lang AS collection, source || '/doc_' || doc_id || '.md' AS path, 'Doc ' || doc_id AS title, text AS body, sha256(text) AS hash FROM documents),
-k AS (SELECT doc_id, collection, path, title, hash, seq_id, substr(body, seq_id * 800 + 1, 1000) AS body, doc_id * 100000 + seq_id AS chunk_id FROM (SELECT *, unnest(range(CASE WHEN length(body) <= 1000 THEN 1 ELSE ceil((length(body) - 200) / 800.0)::INT END))::INT AS seq_id FROM c WHERE length(body) > 0))"""
-_INDEX = (
-    _CORPUS
-    + r""",
-x AS (SELECT chunk_id, list_filter(regexp_split_to_array(lower(concat_ws(' ', collection, path, title, body)), '[^\p{L}\p{N}]+'), lambda t: t <> '') AS terms FROM k)"""
-)
-_BTOK = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda t: t <> '')"
+k AS (SELECT doc_id, collection, path, title, hash, seq_id, substr(body, seq_id * 800 + 1, 1000) AS body, doc_id * 16777216 + seq_id AS chunk_id FROM (SELECT *, unnest(range(CASE WHEN length(body) <= 1000 THEN 1 ELSE ceil((length(body) - 200) / 800.0)::INT END))::INT AS seq_id FROM c WHERE length(body) > 0))"""
+def _tok(text: str) -> str:
+    return rf"list_filter(regexp_split_to_array(lower(coalesce({text}, '')), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')"
 
 
-def _bm25(terms: str) -> str:
-    """Postings weights ``w`` (term, chunk_id, weight) for queries ``q`` (query_id, term)."""
-    return f"""{_INDEX}, q AS ({terms}),
-t AS (SELECT chunk_id, len(terms) AS len, unnest(terms) AS term FROM x),
-p AS (SELECT term, chunk_id, any_value(len) AS len, count(*) AS tf FROM t WHERE term IN (SELECT term FROM q) GROUP BY term, chunk_id),
-s AS (SELECT term, count(*) AS seen FROM p GROUP BY term),
-g AS (SELECT count(*)::DOUBLE AS n, avg(len(terms)) AS mean FROM x),
-w AS (SELECT p.term, chunk_id, (CASE WHEN ln((n - seen + 0.5) / (seen + 0.5)) > 0 THEN ln((n - seen + 0.5) / (seen + 0.5)) ELSE 1e-6 END) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean)) AS weight FROM p JOIN s ON s.term = p.term, g)"""
+# An empty token parts the columns.
+_INDEX = f"""{_CORPUS},
+x0 AS (SELECT chunk_id, {_tok('collection')} || [''] || {_tok('path')} || [''] || {_tok('title')} || [''] || {_tok('body')} AS terms FROM k),
+x AS (SELECT chunk_id, terms, len(terms) - 3 AS len FROM x0)"""
+_BTOK = _tok("text")
 
 
-_ANY = "SELECT query_id, chunk_id, greatest(1e-4, sum(weight)) AS score, count(*) AS met FROM (SELECT DISTINCT query_id, term FROM q) q JOIN w ON w.term = q.term GROUP BY query_id, chunk_id"
-_FIRST3 = f"SELECT item_id AS query_id, unnest(list_distinct(({_BTOK})[1:3])) AS term FROM benchmark"
-_WHOLE = _FIRST3.replace("[1:3]", "")
+def _bm25(leaves: str) -> str:
+    """Weights ``w`` (key, chunk_id, weight) of the phrases of ``l`` (query_id, tier, leaf, toks)."""
+    return f"""{_INDEX}, l AS ({leaves}),
+f AS (SELECT DISTINCT array_to_string(toks, ' ') AS key, toks FROM l),
+fp AS (SELECT key, len(toks) AS n, unnest(toks) AS term, unnest(range(len(toks))) AS o FROM f),
+t AS (SELECT chunk_id, len, unnest(terms) AS term, unnest(range(len(terms))) AS pos FROM x),
+m AS (SELECT key, chunk_id, n, pos - o AS s, any_value(len) AS len, count(DISTINCT o) AS met FROM t JOIN fp ON fp.term = t.term GROUP BY key, chunk_id, n, pos - o),
+p AS (SELECT key, chunk_id, any_value(len) AS len, count(*) AS tf FROM m WHERE met = n GROUP BY key, chunk_id),
+sn AS (SELECT key, count(*) AS seen FROM p GROUP BY key),
+g AS (SELECT count(*)::DOUBLE AS n, avg(len) AS mean FROM x),
+w AS (SELECT p.key, chunk_id, (CASE WHEN ln((n - seen + 0.5) / (seen + 0.5)) > 0 THEN ln((n - seen + 0.5) / (seen + 0.5)) ELSE 1e-6 END) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean)) AS weight FROM p JOIN sn ON sn.key = p.key, g),
+hl AS (SELECT query_id, tier, chunk_id, greatest(1e-4, sum(weight)) AS score, count(*) AS met FROM l JOIN w ON w.key = array_to_string(toks, ' ') GROUP BY query_id, tier, chunk_id),
+nl AS (SELECT query_id, tier, count(*) AS n FROM l GROUP BY query_id, tier)"""
+
+
+def _terms(source: str, columns: str = "item_id AS query_id") -> str:
+    """The distinct tokens of texts as leaves."""
+    return f"SELECT query_id, 0 AS tier, 0 AS leaf, [t] AS toks FROM (SELECT {columns}, unnest(list_distinct({_BTOK})) AS t FROM {source})"
+
+
+_STOPS = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
+#: Whole query texts as leaves: all words but stop words in tier 0, any of them in tier 1.
+_LEAVES = rf"""SELECT query_id, tier, leaf, toks FROM (SELECT query_id, tier, leaf, {_tok('w')} AS toks FROM (
+  SELECT query_id, 0 AS tier, unnest(ws) AS w, unnest(range(len(ws))) AS leaf FROM (SELECT query_id, CASE WHEN len(list_filter(ws, lambda y: lower(y) NOT IN ({_STOPS}))) > 0 THEN list_filter(ws, lambda y: lower(y) NOT IN ({_STOPS})) ELSE ws END AS ws
+    FROM (SELECT item_id AS query_id, list_filter(regexp_split_to_array(replace(text, '"', ''), '\s+'), lambda y: y <> '') AS ws FROM benchmark))
+  UNION ALL SELECT query_id, 1, unnest(ws), unnest(range(len(ws))) FROM (SELECT item_id AS query_id, list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\s+'), lambda y: len(y) > 1 AND y NOT IN ({_STOPS})) AS ws FROM benchmark) WHERE len(ws) > 1)) WHERE len(toks) > 0"""
+_SENTENCES = r"(SELECT item_id * 1000 + unnest(range(len(p))) AS query_id, unnest(p) AS text FROM (SELECT item_id, regexp_split_to_array(text, '[.\n]+') AS p FROM benchmark))"
 
 
 def _top(source: str, limit: int, rank: str = "fts_rank") -> str:
@@ -103,9 +140,9 @@ def _c9(spark: SparkSession, d: str) -> DataFrame:
     return chunks(spark, d).select("doc_id", "seq_id", "body")
 
 
-@_register("d1_tokens", f"WITH {_INDEX} SELECT chunk_id, len(terms)::INT AS length, terms[1] AS first_term FROM x")
+@_register("d1_tokens", f"WITH {_INDEX} SELECT chunk_id, len::INT AS length, array_to_string(terms, ' ') AS terms FROM x")
 def _d1(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.index_chunks(chunks(spark, d)).select("chunk_id", "length", F.get("terms", F.lit(0)).alias("first_term"))
+    return lexical.index_chunks(chunks(spark, d)).select("chunk_id", "length", F.array_join("terms", " ").alias("terms"))
 
 
 @_register("j1_content_hash", "SELECT doc_id, sha256(text) AS hash FROM documents")
@@ -113,7 +150,7 @@ def _j1(spark: SparkSession, d: str) -> DataFrame:
     return documents(spark, d).select("doc_id", "hash")
 
 
-@_register("j3_redact_pii", r"SELECT doc_id, regexp_replace(regexp_replace(text, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}', '<redacted>', 'g'), '\b(?:\+\d{1,3}[-.\s]?)?\(?\d{2,4}\)?[-.\s]?\d{3,4}[-.\s]?\d{3,4}\b', '<redacted>', 'g') AS text FROM documents")
+@_register("j3_redact_pii", f"SELECT doc_id, regexp_replace(regexp_replace(text, '{T.EMAIL}', '{T.REDACTED}', 'g'), '{T.PHONE}', '{T.REDACTED}', 'g') AS text FROM documents")
 def _j3(spark: SparkSession, d: str) -> DataFrame:
     return documents(spark, d).select("doc_id", T.redact_pii(F.col("body")).alias("text"))
 
@@ -133,43 +170,71 @@ def _j10(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/pages.parquet").select("page_id", T.escape_xml(F.col("html")).alias("html"))
 
 
-@_register("a17_markdown_table", r"SELECT n_nationkey, '| key | name |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || n_nationkey || ' | ' || trim(regexp_replace(n_name, '\s+', ' ', 'g')) || ' |' AS md FROM nation")
+@_register("a17_markdown_table", r"SELECT doc_id, '| key | text |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || doc_id || ' | ' || replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '|', '\|') || ' |' AS md FROM documents")
 def _a17(spark: SparkSession, d: str) -> DataFrame:
-    rows = F.array(F.array(F.lit("key"), F.lit("name")), F.array(F.col("n_nationkey").cast("string"), F.col("n_name")))
-    return spark.read.parquet(f"{d}/nation.parquet").select("n_nationkey", T.markdown_table(rows).alias("md"))
+    rows = F.array(F.array(F.lit("key"), F.lit("text")), F.array(F.col("doc_id").cast("string"), F.col("body")))
+    return documents(spark, d).select("doc_id", T.markdown_table(rows).alias("md"))
 
 
 # -- lexical ---------------------------------------------------------------------------
 
 
-@_register("d3_bm25_any", f"WITH {_bm25(_WHOLE)}, h AS ({_ANY}) SELECT query_id, chunk_id, round(score, 6) AS score, fts_rank FROM ({_top('h', 10)})")
+_ANY = "SELECT query_id, chunk_id, score FROM hl"
+_ALL = "SELECT hl.* FROM hl JOIN nl ON nl.query_id = hl.query_id AND nl.tier = hl.tier AND nl.n = hl.met"
+
+
+@_register("d3_bm25_any", f"WITH {_bm25(_terms('benchmark'))} SELECT query_id, chunk_id, round(score, 6) AS score, fts_rank FROM ({_top('hl', 10)})")
 def _d3(spark: SparkSession, d: str) -> DataFrame:
-    hits = lexical.match(lexical.index_chunks(chunks(spark, d)), benchmark_terms(spark, d), every=False)
-    return _rounded(lexical.ranked(hits, 10), "score")
+    return _rounded(lexical.match_any_top(lexical.index_chunks(chunks(spark, d)), benchmark_terms(spark, d), 10), "score")
 
 
-@_register("d5_boolean_and", f"WITH {_bm25(_FIRST3)}, h AS (SELECT a.* FROM ({_ANY}) a JOIN (SELECT query_id, count(DISTINCT term) AS n FROM q GROUP BY query_id) n ON n.query_id = a.query_id AND n.n = a.met) SELECT query_id, chunk_id, round(score, 6) AS score, fts_rank FROM ({_top('h', 50)})")
+@_register("d5_boolean_and", f"WITH {_bm25(_terms(_SENTENCES, 'query_id'))}, h AS ({_ALL}) SELECT query_id, chunk_id, round(score, 6) AS score, fts_rank FROM ({_top('h', 50)})")
 def _d5(spark: SparkSession, d: str) -> DataFrame:
-    hits = lexical.match(lexical.index_chunks(chunks(spark, d)), benchmark_terms(spark, d, 3))
-    return _rounded(lexical.ranked(hits, 50), "score")
+    terms = sentences(spark, d).select("query_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
+    return _rounded(lexical.ranked(lexical.match(lexical.index_chunks(chunks(spark, d)), terms), 50), "score")
 
 
 @_register("d5_boolean_not", f"WITH {_INDEX} SELECT 1 AS query_id, chunk_id FROM x WHERE list_contains(terms, 'the') AND NOT list_contains(terms, 'and')")
 def _d5n(spark: SparkSession, d: str) -> DataFrame:
-    index = lexical.index_chunks(chunks(spark, d))
-    one = lambda t: spark.sql(f"SELECT 1 AS query_id, '{t}' AS term")
-    return lexical.without(lexical.match(index, one("the")), lexical.match(index, one("and"))).select("query_id", "chunk_id")
+    return _asked(spark, d, "the NOT and").select("query_id", "chunk_id")
 
 
-@_register("d6_phrase", f"WITH {_INDEX}, q AS (SELECT item_id AS query_id, ({_BTOK})[1:4] AS terms FROM benchmark), t AS (SELECT chunk_id, unnest(terms) AS term, unnest(range(len(terms))) AS pos FROM x), a AS (SELECT query_id, len(terms) AS n, unnest(terms) AS term, unnest(range(len(terms))) AS o FROM q), m AS (SELECT query_id, chunk_id, n, pos - o AS s, count(DISTINCT o) AS met FROM t JOIN a ON a.term = t.term GROUP BY ALL) SELECT query_id, chunk_id, count(*) AS hits FROM m WHERE met = n GROUP BY query_id, chunk_id")
+@_register("d6_phrase", f"WITH {_bm25(f'SELECT query_id, 0 AS tier, 0 AS leaf, {_BTOK} AS toks FROM {_SENTENCES} WHERE len({_BTOK}) > 0')} SELECT query_id, chunk_id, tf::BIGINT AS hits FROM l JOIN p ON p.key = array_to_string(toks, ' ')")
 def _d6(spark: SparkSession, d: str) -> DataFrame:
-    asked = spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.slice(T.tokens(F.col("text")), 1, 4).alias("terms"))
-    return lexical.phrase(lexical.index_chunks(chunks(spark, d)), asked)
+    asked = sentences(spark, d).select("query_id", T.tokens(F.col("text")).alias("terms")).filter("size(terms) > 0")
+    asked = asked.withColumn("key", F.array_join("terms", " "))
+    forms = asked.select("key", "terms", F.lit(None).cast("array<int>").alias("columns"), F.lit(False).alias("first")).dropDuplicates(["key"])
+    found = lexical.phrase_hits(lexical.index_chunks(chunks(spark, d)), forms)
+    return asked.select("query_id", "key").join(found, "key").select("query_id", "chunk_id", F.col("tf").alias("hits"))
+
+
+def _asked(spark: SparkSession, d: str, expression: str) -> DataFrame:
+    """Hits of one match expression, without relaxation."""
+    one = spark.createDataFrame([(1, expression)], "query_id int, query string")
+    return lexical.search(lexical.index_chunks(chunks(spark, d)), lexical.compile_queries(one).filter("NOT last"))
+
+
+
+@_register("d4_boolean_tree", rf"""WITH {_bm25("SELECT 1 AS query_id, 0 AS tier, 0 AS leaf, unnest([['the'], ['ing'], ['there', 'is'], ['of']]) AS toks")}
+SELECT 1 AS query_id, chunk_id, round(score, 6) AS score FROM hl WHERE chunk_id IN (SELECT chunk_id FROM x WHERE (list_contains(terms, 'the') AND NOT list_contains(terms, 'of')) OR list_contains(terms, 'ing') OR chunk_id IN (SELECT chunk_id FROM p WHERE key = 'there is'))""")
+def _d4(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(_asked(spark, d, 'ing OR the NOT of OR "there is"').select("query_id", "chunk_id", "score"), "score")
+
+
+@_register("d7_column", f"WITH {_CORPUS} SELECT 1 AS query_id, chunk_id FROM k WHERE list_contains({_tok('title')}, '7') OR list_contains({_tok('title')}, '77') OR {_tok('path')}[1] = 'src3'")
+def _d7c(spark: SparkSession, d: str) -> DataFrame:
+    return _asked(spark, d, "title:(7 OR 77) OR path: ^src3").select("query_id", "chunk_id")
+
+
+@_register("d7_near", f"WITH {_INDEX}, u AS (SELECT chunk_id, unnest(terms) AS term, unnest(range(len(terms))) AS pos FROM x) SELECT DISTINCT 1 AS query_id, a.chunk_id FROM u a JOIN u b ON b.chunk_id = a.chunk_id AND a.term = 'there' AND b.term = 'is' AND abs(a.pos - b.pos) - 1 <= 2")
+def _d7n(spark: SparkSession, d: str) -> DataFrame:
+    return _asked(spark, d, "NEAR(there is, 2)").select("query_id", "chunk_id")
 
 
 @_register("d7_prefix", f"WITH {_INDEX}, t AS (SELECT chunk_id, unnest(terms) AS term FROM x) SELECT 1 AS query_id, chunk_id, count(*) AS hits FROM t WHERE starts_with(term, 'thes') GROUP BY chunk_id")
 def _d7(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.prefix(lexical.index_chunks(chunks(spark, d)), spark.sql("SELECT 1 AS query_id, 'thes' AS prefix"))
+    found = lexical.postings(lexical.index_chunks(chunks(spark, d)), spark.sql("SELECT 'thes*' AS term"))
+    return found.select(F.lit(1).alias("query_id"), "chunk_id", F.col("tf").alias("hits"))
 
 
 @_register("d9_metadata_filter", f"WITH {_CORPUS} SELECT doc_id FROM c WHERE collection = 'en' AND contains(lower(title), 'doc 1') AND (contains(path, 'src1/') OR contains(path, 'src7/'))")
@@ -177,28 +242,19 @@ def _d9(spark: SparkSession, d: str) -> DataFrame:
     return documents(spark, d).filter(lexical.metadata_filter("en", "doc 1", "src1/, src7/")).select("doc_id")
 
 
-_TIERS = f"SELECT * FROM (SELECT query_id, 0 AS tier, false AS last, term FROM ({_FIRST3}) UNION ALL SELECT query_id, 1, false, term FROM ({_FIRST3.replace('[1:3]', '[1:2]')}) UNION ALL SELECT query_id, 2, true, term FROM ({_FIRST3}))"
+def _gated(where: str = "true") -> str:
+    """The lexical list ``fa`` of whole query texts over chunks (of ``k``) that fit ``where``."""
+    return f"""{_bm25(_LEAVES)},
+h AS (SELECT hl.query_id, hl.tier, hl.chunk_id, hl.score FROM hl JOIN nl ON nl.query_id = hl.query_id AND nl.tier = hl.tier JOIN k ON k.chunk_id = hl.chunk_id WHERE (hl.tier = 1 OR hl.met = nl.n) AND ({where})),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, tier ORDER BY round(score, 9) DESC, chunk_id) AS r FROM h) WHERE r <= 50),
+e AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY tier) AS u FROM b) WHERE u = 1),
+f2 AS (SELECT query_id, tier, coalesce(sum(count(*)) OVER (PARTITION BY query_id ORDER BY tier ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM e GROUP BY query_id, tier),
+fa AS (SELECT e.query_id, chunk_id, e.tier, score * CASE WHEN e.tier = 1 THEN 0.5 ELSE 1 END AS score, row_number() OVER (PARTITION BY e.query_id ORDER BY e.tier, r) AS fts_rank FROM e JOIN f2 ON f2.query_id = e.query_id AND f2.tier = e.tier WHERE f2.before < 3)"""
 
 
-@_register(
-    "d14_gated_tiers",
-    f"""WITH {_bm25(_TIERS)},
-h AS (SELECT query_id, tier, last, chunk_id, greatest(1e-4, sum(weight)) AS score, count(*) AS met FROM q JOIN w ON w.term = q.term GROUP BY query_id, tier, last, chunk_id),
-n AS (SELECT query_id, tier, count(*) AS n FROM q GROUP BY query_id, tier),
-a AS (SELECT h.* FROM h JOIN n ON n.query_id = h.query_id AND n.tier = h.tier WHERE h.last OR h.met = n.n),
-b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, tier ORDER BY round(score, 9) DESC, chunk_id) AS r FROM a) WHERE r <= 50),
-e AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY tier) AS u FROM b) WHERE u = 1),
-f AS (SELECT query_id, tier, coalesce(sum(count(*)) OVER (PARTITION BY query_id ORDER BY tier ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM e GROUP BY query_id, tier)
-SELECT e.query_id, chunk_id, e.tier, round(score * CASE WHEN last THEN 0.5 ELSE pow(0.85, e.tier) END, 6) AS score, row_number() OVER (PARTITION BY e.query_id ORDER BY e.tier, r) AS fts_rank FROM e JOIN f ON f.query_id = e.query_id AND f.tier = e.tier WHERE f.before < 3""",
-)
+@_register("d14_gated_tiers", f"WITH {_gated()} SELECT query_id, chunk_id, tier, round(score, 6) AS score, fts_rank FROM fa")
 def _d14(spark: SparkSession, d: str) -> DataFrame:
-    index = lexical.index_chunks(chunks(spark, d))
-    tiers = [(benchmark_terms(spark, d, 3), True), (benchmark_terms(spark, d, 2), True), (benchmark_terms(spark, d, 3), False)]
-    hits = None
-    for i, (terms, every) in enumerate(tiers):
-        one = lexical.match(index, terms, every=every).withColumn("tier", F.lit(i)).withColumn("last", F.lit(not every))
-        hits = one if hits is None else hits.unionByName(one)
-    return _rounded(lexical.gated_tiers(hits), "score")
+    return _rounded(search.lexical_search(corpus(spark, d), queries_with_vectors(spark, d)), "score")
 
 
 # -- vectors ---------------------------------------------------------------------------
@@ -207,10 +263,10 @@ _COS = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(l
 _SCAN = f"SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, {_COS} AS score FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0"
 
 
-def _vector_hits(spark: SparkSession, d: str, limit: int) -> DataFrame:
+def _vector_hits(spark: SparkSession, d: str, limit: int, kind: str = "cosine") -> DataFrame:
     rows = vectors(spark, d)
     asked = rows.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    return similarity.cosine_scan(rows.select(F.col("vec_id").alias("chunk_id"), "embedding"), asked, limit=limit)
+    return similarity.vector_scan(rows.select(F.col("vec_id").alias("chunk_id"), "embedding"), asked, limit=limit, kind=kind)
 
 
 @_register("e1_cosine_scan", f"WITH s AS ({_SCAN}) SELECT query_id, chunk_id, round(score, 6) AS score, vec_rank FROM ({_top('s', 10, 'vec_rank')})")
@@ -233,94 +289,140 @@ def _e9(spark: SparkSession, d: str) -> DataFrame:
     return documents(spark, d).select("doc_id", F.concat(F.lit("title: "), "title", F.lit(" | text: "), "body").alias("prompt"))
 
 
-# -- fusion and hierarchy ----------------------------------------------------------------
+# -- hybrid search and what builds on it ---------------------------------------------------------
+
 
-# Whole documents as one chunk each, so that vectors (by number) and texts meet.
-_DOCINDEX = r"""c AS (SELECT doc_id, lang AS collection, source || '/doc_' || doc_id || '.md' AS path, 'Doc ' || doc_id AS title, text AS body FROM documents),
-x AS (SELECT doc_id AS chunk_id, list_filter(regexp_split_to_array(lower(concat_ws(' ', collection, path, title, body)), '[^\p{L}\p{N}]+'), lambda t: t <> '') AS terms FROM c)"""
-_VTERMS = f"SELECT doc_id AS query_id, unnest(list_distinct(({_BTOK})[1:6])) AS term FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings WHERE vec_id % 50 = 0)"
-_HYBRID = f"""{_bm25(_VTERMS).replace(_INDEX, _DOCINDEX)}, h AS ({_ANY}), fa AS ({_top('h', 50)}), vs AS ({_SCAN}), va AS ({_top('vs', 50, 'vec_rank')}),
-u AS (SELECT coalesce(f.query_id, v.query_id) AS query_id, coalesce(f.chunk_id, v.chunk_id) AS chunk_id, f.score AS fts_score, fts_rank, v.score AS vec_score, vec_rank,
+def _hybrid(where: str = "true", rerank: bool = False) -> str:
+    """Fused and deduplicated hits ``dd`` of whole query texts, with their places and texts."""
+    scored = """sc AS (SELECT f.*, f.rrf_score AS score FROM fused f)"""
+    if rerank:
+        scored = f"""ov AS (SELECT f.*, f.fts_rank IS NOT NULL AND f.vec_rank IS NOT NULL AS dual, len(list_intersect(list_distinct({_tok('q.text')}), list_distinct({_tok('k.body')}))) / len(list_distinct({_tok('q.text')})) AS rr FROM fused f JOIN k ON k.chunk_id = f.chunk_id JOIN benchmark q ON q.item_id = f.query_id),
+mm AS (SELECT *, min(rrf_score) OVER v AS l1, max(rrf_score) OVER v AS h1, min(rr) OVER v AS l2, max(rr) OVER v AS h2 FROM ov WINDOW v AS (PARTITION BY query_id)),
+nn AS (SELECT *, CASE WHEN h1 > l1 THEN (rrf_score - l1) / (h1 - l1) ELSE 1.0 END AS n1, CASE WHEN h2 > l2 THEN (rr - l2) / (h2 - l2) ELSE 0.5 END AS n2 FROM mm),
+sc AS (SELECT *, CASE WHEN dual THEN greatest(0.5 * n1 + 0.5 * n2, 0.8 * n1) + 0.15 ELSE 0.5 * n1 + 0.5 * n2 END AS score FROM nn)"""
+    return rf"""{_gated(where)},
+qv AS (SELECT item_id AS query_id, a.embedding FROM benchmark JOIN embeddings a ON a.vec_id = item_id),
+vs AS (SELECT a.query_id, k.chunk_id, {_COS} AS score FROM qv a, embeddings b JOIN k ON k.chunk_id = b.vec_id * 16777216 WHERE {where}), va AS ({_top('vs', 50, 'vec_rank')}),
+u AS (SELECT coalesce(f.query_id, v.query_id) AS query_id, coalesce(f.chunk_id, v.chunk_id) AS chunk_id, fts_rank, vec_rank,
   coalesce(1 / (60 + fts_rank - 1.0) + CASE WHEN fts_rank = 1 THEN 0.05 WHEN fts_rank <= 3 THEN 0.02 ELSE 0 END, 0) + coalesce(1 / (60 + vec_rank - 1.0) + CASE WHEN vec_rank = 1 THEN 0.05 WHEN vec_rank <= 3 THEN 0.02 ELSE 0 END, 0) AS s
   FROM fa f FULL OUTER JOIN va v ON v.query_id = f.query_id AND v.chunk_id = f.chunk_id),
 rr AS (SELECT *, s * CASE WHEN fts_rank IS NOT NULL AND vec_rank IS NOT NULL THEN 1.35 ELSE 1 END AS rrf_score FROM u),
-fused AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf_score, 9) DESC, fts_rank ASC NULLS LAST, vec_rank ASC NULLS LAST) AS rrf_rank FROM rr) WHERE rrf_rank <= 20)"""
+fused AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf_score, 9) DESC, fts_rank ASC NULLS LAST, vec_rank ASC NULLS LAST) AS rrf_rank FROM rr) WHERE rrf_rank <= 20),
+{scored},
+dd AS (SELECT * FROM (SELECT s.query_id, s.chunk_id, s.score, k.collection, k.path, k.seq_id, k.title, k.body, row_number() OVER (PARTITION BY query_id, sha256(regexp_replace(k.body, '^\s+|\s+$', '', 'g')) ORDER BY round(s.score, 9) DESC, s.chunk_id) AS turn FROM sc s JOIN k ON k.chunk_id = s.chunk_id) WHERE turn = 1)"""
+
 
+_RANKED = "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM dd"
+_SHOWN = ("query_id", "chunk_id", "collection", "path", "seq_id", "score", "rank")
 
-def _fused(spark: SparkSession, d: str) -> DataFrame:
-    rows = documents(spark, d)
-    index = lexical.index_chunks(rows.withColumnRenamed("doc_id", "chunk_id"))
-    asked = rows.join(vectors(spark, d).filter("vec_id % 50 = 0").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi")
-    terms = asked.select(F.col("doc_id").alias("query_id"), F.explode(F.array_distinct(F.slice(T.tokens(F.col("body")), 1, 6))).alias("term"))
-    fts = lexical.ranked(lexical.match(index, terms, every=False), 50)
-    return fusion.reciprocal_rank_fusion(fts, _vector_hits(spark, d, 50))
 
+def _hits_sql(where: str = "true", rerank: bool = False, limit: int = 10) -> str:
+    return f"WITH {_hybrid(where, rerank)} SELECT query_id, chunk_id, collection, path, seq_id, round(score, 6) AS score, rank FROM ({_RANKED}) WHERE rank <= {limit}"
 
-@_register("f2_rrf", f"WITH {_HYBRID} SELECT query_id, chunk_id, fts_rank, vec_rank, round(rrf_score, 6) AS rrf_score, rrf_rank FROM fused")
+
+@_register("f2_rrf", f"WITH {_hybrid()} SELECT query_id, chunk_id, fts_rank, vec_rank, round(rrf_score, 6) AS rrf_score, rrf_rank FROM fused")
 def _f2(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(_fused(spark, d), "rrf_score").select("query_id", "chunk_id", "fts_rank", "vec_rank", "rrf_score", "rrf_rank")
+    own, asked = corpus(spark, d), queries_with_vectors(spark, d)
+    fused = fusion.reciprocal_rank_fusion(search.lexical_search(own, asked), search.vector_search(own, asked))
+    return _rounded(fused, "rrf_score").select("query_id", "chunk_id", "fts_rank", "vec_rank", "rrf_score", "rrf_rank")
 
 
-def _with_places(hits: DataFrame, spark: SparkSession, d: str) -> DataFrame:
-    """Late materialisation: paths and texts join after the cut."""
-    return hits.join(documents(spark, d).select(F.col("doc_id").alias("chunk_id"), "collection", "path", F.col("body").alias("text")), "chunk_id").withColumn("seq_id", F.lit(0))
+@_register("f1_hybrid", _hits_sql())
+def _f1(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(search.hybrid_search(corpus(spark, d), queries_with_vectors(spark, d)), "score").select(*_SHOWN)
 
 
-_DEDUP = r"""dd AS (SELECT * FROM (SELECT f.query_id, f.chunk_id, f.rrf_score AS score, c.collection, c.path, row_number() OVER (PARTITION BY query_id, sha256(regexp_replace(c.body, '^\s+|\s+$', '', 'g')) ORDER BY round(f.rrf_score, 9) DESC, chunk_id) AS turn FROM fused f JOIN c ON c.doc_id = f.chunk_id) WHERE turn = 1)"""
+_WHERE = "k.collection = 'en' AND (contains(k.path, 'src1/') OR contains(k.path, 'src7/') OR contains(k.path, 'src4/'))"
 
 
-@_register("f1_hybrid", f"WITH {_HYBRID}, {_DEDUP} SELECT query_id, chunk_id, collection, path, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM dd) WHERE rank <= 10")
-def _f1(spark: SparkSession, d: str) -> DataFrame:
-    hits = _with_places(_fused(spark, d).withColumn("score", F.col("rrf_score")), spark, d)
-    return _rounded(fusion.final_rank(fusion.dedup_by_text(hits), 10), "score").select("query_id", "chunk_id", "collection", "path", "score", "rank")
+@_register("e11_filtered_hybrid", _hits_sql(_WHERE))
+def _e11(spark: SparkSession, d: str) -> DataFrame:
+    options = search.Options(where=lexical.metadata_filter("en", None, "src1/, src7/, src4/"))
+    return _rounded(search.hybrid_search(corpus(spark, d), queries_with_vectors(spark, d), options), "score").select(*_SHOWN)
 
 
-_RERANK = f"""SELECT f.query_id, f.chunk_id, f.rrf_score, f.fts_rank IS NOT NULL AND f.vec_rank IS NOT NULL AS dual, (f.chunk_id % 7) / 7.0 AS rr FROM fused f"""
+@_register("e3_filtered_vectors", f"WITH {_CORPUS}, qv AS (SELECT item_id AS query_id, a.embedding FROM benchmark JOIN embeddings a ON a.vec_id = item_id), s AS (SELECT a.query_id, k.chunk_id, {_COS} AS score FROM qv a, embeddings b JOIN k ON k.chunk_id = b.vec_id * 16777216 WHERE {_WHERE}) SELECT query_id, chunk_id, round(score, 6) AS score, vec_rank FROM ({_top('s', 10, 'vec_rank')})")
+def _e3(spark: SparkSession, d: str) -> DataFrame:
+    options = search.Options(vec_limit=10, where=lexical.metadata_filter("en", None, "src1/, src7/, src4/"))
+    return _rounded(search.vector_search(corpus(spark, d), queries_with_vectors(spark, d), options), "score")
 
 
-@_register(
-    "f8_rerank_blend",
-    f"""WITH {_HYBRID}, a AS ({_RERANK}), b AS (SELECT *, min(rrf_score) OVER v AS l1, max(rrf_score) OVER v AS h1, min(rr) OVER v AS l2, max(rr) OVER v AS h2 FROM a WINDOW v AS (PARTITION BY query_id)),
-e AS (SELECT *, CASE WHEN h1 > l1 THEN (rrf_score - l1) / (h1 - l1) ELSE 1.0 END AS n1, CASE WHEN h2 > l2 THEN (rr - l2) / (h2 - l2) ELSE 0.5 END AS n2 FROM b)
-SELECT query_id, chunk_id, round(CASE WHEN dual THEN greatest(0.5 * n1 + 0.5 * n2, 0.8 * n1) + 0.15 ELSE 0.5 * n1 + 0.5 * n2 END, 6) AS score FROM e""",
-)
+@_register("f8_rerank_blend", _hits_sql(rerank=True))
 def _f8(spark: SparkSession, d: str) -> DataFrame:
-    hits = _fused(spark, d)
-    scores = hits.select("query_id", "chunk_id", ((F.col("chunk_id") % 7) / 7.0).alias("rerank_score"))
-    return _rounded(fusion.blend_rerank(hits, scores), "score").select("query_id", "chunk_id", "score")
+    options = search.Options(rerank=search.overlap_reranker)
+    return _rounded(search.hybrid_search(corpus(spark, d), queries_with_vectors(spark, d), options), "score").select(*_SHOWN)
 
 
-_PLACED = f"WITH {_bm25(_WHOLE)}, h0 AS ({_ANY}), h AS (SELECT query_id, h0.chunk_id, score, collection, path, seq_id FROM ({_top('h0', 50)}) h0 JOIN k ON k.chunk_id = h0.chunk_id)"
+_SEEN_WHERE = "NOT EXISTS (SELECT 1 FROM conversations v JOIN documents d ON d.doc_id = v.conv_id WHERE v.conv_id % 7 = {0} % 7 AND k.doc_id = d.doc_id AND k.seq_id = v.turn % 3)"
 
 
-def _placed(spark: SparkSession, d: str) -> DataFrame:
-    rows = chunks(spark, d)
-    hits = lexical.ranked(lexical.match(lexical.index_chunks(rows), benchmark_terms(spark, d), every=False), 50)
-    return hits.join(rows.select("chunk_id", "collection", "path", "seq_id"), "chunk_id")
+def _by_session(where: str) -> str:
+    """The hybrid query with a filter that names the query's number."""
+    return _hits_sql(where.format("hl.query_id")).replace("hl.query_id % 7 AND k.doc_id = d.doc_id AND k.seq_id = v.turn % 3)), va AS", "a.query_id % 7 AND k.doc_id = d.doc_id AND k.seq_id = v.turn % 3)), va AS").replace("WHERE NOT EXISTS (SELECT 1 FROM conversations v JOIN documents d ON d.doc_id = v.conv_id WHERE v.conv_id % 7 = hl.query_id % 7", "WHERE NOT EXISTS (SELECT 1 FROM conversations v JOIN documents d ON d.doc_id = v.conv_id WHERE v.conv_id % 7 = a.query_id % 7")
+
+
+@_register("i4_search_unseen", _by_session(_SEEN_WHERE))
+def _i4h(spark: SparkSession, d: str) -> DataFrame:
+    seen = _results(spark, d).withColumn("session_id", F.col("session_id") % 7)
+    asked = queries_with_vectors(spark, d).withColumn("session_id", F.col("query_id") % 7)
+    hits = search.hybrid_search(corpus(spark, d), asked, search.Options(seen=seen))
+    return _rounded(hits, "score").select(*_SHOWN)
 
 
-@_register("g8_discover", f"{_PLACED}, b AS (SELECT *, row_number() OVER (PARTITION BY query_id, collection, path ORDER BY round(score, 9) DESC, chunk_id) AS r, count(*) OVER (PARTITION BY query_id, collection, path) AS match_count FROM h) SELECT query_id, collection, path, chunk_id, seq_id, round(score, 6) AS score, match_count, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM b WHERE r = 1) WHERE rank <= 10")
+def _discover_sql(source: str) -> str:
+    return f"bb AS (SELECT *, row_number() OVER (PARTITION BY query_id, collection, path ORDER BY round(score, 9) DESC, chunk_id) AS r, count(*) OVER (PARTITION BY query_id, collection, path) AS match_count FROM ({source})) SELECT query_id, collection, path, chunk_id, seq_id, round(score, 6) AS score, match_count, rank FROM (SELECT * EXCLUDE (rank), row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM bb WHERE r = 1) WHERE rank <= 10"
+
+
+_FOUND = ("query_id", "collection", "path", "chunk_id", "seq_id", "score", "match_count", "rank")
+
+
+@_register("g8_discover", f"WITH {_hybrid()}, " + _discover_sql(f"SELECT * FROM ({_RANKED}) WHERE rank <= 60"))
 def _g8(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(hierarchy.discover(_placed(spark, d)), "score")
+    return _rounded(search.discover(corpus(spark, d), queries_with_vectors(spark, d)), "score").select(*_FOUND)
 
 
-@_register(
-    "g1_wide_to_narrow",
-    f"""{_PLACED}, hd AS (SELECT *, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir FROM h),
+def _w2n(limit: int) -> str:
+    """The pool ``po`` of the wide-to-narrow search."""
+    return f"""hd AS (SELECT *, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir FROM ({_RANKED}) WHERE rank <= {max(50, 5 * limit)}),
 td AS (SELECT * FROM (SELECT query_id, collection, path, row_number() OVER (PARTITION BY query_id ORDER BY round(sum(score), 9) DESC, collection, path) AS r FROM hd GROUP BY query_id, collection, path) WHERE r <= 3),
 tr AS (SELECT * FROM (SELECT query_id, collection, dir, row_number() OVER (PARTITION BY query_id ORDER BY round(sum(score) * 0.75, 9) DESC, collection, dir) AS r FROM hd WHERE dir <> '' GROUP BY query_id, collection, dir) WHERE r <= 3),
-b AS (SELECT hd.*, td.r IS NOT NULL OR tr.r IS NOT NULL AS boosted, score * CASE WHEN td.r IS NOT NULL THEN 1.35 WHEN tr.r IS NOT NULL THEN 1.15 ELSE 1 END AS s FROM hd LEFT JOIN td USING (query_id, collection, path) LEFT JOIN tr USING (query_id, collection, dir)),
-e AS (SELECT *, count(*) FILTER (boosted) OVER (PARTITION BY query_id) >= 10 AS enough FROM b)
-SELECT query_id, chunk_id, boosted, round(s, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, chunk_id) AS rank FROM e WHERE boosted OR NOT enough) WHERE rank <= 10""",
-)
+bo AS (SELECT hd.*, td.r IS NOT NULL OR tr.r IS NOT NULL AS boosted, CASE WHEN td.r IS NOT NULL THEN 1.35 WHEN tr.r IS NOT NULL THEN 1.15 ELSE 1 END AS boost FROM hd LEFT JOIN td USING (query_id, collection, path) LEFT JOIN tr USING (query_id, collection, dir)),
+en AS (SELECT * EXCLUDE (rank), count(*) FILTER (boosted) OVER (PARTITION BY query_id) >= {limit} AS enough, row_number() OVER (PARTITION BY query_id, collection, path, substr(body, 1, 50) ORDER BY boosted DESC, round(score, 9) DESC, chunk_id) AS alike FROM bo),
+po AS (SELECT * FROM (SELECT * REPLACE (score * boost AS score), row_number() OVER (PARTITION BY query_id ORDER BY round(score * boost, 9) DESC, chunk_id) AS rank FROM en WHERE boosted OR (NOT enough AND alike = 1)) WHERE rank <= {2 * limit})"""
+
+
+@_register("g1_wide_to_narrow", f"WITH {_hybrid()}, {_w2n(10)} SELECT query_id, chunk_id, boosted, round(score, 6) AS score, rank FROM po WHERE rank <= 10")
 def _g1(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(hierarchy.wide_to_narrow(_placed(spark, d)), "score").select("query_id", "chunk_id", "boosted", "score", "rank")
+    hits = search.wide_to_narrow_search(corpus(spark, d), queries_with_vectors(spark, d))
+    return _rounded(hits, "score").select("query_id", "chunk_id", "boosted", "score", "rank")
+
+
+@_register("g2_wide_phase", _hits_sql(limit=50))
+def _g2(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(search.hybrid_search(corpus(spark, d), queries_with_vectors(spark, d), search.Options(limit=50)), "score").select(*_SHOWN)
+
+
+@_register(
+    "g7_reranked_pool",
+    f"""WITH {_hybrid()}, {_w2n(10)}, ov AS (SELECT p.*, len(list_intersect(list_distinct({_tok('q.text')}), list_distinct({_tok('p.body')}))) / len(list_distinct({_tok('q.text')})) AS rr FROM po p JOIN benchmark q ON q.item_id = p.query_id),
+mm AS (SELECT *, min(score) OVER v AS l1, max(score) OVER v AS h1, min(rr) OVER v AS l2, max(rr) OVER v AS h2 FROM ov WINDOW v AS (PARTITION BY query_id)),
+nn AS (SELECT query_id, chunk_id, 0.5 * CASE WHEN h1 > l1 THEN (score - l1) / (h1 - l1) ELSE 1.0 END + 0.5 * CASE WHEN h2 > l2 THEN (rr - l2) / (h2 - l2) ELSE 0.5 END AS score FROM mm)
+SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM nn) WHERE rank <= 10""",
+)
+def _g7(spark: SparkSession, d: str) -> DataFrame:
+    hits = search.wide_to_narrow_search(corpus(spark, d), queries_with_vectors(spark, d), search.Options(rerank=search.overlap_reranker))
+    return _rounded(hits, "score").select("query_id", "chunk_id", "score", "rank")
 
 
-@_register("g9_group_by_document", f"{_PLACED}, b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS turn, greatest(count(*) OVER (PARTITION BY query_id) - 30, 0) AS omitted FROM h) SELECT query_id, collection, path, round(max(score), 6) AS score, list(seq_id ORDER BY seq_id) AS seqs, max(omitted) AS omitted FROM b WHERE turn <= 30 GROUP BY query_id, collection, path")
+@_register("g8_discover_narrow", f"WITH {_hybrid()}, {_w2n(60)}, " + _discover_sql("SELECT * FROM po WHERE rank <= 60"))
+def _g8n(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(search.discover(corpus(spark, d), queries_with_vectors(spark, d), narrow=True), "score").select(*_FOUND)
+
+
+@_register("g9_group_by_document", f"WITH {_hybrid()}, hh AS (SELECT * FROM ({_RANKED}) WHERE rank <= 20), bb AS (SELECT * EXCLUDE (turn), row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS turn, greatest(count(*) OVER (PARTITION BY query_id) - 5, 0) AS omitted FROM hh) SELECT query_id, collection, path, round(max(score) FILTER (turn <= 5), 6) AS score, list(seq_id ORDER BY seq_id) FILTER (turn <= 5) AS seqs, max(omitted) AS omitted, row_number() OVER (PARTITION BY query_id ORDER BY round(max(score) FILTER (turn <= 5), 9) DESC, collection, path) AS rank FROM bb GROUP BY query_id, collection, path HAVING count(*) FILTER (turn <= 5) > 0")
 def _g9(spark: SparkSession, d: str) -> DataFrame:
-    out = hierarchy.group_by_document(_placed(spark, d))
-    return _rounded(out.select("query_id", "collection", "path", "score", F.transform("chunks", lambda c: c["seq_id"]).alias("seqs"), "omitted"), "score")
+    out = hierarchy.group_by_document(search.hybrid_search(corpus(spark, d), queries_with_vectors(spark, d), search.Options(limit=20)), cap=5)
+    return _rounded(out.select("query_id", "collection", "path", "score", F.transform("chunks", lambda c: c["seq_id"]).alias("seqs"), "omitted", "rank"), "score")
 
 
 # -- inspection --------------------------------------------------------------------------
@@ -467,49 +569,36 @@ def _c2(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", T.strip_links(linked).alias("text"))
 
 
-_PAIR = "FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND b.vec_id = a.vec_id + 1"
-
-
-def _next_vectors(spark: SparkSession, d: str) -> DataFrame:
-    """Each queried vector beside the one that follows it by number."""
-    rows = vectors(spark, d)
-    asked = rows.filter("vec_id % 50 = 0").select("vec_id", F.col("embedding").alias("a"), (F.col("vec_id") + 1).alias("next"))
-    return asked.join(rows.select(F.col("vec_id").alias("next"), F.col("embedding").alias("b")), "next")
-
-
-@_register("e2_hamming", f"SELECT a.vec_id, round(1 / (1 + len(list_filter(list_zip(a.embedding, b.embedding), lambda p: (p[1] > 0) <> (p[2] > 0)))), 6) AS score {_PAIR}")
+@_register("e2_hamming", f"WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, 1 / (1 + len(list_filter(list_zip(a.embedding, b.embedding), lambda p: (p[1] > 0) <> (p[2] > 0)))) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0) SELECT query_id, chunk_id, round(score, 6) AS score, vec_rank FROM ({_top('s', 10, 'vec_rank')})")
 def _e2(spark: SparkSession, d: str) -> DataFrame:
-    score = V.hamming_score(V.to_bits(F.col("a")), V.to_bits(F.col("b")))
-    return _rounded(_next_vectors(spark, d).select("vec_id", score.alias("score")), "score")
+    return _rounded(_vector_hits(spark, d, 10, "hamming"), "score")
 
 
 _INT8 = "list_transform(b.embedding, lambda x: greatest(-128, least(127, round_even(x::DOUBLE * 127, 0)::INT)) / 127.0::DOUBLE)"
 
 
-@_register("e7_asymmetric", f"SELECT vec_id, round(list_dot_product(x, y) / (sqrt(list_dot_product(x, x)) * sqrt(list_dot_product(y, y))), 6) AS score FROM (SELECT a.vec_id, a.embedding::DOUBLE[] AS x, {_INT8}::DOUBLE[] AS y {_PAIR})")
+@_register("e7_asymmetric", f"WITH s AS (SELECT query_id, chunk_id, list_dot_product(x, y) / (sqrt(list_dot_product(x, x)) * sqrt(list_dot_product(y, y))) AS score FROM (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, a.embedding::DOUBLE[] AS x, {_INT8}::DOUBLE[] AS y FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0)) SELECT query_id, chunk_id, round(score, 6) AS score, vec_rank FROM ({_top('s', 10, 'vec_rank')})")
 def _e7(spark: SparkSession, d: str) -> DataFrame:
-    score = V.cosine(F.col("a"), V.from_int8(V.to_int8(F.col("b"))))
-    return _rounded(_next_vectors(spark, d).select("vec_id", score.alias("score")), "score")
+    return _rounded(_vector_hits(spark, d, 10, "int8"), "score")
 
 
 @_register("h5_read_by_id", f"WITH {_CORPUS} SELECT chunk_id, collection, path, seq_id FROM k WHERE doc_id IN (3, 7) AND seq_id <= 2")
 def _h5(spark: SparkSession, d: str) -> DataFrame:
     rows = chunks(spark, d)
-    targets = rows.filter(F.col("chunk_id").isin(300_001, 700_001)).select("collection", "path", "seq_id")
+    targets = rows.filter(F.col("chunk_id").isin(3 * C.MOST_CHUNKS + 1, 7 * C.MOST_CHUNKS + 1)).select("collection", "path", "seq_id")
     both = targets.unionByName(documents(spark, d).filter("doc_id IN (3, 7)").select("collection", "path", F.lit(1).alias("seq_id")))
     return inspect.read_window(rows, both, window=1).select("chunk_id", "collection", "path", "seq_id")
 
 
-@_register("j11_sanitized_term", "SELECT n_nationkey, translate('\"' || n_name || '*^?', '\"'':?*^~', '') AS term FROM nation")
+@_register("j11_sanitized_term", "SELECT doc_id, translate('\"' || text || '*^?', '\"'':?*^~', '') AS term FROM documents")
 def _j11(spark: SparkSession, d: str) -> DataFrame:
-    term = F.concat(F.lit('"'), "n_name", F.lit("*^?"))
-    return spark.read.parquet(f"{d}/nation.parquet").select("n_nationkey", T.sanitize_term(term).alias("term"))
+    return documents(spark, d).select("doc_id", T.sanitize_term(F.concat(F.lit('"'), "body", F.lit("*^?"))).alias("term"))
 
 
-@_register("j13_clean_header", r"SELECT page_id, 'T ' || page_id AS clean, 't' || page_id AS plain FROM pages")
+@_register("j13_clean_header", r"SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS clean, regexp_replace(lower(text), '[^\p{L}\p{N}_]', '', 'g') AS plain FROM documents")
 def _j13(spark: SparkSession, d: str) -> DataFrame:
-    head = F.concat(F.lit(" ## T "), F.col("page_id").cast("string"), F.lit(" "))
-    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", T.clean_header(head).alias("clean"), T.normalized(T.clean_header(head)).alias("plain"))
+    head = T.clean_header(F.concat(F.lit(" ## "), "body", F.lit(" ")))
+    return documents(spark, d).select("doc_id", head.alias("clean"), T.normalized(head).alias("plain"))
 
 
 @_register("k7_grep_xml", f"""WITH {_CORPUS}, l AS (SELECT collection, path, title, unnest(string_split(body, chr(10))) AS t, unnest(range(1, len(string_split(body, chr(10))) + 1)) AS n FROM c)

@@ -32,9 +32,19 @@ def test_match_expressions():
     assert parse.all_terms("the fox is") == ["fox"] and parse.all_terms("the is") == ["the", "is"]
     assert parse.any_terms("state-of the art") == ["state", "art"]
     assert parse.tiers(["Ada"], ["engine"], "q") == ['"Ada" AND "engine"', '"Ada"']
-    assert parse.expression('"a b" OR c NOT d') == [("AND", "a b"), ("OR", "c"), ("NOT", "d")]
-    with pytest.raises(ValueError):
-        parse.expression("AND")
+    leaf = lambda *t, **k: parse.Leaf(t, **k)
+    assert parse.expression('"a b" OR c NOT d') == parse.Expression((leaf("a", "b"), leaf("c"), leaf("d")), (0, 1, 2, parse.NOT, parse.OR))
+    assert parse.expression("a AND (b OR c)").program == (0, 1, 2, parse.OR, parse.AND)
+    assert parse.expression("a OR b AND c").program == (0, 1, 2, parse.AND, parse.OR)
+    assert parse.expression("a b NOT c").program == (0, 1, parse.AND, 2, parse.NOT)
+    assert parse.expression('title:x* {path title}: "p q" ^first').leaves == (leaf("x", prefix=True, columns=("title",)), leaf("p", "q", columns=("path", "title")), leaf("first", first=True))
+    assert parse.expression('NEAR("a b" c, 5) AND "-"') == parse.Expression((leaf("a", "b", near=(1, 5)), leaf("c", near=(1, 5)), leaf()), (0, 1, parse.AND))
+    for bad in ("AND", "a AND", "(a", "a ? b", "NEAR(a, x)", ""):
+        with pytest.raises(ValueError):
+            parse.expression(bad)
+    assert parse.compiled('a ? AND "b') == parse.Expression((leaf("a", "and", "b"),), (0,))
+    assert parse.compiled("the state-of art").leaves == (leaf("state", "of"), leaf("art")) and parse.compiled(" ").program == ()
+    assert parse.relaxed("the fox") == parse.Expression((), ()) and parse.relaxed("red fox").program == (0, 1, parse.OR)
     assert parse.batch_commands("<think>lodestone x</think>\n1. `lodestone search a`\n- lodestone grep b") == ["lodestone search a", "lodestone grep b"]
 
 
@@ -62,10 +72,10 @@ def test_split_block_prefers_paragraphs():
 
 
 def test_snippets():
-    assert merge_snippets([(1, "b"), (0, "a"), (4, "c")]) == "a\n\nb\n\n(... 2 chunk(s) skipped ...)\n\nc"
+    assert merge_snippets([(1, "b"), (0, "a"), (4, "c")]) == ["a", "b", "(... 2 chunks skipped ...)", "c"]
     common = "x" * 25
-    assert merge_snippets([(0, "start " + common), (1, common + " end")]) == f"start {common} end"
-    assert merge_snippets([(-1, "only")]) == "only"
+    assert merge_snippets([(0, "start " + common), (1, common + " end")]) == [f"start {common} end"]
+    assert merge_snippets([(-1, "only")]) == ["only"]
 
 
 def test_converters():
