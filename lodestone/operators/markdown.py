@@ -190,12 +190,12 @@ def _carry(chunks: list[dict]) -> None:
 SCHEMA = "seq_id int, text string, line int, headers string, table_head string, fence_head string"
 
 
-def markdown_chunks(docs: DataFrame, key: str = "doc_id", *, target: int = 1024, most: int = 2048) -> DataFrame:
+def markdown_chunks(docs: DataFrame, key: str = "doc_id", *, target: int = 1024, most: int = 2048, strip_links: bool = True) -> DataFrame:
     """Chunks of ``body``, one task per batch of documents, no shuffle. Null and empty bodies have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [chunk_markdown(t, target, most) if t else [] for t in batch.column("body").to_pylist()]
+            found = [chunk_markdown(t, target, most, strip_links) if t else [] for t in batch.column("body").to_pylist()]
             keys = batch.column("key").take(pa.array([i for i, x in enumerate(found) for _ in x], pa.int64()))
             rows = pa.RecordBatch.from_pylist([c for x in found for c in x], kinds)
             yield pa.RecordBatch.from_arrays([keys, *rows.columns], ["key", *kinds.names])

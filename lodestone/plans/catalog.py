@@ -621,14 +621,53 @@ def _c6(spark: SparkSession, d: str) -> DataFrame:
     return markdown.markdown_chunks(documents(spark, d))
 
 
-@_register("c3_headings")
+def markdown_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The documents with headings and code fences made of their lines."""
+    rows = documents(spark, d)
+    line = lambda x, i: F.when(i % 11 == 5, F.lit("```")).when(i % 3 == 0, F.concat(F.lit("## "), x)).when(i % 5 == 1, F.concat(F.lit("### "), x)).otherwise(x)
+    body = F.concat(F.lit("# "), "title", F.lit("\n"), F.array_join(F.transform(F.split("body", "\n"), line), "\n"))
+    return rows.withColumn("body", body)
+
+
+_MD = r"""md AS (SELECT doc_id, collection, path, title, '# ' || title || chr(10) || array_to_string(list_transform(string_split(body, chr(10)), lambda x, i: CASE WHEN (i - 1) % 11 = 5 THEN '```' WHEN (i - 1) % 3 = 0 THEN '## ' || x WHEN (i - 1) % 5 = 1 THEN '### ' || x ELSE x END), chr(10)) AS body FROM c),
+li AS (SELECT doc_id, unnest(string_split(body, chr(10))) AS x, unnest(range(1, len(string_split(body, chr(10))) + 1))::INT AS n FROM md),
+fe AS (SELECT *, sum(CASE WHEN starts_with(ltrim(x), '```') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS fences, coalesce(sum(length(x) + 1) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS char_offset FROM li),
+hd AS (SELECT doc_id, n AS line_num, length(regexp_extract(x, '^(#+)', 1))::INT AS level, trim(regexp_extract(x, '^#+\s+(.*)', 1)) AS text, char_offset FROM fe WHERE fences % 2 = 0 AND regexp_matches(x || chr(10), '^#+\s'))"""
+
+
+@_register("c3_headings", f"WITH {_CORPUS}, {_MD} SELECT * FROM hd")
 def _c3(spark: SparkSession, d: str) -> DataFrame:
-    pages = files.pages_to_markdown(spark.read.parquet(f"{d}/pages.parquet"))
-    return inspect.headings(pages.withColumnRenamed("page_id", "doc_id"))
+    return inspect.headings(markdown_documents(spark, d))
 
 
-@_register("h4_outline")
+@_register(
+    "h4_outline",
+    f"""WITH {_CORPUS}, {_MD}, pa AS (SELECT doc_id, length(body) AS chars, greatest(ceil(length(body) / 200.0)::INT, 1) - 1 AS last FROM md),
+st AS (SELECT hd.*, pa.chars, pa.last, least(char_offset // 200, last)::INT AS start_seq FROM hd JOIN pa ON pa.doc_id = hd.doc_id),
+ne AS (SELECT a.*, (SELECT arg_min(b.start_seq, b.line_num) FROM st b WHERE b.doc_id = a.doc_id AND b.line_num > a.line_num AND b.level <= a.level) AS nxt FROM st a),
+en AS (SELECT *, CASE WHEN nxt IS NULL THEN last ELSE greatest(nxt - 1, start_seq) END AS end_seq FROM ne)
+SELECT doc_id, line_num, level, text, start_seq, end_seq, (least((end_seq + 1) * 200, chars) - start_seq * 200)::BIGINT AS char_count FROM en""",
+)
 def _h4(spark: SparkSession, d: str) -> DataFrame:
-    pages = files.pages_to_markdown(spark.read.parquet(f"{d}/pages.parquet")).withColumnRenamed("page_id", "doc_id")
-    rows = C.window_chunks(pages, size=200, overlap=0).select("doc_id", "seq_id", (F.col("seq_id") * 200).alias("start"), F.length("body").alias("chars"))
-    return inspect.outline(inspect.headings(pages), rows)
+    rows = markdown_documents(spark, d)
+    parts = C.window_chunks(rows, size=200, overlap=0).select("doc_id", "seq_id", (F.col("seq_id") * 200).alias("start"), F.length("body").alias("chars"))
+    return inspect.outline(inspect.headings(rows), parts)
+
+
+@_register("h1_document_outline", f"""WITH {_CORPUS}, {_MD}, one AS (SELECT * FROM md WHERE path = 'src3/doc_3.md') SELECT collection, path, title, greatest(ceil(length(body) / 300.0)::INT, 1)::BIGINT AS total_chunks, length(body)::BIGINT AS total_chars, (SELECT count(*) FROM hd WHERE hd.doc_id = one.doc_id)::INT AS n_headings FROM one""")
+def _h1(spark: SparkSession, d: str) -> DataFrame:
+    rows = markdown_documents(spark, d)
+    parts = C.window_chunks(rows, size=300, overlap=0).select("collection", "path", "seq_id", F.col("body").alias("text"))
+    out = inspect.document_outline(rows, parts, None, "src3/doc_3.md")
+    return out.select("collection", "path", "title", "total_chunks", "total_chars", F.size("headings").alias("n_headings"))
+
+
+@_register("c1_markdown_chunks")
+def _c1(spark: SparkSession, d: str) -> DataFrame:
+    return markdown.markdown_chunks(markdown_documents(spark, d))
+
+
+@_register("g10_merged_snippets")
+def _g10(spark: SparkSession, d: str) -> DataFrame:
+    hits = search.hybrid_search(corpus(spark, d), queries_with_vectors(spark, d), search.Options(limit=20))
+    return markdown.merged_snippets(hits.withColumn("headers", F.lit("")))

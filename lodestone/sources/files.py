@@ -24,12 +24,19 @@ def is_supported(path: Column, others: bool = True) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1)).isin(*TEXT_TYPES, *(OTHER_TYPES if others else ()))
 
 
-def scan(spark: SparkSession, base: str, collection: str, *, glob: str | None = None, convert_others: bool = True) -> DataFrame:
-    """(collection, path, title, hash, content, modified_at) of the supported files below ``base``."""
+def scan(spark: SparkSession, base: str, collection: str, *, glob: str | None = None, extensions: tuple[str, ...] = (), convert_others: bool = True) -> DataFrame:
+    """(collection, path, title, hash, content, modified_at) of the supported files below ``base``.
+
+    ``extensions``, with or without a dot and in any case, take the place of ``glob`` (whose
+    folders don't count: all below ``base`` are searched).
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
+    if glob and not extensions:
+        reader = reader.option("pathGlobFilter", glob.rsplit("/", 1)[-1])
     rows = reader.load(base).filter(is_supported(F.col("path"), convert_others))
+    if extensions:
+        wanted = sorted({e.strip().lstrip(".").lower() for e in extensions})
+        rows = rows.filter(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(wanted))
     inner = F.regexp_replace(F.col("path"), f"^(?:file:)?/*{re.escape(base.removeprefix('file:').strip('/'))}/", "")
     stem = F.regexp_replace(F.regexp_extract(inner, r"([^/]+)$", 1), r"\.[^.]+$", "")
     return rows.select(F.lit(collection).alias("collection"), inner.alias("path"), title_of(stem).alias("title"), F.sha2("content", 256).alias("hash"), "content", F.col("modificationTime").alias("modified_at"))
