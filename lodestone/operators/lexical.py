@@ -16,12 +16,16 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import parse
 from lodestone.functions.stem import stemmed
-from lodestone.functions.text import contains_literal, tokens
+from lodestone.functions.text import TOKEN_BREAK, contains_literal
 
 # Fixed values of the ranking function.
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 #: No term of a chunk weighs more than this times its inverse frequency.
 TF_LIMIT = K1 + 1
+#: Parts that a query's chunks are first cut in, each by itself.
+SALTS = 16
+#: Parts the columns of a chunk among its terms.
+MARK = "\x01"
 #: The indexed columns.
 COLUMNS = ("collection", "path", "title", "body", "headers")
 
@@ -29,24 +33,24 @@ COLUMNS = ("collection", "path", "title", "body", "headers")
 def index_chunks(chunks: DataFrame, columns: tuple[str, ...] = COLUMNS, *, stem: bool = False) -> DataFrame:
     """(chunk_id, terms, length, bounds): the tokens of all indexed columns that ``chunks`` has, and their number.
 
-    An empty token parts the columns, so that no phrase spans two; ``bounds`` are the places
-    where the columns of ``columns`` begin (null for one that is missing). With ``stem``,
-    tokens lose their diacritics and endings.
+    A mark parts the columns, so that no phrase spans two; ``bounds`` are the places where
+    the columns of ``columns`` begin (null for one that is missing). With ``stem``, tokens
+    lose their diacritics and endings.
     """
     own = [c for c in columns if c in chunks.columns]
-    parts = F.array(*(tokens(F.coalesce(c, F.lit(""))) for c in own))
-    rows = chunks.select("chunk_id", parts.alias("parts"))
+    text = F.concat_ws(f" {MARK} ", *(F.translate(F.coalesce(c, F.lit("")), MARK, " ") for c in own))
+    terms = F.filter(F.split(F.lower(text), TOKEN_BREAK.replace("[^", f"[^{MARK}")), lambda t: t != "")
+    rows = chunks.select("chunk_id", terms.alias("terms"))
     if stem:
-        rows = stemmed(rows, "parts")
-    starts = F.aggregate("parts", F.array(F.lit(0)), lambda s, p: F.array_append(s, F.element_at(s, -1) + F.size(p) + 1))
+        rows = stemmed(rows, "terms")
+    marks = F.filter(F.sequence(F.lit(0), F.size("terms") - 1), lambda i: F.get("terms", i) == MARK)
+    starts = F.concat(F.array(F.lit(0)), F.transform(marks, lambda i: i + 1))
     bounds = F.array(*(F.get(starts, F.lit(own.index(c))) if c in own else F.lit(None).cast("int") for c in columns))
-    terms = F.flatten(F.transform("parts", lambda p, i: F.when(i == 0, p).otherwise(F.array_prepend(p, F.lit("")))))
-    length = F.aggregate("parts", F.lit(0), lambda n, p: n + F.size(p))
-    return rows.select("chunk_id", terms.alias("terms"), length.alias("length"), bounds.alias("bounds"))
+    return rows.select("chunk_id", "terms", (F.size("terms") - (len(own) - 1)).alias("length"), bounds.alias("bounds"))
 
 
-def postings(index: DataFrame, terms: DataFrame, *, positions: bool = False) -> DataFrame:
-    """(term, chunk_id, length, tf[, positions]) of the asked terms (a column ``term``; ``x*`` asks for all that begin with x).
+def postings(index: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, chunk_id, length, tf) of the asked terms (a column ``term``; ``x*`` asks for all that begin with x).
 
     Only occurrences of asked terms are dealt out, by chunk: a chunk has few of them,
     whatever the terms, and sums by chunk need no second shuffle. The outer explode keeps
@@ -55,16 +59,12 @@ def postings(index: DataFrame, terms: DataFrame, *, positions: bool = False) ->
     """
     asked = terms.select("term").distinct()
     sizes = sorted(r.n for r in asked.filter("term LIKE '%*'").select((F.length("term") - 1).alias("n")).distinct().collect())
-    if positions:
-        found = index.select("chunk_id", "length", F.posexplode_outer("terms").alias("pos", "term"))
-    else:
-        found = index.select("chunk_id", "length", F.explode_outer("terms").alias("term"))
+    found = index.select("chunk_id", "length", F.explode_outer("terms").alias("term"))
     if sizes:
         starts = [F.when(F.length("term") >= n, F.concat(F.substring("term", 1, n), F.lit("*"))) for n in sizes]
         found = found.withColumn("term", F.explode(F.array("term", *starts)))
     found = found.join(asked, "term", "left_semi").repartition("chunk_id").groupBy("term", "chunk_id")
-    places = [F.array_sort(F.collect_list("pos")).alias("positions")] if positions else []
-    return found.agg(F.first("length").alias("length"), F.count("*").alias("tf"), *places)
+    return found.agg(F.first("length").alias("length"), F.count("*").alias("tf"))
 
 
 def _idf(n: Column, seen: Column) -> Column:
@@ -119,18 +119,20 @@ def match_any_top(index: DataFrame, queries: DataFrame, limit: int) -> DataFrame
     asked = queries.select("query_id", "term").distinct()
     scores = term_scores(index, asked)
     strong, weak = scores.filter(F.col("idf") > IDF_FLOOR), scores.filter(F.col("idf") <= IDF_FLOOR)
-    hits = asked.join(strong, "term").groupBy("query_id", "chunk_id").agg(F.sum("weight").alias("part"))
-    order = Window.partitionBy("query_id").orderBy(F.col("part").desc())
-    last = hits.withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= limit).groupBy("query_id").agg(F.min("part").alias("last"), F.count("*").alias("found"))
     slack = asked.groupBy("query_id").agg((F.count("*") * (IDF_FLOOR * TF_LIMIT) + 1e-8).alias("slack"))
-    bound = slack.join(last, "query_id", "left")
-    kept = hits.join(bound.filter(F.col("found") >= limit), "query_id").filter(F.col("part") >= F.col("last") - F.col("slack"))
-    few = bound.filter(F.coalesce("found", F.lit(0)) < limit).select("query_id")
-    pairs = kept.select("query_id", "chunk_id", "part").unionByName(hits.join(few, "query_id", "left_semi").select("query_id", "chunk_id", "part"))
+    hits = asked.join(strong, "term").groupBy("query_id", "chunk_id").agg(F.sum("weight").alias("part")).join(F.broadcast(slack), "query_id")
+
+    def near_top(rows: DataFrame, *by: str) -> DataFrame:
+        order = Window.partitionBy("query_id", *by).orderBy(F.col("part").desc()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        rows = rows.withColumn("last", F.nth_value("part", limit).over(order))
+        return rows.filter(F.col("last").isNull() | (F.col("part") >= F.col("last") - F.col("slack")))
+
+    kept = near_top(near_top(hits.withColumn("salt", F.pmod(F.xxhash64("chunk_id"), F.lit(SALTS))), "salt"))
+    few = asked.select("query_id").distinct().join(kept.filter("last IS NOT NULL").select("query_id").distinct(), "query_id", "left_anti")
     # What the weak terms add: to kept pairs, and to every chunk for queries that find few.
-    more = asked.join(pairs.join(few, "query_id", "left_anti"), "query_id").join(weak, ["term", "chunk_id"]).select("query_id", "chunk_id", "weight")
+    more = asked.join(kept.filter("last IS NOT NULL").select("query_id", "chunk_id"), "query_id").join(weak, ["term", "chunk_id"]).select("query_id", "chunk_id", "weight")
     rest = asked.join(few, "query_id", "left_semi").join(weak, "term").select("query_id", "chunk_id", "weight")
-    every = pairs.select("query_id", "chunk_id", F.col("part").alias("weight")).unionByName(more).unionByName(rest)
+    every = kept.select("query_id", "chunk_id", F.col("part").alias("weight")).unionByName(more).unionByName(rest)
     total = every.groupBy("query_id", "chunk_id").agg(F.greatest(F.lit(1e-4), F.sum("weight")).alias("score"))
     return ranked(total, limit)
 
@@ -198,30 +200,34 @@ def compile_queries(queries: DataFrame, *, columns: tuple[str, ...] = COLUMNS, t
 def phrase_hits(index: DataFrame, forms: DataFrame) -> DataFrame:
     """(key, chunk_id, length, tf, starts, size) for phrases (key, terms, columns, first): where their tokens follow each other.
 
-    The postings of a phrase's rarest token are taken first; only chunks of theirs are
-    looked up for the other tokens.
+    The postings of a phrase's rarest token are taken first; only in chunks of theirs is the
+    phrase itself looked for, around the places of that token.
     """
     parts = forms.select("key", F.size("terms").alias("size"), F.posexplode("terms").alias("offset", "term"))
-    found = postings(index, parts, positions=True)
-    seen = found.groupBy("term").agg(F.count("*").alias("seen"))
-    rare = parts.join(seen, "term").groupBy("key").agg(F.min_by("term", F.struct("seen", "offset")).alias("term"))
-    near = rare.join(found.select("term", "chunk_id"), "term").select("key", "chunk_id")
-    every = parts.join(found, "term").join(near, ["key", "chunk_id"], "left_semi")
-    shifted = F.transform("positions", lambda p: p - F.col("offset"))
-    every = every.groupBy("key", "chunk_id", "size").agg(F.first("length").alias("length"), F.count("*").alias("met"), F.collect_list(shifted).alias("places")).filter("met = size")
-    starts = F.aggregate(F.slice("places", 2, F.size("places")), F.get("places", F.lit(0)), lambda a, b: F.array_intersect(a, b))
-    every = every.select("key", "chunk_id", "size", "length", starts.alias("starts"))
-    tied = forms.filter("columns IS NOT NULL OR first").select("key", "columns", "first")
-    if not tied.isEmpty():
-        every = every.join(F.broadcast(tied), "key", "left").join(index.select("chunk_id", "bounds"), "chunk_id")
-        own = F.coalesce("columns", F.sequence(F.lit(0), F.size("bounds") - 1))
-
-        def inside(at: Column) -> Column:
-            # the column that a place is in is the last one that begins at or before it
-            column = F.aggregate(F.sequence(F.lit(0), F.size("bounds") - 1), F.lit(-1), lambda k, i: F.when(F.get("bounds", i) <= at, i).otherwise(k))
-            return F.array_contains(own, column) & (~F.coalesce("first", F.lit(False)) | (F.get("bounds", column) == at))
-
-        every = every.withColumn("starts", F.filter("starts", inside))
+    found = postings(index, parts)
+    # Reads what the join below reads, so that both take the same shuffle.
+    seen = found.groupBy("term").agg(F.count("*").alias("seen"), F.max("length").alias("longest")).filter("longest >= 0")
+    rare = parts.join(seen, "term").groupBy("key").agg(F.min_by(F.struct("term", "offset"), F.struct("seen", "offset")).alias("rare"), F.count("*").alias("met"), F.first("size").alias("size")).filter("met = size")
+    rare = rare.select("key", "size", "rare.term", "rare.offset").join(forms.select("key", "terms", "columns", "first"), "key")
+    near = rare.join(found.select("term", "chunk_id", "length"), "term").withColumnRenamed("terms", "phrase")
+    every = near.join(index.select("chunk_id", "terms", "bounds"), "chunk_id")
+
+    def like(token: Column, wanted: Column) -> Column:
+        return F.when(wanted.endswith("*"), F.startswith(token, F.substring(wanted, F.lit(1), F.length(wanted) - 1))).otherwise(token == wanted)
+
+    def begins(at: Column) -> Column:
+        return (at >= 0) & (at + F.col("size") <= F.size("terms")) & F.forall(F.sequence(F.lit(0), F.col("size") - 1), lambda k: like(F.get("terms", at + k), F.get("phrase", k)))
+
+    places = F.filter(F.sequence(F.lit(0), F.size("terms") - 1), lambda i: like(F.get("terms", i), F.col("term")))
+    starts = F.filter(F.transform(places, lambda i: i - F.col("offset")), begins)
+
+    def inside(at: Column) -> Column:
+        # the column that a place is in is the last one that begins at or before it
+        column = F.aggregate(F.sequence(F.lit(0), F.size("bounds") - 1), F.lit(-1), lambda k, i: F.when(F.get("bounds", i) <= at, i).otherwise(k))
+        return (F.col("columns").isNull() | F.array_contains("columns", column)) & (~F.col("first") | (F.get("bounds", column) == at))
+
+    every = every.withColumn("starts", starts)
+    every = every.withColumn("starts", F.when(F.col("columns").isNotNull() | F.col("first"), F.filter("starts", inside)).otherwise(F.col("starts")))
     return every.filter(F.size("starts") > 0).select("key", "chunk_id", "length", F.size("starts").cast("long").alias("tf"), "starts", "size")
 
 

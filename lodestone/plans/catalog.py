@@ -88,9 +88,9 @@ def _tok(text: str) -> str:
     return rf"list_filter(regexp_split_to_array(lower(coalesce({text}, '')), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')"
 
 
-# An empty token parts the columns.
+# A mark parts the columns.
 _INDEX = f"""{_CORPUS},
-x0 AS (SELECT chunk_id, {_tok('collection')} || [''] || {_tok('path')} || [''] || {_tok('title')} || [''] || {_tok('body')} AS terms FROM k),
+x0 AS (SELECT chunk_id, {_tok('collection')} || [chr(1)] || {_tok('path')} || [chr(1)] || {_tok('title')} || [chr(1)] || {_tok('body')} AS terms FROM k),
 x AS (SELECT chunk_id, terms, len(terms) - 3 AS len FROM x0)"""
 _BTOK = _tok("text")
 
@@ -226,9 +226,9 @@ def _d7c(spark: SparkSession, d: str) -> DataFrame:
     return _asked(spark, d, "title:(7 OR 77) OR path: ^src3").select("query_id", "chunk_id")
 
 
-@_register("d7_near", f"WITH {_INDEX}, u AS (SELECT chunk_id, unnest(terms) AS term, unnest(range(len(terms))) AS pos FROM x) SELECT DISTINCT 1 AS query_id, a.chunk_id FROM u a JOIN u b ON b.chunk_id = a.chunk_id AND a.term = 'there' AND b.term = 'is' AND abs(a.pos - b.pos) - 1 <= 2")
+@_register("d7_near", f"WITH {_INDEX}, u AS (SELECT chunk_id, unnest(terms) AS term, unnest(range(len(terms))) AS pos FROM x) SELECT DISTINCT 1 AS query_id, a.chunk_id FROM u a JOIN u b ON b.chunk_id = a.chunk_id AND a.term = 'the' AND b.term = 'of' AND abs(a.pos - b.pos) - 1 <= 2")
 def _d7n(spark: SparkSession, d: str) -> DataFrame:
-    return _asked(spark, d, "NEAR(there is, 2)").select("query_id", "chunk_id")
+    return _asked(spark, d, "NEAR(the of, 2)").select("query_id", "chunk_id")
 
 
 @_register("d7_prefix", f"WITH {_INDEX}, t AS (SELECT chunk_id, unnest(terms) AS term FROM x) SELECT 1 AS query_id, chunk_id, count(*) AS hits FROM t WHERE starts_with(term, 'thes') GROUP BY chunk_id")
@@ -557,7 +557,7 @@ def _i7(spark: SparkSession, d: str) -> DataFrame:
 # -- scalars and formats over results ---------------------------------------------------
 
 
-@_register("a3_supported_types", "SELECT page_id, url, lower(regexp_extract(url, '\\.([^./]+)$', 1)) IN ('md', 'markdown', 'txt', 'csv', 'html', 'htm', 'epub', 'docx', 'xlsx', 'pptx') AS supported FROM pages")
+@_register("a3_supported_types", "SELECT page_id, url, lower(regexp_extract(url, '\\.([^./]+)$', 1)) IN ('md', 'markdown', 'txt', 'csv', 'html', 'htm', 'epub', 'docx', 'xlsx', 'pptx', 'pdf') AS supported FROM pages")
 def _a3(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/pages.parquet").select("page_id", "url", files.is_supported(F.col("url")).alias("supported"))
 

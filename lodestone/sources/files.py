@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
+import base64
 import csv
 import io
+import posixpath
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 from pathlib import PurePosixPath
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.sources.formula import MATH, latex
+from lodestone.sources.pdf import pdf_to_markdown
+
 # File types.
 TEXT_TYPES = ("md", "markdown", "txt")
-OTHER_TYPES = ("csv", "html", "htm", "epub", "docx", "xlsx", "pptx")
+OTHER_TYPES = ("csv", "html", "htm", "epub", "docx", "xlsx", "pptx", "pdf")
 
 
 def is_supported(path: Column, others: bool = True) -> Column:
@@ -78,8 +84,9 @@ class _Html(HTMLParser):
     SKIP = {"script", "style", "head", "title", "meta", "noscript", "svg", "iframe"}
     VOID = {"meta"}
 
-    def __init__(self) -> None:
+    def __init__(self, image: Callable[[str, str], str] | None = None) -> None:
         super().__init__(convert_charrefs=True)
+        self.image = image
         self.out: list[str] = []
         self.text: list[str] = []
         self.skip, self.pre = 0, False
@@ -99,6 +106,8 @@ class _Html(HTMLParser):
             self.skip += tag not in self.VOID
         elif self.skip:
             return
+        elif tag == "img" and self.image and dict(attrs).get("src"):
+            self.text.append(self.image(dict(attrs)["src"], dict(attrs).get("alt") or ""))
         elif tag == "pre":
             self.flush(self.mark)
             self.pre = True
@@ -153,33 +162,121 @@ class _Html(HTMLParser):
             self.text.append(data)
 
 
-def html_to_markdown(text: str) -> str:
-    p = _Html()
+def html_to_markdown(text: str, image: Callable[[str, str], str] | None = None) -> str:
+    """``image`` makes the text of an image from its address and alternative; without it images are left out."""
+    p = _Html(image)
     p.feed(text)
     p.close()
     p.flush(p.mark)
     return re.sub(r"\n{3,}", "\n\n", "\n\n".join(p.out)).strip()
 
 
-def epub_to_markdown(data: bytes) -> str:
-    """The spine's documents in order, joined by rules."""
+_HEADING = re.compile(r"^(#{1,6})\s+(.*)$", re.M)
+
+
+def levelled(text: str, title: str | None = None) -> str:
+    """One heading of level 1 at most, at the top: the title, or the first heading if it says the same.
+
+    All others are moved together so that the highest has level 2 (1 without a title on top).
+    """
+    text = text.strip()
+    heads = list(_HEADING.finditer(text))
+    top = heads[0] if heads and len(heads[0][1]) == 1 else None
+    if top and title:
+        a, b = top[2].strip().lower(), title.strip().lower()
+        top = top if a in b or b in a else None
+    elif top and text[: top.start()].strip():
+        top = None
+    others = [h for h in heads if h is not top]
+    least = 2 if top or title else 1
+    shift = least - min((len(h[1]) for h in others), default=least)
+
+    def moved(h: re.Match) -> str:
+        if top and h.start() == top.start():
+            return h[0]
+        return f"{'#' * max(least, min(6, len(h[1]) + shift))} {h[2].strip()}"
+
+    out = _HEADING.sub(moved, text)
+    if title and not top:
+        out = f"# {title}\n\n{out}"
+    return re.sub(r"\n{3,}", "\n\n", out).strip()
+
+
+#: How EPUB images show: by name, or with their data.
+IMAGES = ("refer", "base64")
+
+
+def epub_to_markdown(data: bytes, images: str = "refer") -> str:
+    """The spine's documents in order, joined by rules, with headings below the book's title."""
+    if images not in IMAGES:
+        raise ValueError(f"images are one of {', '.join(IMAGES)}")
     with zipfile.ZipFile(io.BytesIO(data)) as z:
+        names = set(z.namelist())
         root = ElementTree.fromstring(z.read("META-INF/container.xml"))
         opf = next(e.get("full-path") for e in root.iter() if e.tag.endswith("rootfile"))
         package = ElementTree.fromstring(z.read(opf))
         items = {e.get("id"): e.get("href") for e in package.iter() if e.tag.endswith("}item") or e.tag == "item"}
         spine = [items.get(e.get("idref")) for e in package.iter() if e.tag.endswith("itemref")]
+        title = next((e.text.strip() for e in package.iter() if e.tag.endswith("}title") and e.text and e.text.strip()), None)
         base = PurePosixPath(opf).parent
-        parts = [html_to_markdown(read_text(z.read(str(base / h)))) for h in spine if h and str(base / h) in z.namelist()]
-    return "\n\n---\n\n".join(p for p in parts if p)
+
+        def image(at: str) -> Callable[[str, str], str]:
+            def shown(src: str, alt: str) -> str:
+                inside = posixpath.normpath(posixpath.join(posixpath.dirname(at), src))
+                name = posixpath.basename(inside)
+                if images == "base64" and inside in names:
+                    kind = name.rsplit(".", 1)[-1].lower().replace("jpg", "jpeg")
+                    return f"![{alt}](data:image/{kind};base64,{base64.b64encode(z.read(inside)).decode()})"
+                return f"![{alt}]({name})"
+
+            return shown
+
+        parts = [html_to_markdown(read_text(z.read(str(base / h))), image(str(base / h))) for h in spine if h and str(base / h) in names]
+    return levelled("\n\n---\n\n".join(p for p in parts if p), title)
+
+
+def epub_images(files: DataFrame) -> DataFrame:
+    """(path, name, content): the images of the EPUB files among ``files`` (path, content), to be written where they are wanted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for path, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                with zipfile.ZipFile(io.BytesIO(data)) as z:
+                    rows += [(path, posixpath.basename(n), z.read(n)) for n in z.namelist() if re.search(r"\.(png|jpe?g|gif|svg|webp)$", n, re.I)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.binary()))], ["path", "name", "content"])
+
+    return files.filter(F.lower("path").endswith(".epub")).select("path", "content").mapInArrow(run, "path string, name string, content binary")
+
+
+def described(images: DataFrame, describe: Callable[[bytes], str]) -> DataFrame:
+    """Adds ``body`` to images (…, content): what ``describe`` says of each, or ``error``; partitions work side by side."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            said: list[tuple[str | None, str | None]] = []
+            for data in batch.column("content").to_pylist():
+                try:
+                    said.append((describe(data), None))
+                except Exception as e:  # noqa: BLE001  one image never fails the job
+                    said.append((None, f"{type(e).__name__}: {e}"))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([x[i] for x in said], pa.string()) for i in (0, 1))], [*batch.schema.names, "body", "error"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in images.schema)
+    return images.mapInArrow(run, f"{kinds}, body string, error string")
 
 
 def docx_to_markdown(data: bytes) -> str:
-    """Paragraphs with heading and list styles, and tables."""
+    """Paragraphs with heading and list styles, tables, and formulas between dollar signs."""
     w = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{w}body")
-    text = lambda e: "".join(t.text or "" for t in e.iter(f"{w}t"))
+
+    def text(e: ElementTree.Element) -> str:
+        if e.tag == f"{MATH}oMath":
+            return f"${latex(e)}$"
+        return (e.text or "") if e.tag == f"{w}t" else "".join(map(text, e))
+
     out = []
     for e in body if body is not None else ():
         if e.tag == f"{w}tbl":
@@ -261,7 +358,7 @@ def pptx_to_markdown(data: bytes) -> str:
 
 def convert(path: str, data: bytes) -> str:
     kind = path.rsplit(".", 1)[-1].lower()
-    made = {"csv": csv_to_markdown, "html": lambda b: html_to_markdown(read_text(b)), "htm": lambda b: html_to_markdown(read_text(b)), "epub": epub_to_markdown, "docx": docx_to_markdown, "xlsx": xlsx_to_markdown, "pptx": pptx_to_markdown}.get(kind, read_text)(data)
+    made = {"csv": csv_to_markdown, "html": lambda b: html_to_markdown(read_text(b)), "htm": lambda b: html_to_markdown(read_text(b)), "epub": epub_to_markdown, "docx": docx_to_markdown, "xlsx": xlsx_to_markdown, "pptx": pptx_to_markdown, "pdf": pdf_to_markdown}.get(kind, read_text)(data)
     made = made.encode("utf-8", "replace").decode("utf-8")
     return re.sub(r"(?m)^\|.*\|$", lambda m: re.sub(r" {2,}", " ", m[0]), made)
 
