@@ -20,11 +20,7 @@ from lodestone.functions.text import TOKEN_BREAK, contains_literal
 
 # Fixed values of the ranking function.
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
-#: No term of a chunk weighs more than this times its inverse frequency.
-TF_LIMIT = K1 + 1
-#: Parts that a query's chunks are first cut in, each by itself.
-SALTS = 16
-#: Parts the columns of a chunk among its terms.
+#: Ends each column of a chunk among its terms.
 MARK = "\x01"
 #: The indexed columns.
 COLUMNS = ("collection", "path", "title", "body", "headers")
@@ -33,12 +29,13 @@ COLUMNS = ("collection", "path", "title", "body", "headers")
 def index_chunks(chunks: DataFrame, columns: tuple[str, ...] = COLUMNS, *, stem: bool = False) -> DataFrame:
     """(chunk_id, terms, length, bounds): the tokens of all indexed columns that ``chunks`` has, and their number.
 
-    A mark parts the columns, so that no phrase spans two; ``bounds`` are the places where
-    the columns of ``columns`` begin (null for one that is missing). With ``stem``, tokens
+    A mark ends each column, so that no phrase spans two and every chunk has one; ``bounds``
+    are the places where the columns of ``columns`` begin (null for one that is missing). With ``stem``, tokens
     lose their diacritics and endings.
     """
     own = [c for c in columns if c in chunks.columns]
     text = F.concat_ws(f" {MARK} ", *(F.translate(F.coalesce(c, F.lit("")), MARK, " ") for c in own))
+    text = F.concat(text, F.lit(f" {MARK}"))
     terms = F.filter(F.split(F.lower(text), TOKEN_BREAK.replace("[^", f"[^{MARK}")), lambda t: t != "")
     rows = chunks.select("chunk_id", terms.alias("terms"))
     if stem:
@@ -46,19 +43,21 @@ def index_chunks(chunks: DataFrame, columns: tuple[str, ...] = COLUMNS, *, stem:
     marks = F.filter(F.sequence(F.lit(0), F.size("terms") - 1), lambda i: F.get("terms", i) == MARK)
     starts = F.concat(F.array(F.lit(0)), F.transform(marks, lambda i: i + 1))
     bounds = F.array(*(F.get(starts, F.lit(own.index(c))) if c in own else F.lit(None).cast("int") for c in columns))
-    return rows.select("chunk_id", "terms", (F.size("terms") - (len(own) - 1)).alias("length"), bounds.alias("bounds"))
+    return rows.select("chunk_id", "terms", (F.size("terms") - len(own)).alias("length"), bounds.alias("bounds"))
 
 
 def postings(index: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, chunk_id, length, tf) of the asked terms (a column ``term``; ``x*`` asks for all that begin with x).
+    """(term, chunk_id, length, tf) of the asked terms (a column ``term``; ``x*`` asks for all that begin with x), and of the mark.
 
     Only occurrences of asked terms are dealt out, by chunk: a chunk has few of them,
-    whatever the terms, and sums by chunk need no second shuffle. The outer explode keeps
-    the optimizer from testing the array, and so forming it, a second time. The driver
-    reads the distinct lengths of asked beginnings, no more.
+    whatever the terms, and sums by chunk need no second shuffle. The mark's posting gives
+    the statistics of the whole index from the same shuffle. The outer explode keeps the
+    optimizer from testing the array, and so forming it, a second time. The driver reads
+    the distinct lengths of asked beginnings, no more.
     """
-    asked = terms.select("term").distinct()
-    sizes = sorted(r.n for r in asked.filter("term LIKE '%*'").select((F.length("term") - 1).alias("n")).distinct().collect())
+    mark = terms.sparkSession.range(1).select(F.lit(MARK).alias("term"))
+    asked = terms.select("term").unionByName(mark).distinct()
+    sizes = sorted(r.n for r in terms.filter("term LIKE '%*'").select((F.length("term") - 1).alias("n")).distinct().collect())
     found = index.select("chunk_id", "length", F.explode_outer("terms").alias("term"))
     if sizes:
         starts = [F.when(F.length("term") >= n, F.concat(F.substring("term", 1, n), F.lit("*"))) for n in sizes]
@@ -67,74 +66,54 @@ def postings(index: DataFrame, terms: DataFrame) -> DataFrame:
     return found.agg(F.first("length").alias("length"), F.count("*").alias("tf"))
 
 
-def _idf(n: Column, seen: Column) -> Column:
-    idf = F.ln((n - seen + 0.5) / (seen + 0.5))
-    return F.when(idf > 0, idf).otherwise(IDF_FLOOR)
-
-
 def _weight(tf: Column, length: Column, mean: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
 
 
-def _totals(index: DataFrame) -> tuple[Column, Column]:
-    return index.agg(F.count("*").cast("double").alias("n")).scalar(), index.agg(F.avg("length").alias("mean")).scalar()
-
-
-def _rated(found: DataFrame, n: Column, by: str = "term") -> DataFrame:
-    """Adds ``idf`` to postings.
+def _rated(found: DataFrame, marks: DataFrame, by: str = "term") -> DataFrame:
+    """Postings with ``seen`` (chunks that have the term), ``idf``, and the index's ``mean`` length.
 
     The frequency of a term meets its postings by join, not in a window, so that a term
-    that is everywhere can be split. It reads the same columns, which lets Spark reuse the
-    postings' shuffle; no length is below 0.
+    that is everywhere can be split. Sums by term read the columns that the postings read,
+    which lets Spark reuse their shuffle. ``marks`` are postings that have the mark.
     """
-    seen = found.groupBy(by).agg(F.count("*").alias("seen"), F.max("length").alias("longest")).filter("longest >= 0")
-    return found.join(seen.select(by, _idf(n, F.col("seen")).alias("idf")), by)
+    sums = lambda rows, key: rows.groupBy(key).agg(F.count("*").alias("seen"), F.sum("length").alias("lengths"))
+    of_mark = lambda x: sums(marks, "term").agg(F.max(F.when(F.col("term") == MARK, x)).alias("x")).scalar()
+    n, mean = of_mark(F.col("seen").cast("double")), of_mark(F.col("lengths") / F.col("seen"))
+    idf = F.ln((n - F.col("seen") + 0.5) / (F.col("seen") + 0.5))
+    seen = sums(found, by).filter("lengths >= 0").select(by, "seen", F.when(idf > 0, idf).otherwise(IDF_FLOOR).alias("idf"))
+    return found.join(seen, by).withColumn("mean", mean)
 
 
 def term_scores(index: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, chunk_id, weight, idf): BM25 of each posting, with statistics over the whole index."""
-    n, mean = _totals(index)
-    found = _rated(postings(index, terms), n).withColumn("mean", mean)
-    return found.select("term", "chunk_id", (F.col("idf") * _weight(F.col("tf"), F.col("length"), F.col("mean"))).alias("weight"), "idf")
+    """(term, chunk_id, weight, seen): BM25 of each posting, with statistics over the whole index."""
+    found = postings(index, terms)
+    found = _rated(found, found)
+    return found.select("term", "chunk_id", (F.col("idf") * _weight(F.col("tf"), F.col("length"), F.col("mean"))).alias("weight"), "seen")
 
 
-def match(index: DataFrame, queries: DataFrame, *, every: bool = True) -> DataFrame:
-    """(query_id, chunk_id, score) for queries (query_id, term): all terms, or any."""
-    asked = queries.select("query_id", "term").distinct()
-    hits = asked.join(term_scores(index, asked), "term").groupBy("query_id", "chunk_id").agg(F.sum("weight").alias("score"), F.count("*").alias("met"))
-    if every:
-        wanted = asked.groupBy("query_id").agg(F.count("*").alias("wanted"))
-        hits = hits.join(wanted, "query_id").filter(F.col("met") == F.col("wanted"))
-    return hits.select("query_id", "chunk_id", F.greatest(F.lit(1e-4), "score").alias("score"))
+def _candidates(asked: DataFrame, found: DataFrame, *by: str, term: str = "term") -> DataFrame:
+    """(by, chunk_id): chunks that have the rarest term of each query all of whose terms (by, term) are found somewhere."""
+    seen = found.groupBy(term).agg(F.count("*").alias("seen"), F.sum("length").alias("lengths")).filter("lengths >= 0")
+    rare = asked.join(seen, term, "left").groupBy(*by).agg(F.min_by(term, F.struct("seen", term)).alias(term), F.min(F.coalesce("seen", F.lit(0))).alias("least")).filter("least > 0")
+    return rare.select(*by, term).join(found.select(term, "chunk_id"), term).select(*by, "chunk_id")
 
 
-def match_any_top(index: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
-    """``ranked(match(index, queries, every=False), limit)``, without pairing queries with chunks that only
-    terms at the weight's floor connect.
+def match(index: DataFrame, queries: DataFrame, *, every: bool = True) -> DataFrame:
+    """(query_id, chunk_id, score) for queries (query_id, term): all terms, or any.
 
-    Terms in half of the chunks weigh next to nothing. They are left out at first; chunks that
-    they could still lift among the first ``limit`` get them added. Queries that find fewer
-    chunks than that without them are asked with all their terms.
+    Where all must match, only chunks that have a query's rarest term are looked at.
     """
     asked = queries.select("query_id", "term").distinct()
     scores = term_scores(index, asked)
-    strong, weak = scores.filter(F.col("idf") > IDF_FLOOR), scores.filter(F.col("idf") <= IDF_FLOOR)
-    slack = asked.groupBy("query_id").agg((F.count("*") * (IDF_FLOOR * TF_LIMIT) + 1e-8).alias("slack"))
-    hits = asked.join(strong, "term").groupBy("query_id", "chunk_id").agg(F.sum("weight").alias("part")).join(F.broadcast(slack), "query_id")
-
-    def near_top(rows: DataFrame, *by: str) -> DataFrame:
-        order = Window.partitionBy("query_id", *by).orderBy(F.col("part").desc()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        rows = rows.withColumn("last", F.nth_value("part", limit).over(order))
-        return rows.filter(F.col("last").isNull() | (F.col("part") >= F.col("last") - F.col("slack")))
-
-    kept = near_top(near_top(hits.withColumn("salt", F.pmod(F.xxhash64("chunk_id"), F.lit(SALTS))), "salt"))
-    few = asked.select("query_id").distinct().join(kept.filter("last IS NOT NULL").select("query_id").distinct(), "query_id", "left_anti")
-    # What the weak terms add: to kept pairs, and to every chunk for queries that find few.
-    more = asked.join(kept.filter("last IS NOT NULL").select("query_id", "chunk_id"), "query_id").join(weak, ["term", "chunk_id"]).select("query_id", "chunk_id", "weight")
-    rest = asked.join(few, "query_id", "left_semi").join(weak, "term").select("query_id", "chunk_id", "weight")
-    every = kept.select("query_id", "chunk_id", F.col("part").alias("weight")).unionByName(more).unionByName(rest)
-    total = every.groupBy("query_id", "chunk_id").agg(F.greatest(F.lit(1e-4), F.sum("weight")).alias("score"))
-    return ranked(total, limit)
+    if not every:
+        hits = asked.join(scores, "term").groupBy("query_id", "chunk_id").agg(F.sum("weight").alias("score"))
+    else:
+        pairs = _candidates(asked, postings(index, asked), "query_id").join(asked, "query_id")
+        hits = pairs.join(scores, ["term", "chunk_id"]).groupBy("query_id", "chunk_id").agg(F.sum("weight").alias("score"), F.count("*").alias("met"))
+        wanted = asked.groupBy("query_id").agg(F.count("*").alias("wanted"))
+        hits = hits.join(wanted, "query_id").filter(F.col("met") == F.col("wanted"))
+    return hits.select("query_id", "chunk_id", F.greatest(F.lit(1e-4), "score").alias("score"))
 
 
 def without(hits: DataFrame, excluded: DataFrame) -> DataFrame:
@@ -200,26 +179,24 @@ def compile_queries(queries: DataFrame, *, columns: tuple[str, ...] = COLUMNS, t
 def phrase_hits(index: DataFrame, forms: DataFrame) -> DataFrame:
     """(key, chunk_id, length, tf, starts, size) for phrases (key, terms, columns, first): where their tokens follow each other.
 
-    The postings of a phrase's rarest token are taken first; only in chunks of theirs is the
-    phrase itself looked for, around the places of that token.
+    Only in chunks that have a phrase's rarest token is the phrase itself looked for.
     """
     parts = forms.select("key", F.size("terms").alias("size"), F.posexplode("terms").alias("offset", "term"))
     found = postings(index, parts)
-    # Reads what the join below reads, so that both take the same shuffle.
-    seen = found.groupBy("term").agg(F.count("*").alias("seen"), F.max("length").alias("longest")).filter("longest >= 0")
-    rare = parts.join(seen, "term").groupBy("key").agg(F.min_by(F.struct("term", "offset"), F.struct("seen", "offset")).alias("rare"), F.count("*").alias("met"), F.first("size").alias("size")).filter("met = size")
-    rare = rare.select("key", "size", "rare.term", "rare.offset").join(forms.select("key", "terms", "columns", "first"), "key")
-    near = rare.join(found.select("term", "chunk_id", "length"), "term").withColumnRenamed("terms", "phrase")
-    every = near.join(index.select("chunk_id", "terms", "bounds"), "chunk_id")
+    near = _candidates(parts, found, "key").join(forms.select("key", "terms", "columns", "first"), "key").withColumnRenamed("terms", "phrase")
+    every = near.join(index.select("chunk_id", "terms", "bounds", "length"), "chunk_id").withColumn("size", F.size("phrase"))
+    # Most candidates lack the phrase, which a search in the joined tokens tells at once.
+    whole, wanted = F.concat(F.lit(" "), F.array_join("terms", " "), F.lit(" ")), F.concat(F.lit(" "), F.array_join("phrase", " "), F.lit(" "))
+    wanted = F.when(wanted.endswith("* "), F.substring(wanted, F.lit(1), F.length(wanted) - 2)).otherwise(wanted)
+    every = every.filter(F.contains(whole, wanted))
 
     def like(token: Column, wanted: Column) -> Column:
         return F.when(wanted.endswith("*"), F.startswith(token, F.substring(wanted, F.lit(1), F.length(wanted) - 1))).otherwise(token == wanted)
 
     def begins(at: Column) -> Column:
-        return (at >= 0) & (at + F.col("size") <= F.size("terms")) & F.forall(F.sequence(F.lit(0), F.col("size") - 1), lambda k: like(F.get("terms", at + k), F.get("phrase", k)))
+        return (at + F.col("size") <= F.size("terms")) & F.forall(F.sequence(F.lit(0), F.col("size") - 1), lambda k: like(F.get("terms", at + k), F.get("phrase", k)))
 
-    places = F.filter(F.sequence(F.lit(0), F.size("terms") - 1), lambda i: like(F.get("terms", i), F.col("term")))
-    starts = F.filter(F.transform(places, lambda i: i - F.col("offset")), begins)
+    starts = F.filter(F.sequence(F.lit(0), F.size("terms") - 1), lambda i: like(F.get("terms", i), F.get("phrase", F.lit(0))) & begins(i))
 
     def inside(at: Column) -> Column:
         # the column that a place is in is the last one that begins at or before it
@@ -233,7 +210,7 @@ def phrase_hits(index: DataFrame, forms: DataFrame) -> DataFrame:
 
 def _near(leaves: DataFrame) -> DataFrame:
     """Of leaves in NEAR groups, the occurrences that have one of every other leaf of the group within its distance."""
-    one = F.struct("leaf", "starts", "size", "key", "length", "idf")
+    one = F.struct("leaf", "starts", "size", "key", "length", "idf", "mean")
     sets = leaves.groupBy("query_id", "tier", "chunk_id", "gap", "distance", "wanted").agg(F.collect_list(one).alias("own")).filter(F.size("own") == F.col("wanted"))
     rows = sets.select("*", F.explode("own").alias("l"))
 
@@ -242,7 +219,7 @@ def _near(leaves: DataFrame) -> DataFrame:
         return F.forall("own", lambda o: (o["leaf"] == F.col("l.leaf")) | F.exists(o["starts"], lambda p: apart(o, p) <= F.col("distance")))
 
     left = F.filter("l.starts", lambda at: close(at, F.col("l.size")))
-    return rows.select("query_id", "tier", "chunk_id", "l.leaf", "l.key", "l.length", "l.idf", F.size(left).cast("long").alias("tf")).filter("tf > 0")
+    return rows.select("query_id", "tier", "chunk_id", "l.leaf", "l.key", "l.length", "l.idf", "l.mean", F.size(left).cast("long").alias("tf")).filter("tf > 0")
 
 
 def search(index: DataFrame, asked: DataFrame) -> DataFrame:
@@ -254,22 +231,27 @@ def search(index: DataFrame, asked: DataFrame) -> DataFrame:
     leaves = asked.select("query_id", "tier", F.posexplode("leaves").alias("leaf", "l")).select("query_id", "tier", "leaf", "l.*")
     simple = (F.size("terms") == 1) & F.col("columns").isNull() & ~F.col("first") & F.col("gap").isNull()
     about = leaves.agg(F.count_if(~simple).alias("complex"), F.count("gap").alias("near"), F.max("leaf").alias("most")).first()
-    found = postings(index, leaves.filter(simple).select(F.col("key").alias("term"))).withColumnRenamed("term", "key")
-    n, mean = _totals(index)
+    plain = postings(index, leaves.filter(simple).select(F.col("key").alias("term")))
+    found = plain.withColumn("key", F.col("term")).drop("term")
     if about.complex:
         forms = leaves.filter(~simple).select("key", "terms", "columns", "first").dropDuplicates(["key"])
         found = found.withColumns({"starts": F.lit(None).cast("array<int>"), "size": F.lit(1)}).unionByName(phrase_hits(index, forms))
-    found = _rated(found, n, "key")
+    found = _rated(found, plain, "key")
     if about.near:
         wanted = leaves.filter("gap IS NOT NULL").groupBy("query_id", "tier", "gap").agg(F.count("*").alias("wanted"))
         together = _near(leaves.filter("gap IS NOT NULL").join(wanted, ["query_id", "tier", "gap"]).join(found, "key"))
         leaves = leaves.filter("gap IS NULL")
-    each = leaves.select("query_id", "tier", "leaf", "key").join(found, "key").select("query_id", "tier", "leaf", "chunk_id", "length", "idf", "tf")
+    wide = ["query_id", "tier", "leaf", "chunk_id", "length", "idf", "tf", "mean"]
+    leaves = leaves.join(F.broadcast(asked.select("query_id", "tier", "kind")), ["query_id", "tier"]).select("query_id", "tier", "leaf", "key", "kind")
+    each = leaves.filter("kind <> 'all'").join(found, "key").select(*wide)
+    strict = leaves.filter("kind = 'all'").drop("kind")
+    pairs = _candidates(strict, found, "query_id", "tier", term="key").join(strict, ["query_id", "tier"])
+    each = each.unionByName(pairs.join(found, ["key", "chunk_id"]).select(*wide))
     if about.near:
-        each = each.unionByName(together.select(each.columns))
+        each = each.unionByName(together.select(*wide))
     masks = [F.sum(F.when((F.col("leaf") / 62).cast("int") == k, F.call_function("shiftleft", F.lit(1).cast("long"), F.col("leaf") % 62)).otherwise(0)).alias(f"mask{k}") for k in range((about.most or 0) // 62 + 1)]
     weight = F.col("idf") * _weight(F.col("tf"), F.col("length"), F.col("mean"))
-    hits = each.withColumn("mean", mean).groupBy("query_id", "tier", "chunk_id").agg(F.sum(weight).alias("score"), F.count("*").alias("met"), *masks)
+    hits = each.groupBy("query_id", "tier", "chunk_id").agg(F.sum(weight).alias("score"), F.count("*").alias("met"), *masks)
     hits = hits.join(F.broadcast(asked.select("query_id", "tier", "last", "program", "kind", F.size("leaves").alias("wanted"))), ["query_id", "tier"])
     has = lambda x: F.call_function("shiftright", F.get(F.array(*(f"mask{k}" for k in range(len(masks)))), (x / 62).cast("int")), x % 62) % 2 == 1
 

@@ -88,10 +88,10 @@ def _tok(text: str) -> str:
     return rf"list_filter(regexp_split_to_array(lower(coalesce({text}, '')), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')"
 
 
-# A mark parts the columns.
+# A mark ends each column.
 _INDEX = f"""{_CORPUS},
-x0 AS (SELECT chunk_id, {_tok('collection')} || [chr(1)] || {_tok('path')} || [chr(1)] || {_tok('title')} || [chr(1)] || {_tok('body')} AS terms FROM k),
-x AS (SELECT chunk_id, terms, len(terms) - 3 AS len FROM x0)"""
+x0 AS (SELECT chunk_id, {_tok('collection')} || [chr(1)] || {_tok('path')} || [chr(1)] || {_tok('title')} || [chr(1)] || {_tok('body')} || [chr(1)] AS terms FROM k),
+x AS (SELECT chunk_id, terms, len(terms) - 4 AS len FROM x0)"""
 _BTOK = _tok("text")
 
 
@@ -185,7 +185,8 @@ _ALL = "SELECT hl.* FROM hl JOIN nl ON nl.query_id = hl.query_id AND nl.tier = h
 
 @_register("d3_bm25_any", f"WITH {_bm25(_terms('benchmark'))} SELECT query_id, chunk_id, round(score, 6) AS score, fts_rank FROM ({_top('hl', 10)})")
 def _d3(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(lexical.match_any_top(lexical.index_chunks(chunks(spark, d)), benchmark_terms(spark, d), 10), "score")
+    hits = lexical.match(lexical.index_chunks(chunks(spark, d)), benchmark_terms(spark, d), every=False)
+    return _rounded(lexical.ranked(hits, 10), "score")
 
 
 @_register("d5_boolean_and", f"WITH {_bm25(_terms(_SENTENCES, 'query_id'))}, h AS ({_ALL}) SELECT query_id, chunk_id, round(score, 6) AS score, fts_rank FROM ({_top('h', 50)})")
@@ -228,12 +229,12 @@ def _d7c(spark: SparkSession, d: str) -> DataFrame:
 
 @_register("d7_near", f"WITH {_INDEX}, u AS (SELECT chunk_id, unnest(terms) AS term, unnest(range(len(terms))) AS pos FROM x) SELECT DISTINCT 1 AS query_id, a.chunk_id FROM u a JOIN u b ON b.chunk_id = a.chunk_id AND a.term = 'the' AND b.term = 'of' AND abs(a.pos - b.pos) - 1 <= 2")
 def _d7n(spark: SparkSession, d: str) -> DataFrame:
-    return _asked(spark, d, "NEAR(the of, 2)").select("query_id", "chunk_id")
+    return _asked(spark, d, "NEAR(the of, 2) AND the").select("query_id", "chunk_id")
 
 
 @_register("d7_prefix", f"WITH {_INDEX}, t AS (SELECT chunk_id, unnest(terms) AS term FROM x) SELECT 1 AS query_id, chunk_id, count(*) AS hits FROM t WHERE starts_with(term, 'thes') GROUP BY chunk_id")
 def _d7(spark: SparkSession, d: str) -> DataFrame:
-    found = lexical.postings(lexical.index_chunks(chunks(spark, d)), spark.sql("SELECT 'thes*' AS term"))
+    found = lexical.postings(lexical.index_chunks(chunks(spark, d)), spark.sql("SELECT 'thes*' AS term")).filter("term = 'thes*'")
     return found.select(F.lit(1).alias("query_id"), "chunk_id", F.col("tf").alias("hits"))
 
 

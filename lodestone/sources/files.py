@@ -13,7 +13,6 @@ from html.parser import HTMLParser
 from pathlib import PurePosixPath
 from xml.etree import ElementTree
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -366,23 +365,28 @@ def convert(path: str, data: bytes) -> str:
 def to_markdown(files: DataFrame) -> DataFrame:
     """Adds ``body``, or ``error`` for a file that can't be converted: one file never fails the job."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def one(path: str, data: bytes) -> tuple[str | None, str | None]:
+        try:
+            return convert(path, data), None
+        except Exception as e:  # noqa: BLE001  any broken file ends up in the error column
+            return None, f"{type(e).__name__}: {e}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bodies, errors = [], []
-            for path, data in zip(batch["path"], batch["content"], strict=True):
-                try:
-                    bodies.append(convert(path, bytes(data)))
-                    errors.append(None)
-                except Exception as e:  # noqa: BLE001  any broken file ends up in the error column
-                    bodies.append(None)
-                    errors.append(f"{type(e).__name__}: {e}")
-            yield batch.drop(columns="content").assign(body=bodies, error=errors)
+            made = [one(path, data) for path, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True)]
+            own = [c for c in batch.schema.names if c != "content"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), *(pa.array([x[i] for x in made], pa.string()) for i in (0, 1))], [*own, "body", "error"])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema if f.name != "content")
-    return files.mapInPandas(run, f"{kept}, body string, error string")
+    return files.mapInArrow(run, f"{kept}, body string, error string")
 
 
 def pages_to_markdown(pages: DataFrame) -> DataFrame:
-    """(page_id, body) of a table with a column ``html``."""
-    convert_ = F.pandas_udf(lambda s: s.map(lambda x: html_to_markdown(x) if x else ""), "string")
-    return pages.select("page_id", convert_("html").alias("body"))
+    """(page_id, body) of a table with a column ``html``; null pages are empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bodies = [html_to_markdown(x) if x else "" for x in batch.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array(bodies, pa.string())], ["page_id", "body"])
+
+    return pages.select("page_id", "html").mapInArrow(run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, body string")

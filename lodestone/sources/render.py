@@ -9,10 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions.parse import SCHEME
 from lodestone.functions.text import escape_xml, strip_ansi
-
-#: The scheme of document addresses.
-SCHEME = "lode://"
+from lodestone.sources.formats import PROGRAM
 
 
 def uri(collection: Column, path: Column) -> Column:
@@ -33,7 +32,9 @@ def _place() -> dict[str, Column]:
 def results_xml(hits: DataFrame) -> DataFrame:
     """(query_id, rank, xml) of hits with query_id, rank, score, collection, path, seq_id, title, text."""
     seq, body = F.col("seq_id"), F.trim(strip_ansi(F.coalesce("text", F.lit(""))))
-    known = attributes(rank=F.col("rank"), score=F.format_string("%.4f", F.col("score").cast("double")), **_place(), seq=seq, chars=F.length(body), title=F.col("title"), prev_seq=F.greatest(seq - 1, F.lit(0)), next_seq=seq + 1)
+    place = F.concat_ws(":", F.when(F.coalesce("collection", F.lit("")) != "", F.col("collection")), F.col("path"))
+    section = F.coalesce("headers", F.lit("")) if "headers" in hits.columns else F.lit("")
+    known = attributes(rank=F.col("rank"), score=F.format_string("%.4f", F.col("score").cast("double")), **_place(), seq=seq, chars=F.length(body), title=F.col("title"), section=section, prev_seq=F.greatest(seq - 1, F.lit(0)), next_seq=seq + 1, read=F.concat(F.lit(f"{PROGRAM} read '"), place, F.lit(":"), seq.cast("string"), F.lit("'")), outline=F.concat(F.lit(f"{PROGRAM} outline '"), place, F.lit("'")))
     return hits.select("query_id", "rank", F.concat(F.lit("  <result "), known, F.lit(">\n"), body, F.lit("\n  </result>")).alias("xml"))
 
 
