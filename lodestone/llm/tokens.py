@@ -40,7 +40,7 @@ CHUNK = 1024
 #: Text bytes whose pieces run side by side.
 STEP_BYTES = 2 << 20
 #: States of the merger's table at most; beyond it only those in use are kept.
-MAX_STATES = 120_000
+MAX_STATES = 300_000
 #: Bytes in a chunk of the merger, and places before it that likely entry states are found from.
 PIECE_CHUNK, STARTS = 1024, 8
 #: Rounds in which missing entries of all chunks are added; after them only those in the way are.
@@ -156,7 +156,7 @@ class TokenCounter:
 
     def _compact(self, *states: np.ndarray) -> None:
         """Keeps the states of these arrays only, and renumbers them in place."""
-        live = np.unique(np.concatenate([np.zeros(1, np.int64), *states]))
+        live = np.unique(np.concatenate([np.zeros(1, np.int32), *states]))
         self.info = [self.info[i] for i in live]
         self.number = {x: i for i, x in enumerate(self.info)}
         self.table = np.full(max(1024, 2 * len(live)) * self.width, -1, np.int32)
@@ -247,7 +247,7 @@ class TokenCounter:
         out = np.zeros(len(start), np.int64)
         chunk = max(PIECE_CHUNK, 4 * self.longest)
         long = length > 2 * chunk
-        out[~long] = self._run(data, start[~long], length[~long], np.zeros((~long).sum(), np.int64))[0]
+        out[~long] = self._run(data, start[~long], length[~long], np.zeros((~long).sum(), np.int32))[0]
         if long.any():
             out[long] = self._count_long(data, start[long], length[long], chunk)
         return out
@@ -259,7 +259,7 @@ class TokenCounter:
         """
         order = np.argsort(-length, kind="stable")
         start, lens, state = start[order], length[order], state[order]
-        total = np.zeros(len(start), np.int64)
+        total = np.zeros(len(start), np.int32)
         active = np.searchsorted(-lens, -np.arange(1, (lens[0] if len(lens) else 0) + 1), "right")
         for t, n in enumerate(active):
             value = data[start[:n] + t]
@@ -285,8 +285,8 @@ class TokenCounter:
         begin = start[piece] + within * chunk
         size = np.minimum(chunk, start[piece] + length[piece] - begin)
         later, before = np.flatnonzero(within > 0), self.longest + np.arange(STARTS)
-        _, found = self._run(data, (begin[later, None] - before).ravel(), np.tile(before, len(later)), np.zeros(len(later) * STARTS, np.int64))
-        entry = np.full((len(piece), STARTS), -1, np.int64)  # by chunk, the states that it has a map for; -1 for none
+        _, found = self._run(data, (begin[later, None] - before).ravel(), np.tile(before, len(later)), np.zeros(len(later) * STARTS, np.int32))
+        entry = np.full((len(piece), STARTS), -1, np.int32)  # by chunk, the states that it has a map for; -1 for none
         entry[within == 0, 0] = 0
         found = np.sort(found.reshape(-1, STARTS), axis=1)
         found[:, 1:][found[:, 1:] == found[:, :-1]] = -1
