@@ -34,8 +34,8 @@ def index_chunks(chunks: DataFrame, columns: tuple[str, ...] = COLUMNS, *, stem:
     lose their diacritics and endings.
     """
     own = [c for c in columns if c in chunks.columns]
-    text = F.concat_ws(f" {MARK} ", *(F.translate(F.coalesce(c, F.lit("")), MARK, " ") for c in own))
-    text = F.concat(text, F.lit(f" {MARK}"))
+    bare = lambda c: F.when(F.contains(c, F.lit(MARK)), F.translate(c, MARK, " ")).otherwise(F.coalesce(c, F.lit("")))
+    text = F.concat(*(x for c in own for x in (bare(F.col(c)), F.lit(f" {MARK} "))))
     terms = F.filter(F.split(F.lower(text), TOKEN_BREAK.replace("[^", f"[^{MARK}")), lambda t: t != "")
     rows = chunks.select("chunk_id", terms.alias("terms"))
     if stem:
@@ -100,17 +100,10 @@ def _candidates(asked: DataFrame, found: DataFrame, *by: str, term: str = "term"
 
 
 def match(index: DataFrame, queries: DataFrame, *, every: bool = True) -> DataFrame:
-    """(query_id, chunk_id, score) for queries (query_id, term): all terms, or any.
-
-    Where all must match, only chunks that have a query's rarest term are looked at.
-    """
+    """(query_id, chunk_id, score) for queries (query_id, term): all terms, or any."""
     asked = queries.select("query_id", "term").distinct()
-    scores = term_scores(index, asked)
-    if not every:
-        hits = asked.join(scores, "term").groupBy("query_id", "chunk_id").agg(F.sum("weight").alias("score"))
-    else:
-        pairs = _candidates(asked, postings(index, asked), "query_id").join(asked, "query_id")
-        hits = pairs.join(scores, ["term", "chunk_id"]).groupBy("query_id", "chunk_id").agg(F.sum("weight").alias("score"), F.count("*").alias("met"))
+    hits = asked.join(term_scores(index, asked), "term").groupBy("query_id", "chunk_id").agg(F.sum("weight").alias("score"), F.count("*").alias("met"))
+    if every:
         wanted = asked.groupBy("query_id").agg(F.count("*").alias("wanted"))
         hits = hits.join(wanted, "query_id").filter(F.col("met") == F.col("wanted"))
     return hits.select("query_id", "chunk_id", F.greatest(F.lit(1e-4), "score").alias("score"))
@@ -242,11 +235,7 @@ def search(index: DataFrame, asked: DataFrame) -> DataFrame:
         together = _near(leaves.filter("gap IS NOT NULL").join(wanted, ["query_id", "tier", "gap"]).join(found, "key"))
         leaves = leaves.filter("gap IS NULL")
     wide = ["query_id", "tier", "leaf", "chunk_id", "length", "idf", "tf", "mean"]
-    leaves = leaves.join(F.broadcast(asked.select("query_id", "tier", "kind")), ["query_id", "tier"]).select("query_id", "tier", "leaf", "key", "kind")
-    each = leaves.filter("kind <> 'all'").join(found, "key").select(*wide)
-    strict = leaves.filter("kind = 'all'").drop("kind")
-    pairs = _candidates(strict, found, "query_id", "tier", term="key").join(strict, ["query_id", "tier"])
-    each = each.unionByName(pairs.join(found, ["key", "chunk_id"]).select(*wide))
+    each = leaves.select("query_id", "tier", "leaf", "key").join(found, "key").select(*wide)
     if about.near:
         each = each.unionByName(together.select(*wide))
     masks = [F.sum(F.when((F.col("leaf") / 62).cast("int") == k, F.call_function("shiftleft", F.lit(1).cast("long"), F.col("leaf") % 62)).otherwise(0)).alias(f"mask{k}") for k in range((about.most or 0) // 62 + 1)]
