@@ -2,7 +2,9 @@
 
 The index is sharded by documents: a segment holds the postings of about half a
 megabyte of texts (positions by term, terms being 64-bit hashes of words), and is
-written to the shared folder, once and for every term. Searches run segment by segment:
+written to the shared folder, once and for every term, as one packed value in small row
+groups, so that only a worker ever holds postings unpacked, those of one segment at a
+time, whatever the size of the table. Searches run segment by segment:
 for every benchmark window, the list of its term that is rarest in the segment is taken,
 shifted by the term's offset, and intersected with the lists of the other terms, rarest
 first. What remains are exact phrase matches. Proximity matches need all terms within a
@@ -30,11 +32,28 @@ from lodestone.llm.words import ALNUM, as_long, lists, map_texts, split_words
 
 #: Benchmark windows in one broadcast, about.
 BLOCK_WINDOWS = 200_000
+#: Parquet's writer looks at sizes only after 100 rows unless told; a hundred segments make a page and
+#: a row group that its buffers outside the heap, of each writing and reading thread, follow.
+ROW_GROUPS = {"parquet.block.size": 4 << 20, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
+
+
+def pack(terms: np.ndarray, at: np.ndarray, positions: np.ndarray) -> bytes:
+    """Postings as one compressed value: distinct terms, how many positions each has, and positions."""
+    flat = np.int64(len(terms)).tobytes() + terms.tobytes() + np.diff(at).astype(np.int32).tobytes() + positions.astype(np.int32).tobytes()
+    return np.int64(len(flat)).tobytes() + pa.compress(flat, codec="zstd", asbytes=True)
+
+
+def unpack(value: pa.Buffer) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What ``pack`` was given: terms, where each one's positions begin, and positions."""
+    flat = pa.decompress(value[8:], decompressed_size=int(np.frombuffer(value[:8], np.int64)[0]), codec="zstd")
+    n = int(np.frombuffer(flat, np.int64, 1)[0])
+    counts = np.frombuffer(flat, np.int32, n, 8 + 8 * n)
+    return np.frombuffer(flat, np.uint64, n, 8), np.r_[0, np.cumsum(counts, dtype=np.int64)], np.frombuffer(flat, np.int32, -1, 8 + 12 * n)
 
 
 def index_segments(docs: DataFrame) -> DataFrame:
     """Segments of the index of ``docs`` (key, text): their number and keys, where each text's words
-    begin, distinct terms in order, where each term's positions begin, and positions."""
+    begin, and the packed postings: distinct terms in order, and the positions of each."""
 
     def kernel(part: pa.RecordBatch) -> pa.RecordBatch:
         words = split_words(part.column("text"), ALNUM, lower=True)
@@ -44,11 +63,11 @@ def index_segments(docs: DataFrame) -> DataFrame:
         new = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
         one = lambda x: lists(x, np.array([0, len(x)]))
         keys = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column("key"))
-        columns = [pa.array([uuid.uuid4().int >> 65]), keys, one(words.first.astype(np.int32)), one(as_long(h[new])), one(np.r_[new, len(h)].astype(np.int32)), one(position.astype(np.int32))]
-        return pa.RecordBatch.from_arrays(columns, ["segment", "keys", "first", "terms", "at", "positions"])
+        columns = [pa.array([uuid.uuid4().int >> 65]), keys, one(words.first.astype(np.int32)), pa.array([pack(h[new], np.r_[new, len(h)], position)], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["segment", "keys", "first", "postings"])
 
     kind = docs.schema["key"].dataType.simpleString()
-    return map_texts(docs, kernel, f"segment long, keys array<{kind}>, first array<int>, terms array<long>, at array<int>, positions array<int>")
+    return map_texts(docs, kernel, f"segment long, keys array<{kind}>, first array<int>, postings binary")
 
 
 def window_table(items: DataFrame, n: int) -> DataFrame:
@@ -144,9 +163,8 @@ class Queries:
 
 def _found(row: pa.RecordBatch, q: Queries, slop: int | None) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Of one segment: which words are hit, and the texts and item names of matches."""
-    flat = {c: row.column(c).flatten().to_numpy() for c in ("first", "terms", "at", "positions")}
-    first = flat["first"].astype(np.int64)
-    window, start = q.matches(flat["terms"].view(np.uint64), flat["at"], flat["positions"], first, slop)
+    first = row.column("first").flatten().to_numpy().astype(np.int64)
+    window, start = q.matches(*unpack(row.column("postings")[0].as_buffer()), first, slop)
     text = np.searchsorted(first, start, "right") - 1
     edge = np.zeros(int(first[-1]) + 1, np.int64)
     np.add.at(edge, start, 1)
@@ -228,7 +246,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, *, n: int = 10, slop:
     windows = persist_table(window_table(asked, n), "windows")
     blocks = max(1, -(-windows.count() // BLOCK_WINDOWS))
     schema = f"key {docs.schema[key].dataType.simpleString()}, n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, contaminated boolean"
-    segments = persist_table(index_segments(rows), "index")
+    segments = persist_table(index_segments(rows), "index", ROW_GROUPS)
     if blocks == 1:
         out = _one_pass(segments, Queries.of(windows.toArrow(), n), slop, schema)
     else:

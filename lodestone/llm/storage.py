@@ -29,14 +29,15 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{found.rstrip('/')}/lodestone/{context.applicationId}"
 
 
-def persist_table(df: DataFrame, name: str) -> DataFrame:
+def persist_table(df: DataFrame, name: str, options: dict[str, int] | None = None) -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder and reads it back.
 
-    This cuts the lineage: a lost executor costs a reread, not a recomputation.
+    This cuts the lineage: a lost executor costs a reread, not a recomputation. ``options``
+    are those of the writer.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     if _OPEN:
         _OPEN[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -3,9 +3,10 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from lodestone.llm import pii, toxicity, urls
+from lodestone.llm import decontam, pii, toxicity, urls
 from lodestone.llm.forest import near_vectors
 
 
@@ -82,3 +83,20 @@ def test_thresholds_by_all_labelled_rows(spark):
         assert sum(x[3] for x in use) >= toxicity.CALIBRATE
         wrong = [sum((got[x[0]].score >= t) != (x[3] == 1) for x in use) for t in toxicity.GRID]
         assert {got[x[0]].threshold for x in rows if x[2] == lang} == {toxicity.GRID[int(np.argmin(wrong))]}
+
+
+def test_index_of_one_task_is_stored_in_small_row_groups(spark, monkeypatch):
+    r = random.Random(3)
+    some = [" ".join("".join(r.choice("aeiounrst") for _ in range(5)) for _ in range(4000)) for _ in range(50)]
+    rows = [(i, " ".join(r.choice(some) for _ in range(5))) for i in range(200)]
+    rows.append((200, " ".join(some[3].split()[100:112])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame([(1, " ".join(some[3].split()[100:112]))], "item_id long, text string")
+    stored, persist = {}, decontam.persist_table
+    monkeypatch.setattr(decontam, "persist_table", lambda df, name, *a: stored.setdefault(name, persist(df, name, *a)))
+    got = {x.doc_id: x.n_hit for x in decontam.benchmark_hits(docs, bench).collect()}
+    assert got == {i: 12 * t.count(rows[200][1]) for i, t in rows}
+    files = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in stored["index"].inputFiles()]
+    groups = [m.row_group(k) for m in files for k in range(m.num_row_groups)]
+    assert sum(g.num_rows for g in groups) > 30
+    assert max(g.total_byte_size for g in groups) < 2 * 2**22
