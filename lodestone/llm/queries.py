@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lodestone.llm import infill, ranking
 from lodestone.llm.decontam import benchmark_hits
 from lodestone.llm.forest import near_vectors
 from lodestone.llm.licenses import oracle_sql as _license_sql
@@ -65,10 +67,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = infill.fill_in_middle(_table(spark, sf_dir, "documents"))
+    digests = {"output_sha256": F.sha2(F.col("output").cast("binary"), 256), "restored_sha256": F.sha2(infill.restored(F.col("output"), F.col("form")).cast("binary"), 256)}
+    return out.withColumns(digests).drop("output")
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    return {f.__name__: f for f in (op1_token_counts, op2_source_mix, op3_vector_forest, op4_minhash, op5_substrings, op6_url_filter, op7_license_scan, op8_decontamination, op9_personal_data, op10_toxicity)} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in (op1_token_counts, op2_source_mix, op3_vector_forest, op4_minhash, op5_substrings, op6_url_filter, op7_license_scan, op8_decontamination, op9_personal_data, op10_toxicity, op11_fill_in_middle, op13_ranked_search)} | {"pipeline": corpus_pipeline.run}
 
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -127,4 +139,4 @@ def oracle_sql() -> dict[str, str]:
     Not so: token counts (merges), the mix and the URL models (Spark's hashes), and the
     trained models of personal data and toxicity.
     """
-    return _ORACLE | {"op7_license_scan": _license_sql()}
+    return _ORACLE | {"op7_license_scan": _license_sql(), "op11_fill_in_middle": infill.oracle_sql(), "op13_ranked_search": ranking.oracle_sql()}
