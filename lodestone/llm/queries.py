@@ -14,6 +14,7 @@ from lodestone.llm.licenses import oracle_sql as _license_sql
 from lodestone.llm.licenses import scan_licenses
 from lodestone.llm.minhash import near_texts
 from lodestone.llm.mixing import mix_sources
+from lodestone.llm.neighbours import score_quality
 from lodestone.llm.pii import find_personal_data
 from lodestone.llm.substrings import remove_repeats
 from lodestone.llm.tokens import token_counts
@@ -73,6 +74,10 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns(digests).drop("output")
 
 
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -80,7 +85,7 @@ def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    return {f.__name__: f for f in (op1_token_counts, op2_source_mix, op3_vector_forest, op4_minhash, op5_substrings, op6_url_filter, op7_license_scan, op8_decontamination, op9_personal_data, op10_toxicity, op11_fill_in_middle, op13_ranked_search)} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in (op1_token_counts, op2_source_mix, op3_vector_forest, op4_minhash, op5_substrings, op6_url_filter, op7_license_scan, op8_decontamination, op9_personal_data, op10_toxicity, op11_fill_in_middle, op12_quality, op13_ranked_search)} | {"pipeline": corpus_pipeline.run}
 
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -137,6 +142,6 @@ def oracle_sql() -> dict[str, str]:
     """SQL for the operators whose results it can express; the others are tested against brute force.
 
     Not so: token counts (merges), the mix and the URL models (Spark's hashes), and the
-    trained models of personal data and toxicity.
+    trained models of personal data, toxicity and quality.
     """
     return _ORACLE | {"op7_license_scan": _license_sql(), "op11_fill_in_middle": infill.oracle_sql(), "op13_ranked_search": ranking.oracle_sql()}
