@@ -161,7 +161,7 @@ class Engine:
         places = parse.int_ranges(seq) if seq is not None else at.seq
         if seq is not None and places is None:
             raise ValueError(f"{seq!r} is no range of chunks")
-        chunks = self.store.chunks().drop("vector", "hash", "line")
+        chunks = self.store.chunks().drop("vector", "code", "hash", "line")
         if at.row_ids is not None and at.path is None and seq is None:
             wanted = chunks.filter(F.col("chunk_id").isin(at.row_ids)).select("collection", "path", "seq_id")
         else:

@@ -1,8 +1,7 @@
-"""Lexical retrieval: an inverted index as DataFrames, BM25, boolean, phrase, prefix and proximity search.
+"""Lexical retrieval: tokens of chunks, queries as expressions, and ranks of what a stored index finds.
 
-All functions take many queries at once. Only postings of the asked terms are formed,
-texts stay out of the ranking stages, and corpus statistics are computed before any
-metadata filter, since filters don't change them.
+All functions take many queries at once. Texts stay out of the ranking stages, and corpus
+statistics are computed before any metadata filter, since filters don't change them.
 """
 
 from __future__ import annotations
@@ -17,11 +16,11 @@ from pyspark.sql import functions as F
 from lodestone.functions import parse
 from lodestone.functions.stem import stemmed
 from lodestone.functions.text import TOKEN_BREAK, contains_literal
+from lodestone.operators.postings import MARK, PostingIndex, search_blocks
 
-# Fixed values of the ranking function.
-K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
-#: Ends each column of a chunk among its terms.
-MARK = "\x01"
+_FORM = "key:string,terms:array<string>,columns:array<int>,first:boolean,gap:int,distance:int"
+#: Chunks that a query has found when no looser tier is asked for.
+QUORUM = 3
 #: The indexed columns.
 COLUMNS = ("collection", "path", "title", "body", "headers")
 
@@ -46,67 +45,31 @@ def index_chunks(chunks: DataFrame, columns: tuple[str, ...] = COLUMNS, *, stem:
     return rows.select("chunk_id", "terms", (F.size("terms") - len(own)).alias("length"), bounds.alias("bounds"))
 
 
-def postings(index: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, chunk_id, length, tf) of the asked terms (a column ``term``; ``x*`` asks for all that begin with x), and of the mark.
-
-    Only occurrences of asked terms are dealt out, by chunk: a chunk has few of them,
-    whatever the terms, and sums by chunk need no second shuffle. The mark's posting gives
-    the statistics of the whole index from the same shuffle. The outer explode keeps the
-    optimizer from testing the array, and so forming it, a second time. The driver reads
-    the distinct lengths of asked beginnings, no more.
-    """
-    mark = terms.sparkSession.range(1).select(F.lit(MARK).alias("term"))
-    asked = terms.select("term").unionByName(mark).distinct()
-    sizes = sorted(r.n for r in terms.filter("term LIKE '%*'").select((F.length("term") - 1).alias("n")).distinct().collect())
-    found = index.select("chunk_id", "length", F.explode_outer("terms").alias("term"))
-    if sizes:
-        starts = [F.when(F.length("term") >= n, F.concat(F.substring("term", 1, n), F.lit("*"))) for n in sizes]
-        found = found.withColumn("term", F.explode(F.array("term", *starts)))
-    found = found.join(asked, "term", "left_semi").repartition("chunk_id").groupBy("term", "chunk_id")
-    return found.agg(F.first("length").alias("length"), F.count("*").alias("tf"))
-
+def _plain() -> tuple[Column, ...]:
+    return F.lit(None).cast("array<int>").alias("columns"), F.lit(False).alias("first"), F.lit(None).cast("int").alias("gap"), F.lit(None).cast("int").alias("distance")
 
-def _weight(tf: Column, length: Column, mean: Column) -> Column:
-    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
 
-
-def _rated(found: DataFrame, marks: DataFrame, by: str = "term") -> DataFrame:
-    """Postings with ``seen`` (chunks that have the term), ``idf``, and the index's ``mean`` length.
-
-    The frequency of a term meets its postings by join, not in a window, so that a term
-    that is everywhere can be split. Sums by term read the columns that the postings read,
-    which lets Spark reuse their shuffle. ``marks`` are postings that have the mark.
-    """
-    sums = lambda rows, key: rows.groupBy(key).agg(F.count("*").alias("seen"), F.sum("length").alias("lengths"))
-    of_mark = lambda x: sums(marks, "term").agg(F.max(F.when(F.col("term") == MARK, x)).alias("x")).scalar()
-    n, mean = of_mark(F.col("seen").cast("double")), of_mark(F.col("lengths") / F.col("seen"))
-    idf = F.ln((n - F.col("seen") + 0.5) / (F.col("seen") + 0.5))
-    seen = sums(found, by).filter("lengths >= 0").select(by, "seen", F.when(idf > 0, idf).otherwise(IDF_FLOOR).alias("idf"))
-    return found.join(seen, by).withColumn("mean", mean)
+def asked_terms(queries: DataFrame, *, every: bool = True) -> DataFrame:
+    """Compiled queries of (query_id, term): all terms, or any; ``x*`` stands for all that begin with x."""
+    one = F.struct(F.col("term").alias("key"), F.array("term").alias("terms"), *_plain())
+    rows = queries.select("query_id", "term").distinct().groupBy("query_id").agg(F.sort_array(F.collect_list(one)).alias("leaves"))
+    return _compiled(rows, "all" if every else "any")
 
 
-def term_scores(index: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, chunk_id, weight, seen): BM25 of each posting, with statistics over the whole index."""
-    found = postings(index, terms)
-    found = _rated(found, found)
-    return found.select("term", "chunk_id", (F.col("idf") * _weight(F.col("tf"), F.col("length"), F.col("mean"))).alias("weight"), "seen")
+def asked_phrases(queries: DataFrame) -> DataFrame:
+    """Compiled queries of (query_id, terms): the terms one after the other."""
+    one = F.struct(F.array_join("terms", " ").alias("key"), "terms", *_plain())
+    return _compiled(queries.select("query_id", F.array(one).alias("leaves")), "all")
 
 
-def _candidates(asked: DataFrame, found: DataFrame, *by: str, term: str = "term") -> DataFrame:
-    """(by, chunk_id): chunks that have the rarest term of each query all of whose terms (by, term) are found somewhere."""
-    seen = found.groupBy(term).agg(F.count("*").alias("seen"), F.sum("length").alias("lengths")).filter("lengths >= 0")
-    rare = asked.join(seen, term, "left").groupBy(*by).agg(F.min_by(term, F.struct("seen", term)).alias(term), F.min(F.coalesce("seen", F.lit(0))).alias("least")).filter("least > 0")
-    return rare.select(*by, term).join(found.select(term, "chunk_id"), term).select(*by, "chunk_id")
+def _compiled(rows: DataFrame, kind: str) -> DataFrame:
+    return rows.select("query_id", F.lit(0).alias("tier"), F.lit(False).alias("last"), F.col("leaves").cast(f"array<struct<{_FORM}>>").alias("leaves"), F.array().cast("array<int>").alias("program"), F.lit(kind).alias("kind"))
 
 
-def match(index: DataFrame, queries: DataFrame, *, every: bool = True) -> DataFrame:
-    """(query_id, chunk_id, score) for queries (query_id, term): all terms, or any."""
-    asked = queries.select("query_id", "term").distinct()
-    hits = asked.join(term_scores(index, asked), "term").groupBy("query_id", "chunk_id").agg(F.sum("weight").alias("score"), F.count("*").alias("met"))
-    if every:
-        wanted = asked.groupBy("query_id").agg(F.count("*").alias("wanted"))
-        hits = hits.join(wanted, "query_id").filter(F.col("met") == F.col("wanted"))
-    return hits.select("query_id", "chunk_id", F.greatest(F.lit(1e-4), "score").alias("score"))
+def match(index: PostingIndex, queries: DataFrame, *, every: bool = True, limit: int | None = None) -> DataFrame:
+    """(query_id, chunk_id, score) for queries (query_id, term): all terms, or any; all that match or the first ``limit``."""
+    hits = search_blocks(index, asked_terms(queries, every=every), limit=limit).select("query_id", "chunk_id", "score")
+    return hits if limit is None else ranked(hits, limit).drop("fts_rank")
 
 
 def without(hits: DataFrame, excluded: DataFrame) -> DataFrame:
@@ -116,7 +79,6 @@ def without(hits: DataFrame, excluded: DataFrame) -> DataFrame:
 
 # -- expressions -----------------------------------------------------------------------------
 
-_FORM = "key:string,terms:array<string>,columns:array<int>,first:boolean,gap:int,distance:int"
 _ASKED = f"tier int, last boolean, leaves array<struct<{_FORM}>>, program array<int>, kind string"
 
 
@@ -169,91 +131,6 @@ def compile_queries(queries: DataFrame, *, columns: tuple[str, ...] = COLUMNS, t
     return rows.mapInArrow(run, f"query_id {queries.schema['query_id'].dataType.simpleString()}, {_ASKED}")
 
 
-def phrase_hits(index: DataFrame, forms: DataFrame) -> DataFrame:
-    """(key, chunk_id, length, tf, starts, size) for phrases (key, terms, columns, first): where their tokens follow each other.
-
-    Only in chunks that have a phrase's rarest token is the phrase itself looked for.
-    """
-    parts = forms.select("key", F.size("terms").alias("size"), F.posexplode("terms").alias("offset", "term"))
-    found = postings(index, parts)
-    near = _candidates(parts, found, "key").join(forms.select("key", "terms", "columns", "first"), "key").withColumnRenamed("terms", "phrase")
-    every = near.join(index.select("chunk_id", "terms", "bounds", "length"), "chunk_id").withColumn("size", F.size("phrase"))
-    # Most candidates lack the phrase, which a search in the joined tokens tells at once.
-    whole, wanted = F.concat(F.lit(" "), F.array_join("terms", " "), F.lit(" ")), F.concat(F.lit(" "), F.array_join("phrase", " "), F.lit(" "))
-    wanted = F.when(wanted.endswith("* "), F.substring(wanted, F.lit(1), F.length(wanted) - 2)).otherwise(wanted)
-    every = every.filter(F.contains(whole, wanted))
-
-    def like(token: Column, wanted: Column) -> Column:
-        return F.when(wanted.endswith("*"), F.startswith(token, F.substring(wanted, F.lit(1), F.length(wanted) - 1))).otherwise(token == wanted)
-
-    def begins(at: Column) -> Column:
-        return (at + F.col("size") <= F.size("terms")) & F.forall(F.sequence(F.lit(0), F.col("size") - 1), lambda k: like(F.get("terms", at + k), F.get("phrase", k)))
-
-    starts = F.filter(F.sequence(F.lit(0), F.size("terms") - 1), lambda i: like(F.get("terms", i), F.get("phrase", F.lit(0))) & begins(i))
-
-    def inside(at: Column) -> Column:
-        # the column that a place is in is the last one that begins at or before it
-        column = F.aggregate(F.sequence(F.lit(0), F.size("bounds") - 1), F.lit(-1), lambda k, i: F.when(F.get("bounds", i) <= at, i).otherwise(k))
-        return (F.col("columns").isNull() | F.array_contains("columns", column)) & (~F.col("first") | (F.get("bounds", column) == at))
-
-    every = every.withColumn("starts", starts)
-    every = every.withColumn("starts", F.when(F.col("columns").isNotNull() | F.col("first"), F.filter("starts", inside)).otherwise(F.col("starts")))
-    return every.filter(F.size("starts") > 0).select("key", "chunk_id", "length", F.size("starts").cast("long").alias("tf"), "starts", "size")
-
-
-def _near(leaves: DataFrame) -> DataFrame:
-    """Of leaves in NEAR groups, the occurrences that have one of every other leaf of the group within its distance."""
-    one = F.struct("leaf", "starts", "size", "key", "length", "idf", "mean")
-    sets = leaves.groupBy("query_id", "tier", "chunk_id", "gap", "distance", "wanted").agg(F.collect_list(one).alias("own")).filter(F.size("own") == F.col("wanted"))
-    rows = sets.select("*", F.explode("own").alias("l"))
-
-    def close(at: Column, size: Column) -> Column:
-        apart = lambda o, p: F.greatest(p - (at + size), at - (p + o["size"]))
-        return F.forall("own", lambda o: (o["leaf"] == F.col("l.leaf")) | F.exists(o["starts"], lambda p: apart(o, p) <= F.col("distance")))
-
-    left = F.filter("l.starts", lambda at: close(at, F.col("l.size")))
-    return rows.select("query_id", "tier", "chunk_id", "l.leaf", "l.key", "l.length", "l.idf", "l.mean", F.size(left).cast("long").alias("tf")).filter("tf > 0")
-
-
-def search(index: DataFrame, asked: DataFrame) -> DataFrame:
-    """(query_id, tier, last, chunk_id, score) of the chunks that match compiled queries.
-
-    The score adds BM25 over all leaves of an expression, those in no column or group left
-    out. The driver reads a few counts about the expressions, no more.
-    """
-    leaves = asked.select("query_id", "tier", F.posexplode("leaves").alias("leaf", "l")).select("query_id", "tier", "leaf", "l.*")
-    simple = (F.size("terms") == 1) & F.col("columns").isNull() & ~F.col("first") & F.col("gap").isNull()
-    about = leaves.agg(F.count_if(~simple).alias("complex"), F.count("gap").alias("near"), F.max("leaf").alias("most")).first()
-    plain = postings(index, leaves.filter(simple).select(F.col("key").alias("term")))
-    found = plain.withColumn("key", F.col("term")).drop("term")
-    if about.complex:
-        forms = leaves.filter(~simple).select("key", "terms", "columns", "first").dropDuplicates(["key"])
-        found = found.withColumns({"starts": F.lit(None).cast("array<int>"), "size": F.lit(1)}).unionByName(phrase_hits(index, forms))
-    found = _rated(found, plain, "key")
-    if about.near:
-        wanted = leaves.filter("gap IS NOT NULL").groupBy("query_id", "tier", "gap").agg(F.count("*").alias("wanted"))
-        together = _near(leaves.filter("gap IS NOT NULL").join(wanted, ["query_id", "tier", "gap"]).join(found, "key"))
-        leaves = leaves.filter("gap IS NULL")
-    wide = ["query_id", "tier", "leaf", "chunk_id", "length", "idf", "tf", "mean"]
-    each = leaves.select("query_id", "tier", "leaf", "key").join(found, "key").select(*wide)
-    if about.near:
-        each = each.unionByName(together.select(*wide))
-    masks = [F.sum(F.when((F.col("leaf") / 62).cast("int") == k, F.call_function("shiftleft", F.lit(1).cast("long"), F.col("leaf") % 62)).otherwise(0)).alias(f"mask{k}") for k in range((about.most or 0) // 62 + 1)]
-    weight = F.col("idf") * _weight(F.col("tf"), F.col("length"), F.col("mean"))
-    hits = each.groupBy("query_id", "tier", "chunk_id").agg(F.sum(weight).alias("score"), F.count("*").alias("met"), *masks)
-    hits = hits.join(F.broadcast(asked.select("query_id", "tier", "last", "program", "kind", F.size("leaves").alias("wanted"))), ["query_id", "tier"])
-    has = lambda x: F.call_function("shiftright", F.get(F.array(*(f"mask{k}" for k in range(len(masks)))), (x / 62).cast("int")), x % 62) % 2 == 1
-
-    def step(stack: Column, x: Column) -> Column:
-        a, b = F.element_at(stack, -2), F.element_at(stack, -1)
-        value = F.when(x == parse.AND, a & b).when(x == parse.OR, a | b).otherwise(a & ~b)
-        return F.when(x >= 0, F.array_append(stack, has(x))).otherwise(F.array_append(F.slice(stack, 1, F.size(stack) - 2), value))
-
-    tree = F.get(F.aggregate("program", F.array().cast("array<boolean>"), step), F.lit(0))
-    fits = F.when(F.col("kind") == "all", F.col("met") == F.col("wanted")).when(F.col("kind") == "any", F.lit(True)).otherwise(tree)
-    return hits.filter(fits).select("query_id", "tier", "last", "chunk_id", F.greatest(F.lit(1e-4), "score").alias("score"))
-
-
 # -- filters and ranks -----------------------------------------------------------------------
 
 
@@ -279,7 +156,7 @@ def ranked(hits: DataFrame, limit: int, rank: str = "fts_rank", by: tuple[str, .
     return hits.withColumn(rank, F.row_number().over(order)).filter(F.col(rank) <= limit)
 
 
-def gated_tiers(hits: DataFrame, *, limit: int = 50, quorum: int = 3, penalty: float = 0.85, last_penalty: float = 0.5) -> DataFrame:
+def gated_tiers(hits: DataFrame, *, limit: int = 50, quorum: int = QUORUM, penalty: float = 0.85, last_penalty: float = 0.5) -> DataFrame:
     """Tiered relaxation as one lazy plan, for hits (query_id, tier, last, chunk_id, score).
 
     A tier counts only while the tiers before it hold fewer than ``quorum`` chunks; a

@@ -2,8 +2,9 @@
 
 Queries are a DataFrame (query_id, query, vector[, lexical][, session_id]): ``vector`` is the
 embedded query (null: lexical only), ``lexical`` a match expression that takes the place of the
-query's own, ``session_id`` whose seen chunks are left out. Everything up to the last cut is
-one lazy plan; texts join after the candidates are cut.
+query's own, ``session_id`` whose seen chunks are left out. Lexical tiers are
+written one after the other; the rest up to the last cut is one lazy plan, and texts join after
+the candidates are cut.
 """
 
 from __future__ import annotations
@@ -16,7 +17,9 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import tokens
 from lodestone.operators import fusion, hierarchy, lexical, sessions
+from lodestone.operators.postings import PostingIndex, search_blocks
 from lodestone.operators.similarity import vector_scan
+from lodestone.operators.tables import written
 
 #: Takes hits (query_id, query, chunk_id, path, text), gives (query_id, chunk_id, rerank_score).
 Reranker = Callable[[DataFrame], DataFrame]
@@ -27,7 +30,7 @@ class Corpus:
     """``chunks`` (chunk_id, collection, path, seq_id, title, text[, headers]), their index and vectors (chunk_id, embedding)."""
 
     chunks: DataFrame
-    index: DataFrame
+    index: PostingIndex
     vectors: DataFrame
     stem: bool = False
 
@@ -66,13 +69,24 @@ def exclusion_stats(corpus: Corpus, queries: DataFrame, options: Options) -> Dat
 
 
 def lexical_search(corpus: Corpus, queries: DataFrame, options: Options = Options(), excluded: DataFrame | None = None) -> DataFrame:
-    """(query_id, chunk_id, tier, score, fts_rank): tiers from strict to loose, filters before any cut."""
-    hits = lexical.search(corpus.index, lexical.compile_queries(queries, tiers=options.tiers, stem=corpus.stem))
-    if options.where is not None:
-        hits = hits.join(corpus.chunks.filter(options.where).select("chunk_id"), "chunk_id", "left_semi")
-    if excluded is not None:
-        hits = lexical.without(hits, excluded)
-    return lexical.gated_tiers(hits, limit=options.fts_limit)
+    """(query_id, chunk_id, tier, score, fts_rank): tiers from strict to loose, filters before any cut.
+
+    One tier after the other is searched and written; a looser one asks only for the queries
+    that have found fewer than the quorum so far. The driver reads how many tiers there are.
+    """
+    asked = written(lexical.compile_queries(queries, tiers=options.tiers, stem=corpus.stem), "compiled")
+    allowed = corpus.chunks.filter(options.where).select("chunk_id") if options.where is not None else None
+    tiers = [r[0] for r in asked.select("tier").distinct().orderBy("tier").collect()]
+    found = None
+    for tier in tiers or [0]:
+        mine = asked.filter(F.col("tier") == tier)
+        if found is not None:
+            enough = found.groupBy("query_id").agg(F.count_distinct("chunk_id").alias("n")).filter(F.col("n") >= lexical.QUORUM)
+            mine = mine.join(enough, "query_id", "left_anti")
+        hits = search_blocks(corpus.index, mine, limit=options.fts_limit, allowed=allowed, excluded=excluded)
+        best = written(lexical.ranked(hits, options.fts_limit, "tier_rank", ("query_id", "tier")).drop("tier_rank"), "tier")
+        found = best if found is None else found.unionByName(best)
+    return lexical.gated_tiers(found, limit=options.fts_limit)
 
 
 def vector_search(corpus: Corpus, queries: DataFrame, options: Options = Options(), excluded: DataFrame | None = None) -> DataFrame:

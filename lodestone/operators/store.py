@@ -1,39 +1,51 @@
 """A stored index: documents, chunks, vectors, postings and sessions as Parquet tables in one folder.
 
 Every update writes a new version; a version counts once its row in ``meta`` is written, so
-readers see whole versions and a failed update leaves none. Documents are a snapshot by
-version. Chunks with vectors are kept by content: only content that no version before has is
-converted, chunked and embedded, whatever collections and paths refer to it. Postings are
-kept by chunk place, with those of unchanged documents taken over.
+readers see whole versions and a failed update leaves none. An update claims its version first,
+so that of two at once one fails before it writes.
+
+``documents`` is the manifest, a snapshot by version: of each place its content's hash, the
+version that holds the content's chunks (``stored``) and the one that holds its postings
+(``indexed``). Readers take the folders of those versions only, and nothing is ranked or
+sorted to find the last. Chunks with vectors are kept by content: only content that no version
+before has is converted, chunked and embedded, whatever collections and paths refer to it.
+Postings are blocks by term and segment; chunks of places that are gone or indexed anew are
+listed in ``dead``, a snapshot as well, until ``compact`` writes all anew.
 """
 
 from __future__ import annotations
 
+import time
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.embed import Embedder, document_prompt, embedded, with_context
-from lodestone.functions.vectors import from_bits, from_int8, to_bits, to_int8
-from lodestone.operators import lexical, maintenance
+from lodestone.operators import lexical, maintenance, postings
 from lodestone.operators.markdown import markdown_chunks
 from lodestone.operators.search import Corpus
+from lodestone.operators.similarity import packed
 from lodestone.settings import Settings
 
 #: The layout that this code writes; newer ones are refused.
-LAYOUT = 1
+LAYOUT = 2
+#: Minutes after which another update may take over the claim of one that has died.
+CLAIM_MINUTES = 60
 # Columns of the tables; each also has the version that wrote it.
-DOCUMENTS = "collection string, path string, title string, hash string, modified_at timestamp"
+DOCUMENTS = "collection string, path string, title string, hash string, modified_at timestamp, stored long, indexed long"
 CONTENT = "hash string, body string"
-CHUNKS = "hash string, seq_id int, text string, headers string, line int, vector array<float>"
-INDEX = "chunk_id long, collection string, path string, hash string, seq_id int, terms array<string>, length int, bounds array<int>"
+CHUNKS = "hash string, seq_id int, text string, headers string, line int, vector array<float>, code binary"
+POSTINGS = f"{postings.ROWS}, bucket int"
+DEAD = "segment long, at array<int>"
 FAILED = "collection string, path string, hash string, error string"
 EVENTS = "event_id string, session_id string, kind string, query string, lexical string, at timestamp"
 RESULTS = "session_id string, event_id string, collection string, path string, seq_id int, rank int, score double"
 QUERIES = "query string, model string, vector array<float>"
 META = "version long, layout int, updated_at timestamp, quantization string, dim int, stem boolean"
-_TABLES = {"documents": DOCUMENTS, "content": CONTENT, "chunks": CHUNKS, "index": INDEX, "failed": FAILED, "events": EVENTS, "results": RESULTS, "queries": QUERIES, "meta": META}
+_TABLES = {"documents": DOCUMENTS, "content": CONTENT, "chunks": CHUNKS, "postings": POSTINGS, "dead": DEAD, "failed": FAILED, "events": EVENTS, "results": RESULTS, "queries": QUERIES, "meta": META}
 
 
 def chunk_key() -> Column:
@@ -41,15 +53,6 @@ def chunk_key() -> Column:
     return F.xxhash64("collection", "path", "seq_id")
 
 
-def _coded(vector: Column, kind: str) -> Column:
-    """What of a vector is stored: all, eight-bit numbers, or signs."""
-    return to_int8(vector) if kind == "int8" else to_bits(vector) if kind == "bit" else vector
-
-
-def _decoded(vector: Column, kind: str) -> Column:
-    return from_int8(vector) if kind == "int8" else from_bits(vector) if kind == "bit" else vector
-
-
 @dataclass(frozen=True)
 class Store:
     """The index in ``folder``, which must be one that the whole cluster reaches."""
@@ -61,8 +64,8 @@ class Store:
     # -- tables -------------------------------------------------------------------------------
 
     def _exists(self, name: str) -> bool:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+        path, system = self._path(name)
+        return system.exists(path)
 
     def table(self, name: str) -> DataFrame:
         """A table with all its versions; empty before its first row."""
@@ -73,7 +76,28 @@ class Store:
 
     def _write(self, name: str, rows: DataFrame, version: int) -> None:
         """One folder by version: an update that is run again replaces what it left."""
-        rows.select(*self.spark.createDataFrame([], _TABLES[name]).columns).write.mode("overwrite").parquet(f"{self.folder}/{name}/version={version}")
+        out = rows.select(*self.spark.createDataFrame([], _TABLES[name]).columns).write.mode("overwrite")
+        (out.partitionBy("bucket") if name == "postings" else out).parquet(f"{self.folder}/{name}/version={version}")
+
+    def _path(self, name: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    @contextmanager
+    def _claimed(self, version: int) -> Iterator[None]:
+        """Holds the right to write a version: a file that only one update can create."""
+        path, system = self._path(f"claims/{version}")
+        system.mkdirs(path.getParent())
+        if not system.createNewFile(path):
+            if time.time() * 1000 - system.getFileStatus(path).getModificationTime() < CLAIM_MINUTES * 60_000:
+                raise RuntimeError(f"another update writes version {version} of the index")
+            system.delete(path, False)
+            if not system.createNewFile(path):
+                raise RuntimeError(f"another update writes version {version} of the index")
+        try:
+            yield
+        finally:
+            system.delete(path, False)
 
     def meta(self) -> dict | None:
         """The latest version's row; None before the first. A layout that is newer than this code's is an error."""
@@ -87,15 +111,20 @@ class Store:
         version = (self.meta() or {"version": -1})["version"]
         return self.table("documents").filter(F.col("version") == version).drop("version")
 
+    def _of_versions(self, name: str, documents: DataFrame, column: str) -> DataFrame:
+        """A table's rows of the versions that ``documents`` name in ``column``: other folders aren't read."""
+        versions = sorted(r[0] for r in documents.select(column).distinct().collect())
+        return self.table(name).filter(F.col("version").isin(versions)) if versions else self.table(name).limit(0)
+
+    def _known(self, documents: DataFrame, most: int = 200_000) -> DataFrame:
+        """The manifest's narrow columns, sent to all tasks if they are few."""
+        return F.broadcast(documents) if documents.count() <= most else documents
+
     def live(self, name: str) -> DataFrame:
-        """Rows of content that documents of the latest version refer to."""
-        version = (self.meta() or {"version": -1})["version"]
-        rows = self.table(name).filter(F.col("version") <= version)
-        if name == "index":  # a place's rows of this content, as the last version wrote them
-            keys = ["collection", "path", "hash"]
-            rows = rows.withColumn("last", F.max("version").over(Window.partitionBy(*keys))).filter("version = last").drop("last")
-            return rows.join(self.documents().select(*keys), keys, "left_semi").drop("version")
-        return rows.join(self.documents().select("hash").distinct(), "hash", "left_semi").drop("version")
+        """Rows of content, or of chunks, that documents of the latest version refer to."""
+        documents = self.documents()
+        keys = documents.select("hash", F.col("stored").alias("version")).distinct()
+        return self._of_versions(name, documents, "stored").join(self._known(keys), ["hash", "version"], "left_semi").drop("version")
 
     # -- updates ------------------------------------------------------------------------------
 
@@ -131,72 +160,111 @@ class Store:
             others = kept
         if meta and not force and not any(counts.get(k) for k in ("new", "changed", "moved", "deleted")):
             return counts
-        columns = ["collection", "path", "title", "hash", "modified_at"]
-        self._write("documents", fine.select(*columns).unionByName(others.select(*columns)).unionByName(broken.select(*columns)), version)
-        have = self.table("chunks").filter(F.lit(not force)).select("hash").distinct()
-        fresh = fine.join(maintenance.unseen_content(fine, have), "hash").dropDuplicates(["hash"])
-        self._write("content", fresh.select("hash", "body"), version)
-        self._write("chunks", self._chunked(self.table("content").filter(F.col("version") == version).join(fresh.select("hash", "title"), "hash"), embedder, kind), version)
-        touched = states.filter((F.col("state") != "unchanged") | F.lit(force)).select("collection", "path")
-        self._write("index", self._indexed(fine.join(touched, ["collection", "path"], "left_semi"), version, stem), version)
-        self._write("failed", failed.select("collection", "path", "hash", "error"), version)
-        dim = self.table("chunks").filter(F.col("version") == version).agg(F.max(F.size("vector"))).first()[0] or (meta or {}).get("dim")
+        with self._claimed(version):
+            # Content has its chunks in the version that was first to have it; places are indexed when they or their content change.
+            have = stored.select("hash", "stored").filter(F.lit(not force)).groupBy("hash").agg(F.max("stored").alias("stored"))
+            touched = states.filter((F.col("state") != "unchanged") | F.lit(force)).select("collection", "path", F.lit(True).alias("touched"))
+            own = stored.select("collection", "path", F.col("indexed").alias("was"))
+            now = fine.select("collection", "path", "title", "hash", "modified_at").join(have, "hash", "left").join(touched, ["collection", "path"], "left").join(own, ["collection", "path"], "left")
+            now = now.withColumn("stored", F.coalesce("stored", F.lit(version))).withColumn("indexed", F.when(F.col("touched") | F.col("was").isNull(), version).otherwise(F.col("was"))).drop("touched", "was")
+            self._write("documents", now.unionByName(others).unionByName(broken), version)
+            snapshot = self.table("documents").filter(F.col("version") == version).drop("version")
+            fresh = fine.join(snapshot.filter(F.col("stored") == version).select("hash").distinct(), "hash", "left_semi").dropDuplicates(["hash"])
+            self._write("content", fresh.select("hash", "body"), version)
+            self._write("chunks", self._chunked(self.table("content").filter(F.col("version") == version).join(fresh.select("hash", "title"), "hash"), embedder, kind), version)
+            self._write("postings", self._indexed(snapshot.filter(F.col("indexed") == version), version, stem), version)
+            self._write("dead", self._dead(stored, snapshot, meta["version"] if meta else None), version)
+            self._write("failed", failed.select("collection", "path", "hash", "error"), version)
+            dim = getattr(embedder, "dim", None) or self.table("chunks").filter(F.col("version") == version).agg(F.max(F.coalesce(F.size("vector"), F.octet_length("code")))).first()[0]
+            self._commit(version, kind, dim, stem)
+        return counts
+
+    def _commit(self, version: int, kind: str, dim: int | None, stem: bool) -> None:
+        """From here on the version counts."""
         done = self.spark.createDataFrame([(version, LAYOUT, kind, dim, stem)], "version long, layout int, quantization string, dim int, stem boolean").withColumn("updated_at", F.current_timestamp())
         done.select(*self.spark.createDataFrame([], META).columns).write.mode("append").parquet(f"{self.folder}/meta")
-        return counts
+
+    def _dead(self, before: DataFrame, now: DataFrame, version: int | None) -> DataFrame:
+        """The chunks, by segment, that postings of live versions have of places that are gone or indexed anew.
+
+        Only chunk numbers are compared: those of old places with those of the segments' own rows.
+        """
+        old = self.table("dead").filter(F.col("version") == (version if version is not None else -1)).select("segment", F.explode("at").alias("at"))
+        gone = before.join(now.select("collection", "path", "indexed"), ["collection", "path", "indexed"], "left_anti")
+        if gone.isEmpty():
+            return old.groupBy("segment").agg(F.sort_array(F.collect_set("at")).alias("at"))
+        ids = self._places(gone).select("chunk_id", F.col("indexed").alias("version"))
+        rows = self._of_versions("postings", gone, "indexed").filter(F.col("bucket") == postings.OWN)
+        new = rows.select("version", "segment", F.posexplode("chunks").alias("at", "chunk_id")).join(ids, ["version", "chunk_id"]).select("segment", "at")
+        return old.unionByName(new).groupBy("segment").agg(F.sort_array(F.collect_set("at")).alias("at"))
 
     def _chunked(self, content: DataFrame, embedder: Embedder, kind: str) -> DataFrame:
         s = self.settings
         rows = markdown_chunks(content.select("hash", "body"), "hash", target=s.target_chunk_size, most=s.max_chunk_size, strip_links=s.strip_links)
         prompt = document_prompt(F.col("title"), with_context(F.col("headers"), F.col("text")))
         rows = embedded(rows.join(content.select("hash", "title"), "hash").withColumn("prompt", prompt), "prompt", embedder, out="vector", size=s.embed_batch_size)
-        return rows.select("hash", "seq_id", "text", "headers", "line", _coded(F.col("vector"), kind).cast("array<float>").alias("vector"))
+        own = rows.select("hash", "seq_id", "text", "headers", "line", "vector")
+        if kind == "none":
+            return own.withColumn("code", F.lit(None).cast("binary"))
+        return packed(own.withColumnRenamed("vector", "code"), "code", kind).withColumn("vector", F.lit(None).cast("array<float>"))
 
-    def _places(self, documents: DataFrame, version: int) -> DataFrame:
-        """Chunks of documents at their places; of content that was chunked again, the last."""
-        rows = self.table("chunks").filter(F.col("version") <= version)
-        rows = rows.withColumn("last", F.max("version").over(Window.partitionBy("hash"))).filter("version = last").drop("last", "version")
-        return documents.select("collection", "path", "title", "hash").join(rows, "hash").withColumn("chunk_id", chunk_key())
+    def _places(self, documents: DataFrame) -> DataFrame:
+        """Chunks of documents (with ``stored``) at their places. The manifest meets them by broadcast unless it is large."""
+        rows = self._of_versions("chunks", documents, "stored").withColumnRenamed("version", "stored")
+        kept = [c for c in documents.columns if c != "modified_at"]
+        return rows.join(self._known(documents.select(*kept)), ["hash", "stored"]).withColumn("chunk_id", chunk_key())
 
     def _indexed(self, documents: DataFrame, version: int, stem: bool) -> DataFrame:
-        rows = self._places(documents, version).withColumnRenamed("text", "body")
-        return rows.select("chunk_id", "collection", "path", "hash", "seq_id").join(lexical.index_chunks(rows, stem=stem), "chunk_id")
+        rows = self._places(documents).withColumnRenamed("text", "body")
+        blocks = postings.build_blocks(lexical.index_chunks(rows, stem=stem), first=version << 48)
+        return blocks.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term")
 
     def compact(self) -> None:
-        """Rewrites content, chunks and index without what no document refers to any more."""
-        version = (self.meta() or {"version": -1})["version"]
-        for name in ("content", "chunks", "index"):
-            side = f"{self.folder}/.compacted-{name}"
-            rows = self.live(name)
-            if name == "chunks":
-                rows = self._places(self.documents().dropDuplicates(["hash"]), version)
-            rows.select(*self.spark.createDataFrame([], _TABLES[name]).columns).write.mode("overwrite").parquet(side)
-            self.spark.read.parquet(side).write.mode("overwrite").parquet(f"{self.folder}/{name}/version={version}")
+        """Writes content, chunks and postings of what the latest version refers to as one new version, and deletes the others."""
+        meta = self.meta()
+        if not meta:
+            return
+        version = meta["version"] + 1
+        with self._claimed(version):
+            for name in ("content", "chunks"):
+                self._write(name, self.live(name), version)
+            self._write("documents", self.documents().withColumns({"stored": F.lit(version), "indexed": F.lit(version)}), version)
+            snapshot = self.table("documents").filter(F.col("version") == version).drop("version")
+            self._write("postings", self._indexed(snapshot, version, meta["stem"]), version)
+            self._write("dead", self.table("dead").limit(0), version)
+            self._write("failed", self.table("failed").filter(F.col("version") == meta["version"]), version)
+            self._commit(version, meta["quantization"], meta["dim"], meta["stem"])
+        for name in ("content", "chunks", "postings", "dead", "documents"):
             for r in self.table(name).filter(F.col("version") < version).select("version").distinct().collect():
                 self._delete(f"{name}/version={r.version}")
-            self._delete(f".compacted-{name}")
 
     def _delete(self, name: str) -> None:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        path, system = self._path(name)
+        system.delete(path, True)
 
     # -- reading ------------------------------------------------------------------------------
 
     def chunks(self) -> DataFrame:
-        """(chunk_id, collection, path, seq_id, title, text, headers, vector) of every document."""
-        meta = self.meta()
-        return self._places(self.documents(), meta["version"] if meta else -1)
+        """(chunk_id, collection, path, seq_id, title, text, headers, vector or code) of every document."""
+        return self._places(self.documents()).drop("stored", "indexed")
 
     def corpus(self) -> Corpus:
         meta = self.meta() or {"quantization": "none", "stem": self.settings.stem}
         rows = self.chunks()
-        vectors = rows.filter("vector IS NOT NULL").select("chunk_id", _decoded(F.col("vector"), meta["quantization"]).alias("embedding"))
-        return Corpus(rows.drop("vector"), self.live("index"), vectors, meta["stem"])
+        stored = "vector" if meta["quantization"] == "none" else "code"
+        vectors = rows.filter(F.col(stored).isNotNull()).select("chunk_id", F.col(stored).alias("embedding"))
+        return Corpus(rows.drop("vector", "code"), self.postings(), vectors, meta["stem"])
+
+    def postings(self) -> postings.PostingIndex:
+        """The live versions' postings, with what is dead in them."""
+        documents = self.documents()
+        dead = self.table("dead").filter(F.col("version") == (self.meta() or {"version": -1})["version"])
+        rows = self._of_versions("postings", documents, "indexed").drop("version")
+        return postings.PostingIndex(rows, dead=dead.select("segment", "at"))
 
     def bodies(self) -> DataFrame:
         """(collection, path, title, body) of every document."""
-        content = self.live("content").dropDuplicates(["hash"])
-        return self.documents().join(content, "hash").select("collection", "path", "title", "body")
+        return self.documents().join(self.live("content"), "hash").select("collection", "path", "title", "body")
 
     # -- sessions -----------------------------------------------------------------------------
 

@@ -15,6 +15,8 @@ from lodestone.functions import text as T
 from lodestone.functions import vectors as V
 from lodestone.operators import chunks as C
 from lodestone.operators import fusion, hierarchy, inspect, lexical, maintenance, markdown, search, sessions, similarity
+from lodestone.operators.postings import PostingIndex, occurrences, search_blocks
+from lodestone.operators.tables import stamp
 from lodestone.sources import files, render
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,7 +81,19 @@ def corpus(spark: SparkSession, d: str) -> search.Corpus:
     rows = chunks(spark, d)
     of_first = vectors(spark, d).join(rows.filter("seq_id = 0").select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
     of_first = of_first.select((F.col("vec_id") * C.MOST_CHUNKS).alias("chunk_id"), "embedding")
-    return search.Corpus(rows.withColumnRenamed("body", "text"), lexical.index_chunks(rows), of_first)
+    return search.Corpus(rows.withColumnRenamed("body", "text"), index(spark, d), of_first)
+
+
+#: Indexes of this application, by the state of the table that they are of.
+_INDEXES: dict[tuple[str, str], PostingIndex] = {}
+
+
+def index(spark: SparkSession, d: str) -> PostingIndex:
+    """The stored index of the chunks: written by the first query of an application that needs it, read by all."""
+    key = (spark.sparkContext.applicationId, stamp(spark, f"{d}/documents.parquet"))
+    if key not in _INDEXES:
+        _INDEXES[key] = PostingIndex.of(lexical.index_chunks(chunks(spark, d)))
+    return _INDEXES[key]
 
 
 _CORPUS = """c AS (SELECT doc_id, lang AS collection, source || '/doc_' || doc_id || '.md' AS path, 'Doc ' || doc_id AS title, text AS body, sha256(text) AS hash FROM documents),
@@ -185,14 +199,14 @@ _ALL = "SELECT hl.* FROM hl JOIN nl ON nl.query_id = hl.query_id AND nl.tier = h
 
 @_register("d3_bm25_any", f"WITH {_bm25(_terms('benchmark'))} SELECT query_id, chunk_id, round(score, 6) AS score, fts_rank FROM ({_top('hl', 10)})")
 def _d3(spark: SparkSession, d: str) -> DataFrame:
-    hits = lexical.match(lexical.index_chunks(chunks(spark, d)), benchmark_terms(spark, d), every=False)
+    hits = lexical.match(index(spark, d), benchmark_terms(spark, d), every=False, limit=10)
     return _rounded(lexical.ranked(hits, 10), "score")
 
 
 @_register("d5_boolean_and", f"WITH {_bm25(_terms(_SENTENCES, 'query_id'))}, h AS ({_ALL}) SELECT query_id, chunk_id, round(score, 6) AS score, fts_rank FROM ({_top('h', 50)})")
 def _d5(spark: SparkSession, d: str) -> DataFrame:
     terms = sentences(spark, d).select("query_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
-    return _rounded(lexical.ranked(lexical.match(lexical.index_chunks(chunks(spark, d)), terms), 50), "score")
+    return _rounded(lexical.ranked(lexical.match(index(spark, d), terms, limit=50), 50), "score")
 
 
 @_register("d5_boolean_not", f"WITH {_INDEX} SELECT 1 AS query_id, chunk_id FROM x WHERE list_contains(terms, 'the') AND NOT list_contains(terms, 'and')")
@@ -203,16 +217,13 @@ def _d5n(spark: SparkSession, d: str) -> DataFrame:
 @_register("d6_phrase", f"WITH {_bm25(f'SELECT query_id, 0 AS tier, 0 AS leaf, {_BTOK} AS toks FROM {_SENTENCES} WHERE len({_BTOK}) > 0')} SELECT query_id, chunk_id, tf::BIGINT AS hits FROM l JOIN p ON p.key = array_to_string(toks, ' ')")
 def _d6(spark: SparkSession, d: str) -> DataFrame:
     asked = sentences(spark, d).select("query_id", T.tokens(F.col("text")).alias("terms")).filter("size(terms) > 0")
-    asked = asked.withColumn("key", F.array_join("terms", " "))
-    forms = asked.select("key", "terms", F.lit(None).cast("array<int>").alias("columns"), F.lit(False).alias("first")).dropDuplicates(["key"])
-    found = lexical.phrase_hits(lexical.index_chunks(chunks(spark, d)), forms)
-    return asked.select("query_id", "key").join(found, "key").select("query_id", "chunk_id", F.col("tf").alias("hits"))
+    return occurrences(index(spark, d), lexical.asked_phrases(asked)).select("query_id", "chunk_id", "hits")
 
 
 def _asked(spark: SparkSession, d: str, expression: str) -> DataFrame:
     """Hits of one match expression, without relaxation."""
     one = spark.createDataFrame([(1, expression)], "query_id int, query string")
-    return lexical.search(lexical.index_chunks(chunks(spark, d)), lexical.compile_queries(one).filter("NOT last"))
+    return search_blocks(index(spark, d), lexical.compile_queries(one).filter("NOT last"))
 
 
 
@@ -234,8 +245,33 @@ def _d7n(spark: SparkSession, d: str) -> DataFrame:
 
 @_register("d7_prefix", f"WITH {_INDEX}, t AS (SELECT chunk_id, unnest(terms) AS term FROM x) SELECT 1 AS query_id, chunk_id, count(*) AS hits FROM t WHERE starts_with(term, 'thes') GROUP BY chunk_id")
 def _d7(spark: SparkSession, d: str) -> DataFrame:
-    found = lexical.postings(lexical.index_chunks(chunks(spark, d)), spark.sql("SELECT 'thes*' AS term")).filter("term = 'thes*'")
-    return found.select(F.lit(1).alias("query_id"), "chunk_id", F.col("tf").alias("hits"))
+    asked = spark.sql("SELECT 1 AS query_id, array('thes*') AS terms")
+    return occurrences(index(spark, d), lexical.asked_phrases(asked)).select("query_id", "chunk_id", "hits")
+
+
+#: NEAR groups of three and four parts; a clump spans at most the distance between its first part's end and its last part's start.
+_NEAR = {1: (["the", "of", "in"], 4), 2: (["de", "la", "que", "el"], 6), 3: (["und", "der", "die"], 10)}
+
+
+def _near_sql() -> str:
+    """Leaves' places ``u``; every place that ends a clump ``v``; what is kept of each leaf, and BM25 by the leaf's own frequency."""
+    rows = ", ".join(f"({q}, {k}, '{t}', {n}, {len(ts)})" for q, (ts, n) in _NEAR.items() for k, t in enumerate(ts))
+    return f"""WITH {_INDEX}, q AS (SELECT * FROM (VALUES {rows}) v(query_id, leaf, term, dist, parts)),
+t AS (SELECT chunk_id, len, unnest(terms) AS term, unnest(range(len(terms))) AS pos FROM x),
+u AS (SELECT query_id, leaf, q.term, dist, parts, chunk_id, len, pos FROM t JOIN q ON q.term = t.term),
+v AS (SELECT a.query_id, a.chunk_id, a.pos AS last, any_value(a.dist) AS dist FROM u a JOIN u b ON b.query_id = a.query_id AND b.chunk_id = a.chunk_id AND b.pos <= a.pos AND b.pos >= a.pos - 1 - a.dist GROUP BY a.query_id, a.chunk_id, a.pos HAVING count(DISTINCT b.leaf) = any_value(a.parts)),
+k2 AS (SELECT DISTINCT u.query_id, u.leaf, u.term, u.chunk_id, u.len, u.pos FROM u JOIN v ON v.query_id = u.query_id AND v.chunk_id = u.chunk_id AND u.pos <= v.last AND u.pos >= v.last - 1 - v.dist),
+p2 AS (SELECT query_id, leaf, term, chunk_id, any_value(len) AS len, count(*) AS tf FROM k2 GROUP BY ALL),
+sn AS (SELECT term, count(DISTINCT chunk_id) AS seen FROM t GROUP BY term), g AS (SELECT count(*)::DOUBLE AS n, avg(len) AS mean FROM x)
+SELECT query_id, chunk_id, round(greatest(1e-4, sum((CASE WHEN ln((n - seen + 0.5) / (seen + 0.5)) > 0 THEN ln((n - seen + 0.5) / (seen + 0.5)) ELSE 1e-6 END) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean)))), 6) AS score
+FROM p2 JOIN sn ON sn.term = p2.term, g GROUP BY query_id, chunk_id"""
+
+
+@_register("d7_near_groups", _near_sql())
+def _d7g(spark: SparkSession, d: str) -> DataFrame:
+    asked = spark.createDataFrame([(q, "NEAR({}, {})".format(" ".join(f'"{t}"' for t in ts), n)) for q, (ts, n) in _NEAR.items()], "query_id int, query string")
+    hits = search_blocks(index(spark, d), lexical.compile_queries(asked).filter("NOT last"))
+    return _rounded(hits.select("query_id", "chunk_id", "score"), "score")
 
 
 @_register("d9_metadata_filter", f"WITH {_CORPUS} SELECT doc_id FROM c WHERE collection = 'en' AND contains(lower(title), 'doc 1') AND (contains(path, 'src1/') OR contains(path, 'src7/'))")

@@ -2,17 +2,21 @@
 
 import io
 import json
+import random
 import sqlite3
 from xml.etree import ElementTree
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone import cli, server
 from lodestone.engine import Engine
-from lodestone.functions.embed import HashingEmbedder, embedded, embedded_queries
+from lodestone.functions.embed import HashingEmbedder, document_prompt, embedded, embedded_queries, with_context
 from lodestone.functions.stem import fold, porter
-from lodestone.operators import lexical
+from lodestone.operators import lexical, postings, search
+from lodestone.operators.postings import PostingIndex, search_blocks
+from lodestone.operators.similarity import vector_scan
 from lodestone.operators.store import LAYOUT, Store
 from lodestone.settings import Collection, Settings, load
 
@@ -39,6 +43,15 @@ def _write(folder, **texts):
         path.write_bytes(text) if isinstance(text, bytes) else path.write_text(text)
 
 
+def spark_words(spark, words):
+    return spark.createDataFrame([(w, w) for w in words], "query_id string, term string")
+
+
+def scored(store, words):
+    hits = search_blocks(store.postings(), lexical.asked_terms(spark_words(store.spark, words), every=False))
+    return sorted((r.query_id, r.chunk_id, round(r.score, 9)) for r in hits.collect())
+
+
 @pytest.fixture(scope="module")
 def engine(spark, tmp_path_factory):
     root = tmp_path_factory.mktemp("files")
@@ -152,13 +165,15 @@ def test_later_updates(engine):
     assert engine.update() == {"unchanged": 2, "changed": 1, "moved": 1, "deleted": 1, "failed": 1}
     store = engine.store
     assert store.meta()["version"] == 1 and len((engine.root / "log").read_text()) == logged + 1
-    paths = {r.path for r in store.live("index").select("path").distinct().collect()}
-    assert paths == {"engine/guide.md", "engine/api.md", "copy_of_fox.md", "renamed.md"}
+    words = ("python", "two", "fox", "zebra", "mail")
+    indexed = lambda: {(r.query_id, r.path) for r in search_blocks(store.postings(), lexical.asked_terms(spark_words(engine.spark, words), every=False)).join(store.chunks(), "chunk_id").collect()}
+    assert {p for _, p in indexed()} == {"engine/guide.md", "engine/api.md", "copy_of_fox.md", "renamed.md"}
+    assert {p for q, p in indexed() if q == "two"} == {"engine/api.md"} and not {q for q, _ in indexed()} & {"zebra", "mail"}
     hits = [h["path"] for h in engine.find("two calls", vec_limit=1)[0]]
     assert "engine/api.md" in hits[:2] and not engine.find("zebra", vec_limit=1, lex="zebra AND stripes")[0][1:]
-    before = sorted(map(str, store.corpus().index.drop("bounds").collect()))
+    before, scores = indexed(), scored(store, words)
     store.compact()
-    assert sorted(map(str, store.corpus().index.drop("bounds").collect())) == before and store.table("content").count() == 3
+    assert indexed() == before and scored(store, words) == scores and store.table("content").count() == 3 and store.table("dead").count() == 0
     gone = Engine(engine.spark, Settings(collections={"other": Collection(str(engine.root / "other"))}, index=engine.settings.index), embedder=engine.embedder)
     assert gone.update()["deleted"] == 4 and gone.store.documents().count() == 0
 
@@ -170,7 +185,20 @@ def test_quantised_stores_and_layout(spark, tmp_path):
         store.create()
         assert store.meta() is None and store.documents().count() == 0
         store.update(files, HashingEmbedder())
-        assert store.meta()["quantization"] == kind and store.corpus().vectors.count() == 2
+        assert store.meta()["quantization"] == kind
+        kept = {r.chunk_id: bytes(r.embedding) for r in store.corpus().vectors.collect()}
+        assert [len(x) for x in kept.values()] == [64 if kind == "int8" else 8] * 2
+        # packed codes score as the numbers that they stand for
+        exact = {r.chunk_id: np.array(r.embedding) for r in embedded(store.chunks().withColumn("prompt", document_prompt(F.col("title"), with_context(F.col("headers"), F.col("text")))), "prompt", HashingEmbedder(), out="embedding").collect()}
+        want = {k: np.clip(np.rint(x * 127), -128, 127) if kind == "int8" else np.where(x > 0, 1.0, -1.0) for k, x in exact.items()}
+        asked = spark.createDataFrame([(1, [float(x) for x in HashingEmbedder().embed(["red bird"])[0]])], "query_id int, query array<float>")
+        unit = lambda x: np.asarray(x, float) / np.linalg.norm(x)
+        q = asked.first().query
+        for r in vector_scan(store.corpus().vectors, asked).collect():
+            assert abs(r.score - unit(want[r.chunk_id]) @ unit(q)) < 1e-6
+        if kind == "bit":
+            for r in vector_scan(store.corpus().vectors, asked, kind="hamming").collect():
+                assert abs(r.score - 1 / (1 + ((want[r.chunk_id] > 0) != (np.array(q) > 0)).sum())) < 1e-9
     late = spark.sql(f"SELECT 9L AS version, {LAYOUT + 1} AS layout, current_timestamp() AS updated_at, 'none' AS quantization, 4 AS dim, true AS stem")
     late.write.mode("append").parquet(str(tmp_path / "bit" / "meta"))
     with pytest.raises(ValueError):
@@ -184,12 +212,12 @@ def test_scores_of_sqlite(spark):
     db.execute("CREATE VIRTUAL TABLE t USING fts5(collection, path, title, body, headers, tokenize='porter unicode61')")
     rows = [(i, "c", f"p{i}.md", f"Title {i}", x, "") for i, x in enumerate(texts)]
     db.executemany("INSERT INTO t(rowid, collection, path, title, body, headers) VALUES (?, ?, ?, ?, ?, ?)", rows)
-    index = lexical.index_chunks(spark.createDataFrame(rows, "chunk_id long, collection string, path string, title string, body string, headers string"), stem=True)
+    index = PostingIndex.of(lexical.index_chunks(spark.createDataFrame(rows, "chunk_id long, collection string, path string, title string, body string, headers string"), stem=True))
     asked = ['"run" AND "dog"', "house OR cafe", '"state of"', "hous*", "run NOT dog", '"p 1"', "title : 4 OR body : art", "NEAR(house run, 3)", "^the", "(dog OR house) AND the", "running man", "body:^state + of"]
     queries = spark.createDataFrame([(i, q) for i, q in enumerate(asked)], "query_id int, query string")
     compiled = lexical.compile_queries(queries, stem=True).filter("NOT last")
     got = {}
-    for r in lexical.search(index, compiled).collect():
+    for r in search_blocks(index, compiled).collect():
         got.setdefault(r.query_id, {})[r.chunk_id] = r.score
     for i, q in enumerate(asked):
         text = q if any(x in q for x in ('"', " AND ", " OR ", " NOT ")) else " AND ".join(f'"{w}"' for w in q.split()) if i in (3, 7, 8, 10, 11) and False else q
@@ -200,7 +228,7 @@ def test_scores_of_sqlite(spark):
         assert all(abs(got[i][k] - v) < 1e-6 for k, v in want.items()), q
     every = spark.createDataFrame([(i, f'{q} OR "zzz"') for i, q in enumerate(asked)], "query_id int, query string")
     got = {}
-    for r in lexical.search(index, lexical.compile_queries(every, stem=True).filter("NOT last")).collect():
+    for r in search_blocks(index, lexical.compile_queries(every, stem=True).filter("NOT last")).collect():
         got.setdefault(r.query_id, set()).add(r.chunk_id)
     for i, q in enumerate(asked):
         want = {r[0] for r in db.execute("SELECT rowid FROM t WHERE t MATCH ?", (f'{q} OR "zzz"',))}
@@ -241,3 +269,86 @@ def test_settings(tmp_path):
     with pytest.raises(ValueError):
         load(str(at), {})
     assert load(None, {}) == Settings()
+
+
+def test_near_groups_of_sqlite(spark):
+    """Clumps of two to four parts, with phrases and beginnings, against SQLite's full-text index."""
+    r = random.Random(8)
+    texts = [" ".join(r.choice("abcdefg") for _ in range(r.randint(5, 40))) for _ in range(120)]
+    db = sqlite3.connect(":memory:")
+    db.execute("CREATE VIRTUAL TABLE t USING fts5(body)")
+    db.executemany("INSERT INTO t(rowid, body) VALUES (?, ?)", list(enumerate(texts)))
+    asked = [f"NEAR({' '.join(parts)}, {n})" for parts in (['"a"', '"b"'], ['"a"', '"b"', '"c"'], ['"a b"', '"c"', '"d"'], ['"a"', '"a"', '"b"'], ['"a"', '"b"', '"c"', '"d"'], ['"a b"', '"b c"'], ['"a"*', '"g f"', '"c"']) for n in (0, 1, 3, 6)]
+    index = PostingIndex.of(lexical.index_chunks(spark.createDataFrame(list(enumerate(texts)), "chunk_id long, body string"), ("body",)), size=50)
+    compiled = lexical.compile_queries(spark.createDataFrame(list(enumerate(asked)), "query_id int, query string"), columns=("body",)).filter("NOT last")
+    got = {}
+    for x in search_blocks(index, compiled).collect():
+        got.setdefault(x.query_id, {})[x.chunk_id] = x.score
+    for i, q in enumerate(asked):
+        want = {x[0]: max(1e-4, -x[1]) for x in db.execute("SELECT rowid, rank FROM t WHERE t MATCH ?", (q,))}
+        assert got.get(i, {}).keys() == want.keys(), q
+        assert all(abs(got[i][k] - v) < 1e-6 for k, v in want.items()), q
+
+
+@pytest.mark.parametrize("size", [7, 1000])
+def test_first_hits_are_those_of_all(spark, size):
+    """Skipping blocks by their bounds loses none of the first hits, with ties, filters and exclusions."""
+    r = random.Random(3)
+    texts = [" ".join(f"w{min(int(r.expovariate(0.15)), 30)}" for _ in range(r.randint(1, 30))) for _ in range(300)] + ["w1 w2"] * 20
+    chunks = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, body string").repartition(3)
+    index = PostingIndex.of(lexical.index_chunks(chunks, ("body",)), size=size, buckets=3)
+    queries = spark.createDataFrame([(i, f"w{r.randint(0, 30)}") for i in range(25) for _ in range(r.randint(1, 8))], "query_id int, term string")
+    allowed, excluded = chunks.filter("chunk_id % 3 > 0"), spark.createDataFrame([(q, c) for q in range(25) for c in range(q, 320, 5)], "query_id int, chunk_id long")
+    for every in (True, False):
+        asked = lexical.asked_terms(queries, every=every)
+        hits = search_blocks(index, asked)
+        some = hits.join(allowed, "chunk_id", "left_semi").join(excluded, ["query_id", "chunk_id"], "left_anti")
+        for want, got in ((hits, search_blocks(index, asked, limit=6)), (some, search_blocks(index, asked, limit=6, allowed=allowed, excluded=excluded)), (hits, search_blocks(index, asked, limit=6, block=20))):
+            best = lambda x: sorted((y.query_id, y.fts_rank, y.chunk_id, round(y.score, 9)) for y in lexical.ranked(x, 6).collect())
+            assert best(got) == best(want)
+
+
+def test_searches_read_asked_buckets_only(spark):
+    index = PostingIndex.of(lexical.index_chunks(spark.createDataFrame([(i, f"w{i} all") for i in range(50)], "chunk_id long, body string"), ("body",)), buckets=8)
+    plan = postings.Plan.of(lexical.asked_terms(spark.createDataFrame([(1, "w7")], "query_id int, term string")).toArrow())
+    text = postings._asked_rows(index, plan)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in text.replace("isnotnull(bucket#", "bucket#") and "places" not in text
+    read = {r[0] for r in postings._asked_rows(index, plan).select(F.input_file_name()).distinct().collect()}
+    assert len({x.split("bucket=")[1].split("/")[0] for x in read}) == 2
+
+
+def test_tiers_ask_only_for_queries_that_lack(spark, monkeypatch):
+    texts = ["red fish", "red fish two", "red fish three", "blue bird", "bird of paradise", "fish"]
+    rows = [(i, "c", f"p{i}", i, "t", x) for i, x in enumerate(texts)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, collection string, path string, seq_id int, title string, text string")
+    corpus = search.Corpus(chunks, PostingIndex.of(lexical.index_chunks(chunks.withColumnRenamed("text", "body"), ("body",))), None)
+    seen, plain = [], search.search_blocks
+    monkeypatch.setattr(search, "search_blocks", lambda index, asked, **k: seen.append(sorted((r.query_id, r.tier) for r in asked.collect())) or plain(index, asked, **k))
+    got = search.lexical_search(corpus, spark.createDataFrame([(1, "red fish"), (2, "blue bird")], "query_id int, query string")).collect()
+    assert seen == [[(1, 0), (2, 0)], [(2, 1)]]
+    assert sorted((r.query_id, r.chunk_id, r.tier) for r in got) == [(1, 0, 0), (1, 1, 0), (1, 2, 0), (2, 3, 0), (2, 4, 1)]
+
+
+def test_an_update_that_fails_or_competes_leaves_the_index_whole(spark, tmp_path):
+    kinds = "collection string, path string, title string, hash string, body string, error string"
+    files = lambda *xs: spark.createDataFrame([("c", f"{x}.md", x, f"h{x}", f"word{x} common", None) for x in xs], kinds)
+    store = Store(spark, str(tmp_path / "s"))
+    store.update(files("a", "b"), HashingEmbedder())
+    with store._claimed(1), pytest.raises(RuntimeError):
+        store.update(files("a", "c"), HashingEmbedder())
+
+    class Broken(HashingEmbedder):
+        def embed(self, texts):
+            raise ValueError("no model")
+
+    with pytest.raises(Exception, match="no model"):
+        store.update(files("a", "c"), Broken())
+    assert store.meta()["version"] == 0 and {r.path for r in store.documents().collect()} == {"a.md", "b.md"}
+    terms = ("worda", "wordb", "wordc", "common")
+    assert {q for q, _, _ in scored(store, terms)} == {"worda", "wordb", "common"}
+    store.update(files("a", "c"), HashingEmbedder())
+    fresh = Store(spark, str(tmp_path / "f"))
+    fresh.update(files("a", "c"), HashingEmbedder())
+    assert scored(store, terms) == scored(fresh, terms)  # statistics too don't count what is dead
+    plan = store.chunks()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "Window" not in plan
