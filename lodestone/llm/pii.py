@@ -27,14 +27,22 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
 #: Words read on each side of a word with a digit, an at sign, or 'at' or 'dot' spelled out.
 REACH = 2
+#: Words of the longest form of a span.
+MOST_WORDS = 7
 #: Words up to this length have their scores kept for the next time.
 CACHED = 64
 
+#: Words after which 'at' is a plain word: fixed values.
+VERBS = ("am", "are", "arrive", "arrived", "be", "been", "is", "look", "looked", "looking", "looks", "meet", "meets", "met", "not", "run", "runs", "see", "start", "started", "starts", "stay", "stop", "was", "were", "work", "works")
+
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+#: One address, spelled out or not, in any case: a name of one word, an at sign, and a domain of words with dots between.
+_ADDRESS = re.compile(r"[\[(]?[A-Z0-9._%+-]*[A-Z0-9](\s*[\[(]\s*at\s*[\])]\s*|\s+at\s+|@)[A-Z0-9-]+((\.|\s*[\[(]\s*dot\s*[\])]\s*|\s+dot\s+)[A-Z0-9-]+)+[\])]?", re.IGNORECASE)
+_QUAD = re.compile(r"[0-9]{1,3}([.-])[0-9]{1,3}(\1[0-9]{1,3}){2}")
 _DIGITS = re.compile(r"[0-9]")
 
 
@@ -91,8 +99,14 @@ def features(word: str) -> list[str]:
         out.append("at" + (".a" if "." in core.split("@")[-1] else ""))
     if core.lower() in ("at", "dot"):
         out.append(f"word={core.lower()}")
+    elif core.lower() in VERBS:
+        out.append("verb")
     if core != word:
         out.append("marks")
+    if re.search(r"[\[(]at[\])]", core, re.IGNORECASE):
+        out.append("bracketed")
+    if _QUAD.fullmatch(core):
+        out.append("quad")
     return out
 
 
@@ -158,14 +172,14 @@ def labelled_table(n: int = 500, seed: int = 5) -> list[tuple[list[str], list[in
     d = lambda k: "".join(r.choice("0123456789") for _ in range(k))
     w = lambda: "".join(r.choice("aeinrstlo") for _ in range(r.randint(2, 8))) + r.choice(["", "", "", ",", "."])
     name = lambda: w().strip(",.")
-    octets = lambda: [str(r.randint(0, 255)) for _ in range(4)]
+    octets = lambda: [str(r.choice((r.randint(0, 9), r.randint(0, 255)))) for _ in range(4)]
     forms = {
         1: [lambda: [f"{name()}.{d(2)}@{name()}{d(1)}.{name()}.com"], lambda: [f"{name()}@{name()}.org"], lambda: [name(), "at", name(), "dot", "com"], lambda: [f"{name()}[at]{name()}.com"], lambda: [f"{name()}(at){name()}.net"]],
-        2: [lambda: [".".join(octets())], lambda: ["-".join(octets())] if r.random() < 0.2 else [".".join(octets())], lambda: ["[" + "].[".join(octets()) + "]"]],
+        2: [lambda: [".".join(octets())], lambda: ["-".join(octets())], lambda: ["[" + "].[".join(octets()) + "]"]],
         3: [lambda: [d(16)], lambda: [d(4), d(4), d(4), d(4)], lambda: ["-".join(d(4) for _ in range(4))], lambda: [".".join(d(4) for _ in range(4))], lambda: [d(4), d(6), d(5)], lambda: ["/".join(d(4) for _ in range(4))]],
         4: [lambda: ["+1", f"({d(3)})", f"{d(3)}-{d(4)}"], lambda: [f"({d(3)})", f"{d(3)}-{d(4)}"], lambda: [f"{d(3)}-{d(3)}-{d(4)}"], lambda: [f"{d(3)}.{d(3)}.{d(4)}"], lambda: [f"+{d(2)}", d(3), d(3), d(4)], lambda: [f"({d(3)}){d(3)}-{d(4)}"], lambda: ["1", f"({d(3)})", f"{d(3)}-{d(4)}"], lambda: [d(3), d(3), d(4)]],
     }
-    nothing = [lambda: [d(r.randint(1, 7))], lambda: [str(r.randint(1900, 2030))], lambda: [f"{d(4)}-{d(2)}-{d(2)}"], lambda: [f"{d(2)}/{d(2)}/{d(4)}"], lambda: [f"{d(2)}:{d(2)}"], lambda: [f"{d(1)}.{d(1)}.{d(1)}"], lambda: [f"{d(2)}.{d(2)}"], lambda: ["$" + d(3)], lambda: [d(1) + "," + d(3) + "," + d(3)], lambda: ["token", "=", '"' + "".join(r.choice("0123456789abcdef") for _ in range(40)) + '"'], lambda: [f"v{d(1)}.{d(1)}"], lambda: ["@" + name()], lambda: [name() + d(2)], lambda: [d(1), "x", d(2)], lambda: [d(3) + "%"], lambda: [f"{d(2)}-{d(2)}"], lambda: [d(r.randint(8, 30))], lambda: [f"{d(5)}-{d(4)}"], lambda: ["at", d(2)], lambda: [d(3), d(3), d(3)], lambda: [d(4), d(4)], lambda: [name(), "at", name()], lambda: [f"{d(3)}-{d(2)}-{d(5)}-{d(1)}"], lambda: [f"https://{name()}.com/{d(4)}"]]
+    nothing = [lambda: [d(r.randint(1, 7))], lambda: [str(r.randint(1900, 2030))], lambda: [f"{d(4)}-{d(2)}-{d(2)}"], lambda: [f"{d(2)}/{d(2)}/{d(4)}"], lambda: [f"{d(2)}:{d(2)}"], lambda: [f"{d(1)}.{d(1)}.{d(1)}"], lambda: [f"{d(2)}.{d(2)}"], lambda: ["$" + d(3)], lambda: [d(1) + "," + d(3) + "," + d(3)], lambda: ["token", "=", '"' + "".join(r.choice("0123456789abcdef") for _ in range(40)) + '"'], lambda: [f"v{d(1)}.{d(1)}"], lambda: ["@" + name()], lambda: [name() + d(2)], lambda: [d(1), "x", d(2)], lambda: [d(3) + "%"], lambda: [f"{d(2)}-{d(2)}"], lambda: [d(r.randint(8, 30))], lambda: [f"{d(5)}-{d(4)}"], lambda: ["at", d(2)], lambda: [d(3), d(3), d(3)], lambda: [d(4), d(4)], lambda: [name(), "at", name()], lambda: [r.choice(VERBS), "at", name(), "dot", "com"], lambda: [r.choice(VERBS), "at", name() + ".", "dot", "com"], lambda: [f"{d(3)}-{d(2)}-{d(5)}-{d(1)}"], lambda: [f"https://{name()}.com/{d(4)}"]]
     out = []
     for _ in range(n):
         words, labels = [], []
@@ -175,6 +189,12 @@ def labelled_table(n: int = 500, seed: int = 5) -> list[tuple[list[str], list[in
             labels += [0] * len(before)
             kind = r.choice((0, 0, 0, 1, 2, 3, 4))
             part = r.choice(forms[kind] if kind else nothing)()
+            while kind and r.random() < 0.3:  # neighbours of one kind
+                more = r.choice(forms[kind])()
+                if len(part) == len(more) == 1 and r.random() < 0.5:
+                    part = [part[0] + r.choice(",;/|") + more[0]]
+                else:
+                    part = [*part[:-1], part[-1] + r.choice(["", ",", ";"]), *more]
             if r.random() < 0.2:
                 part[-1] += r.choice(".,;!")
             words += part
@@ -249,10 +269,46 @@ def _plausible(kind: str, text: str) -> bool:
         return 13 <= len(digits) <= 19 and not re.search("[A-Za-z]", text) and luhn(digits)
     if kind == "ip":
         parts = re.findall("[0-9]+", text)
-        return len(parts) == 4 and all(len(p) < 4 and int(p) <= 255 for p in parts) and not re.search("[A-Za-z]", text)
-    if not re.search(r"@|[\[(]\s*at", text) and re.search(r"\.\s", text):  # 'at' as a plain word, and a sentence's end
-        return False
-    return bool(re.search(r"[A-Za-z0-9]\s*([\[(]\s*at\s*[\])]|\sat\s|@)\s*[A-Za-z0-9-]+(\s*(\.|\sdot\s)\s*[A-Za-z0-9-]+)+", f"{text}"))
+        return len(parts) == 4 and all(len(p) < 4 and int(p) <= 255 for p in parts) and not re.search(r"[A-Za-z]|\s", text)
+    return bool(_ADDRESS.fullmatch(text))
+
+
+def _trimmed(whole: str, a: int, b: int) -> tuple[int, int]:
+    """A span without the marks around it."""
+    while a < b and not (whole[a].isalnum() or whole[a] in "+(["):
+        a += 1
+    while b > a and not (whole[b - 1].isalnum() or whole[b - 1] in "])"):
+        b -= 1
+    return a, b
+
+
+def _parts(kind: str, whole: str, edges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans in a run of words of one label: what stands side by side is told apart by what its kind needs.
+
+    Of all ways to cut the run into plausible spans of at most ``MOST_WORDS`` words, and words left
+    out, the one that covers most words, then the one with most spans. A word by itself may hold
+    several, between commas, semicolons, bars and slashes.
+    """
+    def single(i: int, j: int) -> list[tuple[int, int]]:
+        a, b = _trimmed(whole, edges[i][0], edges[j - 1][1])
+        return [(a, b)] if a < b and _plausible(kind, whole[a:b]) else []
+
+    def inside(i: int) -> list[tuple[int, int]]:
+        cut = [_trimmed(whole, edges[i][0] + m.start(), edges[i][0] + m.end()) for m in re.finditer(r"[^,;|/]+", whole[edges[i][0] : edges[i][1]])]
+        return [(a, b) for a, b in cut if a < b and _plausible(kind, whole[a:b])]
+
+    best: list[tuple[int, int, int, list[tuple[int, int]]]] = [(0, 0, 0, [])]  # of the first k words: covered ones, spans, where the last step began, its spans
+    for k in range(1, len(edges) + 1):
+        ways = [(*best[k - 1][:2], k - 1, [])]
+        ways += [(best[i][0] + k - i, best[i][1] + 1, i, own) for i in range(max(0, k - MOST_WORDS), k) if (own := single(i, k))]
+        if own := inside(k - 1):
+            ways.append((best[k - 1][0] + 1, best[k - 1][1] + len(own), k - 1, own))
+        best.append(max(ways, key=lambda x: x[:2]))
+    out, k = [], len(edges)
+    while k:
+        out += best[k][3]
+        k = best[k][2]
+    return out
 
 
 def _spelled(data: np.ndarray) -> np.ndarray:
@@ -298,7 +354,7 @@ def _kernel(part: pa.RecordBatch, crf: Crf, reach: int | None = REACH) -> list[l
     for a, b in zip(cut[:-1], cut[1:], strict=True):
         chains.append([raw[words.start[i] : words.end[i]].decode() for i in chosen[a:b]])
         owner.append(chosen[a:b])
-    found: dict[int, list[tuple[str, int, int]]] = {}
+    found: dict[int, list[tuple[str, list[tuple[int, int]]]]] = {}
     for chain, at, path in zip(chains, owner, crf.decode(chains), strict=True):
         i = 0
         while i < len(path):
@@ -306,22 +362,18 @@ def _kernel(part: pa.RecordBatch, crf: Crf, reach: int | None = REACH) -> list[l
             while j + 1 < len(path) and path[j + 1] == path[i]:
                 j += 1
             if path[i]:
-                doc = text[at[i]]
-                start = point[words.start[at[i]]] - point[offsets[doc]]
-                end = point[words.end[at[j]]] - point[offsets[doc]]
-                found.setdefault(int(doc), []).append((LABELS[path[i]], int(start), int(end)))
+                doc, own = int(text[at[i]]), at[i : j + 1]
+                edges = [(int(point[words.start[w]] - point[offsets[doc]]), int(point[words.end[w]] - point[offsets[doc]])) for w in own]
+                found.setdefault(doc, []).append((LABELS[path[i]], edges))
             i = j + 1
     for i in np.flatnonzero(some):
         whole = raw[offsets[i] : offsets[i + 1]].decode()
         spans = [(*x, True) for x in base_spans(whole)]
         taken = [(a, b) for _, a, b, _ in spans]
-        for kind, a, b in found.get(int(i), ()):
-            while a < b and not (whole[a].isalnum() or whole[a] in "+(["):
-                a += 1
-            while b > a and not (whole[b - 1].isalnum() or whole[b - 1] in "])"):
-                b -= 1
-            if b > a and _plausible(kind, whole[a:b]) and not any(a < y and x < b for x, y in taken):
-                spans.append((kind, a, b, False))
+        for kind, edges in found.get(int(i), ()):
+            for a, b in _parts(kind, whole, edges):
+                if not any(a < y and x < b for x, y in taken):
+                    spans.append((kind, a, b, False))
         out[i] = sorted(spans, key=lambda x: (KINDS.index(x[0]), x[1], x[2]))
     return out
 

@@ -287,3 +287,48 @@ def test_pipeline(spark):
         docs.cache()
         assert 0 < docs.count() <= before, name
         assert docs.columns[:5] == list(corpus_pipeline.COLUMNS), name
+
+
+#: Of each kind, spans in every form that the random field is trained on.
+FORMS = {
+    "email": ["bob[at]site.com", "jane(at)other.net", "tom at example dot org", "ANN AT place DOT com"],
+    "ip": ["[10].[0].[0].[1]", "10-20-30-41", "[192].[168].[7].[255]"],
+    "card": ["4111.1111.1111.1111", "5500/0000/0000/0004", "4000.0000.0000.0002"],
+    "phone": ["555-123-4567", "(555) 123-4567", "555.987.6543", "(212)555-0188", "1 (555) 222-3333"],
+}
+
+
+def _neighbours():
+    for kind, forms in FORMS.items():
+        for a in forms:
+            for b in forms:
+                for between in (" ", ", ", "; ", " and "):
+                    yield kind, a, b, between
+
+
+def test_neighbours_of_one_kind_are_both_found():
+    cases = list(_neighbours())
+    texts = [f"note {a}{between}{b} below" for _, a, b, between in cases]
+    for (kind, a, b, between), text, spans in zip(cases, texts, pii._kernel(pa.RecordBatch.from_arrays([pa.array(texts)], ["text"]), pii.trained()), strict=True):
+        assert [(k, text[x:y]) for k, x, y, _ in spans] == [(kind, a), (kind, b)], text
+
+
+def test_no_neighbour_leaks_through_the_pipeline(spark):
+    import corpus_pipeline
+
+    cases = list(_neighbours())
+    docs = spark.createDataFrame([(i, f"note {a}{between}{b} below", "en", "s", 1) for i, (_, a, b, between) in enumerate(cases)], "doc_id long, text string, lang string, source string, n_chars long")
+    for r in corpus_pipeline.personal_data(spark, docs, None).collect():
+        kind, a, b, between = cases[r.doc_id]
+        assert r.text == f"note <{kind}>{between}<{kind}> below", (r.text, a, b)
+
+
+def test_plain_words_are_no_addresses():
+    texts = ["we met at noon dot com boom", "look at dot com", "they are at home dot net", "he arrived at paris. dot com is", "item 12-34 and 2024-05-06 at 10:30", "v1.2.3 of 10.5", "pages 100-200-300"]
+    assert pii._kernel(pa.RecordBatch.from_arrays([pa.array(texts)], ["text"]), pii.trained()) == [[] for _ in texts]
+
+
+def test_a_long_run_of_neighbours_is_cut_in_linear_time():
+    text = "555-123-4567 " * 5000
+    [spans] = pii._kernel(pa.RecordBatch.from_arrays([pa.array([text])], ["text"]), pii.trained())
+    assert len(spans) == 5000
