@@ -32,6 +32,8 @@ from lodestone.llm.words import ALNUM, as_long, lists, map_texts, split_words
 
 #: Benchmark windows in one broadcast, about.
 BLOCK_WINDOWS = 200_000
+#: Positions that are looked up at once in a segment.
+STEP = 1 << 19
 #: Parquet's writer looks at sizes only after 100 rows unless told; a hundred segments make a page and
 #: a row group that its buffers outside the heap, of each writing and reading thread, follow.
 ROW_GROUPS = {"parquet.block.size": 4 << 20, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
@@ -111,12 +113,16 @@ class Queries:
         names, item = np.unique(np.array(windows["item"].fill_null("").to_pylist(), dtype=object), return_inverse=True) if len(length) else ([], np.zeros(0, np.int64))
         return cls(terms, np.where(first & used, same.sum(axis=2), 0), length, item.astype(np.int64), list(names))
 
-    def matches(self, terms: np.ndarray, at: np.ndarray, positions: np.ndarray, first: np.ndarray, slop: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def matches(self, terms: np.ndarray, at: np.ndarray, positions: np.ndarray, first: np.ndarray, slop: int | None = None, step: int = STEP) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(window, start position) of the matches in a segment: exact phrases, or with
-        ``slop`` all terms, in any order, within the window's length plus ``slop`` words."""
-        none = np.zeros(0, np.int64)
+        ``slop`` all terms, in any order, within the window's length plus ``slop`` words.
+
+        The lists of the windows' rarest terms are laid one after the other and looked up in runs
+        of ``step`` positions, so that memory doesn't grow with windows or frequent words. With
+        ``slop``, a match may come in more than one run.
+        """
         if not len(terms) or not len(self.terms):
-            return none, none
+            return
         at, positions = at.astype(np.int64), positions.astype(np.int64)
         slot = np.minimum(np.searchsorted(terms, self.terms), len(terms) - 1)
         used = np.arange(self.terms.shape[1]) < self.length[:, None]
@@ -124,23 +130,31 @@ class Queries:
         often = np.where(used, often, np.iinfo(np.int64).max)
         alive = np.flatnonzero(often.min(axis=1) > 0)
         if not len(alive):
-            return none, none
+            return
         rank = np.argsort(often[alive], axis=1, kind="stable")  # rarest term first
         slot, length = slot[alive], self.length[alive]
-        count = often[alive, rank[:, 0]]
-        window = np.repeat(np.arange(len(alive)), count)
-        within = np.arange(len(window)) - np.repeat(np.cumsum(count) - count, count)
-        start = positions[at[slot[window, rank[window, 0]]] + within]
+        until = np.cumsum(often[alive, rank[:, 0]])
         big = np.int64(first[-1] + 1)
         held = np.repeat(np.arange(len(terms), dtype=np.int64), np.diff(at)) * big + positions
+        # With slop, each position is tried with all the starts that reach it.
+        size = max(1, step // (1 if slop is None else int(length.max()) + slop))
+        for low in range(0, int(until[-1]), size):
+            entry = np.arange(low, min(low + size, int(until[-1])))
+            window = np.searchsorted(until, entry, "right")
+            within = entry - np.r_[0, until][window]
+            start = positions[at[slot[window, rank[window, 0]]] + within]
+            yield from self._checked(alive, rank, slot, length, held, big, window, start, first, slop)
+
+    def _checked(self, alive: np.ndarray, rank: np.ndarray, slot: np.ndarray, length: np.ndarray, held: np.ndarray, big: np.int64, window: np.ndarray, start: np.ndarray, first: np.ndarray, slop: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of windows and places of their rarest terms, those where the other terms are too."""
         if slop is None:
-            start -= rank[window, 0]
+            start = start - rank[window, 0]
             span = length[window]
         else:
             span = length[window] + slop
             back = np.repeat(np.arange(len(window)), span)
-            step = np.arange(len(back)) - np.repeat(np.cumsum(span) - span, span)
-            window, start, span = window[back], start[back] - step, span[back]
+            ahead = np.arange(len(back)) - np.repeat(np.cumsum(span) - span, span)
+            window, start, span = window[back], start[back] - ahead, span[back]
         text = np.searchsorted(first, start, "right") - 1
         fits = (start >= 0) & (start + (span if slop is None else 1) <= first[np.minimum(text + 1, len(first) - 1)])
         window, start, span, text = window[fits], start[fits], span[fits], text[fits]
@@ -157,20 +171,22 @@ class Queries:
             end = np.minimum(start + span, first[text + 1]) - start
             good = ~live | (got == want if slop is None else (got >= want) & (got < want + end) & (place < len(held)))
             window, start, span, text = window[good], start[good], span[good], text[good]
-        pairs = np.unique(np.c_[alive[window], start], axis=0)
-        return pairs[:, 0], pairs[:, 1]
+        if slop is not None:
+            window, start = np.unique(np.c_[window, start], axis=0).T
+        if len(window):
+            yield alive[window], start
 
 
 def _found(row: pa.RecordBatch, q: Queries, slop: int | None) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Of one segment: which words are hit, and the texts and item names of matches."""
     first = row.column("first").flatten().to_numpy().astype(np.int64)
-    window, start = q.matches(*unpack(row.column("postings")[0].as_buffer()), first, slop)
-    text = np.searchsorted(first, start, "right") - 1
     edge = np.zeros(int(first[-1]) + 1, np.int64)
-    np.add.at(edge, start, 1)
-    np.add.at(edge, np.minimum(start + q.length[window] + (slop or 0), first[text + 1]), -1)
-    pairs = np.unique(np.c_[text, q.item[window]], axis=0)
-    return np.cumsum(edge[:-1]) > 0, pairs[:, 0], [q.names[i] for i in pairs[:, 1]]
+    pairs, many = np.zeros(0, np.int64), np.int64(max(len(q.names), 1))
+    for window, start in q.matches(*unpack(row.column("postings")[0].as_buffer()), first, slop):
+        text = np.searchsorted(first, start, "right") - 1
+        edge += np.bincount(start, minlength=len(edge)) - np.bincount(np.minimum(start + q.length[window] + (slop or 0), first[text + 1]), minlength=len(edge))
+        pairs = np.union1d(pairs, text * many + q.item[window])
+    return np.cumsum(edge[:-1]) > 0, pairs // many, [q.names[i] for i in pairs % many]
 
 
 def _judged(keys: pa.Array, first: np.ndarray, hit: np.ndarray, text: np.ndarray, names: list[str]) -> pa.RecordBatch:

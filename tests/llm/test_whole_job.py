@@ -3,11 +3,13 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from lodestone.llm import decontam, pii, toxicity, urls
 from lodestone.llm.forest import near_vectors
+from lodestone.llm.words import ALNUM, split_words
 
 
 def test_vectors_with_a_third_in_one_group(spark):
@@ -100,3 +102,27 @@ def test_index_of_one_task_is_stored_in_small_row_groups(spark, monkeypatch):
     groups = [m.row_group(k) for m in files for k in range(m.num_row_groups)]
     assert sum(g.num_rows for g in groups) > 30
     assert max(g.total_byte_size for g in groups) < 2 * 2**22
+
+
+def _lookup(texts, windows, n, slop, step):
+    words = split_words(pa.array(texts), ALNUM, lower=True)
+    h = words.hashes()
+    at = np.argsort(h, kind="stable")
+    h = h[at]
+    new = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+    known = dict(zip("0123", split_words(pa.array(list("0123")), ALNUM).hashes().view(np.int64).tolist(), strict=True))
+    table = pa.table({"item": [str(i) for i in range(len(windows))], "terms": pa.array([[known[c] for c in w] for w in windows], pa.list_(pa.int64()))})
+    q = decontam.Queries.of(table, n)
+    return {(int(w), int(s)) for a, b in q.matches(h[new], np.r_[new, len(h)], at, words.first, slop, step) for w, s in zip(a, b, strict=True)}
+
+
+def test_few_words_against_many_windows_in_bounded_steps():
+    r = random.Random(2)
+    texts = [" ".join(r.choice("0123") for _ in range(k)) for k in (900, 3, 0, 1500)]
+    windows = ["".join(r.choice("0123") for _ in range(r.randint(1, 5))) for _ in range(60)]
+    flat = [(t.split(), sum(len(x.split()) for x in texts[:i])) for i, t in enumerate(texts)]
+    exact = {(k, base + i) for k, w in enumerate(windows) for ws, base in flat for i in range(len(ws) - len(w) + 1) if ws[i : i + len(w)] == list(w)}
+    near = {(k, base + i) for k, w in enumerate(windows) for ws, base in flat for i in range(len(ws)) if not Counter(w) - Counter(ws[i : i + len(w) + 2])}
+    for step in (7, 500, 1 << 19):
+        assert _lookup(texts, windows, 5, None, step) == exact
+        assert _lookup(texts, windows, 5, 2, step) == near
