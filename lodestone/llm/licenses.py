@@ -194,14 +194,40 @@ def scan_licenses(docs: DataFrame, *, templates: tuple[tuple[str, str], ...] = T
         none = F.array().cast("array<struct<far:double,size:int,template:int,first:int,last:int>>")
         return once(F.filter(hits, lambda i: bigram(words, i).isin(bigrams)), lambda own: F.when(F.size(own) >= needed, near(own)).otherwise(none))
 
-    def apart(found: Column) -> Column:
-        """The windows that overlap none before them."""
-        clash = lambda kept, w: F.exists(kept, lambda k: (k["first"] <= w["last"]) & (w["first"] <= k["last"]))
-        return F.aggregate(F.array_sort(found), F.slice(found, 1, 0), lambda kept, w: F.when(clash(kept, w), kept).otherwise(F.array_append(kept, w)))
+    def apart(found: Column, size: Column) -> Column:
+        """The windows that overlap none before them, of a text of ``size`` words.
+
+        Taken words are bits: 64 in a number, 64 numbers in a page. A window is tested against the
+        few numbers that hold its words, and changes its pages only, so that work grows with the
+        windows, however many are kept. Kept windows are pages of 256 as well.
+        """
+
+        def bits(w: Column, base: Column) -> Column:
+            low, high = F.greatest(w["first"] - base, F.lit(0)), F.least(w["last"] - base, F.lit(63))
+            mask = F.call_function("shiftrightunsigned", F.call_function("shiftleft", F.lit(-1).cast("long"), low + 63 - high), F.lit(63) - high)
+            return F.when(low <= high, mask).otherwise(F.lit(0).cast("long"))
+
+        def clash(taken: Column, w: Column) -> Column:
+            cells = F.sequence(F.floor(w["first"] / 64).cast("int"), F.floor(w["last"] / 64).cast("int"))
+            return F.exists(cells, lambda k: F.get(F.get(taken, F.floor(k / 64).cast("int")), k % 64).bitwiseAND(bits(w, k * 64)) != 0)
+
+        def marked(taken: Column, w: Column) -> Column:
+            low, high = F.floor(w["first"] / 4096).cast("int"), F.floor(w["last"] / 4096).cast("int")
+            pages = F.transform(F.slice(taken, low + 1, high - low + 1), lambda p, i: F.transform(p, lambda x, j: x.bitwiseOR(bits(w, (i + low) * 4096 + j * 64))))
+            return F.concat(F.slice(taken, F.lit(1), low), pages, F.slice(taken, high + 2, F.size(taken)))
+
+        def added(kept: Column, w: Column) -> Column:
+            last = F.element_at(kept, -1)
+            return F.when(F.size(last) < 256, F.concat(F.slice(kept, 1, F.size(kept) - 1), F.array(F.array_append(last, w)))).otherwise(F.array_append(kept, F.array(w)))
+
+        free = F.transform(F.sequence(F.lit(0), F.floor(size / 4096).cast("int")), lambda _: F.array_repeat(F.lit(0).cast("long"), F.lit(64)))
+        start = F.struct(free.alias("taken"), F.array(F.slice(found, 1, 0)).alias("kept"))
+        step = lambda s, w: F.when(clash(s["taken"], w), s).otherwise(F.struct(marked(s["taken"], w).alias("taken"), added(s["kept"], w).alias("kept")))
+        return F.flatten(F.aggregate(F.array_sort(found), start, step)["kept"])
 
     def of_words(words: Column) -> Column:
         hits = F.filter(F.sequence(F.lit(0), F.size(words) - 2), lambda i: F.get(words, i).isin(openers) & bigram(words, i).isin(every))
-        found = lambda h: once(F.flatten(F.array(*(windows(words, h, k, *x[1:]) for k, x in enumerate(known, 1)))), apart)
+        found = lambda h: once(F.flatten(F.array(*(windows(words, h, k, *x[1:]) for k, x in enumerate(known, 1)))), lambda w: apart(w, F.size(words)))
         return once(hits, lambda h: F.when(F.size(h) > 0, found(h)))
 
     found = once(F.split(normalised(F.col(text)), " "), lambda words: F.when(F.size(words) > 1, of_words(words)))

@@ -1,5 +1,6 @@
 import math
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -7,7 +8,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontam, pii, toxicity, urls
+from lodestone.llm import decontam, licenses, pii, toxicity, urls
 from lodestone.llm.forest import near_vectors
 from lodestone.llm.words import ALNUM, split_words
 
@@ -126,3 +127,43 @@ def test_few_words_against_many_windows_in_bounded_steps():
     for step in (7, 500, 1 << 19):
         assert _lookup(texts, windows, 5, None, step) == exact
         assert _lookup(texts, windows, 5, 2, step) == near
+
+
+def _apart(windows):
+    """The windows (far, size, template, first, last) that overlap none before them, by plain loops."""
+    kept = []
+    for w in sorted(windows):
+        if all(w[4] < k[3] or k[4] < w[3] for k in kept):
+            kept.append(w)
+    return kept
+
+
+def test_statements_that_repeat_and_overlap(spark):
+    r = random.Random(4)
+    templates = (("A", "alpha beta gamma delta"), ("B", "beta gamma delta alpha beta"), ("C", "gamma alpha"))
+    texts = [" ".join(r.choice(["alpha", "beta", "gamma", "delta", "x"]) for _ in range(k)) for k in (2, 9, 63, 64, 65, 300, 4100, 9000)]
+    texts += ["alpha beta gamma delta " * k for k in (1, 50, 1100)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = defaultdict(list)
+    for x in licenses.scan_licenses(docs, templates=templates, least=0.6).collect():
+        got[x.doc_id].append((x.word - 1, x.n_words, x.template))
+    for i, t in enumerate(texts):
+        words, found = t.split(), []
+        for turn, (_, template) in enumerate(templates, 1):
+            own = template.split()
+            grams = set(zip(own, own[1:], strict=False))
+            for at in range(len(words) - 1):
+                if (words[at], words[at + 1]) in grams:
+                    part = words[at : at + len(own)]
+                    mine = set(zip(part, part[1:], strict=False))
+                    dice = 2 * len(mine & grams) / (len(mine) + len(grams))
+                    if dice >= 0.6:
+                        found.append((-dice, -(len(own) - 1), turn, at, at + len(part) - 1))
+        assert sorted(got[i]) == sorted((w[3], w[4] - w[3] + 1, w[2]) for w in _apart(found)), i
+
+
+def test_a_long_text_of_statements_takes_seconds(spark):
+    docs = spark.createDataFrame([(1, "Released under the MIT License. " * 12_000)], "doc_id int, text string")
+    began = time.perf_counter()
+    assert licenses.scan_licenses(docs).count() == 12_000
+    assert time.perf_counter() - began < 60
