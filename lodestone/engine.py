@@ -9,14 +9,14 @@ from __future__ import annotations
 import secrets
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
-from functools import reduce
+from functools import partial, reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import parse
-from lodestone.functions.embed import Embedder, HashingEmbedder, embedded_queries
+from lodestone.functions.embed import Embedder, HashingEmbedder, Scorer, embedded_queries
 from lodestone.functions.text import contains_literal, redact_pii
 from lodestone.operators import inspect, lexical, search, sessions
 from lodestone.operators.markdown import merge_snippets
@@ -36,7 +36,17 @@ class Engine:
     rerank: search.Reranker = search.overlap_reranker
     #: Reads a query as words with parts of speech; without it queries have one strict tier.
     reader: Callable[[str], list[parse.Word]] | None = None
-    cache: sessions.ResultCache = field(default_factory=sessions.ResultCache)
+    #: Judges (query, text) pairs in place of ``rerank``; its scores are kept in the store.
+    scorer: Scorer | None = None
+    #: Describes images of documents, some at once.
+    describe: Callable[[bytes], str] | None = None
+    #: Answers batches of queries with more lines to search for.
+    expander: Callable[[list[str]], list[str]] | None = None
+    cache: sessions.ResultCache | None = None
+
+    def __post_init__(self) -> None:
+        if self.cache is None:
+            self.cache = sessions.ResultCache(read=self.store.cached, write=self.store.keep)
 
     @property
     def store(self) -> Store:
@@ -49,7 +59,7 @@ class Engine:
         chosen = {n: c for n, c in self.settings.collections.items() if collection in (None, n)}
         if not chosen:
             raise ValueError(f"no collection {collection!r} is configured" if collection else "no collections are configured")
-        found = [files.to_markdown(files.scan(self.spark, c.path, n, glob=c.glob, extensions=c.extensions, convert_others=c.convert)) for n, c in chosen.items()]
+        found = [files.to_markdown(files.scan(self.spark, c.path, n, glob=c.glob, extensions=c.extensions, convert_others=c.convert), self.describe, self.settings.image_concurrency) for n, c in chosen.items()]
         return self.store.update(reduce(DataFrame.unionByName, found), self.embedder, scope=list(chosen), configured=list(self.settings.collections), force=force)
 
     def collections(self) -> list[Row]:
@@ -85,7 +95,7 @@ class Engine:
         own = session or secrets.token_hex(4)
         leave_out = sessions.exclusion_policy(session, include_seen, exclude_seen or said.get("exclude_seen", False)) and not include_seen
         seen = self.store.table("results").filter(F.col("session_id") == own)
-        options = search.Options(limit=limit, fts_limit=fts_limit or s.fts_limit, vec_limit=vec_limit or s.vec_limit, candidates=candidates or s.rerank_candidates, where=lexical.metadata_filter(collection, title, path), rerank=self.rerank if deep or rerank_only else None, reranker_only=rerank_only, tiers=self._tiers())
+        options = search.Options(limit=limit, fts_limit=fts_limit or s.fts_limit, vec_limit=vec_limit or s.vec_limit, candidates=candidates or s.rerank_candidates, where=lexical.metadata_filter(collection, title, path), rerank=(partial(self.store.rerank, self.scorer) if self.scorer else self.rerank) if deep or rerank_only else None, expand=(lambda rows: search.expanded(rows, self.expander)) if self.expander else None, embed=lambda rows: embedded_queries(rows, self.embedder)[0], reranker_only=rerank_only, tiers=self._tiers())
         asked = self._asked(query, lex, own)
         corpus = self.store.corpus()
         n_seen = sessions.seen(seen).count()
@@ -102,7 +112,7 @@ class Engine:
             return [{k: v for k, v in r.asDict().items() if k in _HITS} for r in hits.orderBy("rank").collect()]
 
         version = (self.store.meta() or {"version": -1})["version"]
-        key = sessions.cache_key(mode=mode, query=query, limit=limit, collection=collection, title=title, path=path, lex=lex, deep=deep, only=rerank_only, broad=broad, fts=options.fts_limit, vec=options.vec_limit, candidates=options.candidates, redact=redact, version=version, model=self.embedder.model)
+        key = sessions.cache_key(mode=mode, query=query, limit=limit, collection=collection, title=title, path=path, lex=lex, deep=deep, only=rerank_only, broad=broad, fts=options.fts_limit, vec=options.vec_limit, candidates=options.candidates, redact=redact, version=version, model=self.embedder.model, scorer=self.scorer.model if self.scorer else None, expander=getattr(self.expander, "__qualname__", None))
         hits = self.cache.get(key, run, bypass=options.seen is not None)
         cap = max_chunks if max_chunks is not None else s.max_chunks_per_response
         shown = hits[:cap] if cap > 0 else hits

@@ -83,3 +83,34 @@ def embedded_queries(queries: DataFrame, embedder: Embedder, cache: DataFrame |
     fresh = embedded(fresh.withColumn("prompt", query_prompt(F.col("query"))), "prompt", embedder, out="vector")
     fresh = fresh.select("query", F.lit(embedder.model).alias("model"), "vector")
     return queries.join(known.unionByName(fresh).select("query", "vector"), "query", "left"), fresh
+
+
+class Scorer(Protocol):
+    """Judges how well texts answer queries, a batch of (query, text) pairs at a time."""
+
+    model: str
+
+    def score(self, pairs: list[tuple[str, str]]) -> list[float]: ...
+
+
+def pair_scores(hits: DataFrame, scorer: Scorer, cache: DataFrame | None = None, *, size: int = BATCH) -> tuple[DataFrame, DataFrame]:
+    """((query_id, chunk_id, rerank_score) of hits (query_id, query, chunk_id, text), rows for the cache).
+
+    Only pairs that ``cache`` (query_hash, text_hash, model, score) lacks are scored, each distinct one
+    once, in batches of ``size``. A score goes with the hashes of both texts and the scorer's model.
+    Write the second table before the first is used, and pass it in: else pairs are scored for each use.
+    """
+    empty = hits.sparkSession.createDataFrame([], "query_hash string, text_hash string, model string, score double")
+    keys = ["query_hash", "text_hash"]
+    asked = hits.withColumns({"query_hash": F.sha2("query", 256), "text_hash": F.sha2("text", 256)})
+    known = (cache if cache is not None else empty).filter(F.col("model") == scorer.model).dropDuplicates(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = list(zip(batch.column("query").to_pylist(), batch.column("text").to_pylist(), strict=True))
+            found = [x for at in range(0, len(pairs), size) for x in scorer.score(pairs[at : at + size])]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(found, pa.float64())], [*keys, "score"])
+
+    missing = asked.filter("query_hash IS NOT NULL AND text_hash IS NOT NULL").join(known.select(*keys), keys, "left_anti").dropDuplicates(keys)
+    fresh = missing.select(*keys, "query", "text").mapInArrow(run, "query_hash string, text_hash string, score double").select(*keys, F.lit(scorer.model).alias("model"), "score")
+    return asked.join(known.select(*keys, "score"), keys, "left").select("query_id", "chunk_id", F.col("score").alias("rerank_score")), fresh

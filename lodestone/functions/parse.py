@@ -297,6 +297,12 @@ def tiers(primary: list[str], secondary: list[str], query: str) -> list[str]:
     return [query]
 
 
+def expansions(answer: str) -> list[tuple[str, str]]:
+    """(kind, text) of a model's answer: lines that begin with ``lex:``, ``vec:`` or ``hyde:``, once each, white space made one space."""
+    found = re.findall(r"(?m)^\s*(lex|vec|hyde):(.*)$", answer)
+    return list(dict.fromkeys((k, " ".join(t.split())) for k, t in found if t.strip()))
+
+
 def batch_commands(text: str, program: str = "lodestone", most: int = 5) -> list[str]:
     """Commands in free text: think blocks dropped; tags, list marks and back-ticks taken off."""
     text = re.sub(r"(?s)<think>.*?</think>", "", text)

@@ -16,21 +16,31 @@ def _share(rank: Column) -> Column:
     return 1 / (RRF_K + rank) + F.when(rank == 0, FIRST_BONUS).when(rank <= 2, NEXT_BONUS).otherwise(0.0)
 
 
-def reciprocal_rank_fusion(fts: DataFrame, vec: DataFrame, *, candidates: int = 20) -> DataFrame:
-    """Fuses (query_id, chunk_id, score, fts_rank) and (…, vec_rank); ranks are 1-based.
+def fuse_lists(lists: DataFrame, *, candidates: int = 20) -> DataFrame:
+    """Fuses any number of lists (query_id, chunk_id, kind, rank, score) of the kinds fts and vec; ranks are 1-based.
 
-    One union and aggregation; entries of both lists are boosted. Ties go by the lexical
-    rank, then the vector rank. Cut to ``candidates``.
+    A chunk's score sums what each of its entries gives, whatever list it is of; a list that has a
+    chunk twice gives twice. Chunks in lists of both kinds are boosted. Of several ranks and scores
+    of a kind the best count, for ties by lexical rank, then vector rank, and for output. One
+    aggregation, whatever the number of lists. Cut to ``candidates``.
     """
-    a = fts.select("query_id", "chunk_id", F.col("score").alias("fts_score"), "fts_rank", F.lit(None).cast("double").alias("vec_score"), F.lit(None).cast("int").alias("vec_rank"))
-    b = vec.select("query_id", "chunk_id", F.lit(None).cast("double").alias("fts_score"), F.lit(None).cast("int").alias("fts_rank"), F.col("score").alias("vec_score"), "vec_rank")
-    one = a.unionByName(b).groupBy("query_id", "chunk_id").agg(*(F.max(c).alias(c) for c in ("fts_score", "fts_rank", "vec_score", "vec_rank")))
-    parts = [F.coalesce(_share(F.col(r) - 1), F.lit(0.0)) for r in ("fts_rank", "vec_rank")]
+    of = lambda kind, x: F.when(F.col("kind") == kind, F.col(x))
+    total = F.sum(_share(F.col("rank") - 1)).alias("total")
+    one = lists.groupBy("query_id", "chunk_id").agg(F.max(of("fts", "score")).alias("fts_score"), F.min(of("fts", "rank")).alias("fts_rank"), F.max(of("vec", "score")).alias("vec_score"), F.min(of("vec", "rank")).alias("vec_rank"), total, F.count("*").alias("entries"))
     dual = F.col("fts_rank").isNotNull() & F.col("vec_rank").isNotNull()
-    total = (parts[0] + parts[1]) * F.when(dual, DUAL_BOOST).otherwise(1.0)
-    order = Window.partitionBy("query_id").orderBy(F.round("rrf_score", 9).desc(), F.col("fts_rank").asc_nulls_last(), F.col("vec_rank").asc_nulls_last())
-    out = one.withColumn("rrf_score", total).withColumn("dual", dual).withColumn("rrf_rank", F.row_number().over(order))
-    return out.filter(F.col("rrf_rank") <= candidates)
+    order = Window.partitionBy("query_id").orderBy(F.round("rrf_score", 9).desc(), F.col("fts_rank").asc_nulls_last(), F.col("vec_rank").asc_nulls_last(), F.col("chunk_id"))
+    out = one.withColumn("rrf_score", F.col("total") * F.when(dual, DUAL_BOOST).otherwise(1.0)).withColumn("dual", dual)
+    return out.withColumn("rrf_rank", F.row_number().over(order)).filter(F.col("rrf_rank") <= candidates).drop("total")
+
+
+def as_list(hits: DataFrame, kind: str) -> DataFrame:
+    """A ranked list of ``kind`` (fts or vec) as ``fuse_lists`` takes it."""
+    return hits.select("query_id", "chunk_id", F.lit(kind).alias("kind"), F.col(f"{kind}_rank").alias("rank"), "score")
+
+
+def reciprocal_rank_fusion(fts: DataFrame, vec: DataFrame, *, candidates: int = 20) -> DataFrame:
+    """Fuses one list (query_id, chunk_id, score, fts_rank) and one (…, vec_rank)."""
+    return fuse_lists(as_list(fts, "fts").unionByName(as_list(vec, "vec")), candidates=candidates).drop("entries")
 
 
 def min_max(score: str, constant: float, by: str = "query_id") -> Column:

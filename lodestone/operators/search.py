@@ -9,12 +9,14 @@ the candidates are cut.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions import parse
 from lodestone.functions.text import tokens
 from lodestone.operators import fusion, hierarchy, lexical, sessions
 from lodestone.operators.postings import PostingIndex, search_blocks
@@ -49,6 +51,10 @@ class Options:
     rerank: Reranker | None = None
     reranker_only: bool = False
     tiers: Callable[[str], list[str]] | None = None
+    #: More lists for a query: takes (query_id, query), gives (query_id, kind lex, vec or hyde, text).
+    expand: Callable[[DataFrame], DataFrame] | None = None
+    #: Embeds what ``expand`` adds: takes (query_id, query), gives these with ``vector``.
+    embed: Callable[[DataFrame], DataFrame] | None = None
     #: Seen chunks (session_id, collection, path, seq_id), left out of their own session only.
     seen: DataFrame | None = field(default=None)
 
@@ -98,6 +104,37 @@ def vector_search(corpus: Corpus, queries: DataFrame, options: Options = Options
     return vector_scan(vectors, asked, limit=options.vec_limit, kind=options.kind, excluded=excluded)
 
 
+def expanded(queries: DataFrame, expander: Callable[[list[str]], list[str]], size: int = 16) -> DataFrame:
+    """(query_id, kind, text) of queries (query_id, query): what a model's answers name, in its lines ``lex:``, ``vec:`` and ``hyde:``.
+
+    ``expander`` takes a batch of query texts and gives one answer for each; it runs in tasks, ``size`` queries at a time.
+    """
+    kind = queries.schema["query_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                said = [parse.expansions(x or "") for x in expander([q or "" for q in part.column("query").to_pylist()])]
+                rows = [(i, k, t) for i, own in enumerate(said) for k, t in own]
+                yield pa.RecordBatch.from_arrays([part.column("query_id").take(pa.array([r[0] for r in rows], pa.int64())), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())], ["query_id", "kind", "text"])
+
+    return queries.select("query_id", "query").mapInArrow(run, f"query_id {kind}, kind string, text string")
+
+
+def _more_lists(corpus: Corpus, queries: DataFrame, options: Options, excluded: DataFrame | None) -> DataFrame:
+    """The lists that an expansion adds, as ``fuse_lists`` takes them; each searched like a query of its own."""
+    rows = written(options.expand(queries.select("query_id", "query")).filter(F.length("text") > 0).distinct(), "expanded")
+    own = rows.select(F.struct("query_id", "kind", "text").alias("query_id"), F.col("text").alias("query"), "kind")
+    left_out = excluded.join(own.select(F.col("query_id.query_id").alias("own"), F.col("query_id").alias("id")), F.col("own") == F.col("query_id")).select(F.col("id").alias("query_id"), "chunk_id") if excluded is not None else None
+    fts = lexical_search(corpus, own.filter("kind = 'lex'").select("query_id", "query"), options, left_out)
+    out = fusion.as_list(fts, "fts")
+    if options.embed is not None:
+        vec = vector_search(corpus, options.embed(own.filter("kind <> 'lex'").select("query_id", "query")), options, left_out)
+        out = out.unionByName(fusion.as_list(vec, "vec"))
+    return out.withColumn("query_id", F.col("query_id.query_id"))
+
+
 def overlap_reranker(hits: DataFrame) -> DataFrame:
     """A reranker without a model: the share of the query's distinct tokens that the text has."""
     asked, own = F.array_distinct(tokens(F.col("query"))), tokens(F.col("text"))
@@ -119,7 +156,10 @@ def hybrid_search(corpus: Corpus, queries: DataFrame, options: Options = Options
     excluded = seen_pairs(corpus, queries, options.seen) if options.seen is not None else None
     fts = lexical_search(corpus, queries, options, excluded)
     vec = vector_search(corpus, queries, options, excluded)
-    fused = fusion.reciprocal_rank_fusion(fts, vec, candidates=options.candidates)
+    lists = fusion.as_list(fts, "fts").unionByName(fusion.as_list(vec, "vec"))
+    if options.expand is not None:
+        lists = lists.unionByName(_more_lists(corpus, queries, options, excluded))
+    fused = fusion.fuse_lists(lists, candidates=options.candidates).drop("entries")
     places = corpus.chunks.select("chunk_id", "collection", "path", "seq_id", "title", "text", *(["headers"] if "headers" in corpus.chunks.columns else []))
     hits = fused.join(places, "chunk_id").withColumn("score", F.col("rrf_score"))
     if options.rerank is not None:

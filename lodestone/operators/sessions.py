@@ -58,10 +58,14 @@ def cache_key(**parameters: Any) -> str:
 
 
 class ResultCache:
-    """Results by parameters and snapshot, on the driver; a seen set bypasses it."""
+    """Results by parameters and snapshot; a seen set bypasses it.
 
-    def __init__(self, size: int = 256):
-        self.size, self.held = size, {}
+    The last ``size`` are held on the driver. With ``read`` (key to text, or None) and ``write`` (key,
+    text) results are kept as JSON as well, and other processes find them.
+    """
+
+    def __init__(self, size: int = 256, read: Any = None, write: Any = None):
+        self.size, self.held, self.read, self.write = size, {}, read, write
 
     def get(self, key: str, make: Any, bypass: bool = False) -> Any:
         if bypass:
@@ -69,7 +73,10 @@ class ResultCache:
         if key not in self.held:
             if len(self.held) >= self.size:
                 self.held.pop(next(iter(self.held)))
-            self.held[key] = make()
+            kept = self.read(key) if self.read else None
+            self.held[key] = json.loads(kept) if kept is not None else make()
+            if kept is None and self.write:
+                self.write(key, json.dumps(self.held[key], default=str))
         return self.held[key]
 
 

@@ -23,11 +23,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions.embed import Embedder, document_prompt, embedded, with_context
+from lodestone.functions.embed import Embedder, Scorer, document_prompt, embedded, pair_scores, with_context
 from lodestone.operators import lexical, maintenance, postings
 from lodestone.operators.markdown import markdown_chunks
 from lodestone.operators.search import Corpus
 from lodestone.operators.similarity import packed
+from lodestone.operators.tables import written
 from lodestone.settings import Settings
 
 #: The layout that this code writes; newer ones are refused.
@@ -44,8 +45,10 @@ FAILED = "collection string, path string, hash string, error string"
 EVENTS = "event_id string, session_id string, kind string, query string, lexical string, at timestamp"
 RESULTS = "session_id string, event_id string, collection string, path string, seq_id int, rank int, score double"
 QUERIES = "query string, model string, vector array<float>"
+SCORES = "query_hash string, text_hash string, model string, score double"
+CACHED = "key string, body string, at timestamp"
 META = "version long, layout int, updated_at timestamp, quantization string, dim int, stem boolean"
-_TABLES = {"documents": DOCUMENTS, "content": CONTENT, "chunks": CHUNKS, "postings": POSTINGS, "dead": DEAD, "failed": FAILED, "events": EVENTS, "results": RESULTS, "queries": QUERIES, "meta": META}
+_TABLES = {"documents": DOCUMENTS, "content": CONTENT, "chunks": CHUNKS, "postings": POSTINGS, "dead": DEAD, "failed": FAILED, "events": EVENTS, "results": RESULTS, "queries": QUERIES, "scores": SCORES, "cached": CACHED, "meta": META}
 
 
 def chunk_key() -> Column:
@@ -269,10 +272,27 @@ class Store:
     # -- sessions -----------------------------------------------------------------------------
 
     def record(self, name: str, rows: DataFrame) -> None:
-        """Appends to events, results or queries."""
+        """Appends to events, results, queries, scores or cached."""
         kinds = self.spark.createDataFrame([], _TABLES[name])
         rows.select(*kinds.columns).write.mode("append").parquet(f"{self.folder}/{name}/version=0")
 
+    def rerank(self, scorer: Scorer, hits: DataFrame) -> DataFrame:
+        """(query_id, chunk_id, rerank_score): pairs that no search before has scored are scored and kept."""
+        hits = written(hits, "hits")
+        fresh = pair_scores(hits, scorer, self.table("scores"))[1]
+        if not (fresh := written(fresh, "scores")).isEmpty():
+            self.record("scores", fresh)
+        return pair_scores(hits, scorer, self.table("scores"))[0]
+
+    def cached(self, key: str) -> str | None:
+        """A result that was kept under ``key``: a digest of the parameters, the version and the models."""
+        found = self.table("cached").filter(F.col("key") == key).select("body").head()
+        return found.body if found else None
+
+    def keep(self, key: str, body: str) -> None:
+        one = self.spark.createDataFrame([(key, body)], "key string, body string")
+        self.record("cached", one.withColumn("at", F.current_timestamp()))
+
     def create(self) -> None:
         """Writes empty tables where there are none."""
         for name in _TABLES:

@@ -17,6 +17,7 @@ from lodestone.operators import chunks as C
 from lodestone.operators import fusion, hierarchy, inspect, lexical, maintenance, markdown, search, sessions, similarity
 from lodestone.operators.postings import PostingIndex, occurrences, search_blocks
 from lodestone.operators.tables import stamp
+from lodestone.operators.vector_index import VectorIndex
 from lodestone.sources import files, render
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -311,6 +312,23 @@ def _e1(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(_vector_hits(spark, d, 10), "score")
 
 
+def vector_index(spark: SparkSession, d: str) -> VectorIndex:
+    """The partitioned index of the vectors, written once in an application."""
+    key = (spark.sparkContext.applicationId, stamp(spark, f"{d}/embeddings.parquet"))
+    if key not in _CELLS:
+        _CELLS[key] = VectorIndex.of(vectors(spark, d).select(F.col("vec_id").alias("chunk_id"), "embedding"))
+    return _CELLS[key]
+
+
+_CELLS: dict[tuple[str, str], VectorIndex] = {}
+
+
+@_register("e2_partitioned_vectors", f"WITH s AS ({_SCAN}) SELECT query_id, chunk_id, round(score, 6) AS score, vec_rank FROM ({_top('s', 10, 'vec_rank')})")
+def _e2(spark: SparkSession, d: str) -> DataFrame:
+    asked = vectors(spark, d).filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return _rounded(vector_index(spark, d).search(asked, limit=10), "score")
+
+
 @_register("e5_int8", "SELECT vec_id, list_transform(embedding, lambda x: greatest(-128, least(127, round_even(x::DOUBLE * 127, 0)::INT))) AS q FROM embeddings")
 def _e5(spark: SparkSession, d: str) -> DataFrame:
     return vectors(spark, d).select("vec_id", V.to_int8(F.col("embedding")).alias("q"))
@@ -364,6 +382,32 @@ def _f2(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(fused, "rrf_score").select("query_id", "chunk_id", "fts_rank", "vec_rank", "rrf_score", "rrf_rank")
 
 
+_FIRST = "regexp_extract(text, '^[^.\\n]*', 0)"
+
+
+@_register(
+    "f11_four_lists",
+    f"""WITH {_bm25(f"SELECT query_id, list AS tier, 0 AS leaf, [t] AS toks FROM (SELECT item_id AS query_id, 0 AS list, unnest(list_distinct({_BTOK})) AS t FROM benchmark UNION ALL SELECT item_id, 1, unnest(list_distinct({_tok(_FIRST)})) FROM benchmark)")},
+fl AS (SELECT * FROM (SELECT query_id, chunk_id, 'fts' AS kind, row_number() OVER (PARTITION BY query_id, tier ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM hl) WHERE rank <= 50),
+vs AS (SELECT item_id AS query_id, b.vec_id AS chunk_id, v.n, {_COS} AS score FROM benchmark CROSS JOIN (VALUES (0), (1)) v(n) JOIN embeddings a ON a.vec_id = item_id + v.n CROSS JOIN embeddings b),
+vl AS (SELECT * FROM (SELECT query_id, chunk_id * 16777216 AS chunk_id, 'vec' AS kind, row_number() OVER (PARTITION BY query_id, n ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM vs) WHERE rank <= 50),
+s AS (SELECT query_id, chunk_id, count(*) AS entries, min(rank) FILTER (kind = 'fts') AS fts_rank, min(rank) FILTER (kind = 'vec') AS vec_rank, sum(1 / (60 + rank - 1.0) + CASE WHEN rank = 1 THEN 0.05 WHEN rank <= 3 THEN 0.02 ELSE 0 END) AS t FROM (SELECT * FROM fl UNION ALL SELECT * FROM vl) GROUP BY query_id, chunk_id),
+r AS (SELECT *, t * CASE WHEN fts_rank IS NOT NULL AND vec_rank IS NOT NULL THEN 1.35 ELSE 1 END AS rrf_score FROM s)
+SELECT query_id, chunk_id, entries, round(rrf_score, 6) AS rrf_score, rrf_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf_score, 9) DESC, fts_rank ASC NULLS LAST, vec_rank ASC NULLS LAST, chunk_id) AS rrf_rank FROM r) WHERE rrf_rank <= 20""",
+)
+def _f11(spark: SparkSession, d: str) -> DataFrame:
+    """Two lexical lists (whole items, their first sentences) and two of vectors, fused at once."""
+    items = spark.read.parquet(f"{d}/benchmark.parquet")
+    texts = items.select(F.col("item_id"), F.explode(F.array(F.struct(F.lit(0).alias("list"), "text"), F.struct(F.lit(1).alias("list"), F.regexp_extract("text", r"^[^.\n]*", 0).alias("text")))).alias("x"))
+    terms = texts.select(F.struct("item_id", "x.list").alias("query_id"), F.explode(F.array_distinct(T.tokens(F.col("x.text")))).alias("term"))
+    fts = lexical.ranked(lexical.match(index(spark, d), terms, every=False, limit=50), 50)
+    rows = vectors(spark, d)
+    asked = items.select("item_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("list")).join(rows.withColumn("query", F.col("embedding")), F.col("vec_id") == F.col("item_id") + F.col("list"))
+    vec = similarity.vector_scan(rows.select((F.col("vec_id") * C.MOST_CHUNKS).alias("chunk_id"), "embedding"), asked.select(F.struct("item_id", "list").alias("query_id"), "query"), limit=50)
+    lists = fusion.as_list(fts, "fts").unionByName(fusion.as_list(vec, "vec")).withColumn("query_id", F.col("query_id.item_id"))
+    return _rounded(fusion.fuse_lists(lists), "rrf_score").select("query_id", "chunk_id", "entries", "rrf_score", "rrf_rank")
+
+
 @_register("f1_hybrid", _hits_sql())
 def _f1(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(search.hybrid_search(corpus(spark, d), queries_with_vectors(spark, d)), "score").select(*_SHOWN)

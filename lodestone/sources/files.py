@@ -8,7 +8,9 @@ import io
 import posixpath
 import re
 import zipfile
-from collections.abc import Callable, Iterator
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from html.parser import HTMLParser
 from pathlib import PurePosixPath
 from xml.etree import ElementTree
@@ -17,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions import globs
 from lodestone.sources.formula import MATH, latex
 from lodestone.sources.pdf import pdf_to_markdown
 
@@ -29,20 +32,33 @@ def is_supported(path: Column, others: bool = True) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1)).isin(*TEXT_TYPES, *(OTHER_TYPES if others else ()))
 
 
+def _exists(spark: SparkSession, folder: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
 def scan(spark: SparkSession, base: str, collection: str, *, glob: str | None = None, extensions: tuple[str, ...] = (), convert_others: bool = True) -> DataFrame:
     """(collection, path, title, hash, content, modified_at) of the supported files below ``base``.
 
-    ``extensions``, with or without a dot and in any case, take the place of ``glob`` (whose
-    folders don't count: all below ``base`` are searched).
+    ``glob`` counts from ``base``: only the folders are listed that can hold a match.
+    ``extensions``, with or without a dot and in any case, take its place.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if glob and not extensions:
-        reader = reader.option("pathGlobFilter", glob.rsplit("/", 1)[-1])
-    rows = reader.load(base).filter(is_supported(F.col("path"), convert_others))
+    wanted = globs.compiled(glob) if glob and not extensions else None
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(wanted is None or wanted.deep).lower())
+    start = base
+    if wanted:
+        start = f"{base.rstrip('/')}/{wanted.folder}" if wanted.folder else base
+        if wanted.names:
+            reader = reader.option("pathGlobFilter", wanted.names)
+        if wanted.folder and not _exists(spark, start):
+            reader, start = reader.option("pathGlobFilter", "/"), base  # no such folder: no file has this name
+    rows = reader.load(start).filter(is_supported(F.col("path"), convert_others))
     if extensions:
-        wanted = sorted({e.strip().lstrip(".").lower() for e in extensions})
-        rows = rows.filter(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(wanted))
+        kinds = sorted({e.strip().lstrip(".").lower() for e in extensions})
+        rows = rows.filter(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(kinds))
     inner = F.regexp_replace(F.col("path"), f"^(?:file:)?/*{re.escape(base.removeprefix('file:').strip('/'))}/", "")
+    if wanted:
+        rows = rows.filter(inner.rlike(wanted.regex))
     stem = F.regexp_replace(F.regexp_extract(inner, r"([^/]+)$", 1), r"\.[^.]+$", "")
     return rows.select(F.lit(collection).alias("collection"), inner.alias("path"), title_of(stem).alias("title"), F.sha2("content", 256).alias("hash"), "content", F.col("modificationTime").alias("modified_at"))
 
@@ -248,23 +264,61 @@ def epub_images(files: DataFrame) -> DataFrame:
     return files.filter(F.lower("path").endswith(".epub")).select("path", "content").mapInArrow(run, "path string, name string, content binary")
 
 
-def described(images: DataFrame, describe: Callable[[bytes], str]) -> DataFrame:
-    """Adds ``body`` to images (…, content): what ``describe`` says of each, or ``error``; partitions work side by side."""
+def in_window(call: Callable[[bytes], str], items: Iterable[bytes], window: int) -> Iterator[tuple[str | None, str | None]]:
+    """(result, error) of each item in order, with at most ``window`` calls at once and as many results waiting."""
+    with ThreadPoolExecutor(max(1, window)) as pool:
+        waiting: deque = deque()
+
+        def first() -> tuple[str | None, str | None]:
+            try:
+                return waiting.popleft().result(), None
+            except Exception as e:  # noqa: BLE001  one image never fails the job
+                return None, f"{type(e).__name__}: {e}"
+
+        for item in items:
+            waiting.append(pool.submit(call, item))
+            if len(waiting) >= max(1, window):
+                yield first()
+        while waiting:
+            yield first()
+
+
+def described(images: DataFrame, describe: Callable[[bytes], str], window: int = 4) -> DataFrame:
+    """Adds ``body`` to images (…, content): what ``describe`` says of each, or ``error``.
+
+    Partitions work side by side; in each, ``window`` calls are on their way, and rows keep their order.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            said: list[tuple[str | None, str | None]] = []
-            for data in batch.column("content").to_pylist():
-                try:
-                    said.append((describe(data), None))
-                except Exception as e:  # noqa: BLE001  one image never fails the job
-                    said.append((None, f"{type(e).__name__}: {e}"))
+            said = list(in_window(describe, (x.as_py() for x in batch.column("content")), window))
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([x[i] for x in said], pa.string()) for i in (0, 1))], [*batch.schema.names, "body", "error"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in images.schema)
     return images.mapInArrow(run, f"{kinds}, body string, error string")
 
 
+def with_descriptions(documents: DataFrame, images: DataFrame) -> DataFrame:
+    """``documents`` (path, body, …) with what ``images`` (path, name, body) say, quoted below where the image stands.
+
+    An image stands where its name ends the address of a Markdown image. Those without a description stay as they are.
+    """
+    said = images.filter(F.length("body") > 0).groupBy("path").agg(F.collect_list(F.struct("name", F.col("body").alias("text"))).alias("said"))
+    rows = documents.join(said, "path", "left").select(*documents.columns, "said")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bodies = []
+            for body, own in zip(batch.column("body").to_pylist(), batch.column("said").to_pylist(), strict=True):
+                known = {x["name"].rsplit("/", 1)[-1]: " ".join(x["text"].split()) for x in own or ()}
+                put = lambda m, known=known: m[0] + (f"\n\n> {known[m[1]]}\n" if m[1] in known else "")
+                bodies.append(re.sub(r"!\[[^\]]*\]\((?:[^()]*/)?([^()/]+)\)", put, body) if body and known else body)
+            at = batch.schema.get_field_index("body")
+            yield pa.RecordBatch.from_arrays([pa.array(bodies, pa.string()) if i == at else c for i, c in enumerate(batch.columns[:-1])], batch.schema.names[:-1])
+
+    return rows.mapInArrow(run, documents.schema)
+
+
 def docx_to_markdown(data: bytes) -> str:
     """Paragraphs with heading and list styles, tables, and formulas between dollar signs."""
     w = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -362,8 +416,11 @@ def convert(path: str, data: bytes) -> str:
     return re.sub(r"(?m)^\|.*\|$", lambda m: re.sub(r" {2,}", " ", m[0]), made)
 
 
-def to_markdown(files: DataFrame) -> DataFrame:
-    """Adds ``body``, or ``error`` for a file that can't be converted: one file never fails the job."""
+def to_markdown(files: DataFrame, describe: Callable[[bytes], str] | None = None, window: int = 4) -> DataFrame:
+    """Adds ``body``, or ``error`` for a file that can't be converted: one file never fails the job.
+
+    With ``describe``, images of EPUB files are described, ``window`` at once in a task, and the descriptions put at their places.
+    """
 
     def one(path: str, data: bytes) -> tuple[str | None, str | None]:
         try:
@@ -378,7 +435,8 @@ def to_markdown(files: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), *(pa.array([x[i] for x in made], pa.string()) for i in (0, 1))], [*own, "body", "error"])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema if f.name != "content")
-    return files.mapInArrow(run, f"{kept}, body string, error string")
+    out = files.mapInArrow(run, f"{kept}, body string, error string")
+    return with_descriptions(out, described(epub_images(files), describe, window)) if describe else out
 
 
 def pages_to_markdown(pages: DataFrame) -> DataFrame:
