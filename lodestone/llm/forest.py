@@ -38,6 +38,8 @@ TRIES, PLACES = 6, (0.2, 0.35, 0.5, 0.65, 0.8)
 MOST_PARTED = 0.1
 #: The measured share of pairs that must meet, and the trees that may be grown for it.
 MEET, MOST_TREES = 0.999, 32
+#: Below this measured share trees aren't used: all vectors of a label are compared.
+LEAST_MEET = 0.9
 #: Rows of the sample whose pairs are measured, and their pairs at most.
 PROBES, MOST_PAIRS = 1000, 100_000
 
@@ -81,7 +83,8 @@ class Forest:
     fewest vectors from a partner at cosine ``threshold`` for the balance it gives. A node
     where every split parts many (a group of near copies) stays whole: its vectors all go
     left. Trees are added to the first ``trees`` until pairs of the sample, and made-up
-    partners at cosine ``threshold``, meet as often as ``MEET`` asks.
+    partners at cosine ``threshold``, meet as often as ``MEET`` asks. If ``MOST_TREES`` don't reach
+    ``LEAST_MEET``, the forest is one leaf that holds all.
     """
 
     def __init__(self, sample: np.ndarray, trees: int, spill: float, seed: int, threshold: float):
@@ -104,6 +107,9 @@ class Forest:
                 self.recall = min(met[~real].mean(), _by_row(met[real], row[real]), met[real].mean() if real.any() else 1.0)
             if t + 1 >= trees and self.recall >= MEET:
                 break
+        if self.recall < LEAST_MEET:  # one leaf, which is compared whole in pairs of blocks
+            self.depth, self.recall = 0, 1.0
+            self.planes, self.at = np.zeros((1, 0, dim), np.float32), np.zeros((1, 0), np.float32)
 
     def _grow(self, sample: np.ndarray, gap: float, rng: np.random.Generator) -> None:
         """Adds a tree that is fitted on the sample."""

@@ -167,3 +167,20 @@ def test_a_long_text_of_statements_takes_seconds(spark):
     began = time.perf_counter()
     assert licenses.scan_licenses(docs).count() == 12_000
     assert time.perf_counter() - began < 60
+
+
+def test_a_forest_that_misses_pairs_is_not_used(spark, monkeypatch):
+    """Without spill, one tree parts many pairs: all are compared instead, and none is lost."""
+    from lodestone.llm import forest
+
+    monkeypatch.setattr(forest, "MOST_TREES", 1)
+    rng = np.random.default_rng(6)
+    base = rng.standard_normal((700, 12))
+    x = np.repeat(base, 2, axis=0) + 0.02 * rng.standard_normal((1400, 12))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    made = forest.Forest(x.astype(np.float32), 1, 0.0, 7, 0.93)
+    assert made.depth == 0 and made.leaves(x.astype(np.float32))[1].tolist() == [0] * len(x)
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    want = (x @ x.T >= 0.93).sum(axis=1) - 1
+    got = {r.vec_id: r.n_links for r in near_vectors(df, trees=1, spill=0.0).collect()}
+    assert [got[i] for i in range(len(x))] == want.tolist()
