@@ -26,6 +26,15 @@ from lodestone.llm.toxicity import score_toxicity
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+#: Bytes of rows that Spark hands to a Python worker at once; buffers on both sides follow it (the default is 64 MB).
+BATCH_BYTES = 4 << 20
+
+
+def _bounded(spark: SparkSession) -> None:
+    """Keeps Arrow batches small in this session."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def _row() -> Column:
     """What a row is known by; null doc_ids come last in order."""
     return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("hash"))
@@ -46,6 +55,7 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the classifier rejects at their language's threshold."""
+    _bounded(spark)
     docs = _known(docs)
     judged = score_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), keep=("row",))
     return _without(docs, judged.filter("rejected"))
@@ -56,6 +66,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     It is the one of smallest doc_id, a null one only if the group has no other.
     """
+    _bounded(spark)
     docs = _known(docs)
     found = persist_table(near_texts(docs, n=5, hundredths=80, key="row"), "near-found")
     left = _met(docs, persist_table(found.filter("not kept").select("row").distinct(), "dropped"), "left_anti")
@@ -68,6 +79,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark window of ten words."""
+    _bounded(spark)
     docs = _known(docs)
     hits = benchmark_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="row")
     return _without(docs, hits.filter("contaminated"))
@@ -75,6 +87,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data in the texts; keeps every document."""
+    _bounded(spark)
     rows = docs.select(F.struct("doc_id", "lang", "source", "n_chars").alias("row"), "text")
     found = find_personal_data(rows, key="row")
     size = F.when(F.length("spans") > 0, F.length("redacted").cast("long")).otherwise(F.col("row.n_chars"))
@@ -84,6 +97,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix takes, with the columns of ``documents``, how many whole copies of
     each are taken (``copies``) and how many words of one more (``part``)."""
+    _bounded(spark)
     docs = _known(docs)
     taken = persist_table(mix_sources(docs, key="row").filter("taken > 0").dropDuplicates(["row"]), "mixed")
     return _met(docs, taken, "inner").select(*COLUMNS, "size", "source_size", "target", "copies", "part", "taken")
