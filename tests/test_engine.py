@@ -57,7 +57,7 @@ def engine(spark, tmp_path_factory):
     root = tmp_path_factory.mktemp("files")
     _write(root / "notes", **{"engine__guide": "# Python Guide\nintro\n## Installation\n```bash\n# comment\n```\n### Windows\nrun the installer twice\n## Usage\n" + "call the engine with care. " * 30, "engine__api": "# API\nThe engine has one call. Mail bob@example.com for help.", "fox": "The quick brown fox jumps over the lazy dog", "copy_of_fox": "The quick brown fox jumps over the lazy dog"})
     _write(root / "other", zebra="# Zebra\nstripes and running zebras", broken=b"\0\1\2")
-    settings = Settings(collections={"notes": Collection(str(root / "notes"), "*.md"), "other": Collection(str(root / "other"), extensions=("MD",))}, index=str(root / "index"), target_chunk_size=80, max_chunk_size=160)
+    settings = Settings(collections={"notes": Collection(str(root / "notes"), "**/*.md"), "other": Collection(str(root / "other"), extensions=("MD",))}, index=str(root / "index"), target_chunk_size=80, max_chunk_size=160)
     made = Engine(spark, settings, embedder=counting(str(root / "log")))
     made.root = root
     made.first = made.update()
