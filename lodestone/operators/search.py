@@ -62,7 +62,7 @@ class Options:
 def seen_pairs(corpus: Corpus, queries: DataFrame, seen: DataFrame) -> DataFrame:
     """(query_id, chunk_id) that a query's session has seen."""
     places = corpus.chunks.select("chunk_id", *sessions.CHUNK)
-    own = seen.select("session_id", *sessions.CHUNK).distinct().join(F.broadcast(queries.select("query_id", "session_id")), "session_id")
+    own = seen.select("session_id", *sessions.CHUNK).distinct().join(queries.select("query_id", "session_id"), "session_id")
     return own.join(places, sessions.CHUNK).select("query_id", "chunk_id").distinct()
 
 
@@ -143,7 +143,7 @@ def overlap_reranker(hits: DataFrame) -> DataFrame:
 
 
 def _reranked(hits: DataFrame, queries: DataFrame, rerank: Reranker) -> DataFrame:
-    return rerank(hits.join(F.broadcast(queries.select("query_id", "query")), "query_id").select("query_id", "query", "chunk_id", "path", "text"))
+    return rerank(hits.join(queries.select("query_id", "query"), "query_id").select("query_id", "query", "chunk_id", "path", "text"))
 
 
 def hybrid_search(corpus: Corpus, queries: DataFrame, options: Options = Options()) -> DataFrame:

@@ -95,11 +95,12 @@ def vector_scan(vectors: DataFrame, queries: DataFrame, *, limit: int = 50, kind
     cut before the ranking. Vectors may be packed codes (binary: a byte for each component, or
     a bit, for hamming the latter).
     """
-    room = limit
-    if excluded is not None:
-        room += excluded.groupBy("query_id").count().agg(F.max("count")).first()[0] or 0
     blocks = -(-queries.count() // QUERY_BLOCK) or 1
-    asked = queries.select("query_id", "query").withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    asked = queries.select("query_id", "query", F.lit(limit).cast("long").alias("room"))
+    if excluded is not None:  # each query keeps as many more as are left out of it
+        gone = excluded.groupBy("query_id").agg(F.count("*").alias("gone"))
+        asked = asked.join(gone, "query_id", "left").select("query_id", "query", (F.col("room") + F.coalesce("gone", F.lit(0))).alias("room"))
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
     kinds = [queries.schema["query_id"].dataType.simpleString(), vectors.schema["chunk_id"].dataType.simpleString()]
     out = None
     for b in range(blocks):
@@ -112,7 +113,7 @@ def vector_scan(vectors: DataFrame, queries: DataFrame, *, limit: int = 50, kind
                 return
             ids, column = table["query_id"].combine_chunks(), table["query"].combine_chunks()
             dim = max(map(len, filter(None, column.to_pylist())), default=0)
-            want = _matrix(column, dim)
+            want, room = _matrix(column, dim), table["room"].to_numpy()
             want = (want > 0).astype(float) if kind == "hamming" else _unit(want)
             for batch in batches:
                 if not batch.num_rows:
@@ -120,11 +121,12 @@ def vector_scan(vectors: DataFrame, queries: DataFrame, *, limit: int = 50, kind
                 own = batch.column("embedding")
                 packed = kind == "hamming" and pa.types.is_binary(own.type)
                 score = _scores(_codes(own, -(-dim // 8)) if packed else _matrix(own, dim), want, kind)
-                if len(score) > room:  # ties with the last place stay, ranks settle them
-                    cut = np.partition(score, len(score) - room, axis=0)[len(score) - room]
-                    row, query = np.nonzero(score >= cut - 1e-8)
-                else:
-                    row, query = (x.ravel() for x in np.indices(score.shape))
+                place = len(score) - room  # ties with the last place stay, ranks settle them
+                some = np.flatnonzero(place > 0)
+                cut = np.full(len(room), -np.inf)
+                if len(some):
+                    cut[some] = np.partition(score, np.unique(place[some]), axis=0)[place[some], some] - 1e-8
+                row, query = np.nonzero(score >= cut)
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(query)), batch.column("chunk_id").take(pa.array(row)), pa.array(score[row, query])], ["query_id", "chunk_id", "score"])
 
         found = vectors.select("chunk_id", "embedding").mapInArrow(run, f"query_id {kinds[0]}, chunk_id {kinds[1]}, score double")
