@@ -31,8 +31,8 @@ from lodestone.operators.similarity import packed
 from lodestone.operators.tables import written
 from lodestone.settings import Settings
 
-#: The layout that this code writes; newer ones are refused.
-LAYOUT = 2
+#: The layout that this code writes; others are refused.
+LAYOUT = 3
 #: Minutes after which another update may take over the claim of one that has died.
 CLAIM_MINUTES = 60
 # Columns of the tables; each also has the version that wrote it.
@@ -103,10 +103,10 @@ class Store:
             system.delete(path, False)
 
     def meta(self) -> dict | None:
-        """The latest version's row; None before the first. A layout that is newer than this code's is an error."""
+        """The latest version's row; None before the first. Another layout than this code's is an error."""
         last = self.table("meta").orderBy(F.col("version").desc()).limit(1).collect()
-        if last and last[0].layout > LAYOUT:
-            raise ValueError(f"the index has layout {last[0].layout}, this code reads up to {LAYOUT}")
+        if last and last[0].layout != LAYOUT:
+            raise ValueError(f"the index has layout {last[0].layout}, this code reads {LAYOUT}: build it anew in another folder")
         return last[0].asDict() if last else None
 
     def documents(self) -> DataFrame:
@@ -220,7 +220,7 @@ class Store:
     def _indexed(self, documents: DataFrame, version: int, stem: bool) -> DataFrame:
         rows = self._places(documents).withColumnRenamed("text", "body")
         blocks = postings.build_blocks(lexical.index_chunks(rows, stem=stem), first=version << 48)
-        return blocks.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term")
+        return blocks.hint("rebalance", "bucket")
 
     def compact(self) -> None:
         """Writes content, chunks and postings of what the latest version refers to as one new version, and deletes the others."""
