@@ -14,6 +14,8 @@ from lodestone.operators.lexical import ranked
 
 #: Query vectors compared in one pass over the stored ones.
 QUERY_BLOCK = 1000
+#: Scores of (stored, asked) pairs that a task holds at once.
+PAIRS = 1 << 19
 
 
 def _codes(column: pa.Array, size: int) -> np.ndarray:
@@ -84,12 +86,64 @@ def _scores(stored: np.ndarray, asked: np.ndarray, kind: str) -> np.ndarray:
     return _unit(quantised(stored) if kind == "int8" else stored) @ asked.T
 
 
+def slices(batches: Iterator[pa.RecordBatch], width: int, pairs: int = PAIRS) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches``, so many at a time that ``width`` numbers of each are ``pairs`` at most."""
+    size = max(1, pairs // max(1, width))
+    for batch in batches:
+        for at in range(0, batch.num_rows, size):
+            yield batch.slice(at, size)
+
+
+class _Best:
+    """What can be among the first ``room`` of each query, of all that a task has seen.
+
+    Scores within 1e-8 of the last place stay, since ranks round them; of equal ones those of
+    the smallest whole-number ids.
+    """
+
+    def __init__(self, room: np.ndarray) -> None:
+        self.room, self.floor = room, np.full(len(room), -np.inf)
+        self.query, self.score, self.ids = np.zeros(0, np.int64), np.zeros(0), None
+
+    def add(self, score: np.ndarray, ids: pa.Array) -> None:
+        """Takes the scores (stored, asked) of some stored vectors."""
+        place = len(score) - self.room
+        some = np.flatnonzero(place > 0)
+        cut = self.floor.copy()
+        if len(some):
+            cut[some] = np.maximum(cut[some], np.partition(score, np.unique(place[some]), axis=0)[place[some], some] - 1e-8)
+        row, query = np.nonzero(score >= cut)
+        if not len(row):
+            return
+        more = ids.take(pa.array(row))
+        self.query, self.score = np.r_[self.query, query], np.r_[self.score, score[row, query]]
+        self.ids = more if self.ids is None else pa.concat_arrays([self.ids, more])
+        self._cut()
+
+    def _cut(self) -> None:
+        whole = pa.types.is_integer(self.ids.type) and not self.ids.null_count
+        order = np.lexsort((self.ids.to_numpy() if whole else np.arange(len(self.ids)), -self.score, self.query))
+        query, score = self.query[order], self.score[order]
+        at = np.arange(len(order))
+        new = np.r_[True, query[1:] != query[:-1]]
+        heads = np.flatnonzero(new)
+        start = lambda gap: np.maximum.accumulate(np.where(np.r_[True, new[1:] | (score[:-1] - score[1:] > gap)], at, 0))
+        same, near = start(0), start(1e-8)  # where equal scores begin, and such that rounding may mix
+        sizes, room = np.diff(np.r_[heads, len(order)]), self.room[query[heads]]
+        full = sizes >= room
+        self.floor[query[heads[full]]] = score[heads[full] + room[full] - 1] - 1e-8
+        keep = score >= self.floor[query]
+        if whole:
+            keep &= near - start(np.inf) + at - same < self.room[query]
+        self.query, self.score, self.ids = query[keep], score[keep], self.ids.take(pa.array(order[keep]))
+
+
 def vector_scan(vectors: DataFrame, queries: DataFrame, *, limit: int = 50, kind: str = "cosine", excluded: DataFrame | None = None) -> DataFrame:
     """Best chunks for queries (query_id, query) over vectors (chunk_id, embedding), with vec_rank.
 
     ``kind`` is cosine, int8 (cosine with stored vectors rounded to eight bits) or hamming (1 /
     (1 + differing bits)). The query set goes out in blocks of ``QUERY_BLOCK``; each rides along
-    with a scan of all vectors, and of every batch only what can be among the first leaves it. A
+    with a scan of all vectors, and of every task only what can be among the first leaves it. A
     zero or null vector, or one of another length than the query, scores 0. ``excluded``
     (query_id, chunk_id) are left out before the ranking. Filter the vectors first: nothing is
     cut before the ranking. Vectors may be packed codes (binary: a byte for each component, or
@@ -115,19 +169,13 @@ def vector_scan(vectors: DataFrame, queries: DataFrame, *, limit: int = 50, kind
             dim = max(map(len, filter(None, column.to_pylist())), default=0)
             want, room = _matrix(column, dim), table["room"].to_numpy()
             want = (want > 0).astype(float) if kind == "hamming" else _unit(want)
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
+            best = _Best(room)
+            for batch in slices(batches, len(room)):
                 own = batch.column("embedding")
                 packed = kind == "hamming" and pa.types.is_binary(own.type)
-                score = _scores(_codes(own, -(-dim // 8)) if packed else _matrix(own, dim), want, kind)
-                place = len(score) - room  # ties with the last place stay, ranks settle them
-                some = np.flatnonzero(place > 0)
-                cut = np.full(len(room), -np.inf)
-                if len(some):
-                    cut[some] = np.partition(score, np.unique(place[some]), axis=0)[place[some], some] - 1e-8
-                row, query = np.nonzero(score >= cut)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(query)), batch.column("chunk_id").take(pa.array(row)), pa.array(score[row, query])], ["query_id", "chunk_id", "score"])
+                best.add(_scores(_codes(own, -(-dim // 8)) if packed else _matrix(own, dim), want, kind), batch.column("chunk_id"))
+            if best.ids is not None:
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(best.query)), best.ids, pa.array(best.score)], ["query_id", "chunk_id", "score"])
 
         found = vectors.select("chunk_id", "embedding").mapInArrow(run, f"query_id {kinds[0]}, chunk_id {kinds[1]}, score double")
         out = found if out is None else out.unionByName(found)

@@ -34,3 +34,43 @@ def test_segments_have_their_size_in_any_batches(spark):
         assert sorted(r.n for r in rows.filter(F.col("bucket") == postings.OWN).select(F.size("chunks").alias("n")).collect()) == [10, 20, 20]
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_scans_hold_few_scores_and_keep_what_can_be_first():
+    from lodestone.operators.similarity import _Best, slices
+
+    batch = pa.record_batch({"chunk_id": pa.array(range(1000))})
+    parts = list(slices(iter([batch]), 50, pairs=2000))
+    assert [p.num_rows for p in parts] == [40] * 25 and pa.Table.from_batches(parts)["chunk_id"].to_pylist() == list(range(1000))
+    rng = np.random.default_rng(2)
+    score = rng.integers(0, 6, (1000, 7)) / 6
+    room = np.array([3, 5, 10, 1, 50, 2000, 7])
+    order = rng.permutation(1000)
+    best = _Best(room)
+    for at in range(0, 1000, 64):
+        best.add(score[order[at : at + 64]], pa.array(order[at : at + 64]))
+    got = sorted(zip(best.query.tolist(), (-best.score).tolist(), best.ids.to_pylist(), strict=True))
+    want = sorted((q, -score[i, q], int(i)) for q in range(7) for i in np.lexsort((np.arange(1000), -score[:, q]))[: room[q]])
+    assert got == want
+
+
+@pytest.mark.parametrize("kind", ["cosine", "hamming"])
+@pytest.mark.parametrize("key", ["bigint", "string"])
+def test_a_task_keeps_the_first_of_each_query(spark, monkeypatch, kind, key):
+    from lodestone.operators import similarity
+
+    rng = np.random.default_rng(4)
+    one = [[float(x) for x in v] for v in rng.normal(size=(40, 8))]
+    rows = spark.createDataFrame([(i, one[i % 40]) for i in range(400)], "chunk_id long, embedding array<double>").withColumn("chunk_id", F.col("chunk_id").cast(key)).coalesce(1)
+    asked = spark.createDataFrame([(q, one[q]) for q in range(5)], "query_id int, query array<double>")
+    lines = lambda: sorted((r.query_id, r.vec_rank, r.chunk_id, round(r.score, 9)) for r in similarity.vector_scan(rows, asked, limit=12, kind=kind).collect())
+    whole = lines()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "30")
+    seen = []
+    monkeypatch.setattr(similarity, "ranked", lambda df, *a, **k: seen.append(df.count()) or lexical.ranked(df, *a, **k))
+    try:
+        assert lines() == whole and [r[1] for r in whole] == list(range(1, 13)) * 5
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    if key == "bigint" and kind == "hamming":
+        assert seen == [60]
