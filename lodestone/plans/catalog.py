@@ -16,7 +16,7 @@ from lodestone.functions import vectors as V
 from lodestone.operators import chunks as C
 from lodestone.operators import fusion, hierarchy, inspect, lexical, maintenance, markdown, search, sessions, similarity
 from lodestone.operators.postings import PostingIndex, occurrences, search_blocks
-from lodestone.operators.tables import stamp
+from lodestone.operators.tables import small_batches, stamp
 from lodestone.operators.vector_index import VectorIndex
 from lodestone.sources import files, render
 
@@ -47,6 +47,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
+    small_batches(spark)
     rows = spark.read.parquet(f"{d}/documents.parquet")
     return rows.select("doc_id", F.col("lang").alias("collection"), F.concat("source", F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.concat(F.lit("Doc "), F.col("doc_id").cast("string")).alias("title"), F.col("text").alias("body"), T.content_hash(F.col("text")).alias("hash"))
 

@@ -74,3 +74,23 @@ def test_a_task_keeps_the_first_of_each_query(spark, monkeypatch, kind, key):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     if key == "bigint" and kind == "hamming":
         assert seen == [60]
+
+
+def test_markdown_chunks_leave_a_task_in_small_batches(monkeypatch):
+    from lodestone.operators import markdown
+
+    texts = [None if i % 5 == 0 else "" if i % 7 == 0 else f"# h{i}\n" + f"word{i} " * 500 for i in range(40)]
+    monkeypatch.setattr(markdown, "HELD", 9000)
+    out = list(markdown.chunk_batches(iter([pa.record_batch({"key": pa.array(range(40)), "body": pa.array(texts, pa.string())})])))
+    want = [(i, c["seq_id"], c["text"]) for i, t in enumerate(texts) if t for c in markdown.chunk_markdown(t)]
+    assert [(r["key"], r["seq_id"], r["text"]) for b in out for r in b.to_pylist()] == want
+    assert len(out) > 5 and max(len(set(b.column("key").to_pylist())) for b in out) <= 3
+
+
+def test_catalog_sessions_hand_small_batches_to_workers(spark):
+    from lodestone.operators.tables import BATCH_BYTES
+    from lodestone.plans import catalog
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    catalog.documents(spark, "/root/testdata/sf0.001")
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(BATCH_BYTES)
