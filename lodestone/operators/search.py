@@ -4,7 +4,7 @@ Queries are a DataFrame (query_id, query, vector[, lexical][, session_id]): ``ve
 embedded query (null: lexical only), ``lexical`` a match expression that takes the place of the
 query's own, ``session_id`` whose seen chunks are left out. Lexical tiers are
 written one after the other; the rest up to the last cut is one lazy plan, and texts join after
-the candidates are cut.
+the candidates are cut: few hits are sent to the chunks, so that texts aren't shuffled.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from lodestone.operators.postings import PostingIndex, search_blocks
 from lodestone.operators.similarity import vector_scan
 from lodestone.operators.tables import written
 
+#: Hits of all queries together, up to which they are sent to the chunks; above that both are dealt by chunk.
+SENT_HITS = 200_000
 #: Takes hits (query_id, query, chunk_id, path, text), gives (query_id, chunk_id, rerank_score).
 Reranker = Callable[[DataFrame], DataFrame]
 
@@ -161,8 +163,10 @@ def hybrid_search(corpus: Corpus, queries: DataFrame, options: Options = Options
         lists = lists.unionByName(_more_lists(corpus, queries, options, excluded))
     fused = fusion.fuse_lists(lists, candidates=options.candidates).drop("entries")
     places = corpus.chunks.select("chunk_id", "collection", "path", "seq_id", "title", "text", *(["headers"] if "headers" in corpus.chunks.columns else []))
-    hits = fused.join(places, "chunk_id").withColumn("score", F.col("rrf_score"))
+    few = queries.count() * options.candidates <= SENT_HITS
+    hits = places.join(F.broadcast(fused) if few else fused, "chunk_id").withColumn("score", F.col("rrf_score"))
     if options.rerank is not None:
+        hits = written(hits, "hits")  # read by the reranker and by the blend
         hits = fusion.blend_rerank(hits, _reranked(hits, queries, options.rerank), reranker_only=options.reranker_only).drop("n_rrf", "n_rerank")
     return fusion.final_rank(fusion.dedup_by_text(hits), options.limit)
 
@@ -175,6 +179,7 @@ def wide_to_narrow_search(corpus: Corpus, queries: DataFrame, options: Options =
     wide = replace(options, limit=max(options.fts_limit, options.vec_limit, 5 * options.limit), rerank=None)
     pool = hierarchy.wide_to_narrow(hybrid_search(corpus, queries, wide), limit=options.limit, containers=options.containers, pool=2 * options.limit)
     if options.rerank is not None:
+        pool = written(pool, "pool")
         scores = _reranked(pool, queries, options.rerank)
         blended = fusion.blend_rerank(pool.withColumn("rrf_score", F.col("score")), scores, reranker_only=options.reranker_only, dual_floor=False)
         order = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "chunk_id")

@@ -94,3 +94,26 @@ def test_catalog_sessions_hand_small_batches_to_workers(spark):
     spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
     catalog.documents(spark, "/root/testdata/sf0.001")
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(BATCH_BYTES)
+
+
+def test_texts_of_hits_are_not_shuffled(spark, monkeypatch):
+    """Few hits are sent to the chunks; many are dealt by chunk, with the same result."""
+    from lodestone.operators import search
+
+    texts = [f"red fish {i} " + "blue bird " * (i % 3) for i in range(60)]
+    chunks = spark.createDataFrame([(i, "c", f"p{i}", 0, "t", x) for i, x in enumerate(texts)], "chunk_id long, collection string, path string, seq_id int, title string, text string")
+    vectors = spark.createDataFrame([(i, [float(i % 5), 1.0]) for i in range(60)], "chunk_id long, embedding array<double>")
+    corpus = search.Corpus(chunks, PostingIndex.of(lexical.index_chunks(chunks.withColumnRenamed("text", "body"), ("body",))), vectors)
+    asked = spark.createDataFrame([(1, "red bird", [1.0, 0.0]), (2, "blue fish", [0.0, 1.0])], "query_id int, query string, vector array<double>")
+    monkeypatch.setattr(search, "written", lambda df, *a: df)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = []
+        for most in (search.SENT_HITS, 0):
+            monkeypatch.setattr(search, "SENT_HITS", most)
+            hits = search.hybrid_search(corpus, asked, search.Options(rerank=search.overlap_reranker))
+            made.append((sorted(map(tuple, hits.select("query_id", "chunk_id", "rank", "score").collect())), hits._jdf.queryExecution().sparkPlan().toString()))
+        assert made[0][0] == made[1][0] and len(made[0][0]) == 20
+        assert "BroadcastHashJoin [chunk_id" in made[0][1] and "BroadcastHashJoin [chunk_id" not in made[1][1]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
