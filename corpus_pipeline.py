@@ -27,12 +27,18 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 #: Bytes of rows that Spark hands to a Python worker at once; buffers on both sides follow it (the default is 64 MB).
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
+#: Rows that a Parquet reader decodes at once (the default is 4,096, of texts some 10 MB in one array).
+READ_ROWS = 256
+#: Bytes of a row group, which a writer holds until it is full and a reader takes in at once (the default is 128 MB).
+GROUP_BYTES = 4 << 20
 
 
 def _bounded(spark: SparkSession) -> None:
-    """Keeps Arrow batches small in this session."""
+    """Keeps Arrow batches, decoded batches and row groups small in this session: an executor's heap grows with its largest arrays."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READ_ROWS))
+    spark.conf.set("parquet.block.size", str(GROUP_BYTES))
 
 
 def _row() -> Column:
